@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize
 
-SAMPLE = 8000  #: labelled documents that the classifier is fitted on, chosen by hash of the id
+SAMPLE = 5000  #: labelled documents that the classifier is fitted on, chosen by hash of the id
 SEEN = 3  #: a feature needs so many documents of the sample to get a weight
 CACHE = 300_000  #: words whose scores a worker remembers
 TARGETS = ("low", "toxic")
