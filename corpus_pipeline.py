@@ -1,8 +1,76 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages over ``documents``, each working on all that the one before kept.
+
+``run`` chains the stages, writing each result as Parquet in the shared folder.  There is no
+SQL for it: byte-pair merging and the classifier's fit are not expressible; the stages are
+tested against brute force in tests/llm.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rivalscope.llm import queries as llm
+from rivalscope.llm.classifier import classify
+from rivalscope.llm.common import materialize
+from rivalscope.llm.decontam import decontaminate
+from rivalscope.llm.lines import dedup_lines
+from rivalscope.llm.neardup import near_duplicates
+from rivalscope.llm.tokens import encode_digests
+
+
+def keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id ``verdicts`` (doc_id, kept) keeps; a repeated id needs all of its rows kept."""
+    good = verdicts.groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("kept").select(F.col("doc_id").alias("_id"))
+    return docs.join(good.hint("shuffle_hash"), docs.doc_id.eqNullSafe(good._id), "left_semi")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops low-quality and toxic documents."""
+    return keep(docs, classify(docs, llm.table(spark, sf_dir, "labels")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later copies of repeated passages, and documents of which nothing is left by that."""
+    out = dedup_lines(docs)
+    empty = (F.col("n_deleted") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
+    return out.filter(~empty).select(*docs.columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates."""
+    llm.ship(spark)
+    return keep(docs, near_duplicates(docs, width=5))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops contaminated documents."""
+    found = decontaminate(docs, llm.table(spark, sf_dir, "benchmark"))
+    return keep(docs, found.select("doc_id", (~F.col("contaminated")).alias("kept")))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes what is left; the digests are those of the ids and of the bytes they decode to."""
+    llm.ship(spark)
+    ranks, pattern = llm.vocabulary("byte_bpe_50k.tiktoken"), llm.pretoken_pattern()
+    return encode_digests(docs.select("doc_id", "lang", "source", "text"), ranks, pattern).drop("text")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("byte-level BPE encoding and decoding", byte_bpe),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, f"stage-{i + 1}")
+    return docs

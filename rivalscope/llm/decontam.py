@@ -72,7 +72,8 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, text: str) -> tuple[Data
     at = materialize(at, "candidates-by-document")
     texts = docs.join(broadcast_if_small(at.select(*DOC), DOC_ROWS), DOC, "left_semi").select(*DOC, text).dropDuplicates(DOC)
     lowered = texts.join(at, DOC).select(*DOC, "c", F.transform(terms(F.col(text)), ascii_lower).alias("_w"))
-    seen = lowered.select(*DOC, F.explode(F.transform("c", lambda c: F.struct(c["pid"].alias("pid"), c["start"].alias("start"), c["size"].alias("size"), F.slice("_w", c["start"] + 1, c["size"]).alias("here")))).alias("x")).select(*DOC, "x.*")
+    each = lowered.select(*DOC, "_w", F.explode("c").alias("x")).select(*DOC, "_w", "x.*")
+    seen = each.select(*DOC, "pid", "start", "size", F.slice("_w", F.col("start") + 1, F.col("size")).alias("here"))
     hits = seen.join(broadcast_if_small(phrases, WINDOW_ROWS), "pid").filter(F.col("here") == F.col("words")).select(*DOC, "pid", "start", "size")
     ends = index.filter(F.col("term") == END).select("_id", *DOC, "pos")
     return hits, ends

@@ -117,8 +117,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_w
     left = F.array_except(F.col("_n"), F.transform("_gone", lambda q: F.get("_h", q.cast("int"))))
     cut = F.array_join(F.transform(left, lambda i: F.get("_l", i)), "\n")
     out = out.withColumns({"_n": F.when(F.col("_gone").isNotNull(), numbers), "_h": F.when(F.col("_gone").isNotNull(), holding)})
+    # a second use of _h keeps it a column of its own, made once a row and not once a line
     return out.withColumns({
-        text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(cut),
+        text: F.when(F.col("_gone").isNull() | F.col("_h").isNull(), F.col(text)).otherwise(cut),
         "n_lines": F.coalesce(F.when(F.col(text).isNotNull(), F.size("_l")), F.lit(0)).cast("long"),
         "n_deleted": F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long"),
     }).select(*rest, "n_lines", "n_deleted")

@@ -46,6 +46,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -72,6 +78,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, vocabulary("byte_bpe_50k.json"), pretoken_pattern()).drop("text")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -83,10 +95,12 @@ def queries() -> dict[str, Query]:
         "op1_decontamination": op1_decontamination,
         "op2_line_dedup": op2_line_dedup,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_html_extraction": op4_html_extraction,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_quality_rules": op7_quality_rules,
         "op8_token_counts": op8_token_counts,
+        "op9_license_scan": op9_license_scan,
         "op10_sharding": op10_sharding,
     }
 
