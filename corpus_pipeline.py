@@ -32,7 +32,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated passages, and documents of which nothing is left by that."""
-    out = dedup_lines(docs)
+    out = materialize(dedup_lines(docs), "deduped")  # before the filter, which would be pushed into the rebuilding of texts
     empty = (F.col("n_deleted") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
     return out.filter(~empty).select(*docs.columns)
 

@@ -23,7 +23,7 @@ from .common import broadcast_if_small, materialize
 
 SAMPLE = 5000  #: labelled documents that the classifier is fitted on, chosen by hash of the id
 SEEN = 3  #: a feature needs so many documents of the sample to get a weight
-CACHE = 300_000  #: words whose scores a worker remembers
+CACHE = 150_000  #: words whose scores a worker remembers
 TARGETS = ("low", "toxic")
 TELLING = 3.5  #: standard deviations by which a feature's documents must differ from the rate
 LEAST = 0.02  #: weights nearer to zero are dropped
@@ -146,11 +146,26 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     lab = labels.select(F.col(id_col), F.col("quality").cast("int").alias("_q"), F.col("toxic").cast("int").alias("_t")).dropna().dropDuplicates()
     pick = lab.orderBy(F.xxhash64(id_col), id_col, "_q", "_t").limit(sample)
     pick = F.broadcast(pick)  # at most ``sample`` rows
-    rows = df.select(F.col(id_col), F.col(text).alias("_text")).join(pick, id_col).orderBy(F.xxhash64(id_col), id_col, "_q", "_t", F.xxhash64("_text")).limit(sample).toArrow()
-    texts = [t or "" for t in rows["_text"].to_pylist()]
-    y = np.array([1 - rows["_q"].to_numpy(), rows["_t"].to_numpy()], float) if texts else np.zeros((2, 0))
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, fit(texts, y)))  # bounded by the sample
-    del rows, texts
+    rows = df.select(F.col(id_col), F.col(text).alias("_text")).join(pick, id_col).orderBy(F.xxhash64(id_col), id_col, "_q", "_t", F.xxhash64("_text")).limit(sample)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One task has the whole of the bounded sample."""
+        texts, low, toxic = [], [], []
+        for batch in batches:
+            texts += [t or "" for t in batch.column(0).to_pylist()]
+            low += [1 - q for q in batch.column(1).to_pylist()]
+            toxic += batch.column(2).to_pylist()
+        if texts:
+            slots, weights, bias = fit(texts, np.array([low, toxic], float))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (slots, weights, bias)], names=["slots", "weights", "bias"])
+
+    found = rows.select("_text", "_q", "_t").mapInArrow(fitted, "slots binary, weights binary, bias binary").collect()
+    if found:
+        slots, bias = np.frombuffer(found[0]["slots"], np.int64), np.frombuffer(found[0]["bias"])
+        model = slots, np.frombuffer(found[0]["weights"]).reshape(len(bias), len(slots)), bias
+    else:
+        model = fit([], np.zeros((2, 0)))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, model))  # bounded by the sample
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(shared)

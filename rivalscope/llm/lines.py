@@ -99,7 +99,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_w
     compared, break no run and stay.  Runs never cross documents.  A null text stays null,
     with no lines.  Rows that agree in id and text are one document and get the same result.
     The first copy in the order (id, line) stays; null ids come first.  All other columns pass
-    through; existing columns n_lines and n_deleted are replaced.
+    through; existing columns n_lines and n_deleted are replaced.  Write the result before
+    filtering on its text: a filter pushed into it would rebuild the lines once a line.
     """
     rest = [c for c in df.columns if c not in ("n_lines", "n_deleted")]
     keyed = df.select(*rest, *doc_key(id_col, text))
@@ -112,7 +113,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_w
     gone = materialize(gone, "gone").hint("shuffle_hash")
     all_lines = F.split(F.col(text), "\n")
     numbers = F.sequence(F.lit(0), F.size("_l") - 1)
-    holding = F.filter(numbers, lambda i: F.get("_l", i).rlike(r"\S"))
+    marked = F.transform("_l", lambda line, i: F.struct(i.alias("i"), line.rlike(r"\S").alias("word")))
+    holding = F.transform(F.filter(marked, lambda x: x["word"]), lambda x: x["i"])
     out = keyed.join(gone, DOC, "left").withColumn("_l", all_lines)
     left = F.array_except(F.col("_n"), F.transform("_gone", lambda q: F.get("_h", q.cast("int"))))
     cut = F.array_join(F.transform(left, lambda i: F.get("_l", i)), "\n")

@@ -17,7 +17,7 @@ from .bpe import Chunks, Merger
 from .common import text_of
 
 #: Texts are taken in slices of about this many characters, so a batch of long texts doesn't fill a worker.
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 
 def slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
