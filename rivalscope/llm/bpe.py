@@ -16,9 +16,9 @@ import regex
 
 NONE = np.int32(2**31 - 1)
 #: Matrices are cut to about this many cells, which bounds memory whatever the batch holds.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Entries that a worker remembers before it starts anew; a cache, so results don't depend on it.
-CACHE = 200_000
+CACHE = 100_000
 
 
 class PairTable:

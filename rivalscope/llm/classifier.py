@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize
 
-SAMPLE = 5000  #: labelled documents that the classifier is fitted on, chosen by hash of the id
+SAMPLE = 3000  #: labelled documents that the classifier is fitted on, chosen by hash of the id
 SEEN = 3  #: a feature needs so many documents of the sample to get a weight
 CACHE = 150_000  #: words whose scores a worker remembers
 TARGETS = ("low", "toxic")
@@ -78,11 +78,13 @@ def fit(texts: list[str], targets: np.ndarray, rounds: int = 400, decay: float =
                 f = known[w] = word_features(w)
             own += f
         cols.append(np.unique(np.array(own, np.int64)))
+    del known
     bias = np.zeros(len(targets))
     if not n:
         return np.zeros(0, np.int64), np.zeros((len(targets), 0)), bias
     owner = np.repeat(np.arange(n), list(map(len, cols)))
     slots, col, seen = np.unique(np.concatenate(cols), return_inverse=True, return_counts=True)
+    del cols
     keep = (seen[col] >= SEEN) & (seen[col] <= n - SEEN)
     used, col = np.unique(col[keep], return_inverse=True)
     slots, owner = slots[used], owner[keep]

@@ -102,6 +102,8 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_rivalscope_shipped", False):
         return
+    # whole texts travel in these batches, so they are kept short
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = Path(__file__).resolve().parent.parent
     path = Path(tempfile.mkdtemp()) / "rivalscope.zip"  # read by the driver's own file server only
     with zipfile.ZipFile(path, "w") as z:

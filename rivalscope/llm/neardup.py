@@ -27,7 +27,7 @@ from .graph import components
 PERMUTATIONS, BAND = 64, 4
 #: A pair of similarity 0.8 agrees in less than this part of 128 values with probability below 1e-7.
 LEAST_AGREEMENT = 0.61
-CACHE = 400_000
+CACHE = 200_000
 CHUNK = 4096
 _rng = np.random.default_rng(20_240_817)
 FACTORS = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
