@@ -94,7 +94,9 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "do
     wanted = [r["h"] for r in table.select(F.explode("set").alias("h")).distinct().collect()]  # bounded by the templates
     keyed = df.select(F.col(id_col).alias("_id"), *doc_key(id_col, text), text_of(text).alias("_text"))
     hashed = keyed.select(*DOC, word_hashes(F.col("_text")).alias("w")).select(*DOC, shingles("w").alias("sh"))
-    some = materialize(hashed.filter(F.arrays_overlap("sh", F.lit(wanted))), "shingled").dropDuplicates(DOC)
+    # explode() of null drops a row as a filter would, but isn't pushed below the hashing and so doesn't repeat it
+    holding = F.explode(F.when(F.arrays_overlap("sh", F.lit(wanted)), F.array("sh")))
+    some = materialize(hashed.select(*DOC, holding.alias("sh")), "shingled").dropDuplicates(DOC)
 
     kinds = table.select("size", "stride", F.explode("set").alias("h")).distinct()
     width = F.col("size") + F.col("stride") - 1  # words of a window
