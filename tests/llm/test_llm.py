@@ -155,7 +155,7 @@ def test_sharding(spk):
     from rivalscope.llm.sharding import shard
 
     r = random.Random(6)
-    rows = [(i, prose(r, r.randint(1, 80))) for i in range(400)] + [(1000 + i, "the same text again") for i in range(300)] + EDGE
+    rows = [(i, prose(r, r.randint(1, 80))) for i in range(10, 410)] + [(1000 + i, "the same text again") for i in range(300)] + EDGE
     got = shard(docs(spk, rows), shards=8).collect()
     assert len(got) == len(rows)
     by = {}
