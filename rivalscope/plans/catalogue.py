@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import kind_guess, name_clean
-from ..operators import breakdowns as B
+from ..operators import breakdowns as B, identify, merging
 from ..operators.subject import Filters, subject_matches
 from ..sources.fixtures import SEASONS, Tables
 
@@ -127,6 +127,14 @@ def queries() -> dict[str, Query]:
         "duplicate_files": whole(duplicate_files),
         "latest_by_path": whole(latest_by_path),
         "delete_cascade": whole(delete_cascade),
+        "exact_comps": me(B.exact_comps),
+        "highlights_best": me(lambda sm, t: B.highlights(sm, t, True)),
+        "highlights_worst": me(lambda sm, t: B.highlights(sm, t, False)),
+        "merge_drafts": whole(lambda t: merging.merge_cells(merging.observations(t), ["draft", "path"])),
+        "games_seen": whole(merging.games_seen),
+        "integrity": whole(merging.violations),
+        "match_cells": whole(merging.match_cells),
+        "hero_identify": whole(identify.hero_identify),
         "kind_guess": whole(lambda t: t.raw("part").select("p_partkey", kind_guess(F.col("p_name")).alias("kind"))),
         "name_clean": whole(lambda t: t.raw("customer").select("c_custkey", name_clean(F.col("c_name")).alias("clean"))),
     }

@@ -67,6 +67,31 @@ FILTERS = {
     "filter_teammate": "EXISTS (SELECT 1 FROM match_players o WHERE o.match_id = sm.match_id AND o.team = sm.team AND o.id <> sm.subject_row_id AND o.player_id = 7)", "filter_opponent": "EXISTS (SELECT 1 FROM match_players o WHERE o.match_id = sm.match_id AND o.team <> sm.team AND o.player_id = 8)",
 }
 
+HIGHLIGHTS = SHAPES + f""", k AS (
+ SELECT 'map' AS kind, map AS name, outcome FROM sm WHERE map IS NOT NULL UNION ALL SELECT 'hero', hero, outcome FROM sm WHERE hero IS NOT NULL UNION ALL SELECT 'role', role, outcome FROM sm WHERE role IS NOT NULL
+ UNION ALL SELECT 'ally', players.display_name, sm.outcome FROM sm {ALLY} JOIN players ON players.id = o.player_id UNION ALL SELECT 'comp', shape, outcome FROM shaped WHERE complete
+), x AS (SELECT kind, name, {TALLY} FROM k GROUP BY 1, 2 HAVING count(*) >= 5), y AS (SELECT kind, name, games, wins, losses, {wilson('-')} AS score, {wilson('+')} AS ceiling FROM x)
+SELECT *, round(score - (SELECT round(avg(CASE WHEN outcome = 'win' THEN 1.0 ELSE 0 END), 6) FROM sm), 5) AS delta FROM y"""
+CELLS = " UNION ALL ".join(f"SELECT id AS match_id, '{f}' AS path, CAST({f} AS VARCHAR) AS value FROM matches WHERE {f} IS NOT NULL" for f in ("played_at", "map_id", "mode", "result", "team_size"))
+CELLS += " UNION ALL SELECT o_orderkey, 'duration_seconds', CAST(300 + o_orderkey % 1200 AS VARCHAR) FROM orders"
+MERGE = """WITH RECURSIVE c AS (
+  SELECT user_id AS draft, event_type AS path, json_extract_string(props, '$.k') AS v, event_id % 4 AS r, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i
+  FROM events WHERE event_id % 11 <> 0 AND trim(json_extract_string(props, '$.k')) <> ''
+), f AS (
+  SELECT draft, path, i, v, r, 0 AS conflicts, 0 AS superseded FROM c WHERE i = 1
+  UNION ALL
+  SELECT c.draft, c.path, c.i, CASE WHEN c.v <> f.v AND c.r > f.r THEN c.v ELSE f.v END, CASE WHEN c.v <> f.v AND c.r > f.r THEN c.r ELSE f.r END,
+    f.conflicts + CASE WHEN c.v <> f.v AND c.r <> 0 AND f.r = 3 THEN 1 ELSE 0 END, f.superseded + CASE WHEN c.v <> f.v AND c.r <> 0 AND f.r <> 3 THEN 1 ELSE 0 END
+  FROM f JOIN c ON c.draft = f.draft AND c.path = f.path AND c.i = f.i + 1
+) SELECT draft, path, v AS value, CASE r WHEN 0 THEN 'name_suggestion' WHEN 1 THEN 'in_game_scoreboard' WHEN 2 THEN 'endgame_report' ELSE 'manual' END AS origin, CAST(conflicts AS BIGINT) AS conflicts, CAST(superseded AS BIGINT) AS superseded
+FROM f QUALIFY i = max(i) OVER (PARTITION BY draft, path)"""
+IDENTIFY = """WITH lib AS (SELECT vec_id, label AS owner, list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings),
+cand AS (SELECT vec_id AS id, list_transform(range(1, 65), lambda i: CASE WHEN i <= vec_id % 12 THEN 1 - bits[i] ELSE bits[i] END) AS bits FROM lib),
+d AS (SELECT id, owner, min(CAST(list_sum(list_transform(range(1, 65), lambda i: abs(cand.bits[i] - lib.bits[i]))) AS BIGINT)) AS d FROM cand CROSS JOIN lib GROUP BY 1, 2),
+n AS (SELECT *, lead(d) OVER w AS next FROM d WINDOW w AS (PARTITION BY id ORDER BY d, owner) QUALIFY row_number() OVER w = 1),
+s AS (SELECT id, owner, d, CASE WHEN d > 8 THEN 'none' WHEN next - d < 2 THEN 'ambiguous' ELSE 'match' END AS status FROM n)
+SELECT id, status, CAST(CASE WHEN status = 'match' THEN owner END AS BIGINT) AS owner, CASE WHEN d <= 8 THEN d END AS distance FROM s"""
+
 
 def by(keys: str) -> str:
     return f"SELECT {keys}, {TALLY} FROM sm WHERE {' AND '.join(f'{k.strip()} IS NOT NULL' for k in keys.split(','))} GROUP BY {keys}"
@@ -108,6 +133,14 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_files": "WITH f AS (SELECT doc_id, sha256(text) AS sha, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id FROM documents) SELECT doc_id, first_id FROM f WHERE doc_id <> first_id",
         "latest_by_path": "SELECT user_id, event_type, arg_max(json_extract_string(props, '$.k'), event_id) AS value, count(*) AS edits FROM events GROUP BY 1, 2",
         "delete_cascade": q("SELECT 'matches' AS table_name, count(*) AS n FROM matches WHERE result <> 'draw' UNION ALL SELECT 'match_players', count(*) FROM match_players WHERE match_id NOT IN (SELECT id FROM matches WHERE result = 'draw') UNION ALL SELECT 'match_bans', count(*) FROM match_bans WHERE match_id NOT IN (SELECT id FROM matches WHERE result = 'draw')"),
+        "exact_comps": q(f", l AS (SELECT p.match_id, p.team, string_agg(h.name, ' · ' ORDER BY h.name) AS name, count(*) AS named FROM match_players p JOIN heroes h ON h.id = p.hero_id GROUP BY 1, 2) SELECT l.name, {TALLY} FROM sm JOIN l USING (match_id, team) WHERE team_size IS NULL OR named = team_size GROUP BY l.name"),
+        "highlights_best": q(HIGHLIGHTS + " ORDER BY score DESC, kind, name LIMIT 5"),
+        "highlights_worst": q(HIGHLIGHTS + " ORDER BY ceiling, kind, name LIMIT 5"),
+        "merge_drafts": MERGE,
+        "games_seen": q("SELECT players.id, display_name, count(x.match_id) AS games_seen, max(x.played_at) AS last_seen FROM players LEFT JOIN (SELECT p.player_id, p.match_id, m.played_at FROM match_players p JOIN matches m ON m.id = p.match_id) x ON x.player_id = players.id GROUP BY 1, 2"),
+        "integrity": q("SELECT 'roster row without match' AS rule, count(*) AS n FROM match_players WHERE match_id NOT IN (SELECT id FROM matches) UNION ALL SELECT 'roster row of unknown player', count(*) FROM match_players WHERE player_id NOT IN (SELECT id FROM players) UNION ALL SELECT 'match with several own rows', count(*) FROM (SELECT match_id FROM match_players WHERE is_me GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'match without own row', count(*) FROM matches WHERE id NOT IN (SELECT match_id FROM match_players WHERE is_me) UNION ALL SELECT 'unknown result', count(*) FROM matches WHERE coalesce(result, '') NOT IN ('win', 'loss', 'draw')"),
+        "match_cells": q(CELLS),
+        "hero_identify": IDENTIFY,
         "kind_guess": "SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), 'tab|scoreboard|ingame|in-game|in_game') THEN 'in_game_scoreboard' ELSE 'endgame_report' END AS kind FROM part",
         "name_clean": r"SELECT c_custkey, regexp_replace(upper(c_name), '[^\p{L}\p{N}_\-\[\]]', '', 'g') AS clean FROM customer",
     }

@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from rivalscope.functions.scores import kind_guess, name_clean, outcome, wilson
+from rivalscope.operators.identify import identify
+from rivalscope.operators.merging import merge_cells
 from rivalscope.plans import catalogue, oracle
 from pyspark.sql import functions as F
 
@@ -34,10 +36,10 @@ def value(v):
     return f"{v:.5f}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", ["by_map", "by_ally", "by_opponent_hero", "bans", "comp_shapes", "comp_unclassified", "hero_pairs", "wilson_by_map", "trend_points", "streak_longest", "players_tags", "filter_teammate", "filter_unassigned", "totals_me"])
+@pytest.mark.parametrize("name", ["by_map", "by_ally", "by_opponent_hero", "bans", "comp_shapes", "comp_unclassified", "hero_pairs", "wilson_by_map", "trend_points", "streak_longest", "players_tags", "filter_teammate", "filter_unassigned", "totals_me", "exact_comps", "highlights_best", "highlights_worst", "merge_drafts", "games_seen", "integrity", "match_cells", "hero_identify"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = catalogue.queries()[name](spark, SF)
     cols = sorted(got.columns)
@@ -47,3 +49,15 @@ def test_against_sql(spark, name):
 
 def test_every_query_has_sql():
     assert set(catalogue.queries()) == set(oracle.oracle_sql())
+
+
+def test_merge_cells(spark):
+    cells = [(1, "a", "x", "in_game_scoreboard"), (2, "a", "x", "endgame_report"), (3, "a", "y", "endgame_report"), (4, "a", "z", "manual"), (5, "a", "w", "endgame_report"), (6, "a", "q", "name_suggestion"), (7, "a", None, "manual"), (1, "b", " ", None), (1, "c", "u", None), (2, "c", "v", None)]
+    got = {r.k: tuple(r)[1:] for r in merge_cells(spark.createDataFrame(cells, "seq long, k string, value string, origin string"), ["k"]).collect()}
+    assert got == {"a": ("z", "manual", 1, 2), "c": ("u", None, 0, 1)}
+
+
+def test_identify(spark):
+    lib = spark.createDataFrame([(1, 0), (2, -1), (3, 2**9 - 1)], "owner long, hash long")
+    cand = spark.createDataFrame([(1, 0), (2, 2**4 - 1), (3, -(2**63)), (4, 2**30 - 1), (5, -(2**9))], "id long, hash long")
+    assert {r.id: (r.status, r.owner, r.distance) for r in identify(cand, lib).collect()} == {1: ("match", 1, 0), 2: ("ambiguous", None, 4), 3: ("match", 1, 1), 4: ("none", None, None), 5: ("none", None, None)}
