@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import kind_guess, name_clean
-from ..operators import breakdowns as B, identify, merging
+from ..operators import breakdowns as B, history, identify, merging, names
 from ..operators.subject import Filters, subject_matches
 from ..sources.fixtures import SEASONS, Tables
 
@@ -135,6 +135,18 @@ def queries() -> dict[str, Query]:
         "integrity": whole(merging.violations),
         "match_cells": whole(merging.match_cells),
         "hero_identify": whole(identify.hero_identify),
+        "tagged_trends": whole(history.tagged_trends),
+        "tagged_series": whole(history.tagged_series),
+        "streak_current": whole(history.current_streaks),
+        "player_hero_counts": whole(history.hero_counts),
+        "player_averages": whole(history.player_averages),
+        "season_reassign": whole(history.reassign),
+        "season_clashes": whole(history.clashes),
+        "typed_settings": whole(lambda t: history.typed_settings(history.stored_settings(t))),
+        "team_sizes": whole(history.team_sizes),
+        "reference_lists": whole(history.reference_lists),
+        "learned_counts": whole(history.learned_counts),
+        "name_suggestions": whole(lambda t: names.suggestions(*names.part_names(t))),
         "kind_guess": whole(lambda t: t.raw("part").select("p_partkey", kind_guess(F.col("p_name")).alias("kind"))),
         "name_clean": whole(lambda t: t.raw("customer").select("c_custkey", name_clean(F.col("c_name")).alias("clean"))),
     }

@@ -92,6 +92,21 @@ n AS (SELECT *, lead(d) OVER w AS next FROM d WINDOW w AS (PARTITION BY id ORDER
 s AS (SELECT id, owner, d, CASE WHEN d > 8 THEN 'none' WHEN next - d < 2 THEN 'ambiguous' ELSE 'match' END AS status FROM n)
 SELECT id, status, CAST(CASE WHEN status = 'match' THEN owner END AS BIGINT) AS owner, CASE WHEN d <= 8 THEN d END AS distance FROM s"""
 
+PLACED = OTHERS.replace("p.id, p.match_id", "p.id, p.team, p.match_id") + ", o AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY played_at NULLS FIRST, match_id, id) AS x FROM r) "
+TAGGED = PLACED + """, pt AS (SELECT s_suppkey AS player_id, CASE s_suppkey % 7 WHEN 0 THEN 'tank' WHEN 1 THEN 'damage' WHEN 2 THEN 'support' WHEN 3 THEN 'red' WHEN 4 THEN 'pink' ELSE 'white' END AS tag_code FROM supplier WHERE s_suppkey % 7 <> 6 UNION SELECT s_suppkey, 'red' FROM supplier WHERE s_suppkey % 5 = 0),
+ worn AS (SELECT DISTINCT o.player_id, o.match_id, pt.tag_code FROM o JOIN match_players mate ON mate.match_id = o.match_id AND mate.team = o.team AND mate.id <> o.id JOIN pt ON pt.player_id = mate.player_id),
+ g AS (SELECT o.*, worn.tag_code, CASE WHEN outcome = 'win' THEN 1 ELSE 0 END AS win FROM o JOIN worn ON worn.player_id = o.player_id AND worn.match_id = o.match_id) """
+SNAP = r"""WITH p AS (SELECT p_partkey AS id, p_size / 50.0 AS confidence, regexp_replace(upper(p_name), '[^\p{L}\p{N}_\-\[\]]', '', 'g') AS name FROM part),
+c AS (SELECT id, CAST(confidence AS DOUBLE) AS confidence, CASE id % 5 WHEN 1 THEN name[2:] WHEN 2 THEN translate(name, 'AE', '43') WHEN 3 THEN 'XY' || name WHEN 4 THEN left(name, length(name) - 2) ELSE name END AS text FROM p),
+roster AS (SELECT name, min(id) AS owner FROM p GROUP BY 1),
+d AS (SELECT text, owner, CASE WHEN length(text) > 5 THEN least(levenshtein(text, name), levenshtein(text[2:], name), levenshtein(text[3:], name)) ELSE levenshtein(text, name) END AS d FROM (SELECT DISTINCT text FROM c WHERE length(text) >= 4) CROSS JOIN roster),
+n AS (SELECT *, lead(d) OVER w AS next FROM d WINDOW w AS (PARTITION BY text ORDER BY d, owner) QUALIFY row_number() OVER w = 1),
+s AS (SELECT * FROM n WHERE d <= 2 AND (next IS NULL OR next - d >= 1))
+SELECT id, c.text, owner, d AS distance, CASE WHEN owner IS NOT NULL THEN 'known' ELSE 'read' END AS origin, round(CASE WHEN owner IS NOT NULL THEN least(confidence * (1 - d / 3.0), 0.5) ELSE least(confidence, 0.5) * 0.5 END, 6) AS confidence FROM c LEFT JOIN s ON s.text = c.text WHERE c.text <> ''"""
+SETTINGS = r"""WITH k(n, key, usual, kind) AS (VALUES (0, 'my_display_name', '', 'text'), (1, 'confidence_threshold', '0.75', 'float'), (2, 'default_team_size', '6', 'int'), (3, 'hero_hash_max_distance', '8', 'int'), (4, 'nameplate_hash_max_distance', '35', 'int'), (5, 'read_unknown_names', '1', 'int')),
+s AS (SELECT c_custkey AS id, c_custkey % 6 AS n, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN CAST(c_custkey % 1000 AS VARCHAR) WHEN 2 THEN c_mktsegment END AS value FROM customer)
+SELECT id, key, coalesce(CASE WHEN value = '' THEN NULL WHEN kind = 'text' THEN value WHEN kind = 'float' THEN CAST(TRY_CAST(value AS DOUBLE) AS VARCHAR) WHEN regexp_full_match(value, '[0-9]+') THEN value END, usual) AS value FROM s JOIN k USING (n)"""
+
 
 def by(keys: str) -> str:
     return f"SELECT {keys}, {TALLY} FROM sm WHERE {' AND '.join(f'{k.strip()} IS NOT NULL' for k in keys.split(','))} GROUP BY {keys}"
@@ -141,6 +156,18 @@ def oracle_sql() -> dict[str, str]:
         "integrity": q("SELECT 'roster row without match' AS rule, count(*) AS n FROM match_players WHERE match_id NOT IN (SELECT id FROM matches) UNION ALL SELECT 'roster row of unknown player', count(*) FROM match_players WHERE player_id NOT IN (SELECT id FROM players) UNION ALL SELECT 'match with several own rows', count(*) FROM (SELECT match_id FROM match_players WHERE is_me GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'match without own row', count(*) FROM matches WHERE id NOT IN (SELECT match_id FROM match_players WHERE is_me) UNION ALL SELECT 'unknown result', count(*) FROM matches WHERE coalesce(result, '') NOT IN ('win', 'loss', 'draw')"),
         "match_cells": q(CELLS),
         "hero_identify": IDENTIFY,
+        "tagged_trends": q(TAGGED + "SELECT player_id, tag_code, match_id, x, row_number() OVER w AS n, round(avg(win) OVER (w ROWS UNBOUNDED PRECEDING), 6) AS cumulative, round(avg(win) OVER (w ROWS 9 PRECEDING), 6) AS rolling, count(*) OVER (w ROWS 9 PRECEDING) AS size FROM g WINDOW w AS (PARTITION BY player_id, tag_code ORDER BY x)"),
+        "tagged_series": q(TAGGED + "SELECT player_id, tag_code, count(*) AS games, CAST(sum(win) AS BIGINT) AS wins, round(avg(win), 6) AS win_rate FROM g GROUP BY 1, 2"),
+        "streak_current": q(PLACED + ", l AS (SELECT player_id, arg_max(outcome, x) AS outcome, max(x) AS n FROM o GROUP BY 1) SELECT player_id, outcome, n - coalesce((SELECT max(x) FROM o WHERE o.player_id = l.player_id AND o.outcome <> l.outcome), 0) AS length FROM l"),
+        "player_hero_counts": q("SELECT player_id, h.name AS hero, count(*) AS games FROM match_players p JOIN heroes h ON h.id = p.hero_id WHERE player_id IS NOT NULL GROUP BY 1, 2"),
+        "player_averages": q(f"SELECT player_id, {AVERAGES} FROM match_players WHERE player_id IS NOT NULL GROUP BY 1"),
+        "season_reassign": q(", s(new_id, a, b) AS (VALUES (1, '1995-01-01', '1996-03-31'), (2, '1996-04-01', '1998-12-31'), (3, '2000-01-01', '9999-12-31'), (4, '1999-01-01', '1999-12-31')) SELECT matches.id AS match_id, season_id AS old_season, new_id AS new_season FROM matches LEFT JOIN s ON left(played_at, 10) BETWEEN a AND b WHERE season_id IS DISTINCT FROM new_id"),
+        "season_clashes": q(", s(name, a, b) AS (VALUES ('S1', '1995-01-01', '1996-06-30'), ('S2', '1996-07-01', '1998-12-31'), ('S3', '2000-01-01', '9999-12-31')), x AS (SELECT player_id, min(left(played_at, 10)) AS a, max(left(played_at, 10)) AS b FROM match_players p JOIN matches m ON m.id = p.match_id WHERE player_id IS NOT NULL GROUP BY 1) SELECT player_id, string_agg(name, ',' ORDER BY name) AS clashes FROM x JOIN s ON x.a <= s.b AND s.a <= x.b GROUP BY 1"),
+        "typed_settings": SETTINGS,
+        "team_sizes": q("SELECT m.id AS match_id, coalesce(m.team_size, x.seats) AS team_size FROM matches m LEFT JOIN (SELECT match_id, greatest(count(*) FILTER (team = 'ally'), count(*) FILTER (team = 'enemy')) AS seats FROM match_players GROUP BY 1) x ON x.match_id = m.id"),
+        "reference_lists": q("SELECT kind, part, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT 'hero' AS kind, role AS part, name FROM heroes UNION ALL SELECT 'map', mode, name FROM maps) GROUP BY 1, 2"),
+        "learned_counts": q("SELECT h.name, h.role, count(*) AS portraits, CAST(sum(vec_id % 7) AS BIGINT) AS times_matched, min(vec_id) AS first_seen FROM embeddings JOIN heroes h ON h.id = label + 1 GROUP BY 1, 2"),
+        "name_suggestions": SNAP,
         "kind_guess": "SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), 'tab|scoreboard|ingame|in-game|in_game') THEN 'in_game_scoreboard' ELSE 'endgame_report' END AS kind FROM part",
         "name_clean": r"SELECT c_custkey, regexp_replace(upper(c_name), '[^\p{L}\p{N}_\-\[\]]', '', 'g') AS clean FROM customer",
     }

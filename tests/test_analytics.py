@@ -6,10 +6,12 @@ import pytest
 from rivalscope.functions.scores import kind_guess, name_clean, outcome, wilson
 from rivalscope.operators.identify import identify
 from rivalscope.operators.merging import merge_cells
+from rivalscope.operators.names import snap
 from rivalscope.plans import catalogue, oracle
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
+ADDED = ["tagged_trends", "tagged_series", "streak_current", "player_hero_counts", "player_averages", "season_reassign", "season_clashes", "typed_settings", "team_sizes", "reference_lists", "learned_counts", "name_suggestions"]
 
 
 def test_outcome(spark):
@@ -36,7 +38,7 @@ def value(v):
     return f"{v:.5f}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", ["by_map", "by_ally", "by_opponent_hero", "bans", "comp_shapes", "comp_unclassified", "hero_pairs", "wilson_by_map", "trend_points", "streak_longest", "players_tags", "filter_teammate", "filter_unassigned", "totals_me", "exact_comps", "highlights_best", "highlights_worst", "merge_drafts", "games_seen", "integrity", "match_cells", "hero_identify"])
+@pytest.mark.parametrize("name", ["by_map", "by_ally", "by_opponent_hero", "bans", "comp_shapes", "comp_unclassified", "hero_pairs", "wilson_by_map", "trend_points", "streak_longest", "players_tags", "filter_teammate", "filter_unassigned", "totals_me", "exact_comps", "highlights_best", "highlights_worst", "merge_drafts", "games_seen", "integrity", "match_cells", "hero_identify", *ADDED])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"):
@@ -61,3 +63,27 @@ def test_identify(spark):
     lib = spark.createDataFrame([(1, 0), (2, -1), (3, 2**9 - 1)], "owner long, hash long")
     cand = spark.createDataFrame([(1, 0), (2, 2**4 - 1), (3, -(2**63)), (4, 2**30 - 1), (5, -(2**9))], "id long, hash long")
     assert {r.id: (r.status, r.owner, r.distance) for r in identify(cand, lib).collect()} == {1: ("match", 1, 0), 2: ("ambiguous", None, 4), 3: ("match", 1, 1), 4: ("none", None, None), 5: ("none", None, None)}
+
+
+def test_snap_against_all_pairs(spark):
+    import random
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(3)
+    word = lambda lo, hi: "".join(rng.choice("ABC") for _ in range(rng.randint(lo, hi)))
+    roster, texts = [(i, word(1, 9)) for i in range(25)], [(i, word(0, 11)) for i in range(300)]
+    want = {}
+    for i, text in texts:
+        forms = [text, text[1:], text[2:]] if len(text) > 5 else [text]
+        near = sorted((min(edits(f, name) for f in forms), owner) for owner, name in roster)
+        found = len(text) >= 4 and near[0][0] <= 2 and near[1][0] > near[0][0]
+        want[i] = (near[0][1], near[0][0]) if found else (None, None)
+    got = snap(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(roster, "owner long, name string"))
+    assert {r.id: (r.owner, r.distance) for r in got.collect()} == want and len({v for v in want.values()}) > 5
