@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import RELIABLE, tally, wilson
 from ..sources.fixtures import Tables
+from .running import placed, rates
 
 STATS = ["eliminations", "assists", "deaths", "damage", "healing", "mitigation"]
 
@@ -94,28 +95,17 @@ def with_wilson(df: DataFrame) -> DataFrame:
     return df.withColumns({"score": F.round(wilson(F.col("wins"), F.col("losses"), True), 6), "ceiling": F.round(wilson(F.col("wins"), F.col("losses"), False), 6)})
 
 
-def trends(t: Tables, window: int = 10) -> DataFrame:
-    """For every player but the operator: position, running and rolling win rate of their matches in time order."""
+def trends(t: Tables, window: int = 10, own: bool = False) -> DataFrame:
+    """For every other player, or the operator: position, running and rolling win rate of their matches in time order."""
     window = min(100, max(2, window or 10))
-    from ..functions.scores import outcome
+    return rates(placed(t, own).select("player_id", "match_id", "x", "wins"), ["player_id"], "x", window).select("player_id", "match_id", "x", "cumulative", "rolling", F.col("size").alias("n"))
 
-    m = t.matches.select(F.col("id").alias("match_id"), "played_at", "result")
-    rows = t.match_players.filter(~F.col("is_me")).dropna(subset=["player_id"]).select("id", "match_id", "player_id", "team").join(m, "match_id")
-    w = W.partitionBy("player_id").orderBy(F.col("played_at").asc_nulls_first(), "match_id", "id")
-    win = (outcome(F.col("result"), F.col("team")) == "win").cast("double")
-    frame = w.rowsBetween(-(window - 1), 0)
-    return rows.select("player_id", "match_id", F.row_number().over(w).cast("long").alias("x"), F.round(F.avg(win).over(w.rowsBetween(W.unboundedPreceding, 0)), 6).alias("cumulative"), F.round(F.avg(win).over(frame), 6).alias("rolling"), F.count(F.lit(1)).over(frame).cast("long").alias("n"))
 
-
-def longest_streaks(t: Tables) -> DataFrame:
-    """For every player but the operator: length of the longest run of wins and of losses; a draw breaks a run."""
-    from ..functions.scores import outcome
-
-    m = t.matches.select(F.col("id").alias("match_id"), "played_at", "result")
-    rows = t.match_players.filter(~F.col("is_me")).dropna(subset=["player_id"]).select("id", "match_id", "player_id", "team").join(m, "match_id").withColumn("outcome", outcome(F.col("result"), F.col("team")))
-    w = W.partitionBy("player_id").orderBy(F.col("played_at").asc_nulls_first(), "match_id", "id")
-    rows = rows.withColumn("_new", F.coalesce((F.lag("outcome").over(w) != F.col("outcome")).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
-    runs = rows.groupBy("player_id", "_run", "outcome").agg(F.count(F.lit(1)).cast("long").alias("n"))
+def longest_streaks(t: Tables, own: bool = False) -> DataFrame:
+    """For every other player, or the operator: length of the longest run of wins and of losses; a draw breaks a run."""
+    # within a run, the place and the number of like outcomes grow alike
+    alike = F.when(F.col("outcome") == "win", F.col("wins")).when(F.col("outcome") == "loss", F.col("losses")).otherwise(F.col("draws"))
+    runs = placed(t, own).groupBy("player_id", "outcome", (F.col("x") - alike).alias("_run")).agg(F.count(F.lit(1)).cast("long").alias("n"))
     best = lambda k: F.coalesce(F.max(F.when(F.col("outcome") == k, F.col("n"))), F.lit(0)).cast("long")
     return runs.groupBy("player_id").agg(best("win").alias("longest_win"), best("loss").alias("longest_loss"))
 

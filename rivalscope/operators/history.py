@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import outcome
+from ..llm.common import materialize
 from ..sources.fixtures import SEASONS, Tables
 from .breakdowns import STATS
+from .running import placed, rates, running
 
 # Settings with their defaults and types.
 SETTINGS = [("my_display_name", "", "text"), ("confidence_threshold", "0.75", "float"), ("default_team_size", "6", "int"), ("hero_hash_max_distance", "8", "int"), ("nameplate_hash_max_distance", "35", "int"), ("read_unknown_names", "1", "int")]
@@ -15,41 +16,33 @@ SETTINGS = [("my_display_name", "", "text"), ("confidence_threshold", "0.75", "f
 EDITED = [(1, "S1", "1995-01-01", "1996-03-31"), (2, "S2", "1996-04-01", "1998-12-31"), (3, "S3", "2000-01-01", None), (4, "S4", "1999-01-01", "1999-12-31")]
 
 
-def placed(t: Tables) -> DataFrame:
-    """Rows of every player but the operator, with outcome and place ``x`` in the player's time order."""
-    m = t.matches.select(F.col("id").alias("match_id"), "played_at", "result")
-    rows = t.match_players.filter(~F.col("is_me")).dropna(subset=["player_id"]).select("id", "match_id", "player_id", "team").join(m, "match_id")
-    w = W.partitionBy("player_id").orderBy(F.col("played_at").asc_nulls_first(), "match_id", "id")
-    return rows.select("id", "match_id", "player_id", "team", outcome(F.col("result"), F.col("team")).alias("outcome"), F.row_number().over(w).cast("long").alias("x"))
-
-
-def tagged(t: Tables) -> DataFrame:
+def tagged(t: Tables, own: bool = False) -> DataFrame:
     """``placed`` for each tag that a team-mate in the match wears."""
-    rows = placed(t)
+    rows = materialize(placed(t, own).select("id", "match_id", "player_id", "team", "outcome", "x"), "placed")
     mates = t.match_players.dropna(subset=["player_id"]).select("match_id", "team", F.col("id").alias("_mate"), F.col("player_id").alias("_who"))
     tags = t.player_tags.select(F.col("player_id").alias("_who"), "tag_code")
     worn = rows.select("id", "match_id", "player_id", "team").join(mates, ["match_id", "team"]).filter("_mate <> id").join(tags, "_who").select("player_id", "match_id", "tag_code").distinct()
     return rows.join(worn, ["player_id", "match_id"])
 
 
-def tagged_trends(t: Tables, window: int = 10) -> DataFrame:
+def tagged_trends(t: Tables, window: int = 10, own: bool = False) -> DataFrame:
     """Running and rolling win rate over the matches with each tag; ``x`` keeps the overall place."""
     window = min(100, max(2, window or 10))
-    w = W.partitionBy("player_id", "tag_code").orderBy("x")
-    win, frame = (F.col("outcome") == "win").cast("double"), w.rowsBetween(-(window - 1), 0)
-    return tagged(t).select("player_id", "tag_code", "match_id", "x", F.row_number().over(w).cast("long").alias("n"), F.round(F.avg(win).over(w.rowsBetween(W.unboundedPreceding, 0)), 6).alias("cumulative"), F.round(F.avg(win).over(frame), 6).alias("rolling"), F.count(F.lit(1)).over(frame).cast("long").alias("size"))
+    subject = ["player_id", "tag_code"]
+    rows = running(tagged(t, own).select(*subject, "match_id", "x", "outcome"), subject, ["x"], {"n": F.lit(1), "wins": F.col("outcome") == "win"})
+    return rates(rows, subject, "n", window).select(*subject, "match_id", "x", "n", "cumulative", "rolling", "size")
 
 
-def tagged_series(t: Tables) -> DataFrame:
+def tagged_series(t: Tables, own: bool = False) -> DataFrame:
     win = (F.col("outcome") == "win").cast("long")
-    return tagged(t).groupBy("player_id", "tag_code").agg(F.count(F.lit(1)).cast("long").alias("games"), F.sum(win).alias("wins"), F.round(F.avg(win), 6).alias("win_rate"))
+    return tagged(t, own).groupBy("player_id", "tag_code").agg(F.count(F.lit(1)).cast("long").alias("games"), F.sum(win).alias("wins"), F.round(F.avg(win), 6).alias("win_rate"))
 
 
-def current_streaks(t: Tables) -> DataFrame:
-    """Outcome of each player's latest match, and how many in a row had it."""
-    rows = placed(t)
-    last = rows.groupBy("player_id").agg(F.max_by("outcome", "x").alias("outcome"), F.max("x").alias("_games"))
-    other = rows.join(last.select("player_id", F.col("outcome").alias("_o")), "player_id").filter("outcome <> _o").groupBy("player_id").agg(F.max("x").alias("_x"))
+def current_streaks(t: Tables, own: bool = False) -> DataFrame:
+    """Outcome of each subject's latest match, and how many in a row had it."""
+    ends = placed(t, own).groupBy("player_id", "outcome").agg(F.max("x").alias("x"))  # the last place of each outcome
+    last = ends.groupBy("player_id").agg(F.max_by("outcome", "x").alias("outcome"), F.max("x").alias("_games"))
+    other = ends.join(last.select("player_id", F.col("outcome").alias("_o")), "player_id").filter("outcome <> _o").groupBy("player_id").agg(F.max("x").alias("_x"))
     return last.join(other, "player_id", "left").select("player_id", "outcome", (F.col("_games") - F.coalesce("_x", F.lit(0))).alias("length"))
 
 

@@ -150,4 +150,6 @@ def queries() -> dict[str, Query]:
         "kind_guess": whole(lambda t: t.raw("part").select("p_partkey", kind_guess(F.col("p_name")).alias("kind"))),
         "name_clean": whole(lambda t: t.raw("customer").select("c_custkey", name_clean(F.col("c_name")).alias("clean"))),
     }
+    subjects = {"trend_points": B.trends, "streak_longest": B.longest_streaks, "tagged_trends": history.tagged_trends, "tagged_series": history.tagged_series, "streak_current": history.current_streaks}
+    out |= {f"{name}_me": whole(lambda t, f=f: f(t, own=True).drop("player_id")) for name, f in subjects.items()}
     return out | {name: me(lambda sm, t: B.by(sm, "team"), f) for name, f in FILTERS.items()}

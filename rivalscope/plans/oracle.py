@@ -171,4 +171,7 @@ def oracle_sql() -> dict[str, str]:
         "kind_guess": "SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), 'tab|scoreboard|ingame|in-game|in_game') THEN 'in_game_scoreboard' ELSE 'endgame_report' END AS kind FROM part",
         "name_clean": r"SELECT c_custkey, regexp_replace(upper(c_name), '[^\p{L}\p{N}_\-\[\]]', '', 'g') AS clean FROM customer",
     }
+    # the same for the operator's own rows, as those of a player 0
+    for name in ("trend_points", "streak_longest", "tagged_trends", "tagged_series", "streak_current"):
+        out[f"{name}_me"] = f"SELECT * EXCLUDE (player_id) FROM ({out[name].replace('p.player_id, m.played_at', '0 AS player_id, m.played_at').replace('WHERE NOT p.is_me AND p.player_id IS NOT NULL', 'WHERE p.is_me')})"
     return out | {name: q(f"SELECT team, {TALLY} FROM sm WHERE {where} GROUP BY team") for name, where in FILTERS.items()}

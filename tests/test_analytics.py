@@ -49,6 +49,30 @@ def test_against_sql(spark, name):
     assert sorted([value(r[c]) for c in cols] for r in got.collect()) == sorted([value(v) for v in r] for r in want)
 
 
+@pytest.mark.parametrize("name", ["trend_points_me", "streak_longest_me", "tagged_trends_me", "tagged_series_me", "streak_current_me"])
+def test_operator_as_subject(spark, name):
+    test_against_sql(spark, name)
+
+
+def test_streaks_and_trend_of_operator(spark):
+    """Small tables, by hand: the operator's rows count whether or not they name a player."""
+    from types import SimpleNamespace
+
+    from rivalscope.operators import breakdowns as B, history
+
+    results = "win win loss draw loss loss loss win".split()
+    t = SimpleNamespace(
+        matches=spark.createDataFrame([(i, f"2024-01-{i:02}", r) for i, r in enumerate(results, 1)], "id long, played_at string, result string"),
+        match_players=spark.createDataFrame([(100 + i, i, None if i % 2 else 5, "ally", True) for i in range(1, 9)] + [(200 + i, i, 5, "enemy", False) for i in range(1, 9)], "id long, match_id long, player_id long, team string, is_me boolean"),
+    )
+    assert [tuple(r)[1:] for r in B.longest_streaks(t, own=True).collect()] == [(2, 3)]
+    assert [tuple(r)[1:] for r in history.current_streaks(t, own=True).collect()] == [("win", 1)]
+    got = sorted((r.x, r.match_id, r.cumulative, r.rolling, r.n) for r in B.trends(t, 3, own=True).collect())
+    wins = [r == "win" for r in results]
+    assert got == [(i, i, round(sum(wins[:i]) / i, 6), round(sum(wins[max(0, i - 3) : i]) / min(i, 3), 6), min(i, 3)) for i in range(1, 9)]
+    assert [tuple(r) for r in B.longest_streaks(t).collect()] == [(5, 3, 2)]
+
+
 def test_every_query_has_sql():
     assert set(catalogue.queries()) == set(oracle.oracle_sql())
 
