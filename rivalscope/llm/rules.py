@@ -1,7 +1,7 @@
 """Quality rules with n-gram perplexity bands (operator 7).
 
 A modified Kneser-Ney character trigram model is counted over all documents of each
-language, stored in sorted hash arrays, and scores every document.  Characters are
+language, those that few documents hold discounted more, stored in sorted hash arrays, and scores every document.  Characters are
 folded to 64 symbols, so a language's model has at most 64**3 entries (3 MB): that is
 the proven bound of what each task gets for a language.
 """
@@ -20,8 +20,6 @@ from .common import materialize
 SYMBOLS = 64
 GRAMS = SYMBOLS**3
 WINDOW = 8
-#: A document teaches the model unless this part of its characters, or more, is symbols or capitals.
-TEACH_SYMBOLS, TEACH_CAPITALS = 0.05, 0.4
 #: A text that its language's model finds worse than its training text by this many nats a character is
 #: scored by pieces of SEGMENT characters, each by the best of the MIXED largest languages and its own.
 WORSE, SEGMENT, MIXED = 0.1, 64, 8
@@ -62,21 +60,16 @@ def grams(text: str) -> np.ndarray:
     return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
 
 
-def teaches(g: np.ndarray) -> bool:
-    last = g % SYMBOLS
-    return (last == 32).mean() < TEACH_SYMBOLS and (last == 27).mean() < TEACH_CAPITALS
-
-
 def counts(df: DataFrame, lang: str, text: str) -> DataFrame:
-    """(lang, gram, n) over all documents; each task sums its own part before the shuffle."""
+    """(lang, gram, n, docs) over all documents: occurrences, and documents with one; each task sums its own part before the shuffle."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for k, v in sums.items():
+            for k, (v, d) in sums.items():
                 g = np.flatnonzero(v)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(g), pa.string()), pa.array(g, pa.int32()), pa.array(v[g], pa.int64())], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(g), pa.string()), pa.array(g, pa.int32()), pa.array(v[g], pa.int64()), pa.array(d[g], pa.int64())], names=["lang", "gram", "n", "docs"])
             sums.clear()
 
         for batch in batches:
@@ -84,21 +77,26 @@ def counts(df: DataFrame, lang: str, text: str) -> DataFrame:
                 if t:
                     if k not in sums and len(sums) >= 32:
                         yield from flush()
-                    if not teaches(g := grams(t)):
-                        continue
-                    v = sums.setdefault(k, np.zeros(GRAMS, np.int64))
-                    if len(g) > GRAMS // 8:
-                        v += np.bincount(g, minlength=GRAMS)
-                    else:
-                        np.add.at(v, g, 1)
+                    g = grams(t)
+                    if k not in sums:
+                        sums[k] = np.zeros(GRAMS, np.int64), np.zeros(GRAMS, np.int32)
+                    v, d = sums[k]
+                    kinds, n = np.unique(g, return_counts=True)
+                    v[kinds] += n
+                    d[kinds] += 1
         yield from flush()
 
-    part = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text")).mapInArrow(partial, "lang string, gram int, n long")
-    return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    part = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text")).mapInArrow(partial, "lang string, gram int, n long, docs long")
+    return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def kneser_ney(gram: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-    """Interpolated modified Kneser-Ney from trigram counts, as sorted hash arrays of log probabilities and back-off weights."""
+def kneser_ney(gram: np.ndarray, n: np.ndarray, docs: np.ndarray) -> dict[str, np.ndarray]:
+    """Interpolated modified Kneser-Ney from trigram counts, as sorted hash arrays of log probabilities and back-off weights.
+
+    What is left of a count after discounting is damped by the part of the documents that hold the
+    trigram, and the rest is given to the lower order: every document counts, but what many write in
+    few documents, such as markup or capitals, stays unlikely.
+    """
     gram, n = gram.astype(np.int64), n.astype(np.float64)
     pair = gram // SYMBOLS  # the context: two symbols
     tail = gram % (SYMBOLS * SYMBOLS)
@@ -112,12 +110,15 @@ def kneser_ney(gram: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
     kinds2 = np.bincount(tail, minlength=SYMBOLS**2).astype(float)  # of what precedes a pair
     kinds1 = np.bincount(np.flatnonzero(kinds2) % SYMBOLS, minlength=SYMBOLS).astype(float)
     p1 = (kinds1 + 0.5) / (kinds1 + 0.5).sum()
-    d2 = discounts(kinds2)
+    spread3 = docs / docs.max()  # of the documents that hold the most widespread trigram
+    spread2 = np.zeros(SYMBOLS**2)
+    np.maximum.at(spread2, tail, spread3)
+    d2 = kinds2 - (kinds2 - discounts(kinds2)) * spread2
     first = np.arange(SYMBOLS**2) // SYMBOLS
     sum2 = np.bincount(first, kinds2, SYMBOLS)
     left2 = np.where(sum2 > 0, np.bincount(first, d2, SYMBOLS) / np.maximum(sum2, 1), 1.0)
     p2 = np.where(sum2[first] > 0, (kinds2 - d2) / np.maximum(sum2[first], 1), 0) + left2[first] * p1[np.arange(SYMBOLS**2) % SYMBOLS]
-    d3 = discounts(n)
+    d3 = n - (n - discounts(n)) * spread3
     sum3 = np.bincount(pair, n, SYMBOLS**2)
     left3 = np.where(sum3 > 0, np.bincount(pair, d3, SYMBOLS**2) / np.maximum(sum3, 1), 1.0)
     p3 = (n - d3) / sum3[pair] + left3[pair] * p2[tail]
@@ -194,11 +195,11 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text: str = "text", lan
     n_langs = model_rows.select("lang").distinct().count()
     # bounded: GRAMS rows a language; above 200 languages the rest share one model
     top = [r["lang"] for r in model_rows.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()]
-    names = model_rows if n_langs <= 200 else model_rows.withColumn("lang", F.when(F.col("lang").isin(top), F.col("lang")).otherwise("")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    names = model_rows if n_langs <= 200 else model_rows.withColumn("lang", F.when(F.col("lang").isin(top), F.col("lang")).otherwise("")).groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     models: dict[str, dict[str, np.ndarray]] = {}
 
     def fit(table: pa.Table) -> pa.Table:
-        m = kneser_ney(table["gram"].to_numpy(), table["n"].to_numpy())
+        m = kneser_ney(table["gram"].to_numpy(), table["n"].to_numpy(), table["docs"].to_numpy())
         return pa.table({"lang": [table["lang"][0].as_py()], **{k: [v.tobytes()] for k, v in m.items()}})
 
     fitted = names.groupBy("lang").applyInArrow(fit, "lang string, key binary, logp binary, lower binary, back binary, mean binary")

@@ -189,6 +189,24 @@ def test_quality_rules(spk):
     assert quality_rules(docs(spk, [])).count() == 0
 
 
+def test_quality_rules_count_every_document(spk):
+    """A language of capitals or of markup has a model, and each trigram of each document counts in it."""
+    from rivalscope.llm.rules import SYMBOLS, TABLE, counts, grams, quality_rules
+
+    r = random.Random(17)
+    rows = [(i, prose(r, 60), "en") for i in range(80)] + [(i, prose(r, 60).upper(), "xx") for i in range(100, 180)] + [(i, "| " + prose(r, 60).replace(" ", " | # | "), "md") for i in range(200, 280)]
+    df = spk.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {x.doc_id for x in quality_rules(df).collect() if x.kept} == {i for i, _, _ in rows}
+    got = {(x.lang, x.gram): (x.n, x.docs) for x in counts(df, "lang", "text").collect()}
+    want = {}
+    for _, t, k in rows:
+        g = grams(t).tolist()
+        for x in set(g):
+            n, d = want.get((k, x), (0, 0))
+            want[k, x] = n + g.count(x), d + 1
+    assert got == want and any(x % SYMBOLS == TABLE[ord("|")] for _, x in got)
+
+
 def test_classifier(spk):
     from rivalscope.llm.classifier import classify
 
