@@ -7,27 +7,27 @@ tested against brute force in tests/llm.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivalscope.llm import queries as llm
-from rivalscope.llm.classifier import classify
-from rivalscope.llm.common import materialize
+from rivalscope.llm.classifier import classify, verdict_key
+from rivalscope.llm.common import broadcast_if_small, doc_key, materialize
 from rivalscope.llm.decontam import decontaminate
 from rivalscope.llm.lines import dedup_lines
 from rivalscope.llm.neardup import near_duplicates
 from rivalscope.llm.tokens import encode_digests
 
 
-def keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id ``verdicts`` (doc_id, kept) keeps; a repeated id needs all of its rows kept."""
-    good = verdicts.groupBy("doc_id").agg(F.min("kept").alias("kept")).filter("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(good.hint("shuffle_hash"), docs.doc_id.eqNullSafe(good._id), "left_semi")
+def keep(docs: DataFrame, key: list[Column], verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose own verdict (_k1, _k2, kept) is to keep; ``key`` gives _k1 and _k2 of a row."""
+    good = verdicts.filter("kept").select("_k1", "_k2").distinct()
+    return docs.select("*", *key).join(good.hint("shuffle_hash"), ["_k1", "_k2"], "left_semi").select(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops low-quality and toxic documents."""
-    return keep(docs, classify(docs, llm.table(spark, sf_dir, "labels")))
+    return keep(docs, verdict_key(), classify(docs, llm.table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +38,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
+    """Keeps one row of each group of near-duplicates, the one of least id and then least text hash, and rows without words."""
     llm.ship(spark)
-    return keep(docs, near_duplicates(docs, width=5))
+    found = near_duplicates(docs, width=5, groups=True).select(F.col("doc_id").alias("_id"), "_tk", "_group")
+    rows = found.groupBy("_group", "_id", "_tk").agg(F.count(F.lit(1)).alias("_n"))
+    best = rows.filter("_group is not null").groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_tk", "_n")).alias("b")).select("b._id", "b._tk", "b._n")
+    winners = materialize(best.union(rows.filter("_group is null").select("_id", "_tk", F.lit(1).alias("_n"))), "winners")
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+
+    def of(some: DataFrame) -> DataFrame:
+        return keyed.join(some, keyed.doc_id.eqNullSafe(some._id) & (keyed._key == some._tk), "left_semi")
+
+    once, more = winners.filter("_n = 1"), winners.filter("_n > 1")
+    again = of(broadcast_if_small(more, 300_000)).dropDuplicates(["doc_id", "_key"])  # rows equal in id and text
+    return of(once.hint("shuffle_hash")).union(again).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents."""
     found = decontaminate(docs, llm.table(spark, sf_dir, "benchmark"))
-    return keep(docs, found.select("doc_id", (~F.col("contaminated")).alias("kept")))
+    return keep(docs, doc_key("doc_id", "text"), found.select("_k1", "_k2", (~F.col("contaminated")).alias("kept")))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

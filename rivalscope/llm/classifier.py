@@ -135,8 +135,16 @@ def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def verdict_key(id_col: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang") -> list[Column]:
+    """Two hashes of what a verdict depends on, and the id; a null site is hashed as the empty one that it counts as."""
+    parts = [F.col(id_col), F.col(text), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (host, path))]
+    return [F.xxhash64(*parts).alias("_k1"), F.xxhash64(F.lit("second"), *parts).alias("_k2")]
+
+
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """One row for each input row: id, p_low, p_toxic (evidence), host, path, post_low, post_toxic, kept.
+    """One row for each input row: id, _k1, _k2, p_low, p_toxic (evidence), host, path, post_low, post_toxic, kept.
+
+    ``_k1`` and ``_k2`` are ``verdict_key`` of the row, on which alone its verdict depends.
 
     ``labels`` has ``id_col``, quality (1 good, 0 low) and toxic (0/1); rows with null in
     any of them don't count, and repeated ids count once each.  ``host`` and ``path`` name
@@ -174,11 +182,11 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         for batch in batches:
             z = [scorer(t or "") for t in batch.column(3).to_pylist()]
             p = 1 / (1 + np.exp(-np.array(z).reshape(-1, 2).clip(-30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(p[:, 0]), pa.array(p[:, 1])], names=["_id", "host", "path", "p_low", "p_toxic"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *batch.columns[4:], pa.array(p[:, 0]), pa.array(p[:, 1])], names=["_id", "host", "path", "_k1", "_k2", "p_low", "p_toxic"])
 
     id_type = df.schema[id_col].dataType.simpleString()
-    base = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("_text"))
-    scored = materialize(base.mapInArrow(score, f"_id {id_type}, host string, path string, p_low double, p_toxic double"), "evidence")
+    base = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("_text"), *verdict_key(id_col, text, host, path))
+    scored = materialize(base.mapInArrow(score, f"_id {id_type}, host string, path string, _k1 long, _k2 long, p_low double, p_toxic double"), "evidence")
 
     sums = [F.count(F.lit(1)).alias("n"), F.sum("p_low").alias("low"), F.sum("p_toxic").alias("toxic")]
     paths = scored.groupBy("host", "path").agg(*sums)
@@ -195,7 +203,7 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         z = logit(F.col(f"p_{t}")) + logit(at_path) - logit(F.lit(rate[t]))
         out = out.withColumn(f"post_{t}", 1 / (1 + F.exp(-z)))
     kept = (F.col("post_low") <= threshold) & (F.col("post_toxic") <= threshold)
-    return out.select(F.col("_id").alias(id_col), "host", "path", "p_low", "p_toxic", "post_low", "post_toxic", kept.alias("kept"))
+    return out.select(F.col("_id").alias(id_col), "_k1", "_k2", "host", "path", "p_low", "p_toxic", "post_low", "post_toxic", kept.alias("kept"))
 
 
 _scorers: dict[str, Scorer] = {}

@@ -119,7 +119,7 @@ def describe(df: DataFrame, width: int) -> DataFrame:
     return df.mapInArrow(run, f"_id {df.schema['_id'].dataType.simpleString()}, _tk long, k binary, n long, bands array<long>, sig binary")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80, groups: bool = False) -> DataFrame:
     """One row for each input row: id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |intersection| >= ``percent`` * |union| of their sets of
@@ -127,7 +127,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     set and no link).  ``component_id`` is the least id reachable over links; ``kept`` marks the
     row whose id it is.  Rows that agree in id share a component only if their texts link.
     A null id is never the least id unless the whole component has none, and is then kept.
-    An empty table gives no rows.  Other columns are not read.
+    An empty table gives no rows.  Other columns are not read.  With ``groups`` also ``_group``,
+    the component's own name (null for an empty set), and ``_tk``, the hash of the text.
     """
     docs = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_tk"), F.col(text).alias("_text"))
     rows = materialize(describe(docs, width), "signatures")
@@ -200,8 +201,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     links = links.union(confirm(rest))
 
     label = components(links)
-    out = rows.select("_id", "n", "k").join(label, rows.k == label.node, "left").select("_id", "n", F.coalesce("label", "k").alias("group"))
+    out = rows.select("_id", "_tk", "n", "k").join(label, rows.k == label.node, "left").select("_id", "_tk", "n", F.coalesce("label", "k").alias("group"))
     out = materialize(out, "grouped")
     least = out.filter("group is not null").groupBy("group").agg(F.min("_id").alias("least"))
     out = out.join(least, "group", "left").withColumn("component_id", F.when(F.col("group").isNull(), F.col("_id")).otherwise(F.col("least")))
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), *([F.col("group").alias("_group"), "_tk"] if groups else []))

@@ -43,7 +43,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .classifier import classify
 
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_k1", "_k2")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,3 +241,28 @@ def test_pipeline(spk):
     out = C.run(spk, "/root/testdata/sf0.001")
     ids = [r.doc_id for r in out.collect()]
     assert len(ids) == len(set(ids)) and ids
+
+
+def test_pipeline_stages_judge_rows(spk, monkeypatch):
+    """Null and repeated ids: each row has a fate of its own, and one row of a near-duplicate group stays."""
+    import corpus_pipeline as C
+
+    r = random.Random(9)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    rows_of = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=key)
+    a, b, c, d = (prose(r, 60) for _ in range(4))
+    rows = [(1, a), (1, a), (1, b), (2, b + " x"), (None, a), (None, c), (None, c), (None, d), (3, ""), (3, ""), (None, None)]
+    assert rows_of(C.minhash_near_dedup(spk, docs(spk, rows), "")) == sorted([(1, a), (1, b), (None, c), (None, d), (3, ""), (3, ""), (None, None)], key=key)
+
+    items = spk.createDataFrame([(1, a)], "item_id long, text string")
+    monkeypatch.setattr(C.llm, "table", lambda spark, sf_dir, name: items)
+    rows = [(1, a), (1, b), (None, a), (None, b), (None, b), (2, c)]
+    assert rows_of(C.benchmark_decontamination(spk, docs(spk, rows), "")) == sorted([(1, b), (None, b), (None, b), (2, c)], key=key)
+
+    rows = [(i, prose(r, 40) + (" vile7" if i % 5 == 0 else "")) for i in range(400)]
+    labels = spk.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(C.llm, "table", lambda spark, sf_dir, name: labels)
+    more = [(None, a), (None, b + " vile7"), (301, c + " vile7"), (301, d)]
+    got = rows_of(C.quality_classifier(spk, docs(spk, rows + more), ""))
+    assert (None, a) in got and (301, d) in got and rows[301] in got
+    assert not {(None, b + " vile7"), (301, c + " vile7")} & set(got)
