@@ -22,12 +22,19 @@ from pyspark.sql import functions as F
 # Fixed values of HTML: elements that start a block, have no end tag, or hold no readable text.
 BLOCK = frozenset("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol option p pre search section select summary table caption tbody td tfoot th thead tr ul iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = "script style title textarea noscript template svg math iframe object canvas audio video noframes xmp".split()
+RAW = "script style title textarea iframe noframes xmp".split()  # what follows, up to the end tag, is no markup
+SILENT = "noscript template svg canvas audio video".split()
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A p element ends where one of these starts.
 ENDS_P = BLOCK - {"html", "head", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend", "iframe"}
 
-PIECES = re.compile(rf"<!--.*?(?:-->|$)|<({'|'.join(SILENT)})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
+ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
+#: Only raw text runs to the end of the page if it isn't closed; other silent elements are then no more than their tag, as is a self-closed svg.
+PIECES = re.compile(
+    rf"<!--.*?(?:-->|$)|<({'|'.join(RAW)})(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*>|$)|<svg(?=[\s/>]){ATTRIBUTES}(?<=/)>|<({'|'.join(SILENT)})(?=[\s/>]){ATTRIBUTES}>.*?</\2(?=[\s/>])[^>]*>"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>|<[!?][^>]*>|([^<]+|<)",
+    re.S | re.I,
+)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[A-Za-z]+")
 
@@ -60,14 +67,16 @@ def blocks(page: str) -> list[Block]:
         del stack[to:]
 
     for m in PIECES.finditer(page):
-        if m[5] is not None:
-            t = entities.unescape(m[5])
+        if m[6] is not None:
+            t = entities.unescape(m[6])
             text.append(t)
             if any(tag == "a" for tag, _ in stack):
                 linked += len(t.strip())
-        elif m[3]:
-            tag = m[3].lower()
-            if m[2]:
+        elif m[4]:
+            tag = m[4].lower()
+            if tag in SILENT:
+                continue
+            if m[3]:
                 at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
                 if at is not None:
                     pop(at)
@@ -85,8 +94,8 @@ def blocks(page: str) -> list[Block]:
                         break
                     if stack[i][0] in BLOCK and stack[i][0] != "p":
                         break
-            if tag not in VOID and not m[4].endswith("/"):
-                words = [w.lower() for found in NAMES.findall(m[4]) for w in WORDS.findall("".join(found))]
+            if tag not in VOID and not m[5].endswith("/"):
+                words = [w.lower() for found in NAMES.findall(m[5]) for w in WORDS.findall("".join(found))]
                 stack.append((tag, ".".join([tag, *words])))
     flush()
     return out

@@ -234,6 +234,18 @@ def test_html(spk):
     assert got == {1: (want, len(want)), 2: ("", 0), 3: ("", 0)}
 
 
+def test_html_keeps_what_follows_silent_elements():
+    from rivalscope.llm.html import blocks, labelled_pages, main_text, train
+
+    text = lambda page: [b.text for b in blocks(page)]
+    for name in ('<svg class="i"/>', "<svg/>", "<math/>", "<video-player src='a'></video-player>", "<title-card></title-card>", "<object-x></object-x>", "<template-x>", "<video src=a>", "<canvas>", "<svg><path d='M0'/>", "<svg><text>no</text></svg>", "<video>no</VIDEO >"):
+        assert text(f"<p>One.</p>{name}<p>Three.</p>") == ["One.", "Three."], name
+    assert text("<p>a <math><mi>x</mi></math> b <object data=u>c</object></p>") == ["a x b c"]
+    assert text("<p>One.</p><script>if (a < b) <p>no</p>") == ["One."]
+    page = '<nav><a href="/">Home</a></nav><article><p>One two three.</p><svg class="i"/><p>Four five <math><mi>x</mi></math> six.</p></article>'
+    assert main_text(page, train(labelled_pages())) == "One two three.\nFour five x six."
+
+
 def test_pipeline(spk):
     import corpus_pipeline as C
 
