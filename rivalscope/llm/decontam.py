@@ -45,7 +45,7 @@ def term_counts(docs: DataFrame, vocabulary: DataFrame, text: str) -> DataFrame:
 def item_windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
     """(item, words): every window of ``size`` words of each item, or the whole of a shorter one."""
     words = F.filter(terms(ascii_lower(F.col(text))), lambda w: w != "")
-    found = items.select(F.col(item_id).cast("string").alias("item"), words.alias("_w")).filter(F.col("item").isNotNull() & (F.size("_w") > 0))
+    found = items.select(F.col(item_id).cast("string").alias("item"), words.alias("_w")).filter(F.size("_w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - size + 1))
     return found.select("item", F.explode(F.transform(starts, lambda s: F.slice("_w", s, size))).alias("words"))
 
@@ -85,8 +85,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Words are runs of 0-9, a-z, A-Z (lower-cased) and non-ASCII characters.  A document word
     inside an occurrence of a window of ``window`` consecutive item words (the whole item where
     shorter) is hit; a document is contaminated if one word in ``one_in`` or more is.  Null texts
-    have no words; items with a null id are not looked for; repeated item ids count once.  Rows
-    that agree in id and text get the same result.  Empty tables: no rows, or no hits.
+    have no words; repeated item ids count once; all items with a null id count as one in n_items and
+    are left out of the list that items_sha256 is of.  Rows that agree in id and text get the same result.  Empty tables: no rows, or no hits.
     """
     base = docs.select(F.col(id_col).alias("_id"), *doc_key(id_col, text), F.col(text))
     windows = item_windows(items, item_id, item_text, window).distinct()
@@ -100,13 +100,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     before = F.coalesce(F.max("end").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     covered = spans.withColumn("_new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", before))).groupBy(*DOC).agg(F.sum("_new").alias("n_hit"))
     owners = windows.select("pid", "item").distinct()
-    named = hits.select(*DOC, "pid").distinct().join(broadcast_if_small(owners, WINDOW_ROWS), "pid").groupBy(*DOC).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    named = hits.select(*DOC, "pid").distinct().join(broadcast_if_small(owners, WINDOW_ROWS), "pid").groupBy(*DOC).agg(F.sort_array(F.collect_set("item")).alias("items"), F.max(F.col("item").isNull().cast("int")).alias("unnamed"))
     found = covered.join(named, DOC)
     found = broadcast_if_small(materialize(found, "contaminated"), 50_000)
     out = ends.join(found, DOC, "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
-        F.col("_id").alias(id_col), *DOC, F.col("pos").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.col("_id").alias(id_col), *DOC, F.col("pos").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce(F.size("items") + F.col("unnamed"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (one_in * n_hit >= F.col("pos"))).alias("contaminated"),
     )
 
@@ -114,8 +114,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def proximity_matches(docs: DataFrame, words: list[str], slop: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, start, end): spans in which the given distinct lower-case words occur within ``slop`` more terms than their number.
 
-    Postings of the rarest word are the anchors; for each, the nearest posting of every other
-    word within reach is taken.  One row for each anchor that has all words in reach.
+    Postings of the rarest word are the anchors.  For each, the shortest span around it that has
+    all words is taken, the first of equals, from all postings within reach.  One row for each
+    anchor that has one.
     """
     base = docs.select(F.col(id_col).alias("_id"), *doc_key(id_col, text), F.col(text))
     spark = docs.sparkSession
@@ -126,11 +127,13 @@ def proximity_matches(docs: DataFrame, words: list[str], slop: int, id_col: str
         return index.select(F.col("_id").alias(id_col), F.col("pos").alias("start"), F.col("pos").alias("end")).limit(0)
     rare = min(words, key=lambda w: (counts[w], w))
     reach = len(words) - 1 + slop
-    spans = index.filter(F.col("term") == rare).select("_id", *DOC, F.col("pos").alias("anchor"), F.col("pos").alias("start"), F.col("pos").alias("end"))
-    for w in words:
-        if w != rare:
-            other = index.filter(F.col("term") == w).select(*DOC, F.col("pos").alias("_p"))
-            near = spans.join(other, DOC).filter(F.abs(F.col("_p") - F.col("anchor")) <= reach)
-            best = near.groupBy("_id", *DOC, "anchor", "start", "end").agg(F.min_by("_p", F.struct(F.abs(F.col("_p") - F.col("anchor")), "_p")).alias("_p"))
-            spans = best.select("_id", *DOC, "anchor", F.least("start", "_p").alias("start"), F.greatest("end", "_p").alias("end"))
-    return spans.filter(F.col("end") - F.col("start") <= reach).select(F.col("_id").alias(id_col), "start", "end").distinct()
+    # joined by stretches of a document, so that a long one isn't compared with itself
+    stretch = F.floor(F.col("pos") / (reach + 1))
+    anchors = index.filter(F.col("term") == rare).select("_id", *DOC, F.col("pos").alias("anchor"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("_s"))
+    near = anchors.join(index.select(*DOC, stretch.alias("_s"), "pos", "term").distinct(), [*DOC, "_s"]).filter(F.abs(F.col("pos") - F.col("anchor")) <= reach)
+    at = near.groupBy("_id", *DOC, "anchor").agg(F.array_sort(F.collect_set(F.struct("pos", "term"))).alias("p"))  # at most 2 * reach + 1
+    inside = lambda a, b: F.array_distinct(F.transform(F.filter("p", lambda x: x["pos"].between(a["pos"], b["pos"])), lambda x: x["term"]))
+    whole = lambda a, b: (a["pos"] <= F.col("anchor")) & (b["pos"] >= F.col("anchor")) & (b["pos"] - a["pos"] <= reach) & (F.size(inside(a, b)) == len(words))
+    spans = F.flatten(F.transform("p", lambda a: F.transform(F.filter("p", lambda b: whole(a, b)), lambda b: F.struct((b["pos"] - a["pos"]).alias("width"), a["pos"].alias("start"), b["pos"].alias("end")))))
+    best = at.select("_id", F.array_min(spans).alias("best")).filter("best is not null")
+    return best.select(F.col("_id").alias(id_col), "best.start", "best.end").distinct()

@@ -140,6 +140,31 @@ def test_decontamination(spk):
     assert decontaminate(docs(spk, []), spk.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_unnamed_items_and_proximity(spk):
+    import hashlib
+    import itertools
+
+    from rivalscope.llm.decontam import decontaminate, proximity_matches
+
+    r = random.Random(14)
+    a, b = prose(r, 20), prose(r, 20)
+    got = {x.doc_id: x for x in decontaminate(docs(spk, [(1, a), (2, b), (3, a + " " + b), (4, "one two")]), spk.createDataFrame([(None, a), (5, b)], "item_id long, text string")).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {i: (x.n_hit, x.n_items, x.items_sha256, x.contaminated) for i, x in got.items()} == {1: (20, 1, sha(""), True), 2: (20, 1, sha("5"), True), 3: (40, 2, sha("5"), True), 4: (0, 0, sha(""), False)}
+
+    texts = ["z z z z z z z z z a rare a b"] + [" ".join(r.choice(["rare", "a", "b", "x", "y", "x"]) for _ in range(14)) for _ in range(25)]
+    for slop in (0, 2):
+        want = set()
+        for i, t in enumerate(texts):
+            w = t.split()
+            spans = [(e - s, s, e) for s, e in itertools.combinations(range(len(w)), 2) if e - s <= 2 + slop and {w[s], w[e]} <= {"rare", "a", "b"} and {"rare", "a", "b"} <= set(w[s : e + 1])]
+            low = min(["rare", "a", "b"], key=lambda k: (sum(x.split().count(k) for x in texts), k))
+            for p in (p for p, x in enumerate(w) if x == low):
+                want |= {(i, *min((x for x in spans if x[1] <= p <= x[2]))[1:])} if any(x[1] <= p <= x[2] for x in spans) else set()
+        found = proximity_matches(docs(spk, list(enumerate(texts))), ["rare", "a", "b"], slop).collect()
+        assert {(x.doc_id, x.start, x.end) for x in found} == want and len(want) > 3
+
+
 def test_licenses(spk):
     from rivalscope.llm.licenses import TEMPLATES, scan
 
