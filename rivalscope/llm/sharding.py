@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import broadcast_if_small, global_rank, materialize, text_of
 
 SALT = 256  #: pieces that a group's rows are dealt to before they are summed
 SPLIT = 0.25  #: a group above this part of a shard's share is placed by pieces
@@ -63,7 +63,16 @@ def shard(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text: str = "
         F.regexp_count(t, F.lit(r"\S+")).cast("long").alias("_tokens"),
         F.crc32(t.cast("binary")).alias("text_crc32"),
     )
-    rows = materialize(rows, "shard-rows").withColumn("_salt", F.pmod(F.col("_row"), F.lit(SALT)).cast("int"))
+    # rows equal in id and text get numbers in a row, so that they are dealt out evenly too
+    rows = materialize(rows.withColumn("_u", F.monotonically_increasing_id()), "shard-rows")
+    twice = materialize(rows.groupBy("_row").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_row"), "shard-repeated")
+    if twice.isEmpty():
+        rows = rows.withColumn("_rank", F.lit(0).cast("long"))
+    else:
+        copies = rows.select("_row", "_u", F.lit(1).alias("_one")).join(broadcast_if_small(twice, 300_000), "_row", "left_semi")
+        ranks = materialize(global_rank(copies, ["_row", "_u"], "_one", "_rank").select("_u", "_rank"), "shard-ranks")
+        rows = rows.join(broadcast_if_small(ranks, 300_000), "_u", "left").withColumn("_rank", F.coalesce("_rank", F.lit(0).cast("long")))
+    rows = rows.drop("_u").withColumn("_salt", F.pmod(F.col("_row") + F.col("_rank"), F.lit(SALT)).cast("int"))
     pieces = rows.groupBy("_k1", "_k2", "_salt").agg(F.sum("size").alias("b"), F.sum("_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
     groups = pieces.groupBy("_k1", "_k2").agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("n").alias("n"))
     total = groups.agg(F.sum("b"), F.sum("t"), F.sum("n")).first()
@@ -95,13 +104,13 @@ def shard(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text: str = "
     placed = spark.createDataFrame(where, "_cell int, _h1 long, _h2 long, _hs int, shard int") if len(where) else spark.createDataFrame([], "_cell int, _h1 long, _h2 long, _hs int, shard int")
     out = keyed(rows).join(F.broadcast(placed), key).drop("_split", *key, "_salt", "_tokens", "_k1", "_k2")
 
-    # slots: each shard is cut by hash into parts that one task can number
+    # slots: each shard is cut by hash and number into parts that one task can number
     parts = max(1, int(n) // SLOT_ROWS + 1)
-    out = out.withColumn("_p", F.pmod(F.shiftright("_row", 7), F.lit(parts)).cast("int"))
+    out = out.withColumn("_p", F.pmod(F.shiftright("_row", 7) + F.shiftright("_rank", 8), F.lit(parts)).cast("int"))
     counts = out.groupBy("shard", "_p").agg(F.count(F.lit(1)).alias("_n"))
     offset = F.coalesce(F.sum("_n").over(W.partitionBy("shard").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("shard", "_p", offset.alias("_off"))
-    numbered = out.withColumn("_in", F.row_number().over(W.partitionBy("shard", "_p").orderBy("_id", "_row")) - 1)
+    numbered = out.withColumn("_in", F.row_number().over(W.partitionBy("shard", "_p").orderBy("_id", "_row", "_rank")) - 1)
     return numbered.join(counts, ["shard", "_p"]).select(
         F.col("_id").alias(id_col),
         "size",

@@ -193,6 +193,22 @@ def test_sharding(spk):
     assert shard(docs(spk, [])).count() == 0
 
 
+def test_sharding_splits_rows_equal_in_id_and_text(spk, monkeypatch):
+    from rivalscope.llm import sharding
+
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 100)
+    r = random.Random(16)
+    for i in (7, None):
+        rows = [(k, prose(r, r.randint(5, 40))) for k in range(1000, 2000)] + [(i, "the same row again and again")] * 2000
+        got = sharding.shard(docs(spk, rows), shards=8).collect()
+        size, slots = [0] * 8, [[] for _ in range(8)]
+        for x in got:
+            size[x.shard] += x.size
+            slots[x.shard].append(x.slot)
+        assert len(got) == 3000 and max(size) <= 1.05 * sum(size) / 8
+        assert all(sorted(v) == list(range(len(v))) for v in slots)
+
+
 def test_quality_rules(spk):
     from rivalscope.llm.rules import base_facts, quality_rules
 
