@@ -13,6 +13,8 @@ Conventions that hold for every operator of this package:
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,25 +23,44 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset (tests), a folder below the warehouse is set and used.
-    """
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or, where it is unset (tests), one below the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+
+
+_owned: list[list[str]] = []  #: folders of the operators that now run, innermost last
+
 
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives executor loss.
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives executor loss."""
+    Inside ``scratch`` the folder is removed at its end, unless ``keep`` says that the result still reads it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rivalscope/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _owned and not keep:
+        _owned[-1].append(path)
+    elif len(_owned) > 1:  # an operator's result lives as long as what called the operator
+        _owned[-2].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what ``materialize`` wrote inside it and was not told to keep."""
+    mine: list[str] = []
+    _owned.append(mine)
+    try:
+        yield
+    finally:
+        _owned.remove(mine)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in mine:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def doc_key(*cols: str) -> list[Column]:
     """Two independent 64-bit hashes of ``cols`` as ``_k1`` and ``_k2``."""
     return [
@@ -65,6 +86,39 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+SLOTS = 1 << 16  #: of the hash counts that find heavy keys
+FEW = 1000  #: a key of fewer rows is never heavy
+
+
+def heavy_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The values of ``keys`` (none null) that hold more than FEW rows and 4 / SLOTS of all: SLOTS / 4 at most, which bounds their broadcast.
+
+    Hash slots are counted first, which shuffles little; only keys in full slots are counted themselves.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
+    some = df.select(*keys).dropna()
+    counts = {r["s"]: r["n"] for r in some.groupBy(slot.alias("s")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FEW).collect()}  # at most SLOTS rows
+    # slots of FEW rows or less aren't in the sum; that makes the limit lower only while all is small
+    limit = max(FEW, 4 * sum(counts.values()) // SLOTS)
+    full = df.sparkSession.createDataFrame([(s,) for s, n in counts.items() if n > limit], "s int")
+    found = some.withColumn("s", slot).join(F.broadcast(full), "s").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select(*keys)
+    return materialize(found, "heavy-keys")
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """``left.join(right, keys, how)`` (inner, left, left_semi or left_anti) for a ``right`` with at most one row a key.
+
+    The rows of heavy keys (``hot``, by default those of ``left``) meet their row by broadcast and so stay where they
+    are; only the others are shuffled.  Both sides should be materialized.
+    """
+    hot = heavy_keys(left, keys) if hot is None else hot
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    own = right.join(F.broadcast(hot), keys, "left_semi")
+    some = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(own), keys, how)
+    return some.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
+
+
 def partitions_for(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

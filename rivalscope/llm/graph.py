@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_small, heavy_keys, lookup, materialize
+
+SMALL = 300_000  #: rows up to which a table of changed labels is broadcast
 
 
 def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -13,18 +15,22 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
     Each round a node takes the least label of itself and its neighbours, then the label of
     that label, so paths shrink fast; rounds end when no label changes.  Neighbour minima are
-    combined before the shuffle, so a node with very many links stays cheap.
+    combined before the shuffle, and nodes of very many links meet their label by broadcast.
+    Labels are looked up once for each distinct label, whatever the size of its component.
     """
     both = links.select(F.col(u).alias("a"), F.col(v).alias("b")).union(links.select(F.col(v), F.col(u))).filter("a is not null and b is not null and a <> b").distinct()
     both = materialize(both, "links")
+    hot = heavy_keys(both, ["b"])
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        near = lookup(both, labels.withColumnRenamed("node", "b"), ["b"], hot=hot).groupBy("a").agg(F.min("label").alias("near"))
         low = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         low = materialize(low, "labels")
-        up = low.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        jumped = low.join(up, low.label == up._n, "left").select("node", "old", F.least("label", "_l").alias("label"))
-        jumped = materialize(jumped, "labels")
+        ups = low.select(F.col("node").alias("label"), F.col("label").alias("up")).filter("up < label")
+        ups = materialize(low.select("label").distinct().join(ups, "label"), "label-changes")
+        small = broadcast_if_small(ups, SMALL)
+        jumped = low.join(small, "label", "left") if small is not ups else lookup(low, ups, ["label"], "left")
+        jumped = materialize(jumped.select("node", "old", F.coalesce("up", "label").alias("label")), "labels")
         labels = jumped.select("node", "label")
         if jumped.filter("label <> old").isEmpty():
             return labels

@@ -7,8 +7,8 @@ retrieve candidates: a pair with similarity 0.8 shares no band with probability
 
 Within a bucket no list of all pairs is made.  Members are first compared with the
 bucket's centre (the member whose buckets are fullest), then those not joined with it with a second
-centre.  What then still lies in different components is compared exactly, each member
-outside the bucket's main component with the others, so no link is given up.
+centre.  Of what then still lies in different components, pairs are compared only where two
+exact bounds leave a link possible (``apart``), so no link is given up.
 """
 
 from __future__ import annotations
@@ -18,15 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, heavy_keys, lookup, materialize, scratch
 from .graph import components
 
 PERMUTATIONS, BAND = 64, 4
 #: A pair of similarity 0.8 agrees in less than this part of 128 values with probability below 1e-7.
 LEAST_AGREEMENT = 0.61
+#: A shingle is rare if so many texts of a candidate component hold it, at most.
+RARE = 16
 CACHE = 200_000
 CHUNK = 4096
 _rng = np.random.default_rng(20_240_817)
@@ -119,6 +121,67 @@ def describe(df: DataFrame, width: int) -> DataFrame:
     return df.mapInArrow(run, f"_id {df.schema['_id'].dataType.simpleString()}, _tk long, k binary, n long, bands array<long>, sig binary")
 
 
+def whole_sets(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
+    """(k, set): the full sets of the classes ``need`` (k, _tk), made again from one text of each."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(width)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                found = [shingles(t or "") for t in batch.slice(at, 256).column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["k", "set"])
+
+    need = materialize(need.distinct(), "need")
+    texts = docs.join(broadcast_if_small(need.select("_tk").distinct(), 500_000), "_tk", "left_semi").select("_tk", "_text").dropDuplicates(["_tk"])
+    return materialize(texts.mapInArrow(sets, "k binary, set array<long>").join(need.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"]), "sets")
+
+
+def apart(split: DataFrame, sets: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the pairs of different components that may be links, by two bounds that lose none.
+
+    ``split``: key, k, label, main of the buckets with several components; ``sets``: k, set;
+    ``bands``: k, bands.  Shingles are counted within candidate components (what buckets join),
+    so rarity doesn't fade as a corpus grows.  Take a linked pair x, y, and put the rare shingles
+    first, in one order.  Either x and y share a rare shingle: then the first one they share
+    lies in the prefix of n - need + 1 shingles of both, need being the least overlap of any link.
+    Such pairs meet by the shingle, of which there are RARE holders at most.  Or they share none: then their overlap
+    is within what both have besides rare shingles.  Such pairs meet in their bucket, but only
+    if that is enough for a link, and in the first bucket they share.
+    """
+    first = split.groupBy("key").agg(F.min("k").alias("c"))
+    cluster = components(lookup(split.select("key", "k"), materialize(first, "cluster-centres"), ["key"]), "k", "c")
+    facts = materialize(split.select("k", "label").distinct().withColumn("m", F.monotonically_increasing_id()), "apart")
+    held = facts.join(sets, "k").join(cluster.select(F.col("node").alias("k"), F.col("label").alias("cluster")), "k")
+    held = materialize(held.select("m", F.size("set").alias("n"), "cluster", "set"), "apart-sets")
+    tokens = held.select("m", "n", "cluster", F.explode("set").alias("s")).select("m", "n", F.xxhash64("cluster", "s").alias("t"))
+    light = tokens.join(F.broadcast(heavy_keys(tokens, ["t"])), "t", "left_anti")  # heavy ones are held by more than RARE
+    rare = light.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("t"))).filter(F.col("df") <= RARE)
+    own = rare.groupBy("m", "n").agg(F.count(F.lit(1)).alias("r"), F.count_if(F.col("df") == 1).alias("alone"), F.sort_array(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "t")))).alias("p"))
+    # the prefix, less the shingles that nobody else holds
+    reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")
+    own = materialize(own.select("m", "r", F.transform(F.slice("p", 1, F.greatest(reach, F.lit(0)).cast("int")), lambda x: x["t"]).alias("p")), "apart-prefixes")
+    about = facts.join(held.select("m", "n"), "m").join(own, "m", "left")
+    about = materialize(about.select("m", "k", "label", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("c"), "p"), "apart-members")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.toDF(*(f"{c}_{name}" for c in df.columns))
+
+    sizes = (F.col("label_u") != F.col("label_v")) & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
+    prefix = materialize(about.select(F.explode("p").alias("t"), "k", "label", "n"), "prefixes")
+    x, y = side(prefix, "u"), side(prefix, "v")
+    sharing = x.join(y, (x.t_u == y.t_v) & (x.k_u < y.k_v) & sizes).select(F.col("k_u").alias("u"), F.col("k_v").alias("v"))
+
+    able = about.filter(100 * F.col("c") >= percent * F.col("n")).select("k", "n", "c").join(bands, "k")
+    buckets = materialize(split.join(able, "k"), "able")
+    both = buckets.groupBy("key").agg((F.min("label") != F.max("label")).alias("two")).filter("two").select("key")
+    buckets = materialize(buckets.join(both, "key"), "able")
+    x, y = side(buckets.filter("label <> main"), "u"), side(buckets, "v")
+    enough = (100 + percent) * F.least("c_u", "c_v") >= percent * (F.col("n_u") + F.col("n_v"))
+    once = (F.col("k_u") < F.col("k_v")) | (F.col("label_v") == F.col("main_v"))
+    common = x.join(y, (x.key_u == y.key_v) & sizes & enough & once & (F.get(F.array_intersect("bands_u", "bands_v"), F.lit(0)) == F.col("key_u")))
+    return sharing.union(common.select(F.least("k_u", "k_v").alias("u"), F.greatest("k_u", "k_v").alias("v"))).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80, groups: bool = False) -> DataFrame:
     """One row for each input row: id, n_shingles, component_id, kept.
 
@@ -130,6 +193,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     An empty table gives no rows.  Other columns are not read.  With ``groups`` also ``_group``,
     the component's own name (null for an empty set), and ``_tk``, the hash of the text.
     """
+    with scratch(df.sparkSession):
+        return _near_duplicates(df, id_col, text, width, percent, groups)
+
+
+def _near_duplicates(df: DataFrame, id_col: str, text: str, width: int, percent: int, groups: bool) -> DataFrame:
     docs = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_tk"), F.col(text).alias("_text"))
     rows = materialize(describe(docs, width), "signatures")
     classes = rows.filter("n > 0").groupBy("k").agg(F.min("_tk").alias("_tk"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
@@ -152,26 +220,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
         x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(len(v), -1) for v in (a, b))
         return pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def confirm(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Of candidate pairs (u, v), those that are links; sizes and signatures are looked at before full sets."""
         f = {side: facts.select(F.col("k").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"), F.col("_tk").alias(f"t_{side}")) for side in "uv"}
-        near = pairs.join(f["u"], "u").join(f["v"], "v")
+        near = lookup(lookup(pairs, f["u"], ["u"]), f["v"], ["v"])
         near = near.filter((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & alike("sig_u", "sig_v"))
         near = materialize(near.select("u", "v", "n_u", "n_v", "t_u", "t_v"), "near")
-        need = near.select(F.col("t_u").alias("_tk"), F.col("u").alias("k")).union(near.select("t_v", "v")).distinct()
-        need = materialize(need, "need")
-        texts = docs.join(broadcast_if_small(need.select("_tk").distinct(), 500_000), "_tk", "left_semi").select("_tk", "_text")
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shingles = Shingler(width)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    found = [shingles(t or "") for t in batch.slice(at, 256).column(1).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["k", "set"])
-
-        whole = texts.dropDuplicates(["_tk"]).mapInArrow(sets, "k binary, set array<long>")
-        whole = materialize(whole.join(need.select("k").distinct(), "k", "left_semi"), "sets")
-        x = near.select("u", "v", "n_u", "n_v").join(whole.select(F.col("k").alias("u"), F.col("set").alias("a")), "u").join(whole.select(F.col("k").alias("v"), F.col("set").alias("b")), "v")
+        if sets is None:
+            sets = whole_sets(docs, near.select(F.col("u").alias("k"), F.col("t_u").alias("_tk")).union(near.select("v", "t_v")), width)
+        x = lookup(near.select("u", "v", "n_u", "n_v"), sets.select(F.col("k").alias("u"), F.col("set").alias("a")), ["u"])
+        x = lookup(x, sets.select(F.col("k").alias("v"), F.col("set").alias("b")), ["v"])
         both = F.size(F.array_intersect("a", "b"))
         return x.filter(100 * both >= percent * (F.col("n_u") + F.col("n_v") - both)).select("u", "v")
 
@@ -191,18 +249,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     more = split.join(centre.select("key", F.col("s.k").alias("c"), F.col("s.label").alias("c_label")), "key").filter("label <> c_label").select(pair.alias("p")).select("p.*").distinct()
     more = materialize(more.join(tried, ["u", "v"], "left_anti"), "pairs")
     links = materialize(links.union(confirm(more)), "confirmed")
-    # last: everything that is still apart, except what was compared
+    # last: what is still apart, where a link is possible and wasn't looked for
     at = materialize(labelled(links), "members")
     sums = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("key").agg(F.max_by("label", F.struct("_n", "label")).alias("main"), F.count(F.lit(1)).alias("_l")).filter("_l > 1")
-    split = materialize(at.join(sums.select("key", "main"), "key"), "split")
-    outer = split.filter("label <> main").select("key", F.col("k").alias("c"), F.col("label").alias("c_label"))
-    rest = split.join(outer, "key").filter("label <> c_label").select(pair.alias("p")).select("p.*").distinct()
+    split = materialize(at.join(sums.select("key", "main"), "key").select("key", "k", "label", "main"), "split")
+    sets = whole_sets(docs, classes.join(split.select("k").distinct(), "k").select("k", "_tk"), width)
+    rest = materialize(apart(split, sets, classes.select("k", "bands"), percent), "pairs")
     rest = materialize(rest.join(tried.union(more), ["u", "v"], "left_anti"), "pairs")
-    links = links.union(confirm(rest))
+    links = links.union(confirm(rest, sets))
 
-    label = components(links)
-    out = rows.select("_id", "_tk", "n", "k").join(label, rows.k == label.node, "left").select("_id", "_tk", "n", F.coalesce("label", "k").alias("group"))
+    label = components(links).withColumnRenamed("node", "k")
+    named = rows.filter("k is not null").select("_id", "_tk", "n", "k")
+    out = lookup(named, label, ["k"], "left").select("_id", "_tk", "n", F.coalesce("label", "k").alias("group"))
     out = materialize(out, "grouped")
-    least = out.filter("group is not null").groupBy("group").agg(F.min("_id").alias("least"))
-    out = out.join(least, "group", "left").withColumn("component_id", F.when(F.col("group").isNull(), F.col("_id")).otherwise(F.col("least")))
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), *([F.col("group").alias("_group"), "_tk"] if groups else []))
+    least = materialize(out.groupBy("group").agg(F.min("_id").alias("least")), "least")
+    alone = rows.filter("k is null").select("_id", "_tk", "n", F.lit(None).cast("binary").alias("group"), F.col("_id").alias("least"))
+    out = lookup(out, least, ["group"]).select("_id", "_tk", "n", "group", "least").union(alone)
+    out = out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("_id").eqNullSafe(F.col("least")).alias("kept"), *([F.col("group").alias("_group"), "_tk"] if groups else []))
+    return materialize(out, "near-duplicates", keep=True)
