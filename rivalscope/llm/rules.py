@@ -1,155 +1,172 @@
 """Quality rules with n-gram perplexity bands (operator 7).
 
-A modified Kneser-Ney character trigram model is counted over all documents of each
-language, those that few documents hold discounted more, stored in sorted hash arrays, and scores every document.  Characters are
-folded to 64 symbols, so a language's model has at most 64**3 entries (3 MB): that is
-the proven bound of what each task gets for a language.
+A modified Kneser-Ney character trigram model of each language is counted over all its
+documents by Spark aggregation: no characters are folded, no document or language is left
+out, and the model grows with the corpus.  Each trigram's log probability lies in a table
+sorted by hash.  The HOT most frequent ones are sent to the tasks as sorted hash arrays,
+which bounds what is broadcast; the others are looked up in the table by a join.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if_small, lookup, materialize, scratch
 
-SYMBOLS = 64
-GRAMS = SYMBOLS**3
 WINDOW = 8
-#: A text that its language's model finds worse than its training text by this many nats a character is
-#: scored by pieces of SEGMENT characters, each by the best of the MIXED largest languages and its own.
-WORSE, SEGMENT, MIXED = 0.1, 64, 8
+#: A text's score is this quantile over its segments of so many characters: passages quoted in another language don't count as noise.
+QUANTILE, SEGMENT = 0.25, 64
+HOT = 1 << 20  #: trigrams that are broadcast, 12 MB; the result doesn't depend on it
+FLUSH = 1 << 20  #: distinct trigrams that a counting task holds before it passes its sums on
 #: Bands: median +- (ABOVE or BELOW) * spread, spread being 1.4826 times the median absolute
 #: deviation, plus LENGTH / sqrt(characters), as short texts scatter more.
 BELOW, ABOVE, LENGTH = 6.0, 6.0, 6.0
-#: Languages with fewer documents than this take the bands of all documents together.
-LEAST_DOCS = 50
+#: The spread of a language is pooled with that of all as if the latter had been seen on this many documents.
+POOL = 50.0
+#: The part of a language's own model in what its texts are scored by, the rest being the model of all documents:
+#: a passage quoted in another language isn't noise.
+OWN = 0.5
+BITS = 21  #: of a code point
 HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
-def symbol_table() -> np.ndarray:
-    """Code point to symbol: a-z, capitals, digits, white space, kinds of punctuation, other letters by hash."""
-    t = np.zeros(0x110000, np.uint8)
-    t[:] = 60 + np.arange(0x110000) % 4
-    t[ord("a") : ord("z") + 1] = 1 + np.arange(26)
-    t[0xC0:0x250] = 36 + np.arange(0xC0, 0x250) % 24
-    t[0x250:0x2000] = 36 + np.arange(0x250, 0x2000) % 24
-    t[ord("A") : ord("Z") + 1] = 27
-    t[0xC0:0xDF] = 27
-    t[0xD7] = 35
-    t[ord("0") : ord("9") + 1] = 28
-    t[list(map(ord, " \t\v\f\r"))] = 29
-    t[ord("\n")] = 30
-    t[list(map(ord, ".,;:"))] = 31
-    t[list(map(ord, "#*$%&|<>"))] = 32
-    t[list(map(ord, "!?"))] = 33
-    t[list(map(ord, "\"'()[]{}-_/\\@^~`+="))] = 34
-    return t
-
-
-TABLE = symbol_table()
-
-
 def grams(text: str) -> np.ndarray:
-    """The codes of all trigrams of the padded text, in order."""
-    s = TABLE[np.frombuffer(("\n\n" + text).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-    return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
+    """All trigrams of the padded text in order, three code points in one number each."""
+    s = np.frombuffer(("\n\n" + text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return (s[:-2] << 2 * BITS) | (s[1:-1] << BITS) | s[2:]
 
 
 def counts(df: DataFrame, lang: str, text: str) -> DataFrame:
     """(lang, gram, n, docs) over all documents: occurrences, and documents with one; each task sums its own part before the shuffle."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        sums: dict[str, list[np.ndarray]] = {}
+        held = 0
+
+        def merged(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            g, n, d = (np.concatenate(parts[i::3]) for i in range(3))
+            kinds, at = np.unique(g, return_inverse=True)
+            return kinds, np.bincount(at, n, len(kinds)).astype(np.int64), np.bincount(at, d, len(kinds)).astype(np.int64)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for k, (v, d) in sums.items():
-                g = np.flatnonzero(v)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(g), pa.string()), pa.array(g, pa.int32()), pa.array(v[g], pa.int64()), pa.array(d[g], pa.int64())], names=["lang", "gram", "n", "docs"])
+            for k, parts in sums.items():
+                g, n, d = merged(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(g), pa.string()), pa.array(g), pa.array(n), pa.array(d)], names=["lang", "gram", "n", "docs"])
             sums.clear()
 
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if t:
-                    if k not in sums and len(sums) >= 32:
-                        yield from flush()
-                    g = grams(t)
-                    if k not in sums:
-                        sums[k] = np.zeros(GRAMS, np.int64), np.zeros(GRAMS, np.int32)
-                    v, d = sums[k]
-                    kinds, n = np.unique(g, return_counts=True)
-                    v[kinds] += n
-                    d[kinds] += 1
+                    kinds, n = np.unique(grams(t), return_counts=True)
+                    sums.setdefault(k, []).extend((kinds, n, np.ones(len(n), np.int64)))
+                    held += len(kinds)
+                    if held > FLUSH:
+                        sums = {k: list(merged(parts)) for k, parts in sums.items()}
+                        held = sum(len(parts[0]) for parts in sums.values())
+                        if held > FLUSH // 2:
+                            yield from flush()
+                            held = 0
         yield from flush()
 
-    part = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text")).mapInArrow(partial, "lang string, gram int, n long, docs long")
+    part = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text")).mapInArrow(partial, "lang string, gram long, n long, docs long")
     return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def kneser_ney(gram: np.ndarray, n: np.ndarray, docs: np.ndarray) -> dict[str, np.ndarray]:
-    """Interpolated modified Kneser-Ney from trigram counts, as sorted hash arrays of log probabilities and back-off weights.
+def discount(c: str, sums: DataFrame) -> tuple[DataFrame, Column]:
+    """The count-of-counts of ``c`` by lang, and the modified Kneser-Ney discount of ``c`` once they are joined."""
+    facts = sums.groupBy("lang").agg(*(F.count_if(F.col(c) == k).cast("double").alias(f"_{k}") for k in (1, 2, 3, 4)))
+    y = F.when(F.col("_1") > 0, F.col("_1") / (F.col("_1") + 2 * F.col("_2"))).otherwise(0.0)
+
+    def d(k: int) -> Column:
+        return F.when(F.col(f"_{k}") > 0, F.greatest(F.lit(0.0), k - (k + 1) * y * F.col(f"_{k + 1}") / F.col(f"_{k}"))).otherwise(0.0)
+
+    return facts, F.when(F.col(c) == 1, d(1)).when(F.col(c) == 2, d(2)).otherwise(d(3))
+
+
+def kneser_ney(found: DataFrame) -> DataFrame:
+    """(lang, gram, n, logp) from (lang, gram, n, docs): interpolated modified Kneser-Ney of order three.
 
     What is left of a count after discounting is damped by the part of the documents that hold the
     trigram, and the rest is given to the lower order: every document counts, but what many write in
-    few documents, such as markup or capitals, stays unlikely.
+    few documents, such as markup or capitals, stays unlikely.  The lowest order is add-one-half over
+    the language's characters.  All trigrams of the corpus have a row, so scoring meets no unknown one.
     """
-    gram, n = gram.astype(np.int64), n.astype(np.float64)
-    pair = gram // SYMBOLS  # the context: two symbols
-    tail = gram % (SYMBOLS * SYMBOLS)
-
-    def discounts(c: np.ndarray) -> np.ndarray:
-        n1, n2, n3, n4 = (float((c == k).sum()) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        d = [0.0, *(max(0.0, k - (k + 1) * y * b / a) if a else 0.0 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
-        return np.minimum(np.array(d)[np.minimum(c, 3).astype(int)], c)
-
-    kinds2 = np.bincount(tail, minlength=SYMBOLS**2).astype(float)  # of what precedes a pair
-    kinds1 = np.bincount(np.flatnonzero(kinds2) % SYMBOLS, minlength=SYMBOLS).astype(float)
-    p1 = (kinds1 + 0.5) / (kinds1 + 0.5).sum()
-    spread3 = docs / docs.max()  # of the documents that hold the most widespread trigram
-    spread2 = np.zeros(SYMBOLS**2)
-    np.maximum.at(spread2, tail, spread3)
-    d2 = kinds2 - (kinds2 - discounts(kinds2)) * spread2
-    first = np.arange(SYMBOLS**2) // SYMBOLS
-    sum2 = np.bincount(first, kinds2, SYMBOLS)
-    left2 = np.where(sum2 > 0, np.bincount(first, d2, SYMBOLS) / np.maximum(sum2, 1), 1.0)
-    p2 = np.where(sum2[first] > 0, (kinds2 - d2) / np.maximum(sum2[first], 1), 0) + left2[first] * p1[np.arange(SYMBOLS**2) % SYMBOLS]
-    d3 = n - (n - discounts(n)) * spread3
-    sum3 = np.bincount(pair, n, SYMBOLS**2)
-    left3 = np.where(sum3 > 0, np.bincount(pair, d3, SYMBOLS**2) / np.maximum(sum3, 1), 1.0)
-    p3 = (n - d3) / sum3[pair] + left3[pair] * p2[tail]
-    key = gram.astype(np.uint64) * HASH
-    order = np.argsort(key)
-    return {
-        "key": key[order],
-        "logp": np.log(p3[order]).astype(np.float32),
-        "lower": np.log(np.maximum(p2, 1e-12)).astype(np.float32),
-        "back": np.log(np.maximum(left3, 1e-12)).astype(np.float32),
-        "mean": np.array([(n * np.log(p3)).sum() / n.sum(), n.sum()]),
-    }
-
-
-class Model:
-    """Looks trigrams up in the sorted hash arrays; those it lacks back off."""
-
-    def __init__(self, arrays: dict[str, np.ndarray]):
-        self.a = arrays
-        self.known = np.full(GRAMS, np.nan, np.float32)  # filled as trigrams are looked up
-
-    def logp(self, g: np.ndarray) -> np.ndarray:
-        p = self.known[g]
-        if np.isnan(p).any():
-            new = np.unique(g[np.isnan(p)])
-            key = new.astype(np.uint64) * HASH
-            at = np.searchsorted(self.a["key"], key).clip(max=len(self.a["key"]) - 1)
-            hit = self.a["key"][at] == key
-            self.known[new] = np.where(hit, self.a["logp"][at], self.a["back"][new // SYMBOLS] + self.a["lower"][new % SYMBOLS**2])
-            p = self.known[g]
-        return p
+    head, tail, last = F.shiftright("gram", BITS), F.col("gram").bitwiseAND((1 << 2 * BITS) - 1), (1 << BITS) - 1
+    most = found.groupBy("lang").agg(F.max("docs").alias("most"))
+    third = materialize(found.join(broadcast_if_small(most, 10_000), "lang").select("lang", "gram", "n", (F.col("docs") / F.col("most")).alias("spread"), head.alias("head"), tail.alias("tail")), "trigrams")
+    # order two: how many characters come before a pair
+    pairs = materialize(third.groupBy("lang", "tail").agg(F.count(F.lit(1)).cast("double").alias("kinds"), F.max("spread").alias("spread")), "pairs")
+    pairs = pairs.withColumns({"b": F.shiftright("tail", BITS), "c": F.col("tail").bitwiseAND(last)})
+    ones = pairs.groupBy("lang", "c").agg(F.count(F.lit(1)).cast("double").alias("k1"))
+    total = ones.groupBy("lang").agg((F.sum("k1") + F.count(F.lit(1)) / 2).alias("all1"))
+    facts, d = discount("kinds", pairs)
+    pairs = pairs.join(facts.join(total, "lang"), "lang").withColumn("d", F.col("kinds") - (F.col("kinds") - F.least(d, "kinds")) * F.col("spread"))
+    by_b = pairs.groupBy("lang", "b").agg(F.sum("kinds").alias("all2"), F.sum("d").alias("left2"))
+    low = pairs.join(by_b, ["lang", "b"]).join(ones, ["lang", "c"])
+    p2 = (F.col("kinds") - F.col("d")) / F.col("all2") + F.col("left2") / F.col("all2") * (F.col("k1") + 0.5) / F.col("all1")
+    low = materialize(low.select("lang", "tail", p2.alias("p2")), "pair-probabilities")
+    # order three
+    facts, d = discount("n", third)
+    third = third.join(broadcast_if_small(facts, 10_000), "lang").withColumn("d", F.col("n") - (F.col("n") - F.least(d, F.col("n").cast("double"))) * F.col("spread"))
+    by_head = third.groupBy("lang", "head").agg(F.sum("n").alias("all3"), F.sum("d").alias("left3"))
+    whole = third.join(by_head, ["lang", "head"]).join(low, ["lang", "tail"])
+    p3 = (F.col("n") - F.col("d")) / F.col("all3") + F.col("left3") / F.col("all3") * F.col("p2")
+    return whole.select("lang", "gram", "n", F.log(p3).alias("logp"))
+
+
+def models(found: DataFrame) -> DataFrame:
+    """(lang, gram, n, logp): each language's model, interpolated with that of all documents."""
+    every = found.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    named = found.withColumn("lang", F.concat(F.lit("="), "lang")).unionByName(every.withColumn("lang", F.lit("*")))
+    both = materialize(kneser_ney(materialize(named, "all-ngrams")), "kneser-ney")
+    own = both.filter("lang <> '*'").withColumn("lang", F.expr("substring(lang, 2)"))
+    pool = both.filter("lang = '*'").select("gram", F.col("logp").alias("pooled"))
+    return own.join(pool, "gram").select("lang", "gram", "n", F.log(OWN * F.exp("logp") + (1 - OWN) * F.exp("pooled")).alias("logp"))
+
+
+def keys(lang: str, g: np.ndarray) -> np.ndarray:
+    """A hash of language and trigram."""
+    seed = np.frombuffer(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint64)
+    x = (g.astype(np.uint64) ^ seed) * HASH
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def segments(n: int) -> np.ndarray:
+    """Where the segments of a text of n characters start; the last has what is left, up to twice the length."""
+    return np.arange(max(1, n // SEGMENT)) * SEGMENT
+
+
+class HashArrays:
+    """Log probabilities in arrays sorted by hash."""
+
+    def __init__(self, table: pa.Table):
+        langs, g, logp = table["lang"].to_pylist(), table["gram"].to_numpy(), table["logp"].to_numpy()
+        key = np.zeros(len(g), np.uint64)
+        names = np.array(langs, object)
+        for k in set(langs):
+            mine = names == k
+            key[mine] = keys(k, g[mine])
+        order = np.argsort(key)
+        self.key, self.logp = key[order], logp[order].astype(np.float32)
+        clash = self.key[1:] == self.key[:-1]  # two trigrams of one hash are left to the table
+        keep = np.ones(len(key), bool)
+        keep[1:] &= ~clash
+        keep[:-1] &= ~clash
+        self.key, self.logp = self.key[keep], self.logp[keep]
+
+    def find(self, lang: str, g: np.ndarray) -> np.ndarray:
+        """Log probabilities; nan where the arrays have none."""
+        key = keys(lang, g)
+        if not len(self.key):
+            return np.full(len(g), np.nan)
+        at = np.searchsorted(self.key, key).clip(max=len(self.key) - 1)
+        return np.where(self.key[at] == key, self.logp[at].astype(np.float64), np.nan)
 
 
 def base_facts(text: str) -> tuple[int, int, int, int, int]:
@@ -160,116 +177,119 @@ def base_facts(text: str) -> tuple[int, int, int, int, int]:
     chars = len(text) - sum(map(raw.count, (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")))
     symbols = sum(map(raw.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")))
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    repeat = 0
-    if n > WINDOW:
-        h = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
-        w = np.zeros(n - WINDOW + 1, np.uint64)
-        for k in range(WINDOW):
-            w *= np.uint64(0x9E3779B97F4A7C15)
-            w += h[k : k + len(w)]
-            w ^= w >> np.uint64(29)
-        order = np.argsort(w, kind="stable")
-        s = w[order]
-        same = s[1:] == s[:-1]
-        if same.any():
-            twice = np.zeros(len(s), bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            step = np.zeros(n + 1, np.int32)
-            at = order[twice]
-            np.add.at(step, at, 1)
-            np.add.at(step, at + WINDOW, -1)
-            repeat = int((step.cumsum() > 0).sum())
-    return n, chars, symbols, len(lines) - len(set(lines)), repeat
+    return n, chars, symbols, len(lines) - len(set(lines)), repeated_words(words)
+
+
+def repeated_words(words: list[bytes]) -> int:
+    """Words inside windows of WINDOW words that are found twice or more; equal hashes are compared word by word."""
+    n, repeat = len(words), 0
+    if n <= WINDOW:
+        return 0
+    number: dict[bytes, int] = {}
+    ids = np.fromiter([number.setdefault(w, len(number)) for w in words], np.uint64, n)
+    w = np.zeros(n - WINDOW + 1, np.uint64)
+    for k in range(WINDOW):
+        w = (w + ids[k : k + len(w)] + np.uint64(1)) * HASH
+        w ^= w >> np.uint64(29)
+    order = np.argsort(w, kind="stable")
+    s = w[order]
+    same = s[1:] == s[:-1]
+    if same.any():
+        a, b = order[:-1][same], order[1:][same]
+        if not all((ids[a + k] == ids[b + k]).all() for k in range(WINDOW)):  # a hash of two different windows
+            rows = np.lib.stride_tricks.sliding_window_view(ids, WINDOW)
+            _, s = np.unique(rows, axis=0, return_inverse=True)
+            order = np.argsort(s, kind="stable")
+            same = s[order][1:] == s[order][:-1]
+        twice = np.zeros(len(order), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        step = np.zeros(n + 1, np.int32)
+        np.add.at(step, order[twice], 1)
+        np.add.at(step, order[twice] + WINDOW, -1)
+        repeat = int((step.cumsum() > 0).sum())
+    return repeat
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row for each input row: id, the base facts, base_failed, perplexity, its bands, kept.
+    """One row for each input row: id, the base facts, base_failed, kept, perplexity and its bands.
 
-    Null and empty texts have no words and fail the base rules.  A null language is a
-    language of its own; languages of few documents take the bands of all documents.
-    An empty table gives no rows.  Other columns are not read.
+    ``perplexity`` is that of a text's characters in the model of its language, in the lower
+    quartile of its segments, which every text has that isn't empty.  Null and empty texts have no words and fail the base rules.
+    A null language is a language of its own.  A language's bands lie around the median of its
+    documents; the fewer they are, the more the spread is that of all languages.  Rows that agree
+    in text and language get the same result.  An empty table gives no rows.  Other columns are not read.
     """
+    with scratch(df.sparkSession):
+        return _quality_rules(df, id_col, text, lang)
+
+
+def _quality_rules(df: DataFrame, id_col: str, text: str, lang: str) -> DataFrame:
     spark = df.sparkSession
-    model_rows = materialize(counts(df, lang, text), "ngrams")
-    n_langs = model_rows.select("lang").distinct().count()
-    # bounded: GRAMS rows a language; above 200 languages the rest share one model
-    top = [r["lang"] for r in model_rows.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()]
-    names = model_rows if n_langs <= 200 else model_rows.withColumn("lang", F.when(F.col("lang").isin(top), F.col("lang")).otherwise("")).groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    models: dict[str, dict[str, np.ndarray]] = {}
-
-    def fit(table: pa.Table) -> pa.Table:
-        m = kneser_ney(table["gram"].to_numpy(), table["n"].to_numpy(), table["docs"].to_numpy())
-        return pa.table({"lang": [table["lang"][0].as_py()], **{k: [v.tobytes()] for k, v in m.items()}})
-
-    fitted = names.groupBy("lang").applyInArrow(fit, "lang string, key binary, logp binary, lower binary, back binary, mean binary")
-    kinds = {"key": np.uint64, "logp": np.float32, "lower": np.float32, "back": np.float32, "mean": np.float64}
-    for r in fitted.collect():
-        models[r["lang"]] = {k: np.frombuffer(r[k], kind) for k, kind in kinds.items()}
-    shared = spark.sparkContext.broadcast(models)
-    largest = sorted(models, key=lambda k: (-models[k]["mean"][1], k))[:MIXED]
+    found = materialize(counts(df, lang, text), "ngrams")
+    model = materialize(models(found), "models")
+    size = model.count()
+    hot = model if size <= HOT else model.orderBy(F.desc("n"), "lang", "gram").limit(HOT)
+    arrays = HashArrays(hot.select("lang", "gram", "logp").toArrow())  # HOT rows at most
+    shared = spark.sparkContext.broadcast(arrays)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[str, Model] = {}
-
-        def model(k: str) -> Model:
-            if k not in loaded:
-                if len(loaded) >= 32:
-                    loaded.clear()
-                loaded[k] = Model(shared.value[k])
-            return loaded[k]
-
-        def nats(k: str, g: np.ndarray) -> float:
-            own = model(k).logp(g).astype(np.float64)
-            if own.mean() < model(k).a["mean"][0] - WORSE:
-                cut = np.arange(0, len(g), SEGMENT)
-                best = np.add.reduceat(own, cut)
-                for other in largest:
-                    if other != k:
-                        best = np.maximum(best, np.add.reduceat(model(other).logp(g).astype(np.float64), cut))
-                return float(-best.sum() / len(g))
-            return float(-own.mean())
-
+        arrays = shared.value
         for batch in batches:
-            ids, langs, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            facts, logs, size = [], [], []
-            for k, t in zip(langs, texts, strict=True):
-                t = t or ""
-                facts.append(base_facts(t))
-                k = k if k in shared.value else ""
-                if t and k in shared.value:
-                    logs.append(nats(k, grams(t)))
-                else:
-                    logs.append(None)
-                size.append(len(t))
-            cols = list(zip(*facts, strict=True)) if facts else [[]] * 5
-            yield pa.RecordBatch.from_arrays([ids, pa.array(langs, pa.string()), *(pa.array(c, pa.int64()) for c in cols), pa.array(logs, pa.float64()), pa.array(size, pa.int64())], names=["_id", "_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_lp", "_size"])
-
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
+                langs, texts = part.column(2).to_pylist(), [t or "" for t in part.column(3).to_pylist()]
+                cols = list(zip(*map(base_facts, texts), strict=True))
+                logs, sums, rare = ([None] * len(texts) for _ in range(3))
+                for k in set(langs):
+                    mine = [i for i, x in enumerate(langs) if x == k and texts[i]]
+                    if not mine:
+                        continue
+                    each = [grams(texts[i]) for i in mine]
+                    kinds, pos = np.unique(np.concatenate(each), return_inverse=True)
+                    p = arrays.find(k, kinds)
+                    absent = np.isnan(p)
+                    own = np.where(absent, 0.0, -p)[pos]
+                    ends = np.cumsum([*map(len, each)])
+                    for i, g, end in zip(mine, each, ends, strict=True):
+                        here = slice(end - len(g), end)
+                        cut = segments(len(g))
+                        nats = np.add.reduceat(own[here], cut)
+                        if absent[pos[here]].any():
+                            odd = np.flatnonzero(absent[pos[here]])
+                            sums[i] = nats.tolist()
+                            rare[i] = [{"seg": int(np.searchsorted(cut, q, "right") - 1), "gram": int(g[q])} for q in odd]
+                        else:
+                            logs[i] = float(np.quantile(nats / np.diff([*cut, len(g)]), QUANTILE))
+                out = [*part.columns[:3], *(pa.array(c, pa.int64()) for c in cols), pa.array(logs, pa.float64()), pa.array(list(map(len, texts)), pa.int64()), pa.array(sums, pa.list_(pa.float64())), pa.array(rare, pa.list_(pa.struct([("seg", pa.int32()), ("gram", pa.int64())])))]
+                yield pa.RecordBatch.from_arrays(out, names=["_id", "_row", "_lang", *BASE, "_lp", "_size", "_sums", "_rare"])
+
+    rows = df.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang"), F.col(text).alias("_text"))
     id_type = df.schema[id_col].dataType.simpleString()
-    scored = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang"), F.col(text).alias("_text")).mapInArrow(
-        score, f"_id {id_type}, _lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, _lp double, _size long"
-    )
+    scored = rows.mapInArrow(score, f"_id {id_type}, _row long, _lang string, {', '.join(f'{c} long' for c in BASE)}, _lp double, _size long, _sums array<double>, _rare array<struct<seg: int, gram: long>>")
     scored = materialize(scored, "perplexity")
-
-    def bands(x: DataFrame, by: list[str]) -> DataFrame:
-        """Median and spread of the log perplexity, from mergeable sketches over all documents."""
-        mid = x.groupBy(*by).agg(F.percentile_approx("_lp", 0.5, 2000).alias("_mid"), F.count("_lp").alias("_docs"))
-        y = x.join(F.broadcast(mid), by) if by else x.crossJoin(F.broadcast(mid))
-        return y.groupBy(*by, "_mid", "_docs").agg((1.4826 * F.percentile_approx(F.abs(F.col("_lp") - F.col("_mid")), 0.5, 2000)).alias("_mad"))
-
-    if n_langs > 200:
-        scored = scored.withColumn("_band", F.when(F.col("_lang").isin(top), F.col("_lang")).otherwise(""))
-    else:
-        scored = scored.withColumn("_band", F.col("_lang"))
-    own = bands(scored, ["_band"])  # at most 201 rows
-    whole = bands(scored, []).select(F.col("_mid").alias("_mid_all"), F.col("_mad").alias("_mad_all"))  # one row
-    out = scored.join(F.broadcast(own), "_band", "left").join(F.broadcast(whole), how="left")
-    few = F.coalesce(F.col("_docs"), F.lit(0)) < LEAST_DOCS
-    mid, mad = F.when(few, F.col("_mid_all")).otherwise(F.col("_mid")), F.when(few, F.col("_mad_all")).otherwise(F.col("_mad"))
+    rest = scored.select("_row", F.col("_lang").alias("lang"), F.explode("_rare").alias("x")).select("_row", "lang", "x.*")
+    if not rest.isEmpty():
+        more = lookup(materialize(rest, "rare-trigrams"), model.select("lang", "gram", "logp"), ["lang", "gram"]).groupBy("_row", "seg").agg(F.sum("logp").alias("more"))
+        parts = scored.filter("_sums is not null").select("_row", "_size", F.posexplode("_sums").alias("seg", "nats")).join(more, ["_row", "seg"], "left")
+        least, last = F.col("seg") * SEGMENT, F.greatest(F.lit(1), F.floor(F.col("_size") / SEGMENT)) - 1
+        width = F.when(F.col("seg") == last, F.col("_size") - least).otherwise(SEGMENT)
+        found = parts.groupBy("_row").agg(F.percentile((F.col("nats") - F.coalesce("more", F.lit(0.0))) / width, QUANTILE).alias("_found"))
+        scored = materialize(scored.drop("_rare", "_sums").join(found, "_row", "left").withColumn("_lp", F.coalesce("_lp", "_found")).drop("_found"), "perplexity")
+
+    # medians come from mergeable sketches over all documents; a language has one row
+    mid = materialize(scored.groupBy("_lang").agg(F.percentile_approx("_lp", 0.5, 2000).alias("_mid"), F.count("_lp").alias("_docs")), "medians")
+    off = scored.join(broadcast_if_small(mid, 100_000), "_lang").withColumn("_off", F.abs(F.col("_lp") - F.col("_mid")))
+    mad = materialize(off.groupBy("_lang").agg(F.first("_mid").alias("_mid"), F.first("_docs").alias("_docs"), F.percentile_approx("_off", 0.5, 2000).alias("_mad")), "bands")
+    pooled = off.agg(F.percentile_approx("_off", 0.5, 2000)).first()[0] or 0.0
+    spread = 1.4826 * F.sqrt((F.col("_docs") * F.pow(F.coalesce("_mad", F.lit(0.0)), 2) + POOL * pooled**2) / (F.col("_docs") + POOL))
+    out = scored.join(broadcast_if_small(mad.select("_lang", "_mid", spread.alias("_spread")), 100_000), "_lang")
     slack = LENGTH / F.sqrt(F.greatest(F.col("_size"), F.lit(1)))
-    out = out.withColumns({"ppl_low": F.exp(mid - BELOW * mad - slack), "ppl_high": F.exp(mid + ABOVE * mad + slack), "perplexity": F.exp("_lp")})
+    out = out.withColumns({"ppl_low": F.exp(F.col("_mid") - BELOW * F.col("_spread") - slack), "ppl_high": F.exp(F.col("_mid") + ABOVE * F.col("_spread") + slack), "perplexity": F.exp("_lp")})
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     inside = F.col("perplexity").between(F.col("ppl_low"), F.col("ppl_high"))
-    return out.select(
-        F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), "perplexity", "ppl_low", "ppl_high"
-    )
+    out = out.select(F.col("_id").alias(id_col), *BASE, failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), "perplexity", "ppl_low", "ppl_high")
+    return materialize(out, "quality", keep=True)
+
+
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

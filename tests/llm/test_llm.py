@@ -4,27 +4,7 @@ import base64
 import random
 import zlib
 
-import pytest
-
-from rivalscope.llm.common import ship
-
-WORDS = "red green blue stone river lamp Glass ÉTÉ über nine0 ten".split()
-EDGE = [(1, None), (2, ""), (3, " \n "), (4, "one"), (4, "one"), (None, "one"), (5, "x" * 30000)]
-
-
-@pytest.fixture(scope="module")
-def spk(spark):
-    ship(spark)
-    return spark
-
-
-def docs(spark, rows):
-    """With extra columns whose names clash with those the operators use."""
-    return spark.createDataFrame([(i, t, "en", "s", 1, "z", 2) for i, t in rows], "doc_id long, text string, lang string, source string, n long, key string, _n long")
-
-
-def prose(r, n):
-    return " ".join(r.choice(WORDS) + str(r.randint(0, 40)) for _ in range(n))
+from .conftest import EDGE, docs, prose
 
 
 def test_tokens(spk):
@@ -209,45 +189,6 @@ def test_sharding_splits_rows_equal_in_id_and_text(spk, monkeypatch):
         assert all(sorted(v) == list(range(len(v))) for v in slots)
 
 
-def test_quality_rules(spk):
-    from rivalscope.llm.rules import base_facts, quality_rules
-
-    def repeats(w):
-        at = {}
-        for i in range(len(w) - 7):
-            at.setdefault(tuple(w[i : i + 8]), []).append(i)
-        return len({p for v in at.values() if len(v) > 1 for i in v for p in range(i, i + 8)})
-
-    r = random.Random(7)
-    texts = [" ".join(r.choice(["a", "b", "c é#"]) for _ in range(n)) + "\nx y\nx y\n \n" for n in (0, 5, 30, 80)]
-    for t in texts:
-        w = t.split()
-        lines = [x for x in t.split("\n") if x.strip()]
-        assert base_facts(t) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), repeats(w))
-    rows = [(i, prose(r, 60)) for i in range(10, 90)] + [(900, "@@ ## $$ %% " * 2 + prose(r, 4).upper() + " ".join(chr(0x30A0 + r.randrange(90)) + str(k) + "##" for k in range(40)))] + EDGE
-    got = {x.doc_id: x for x in quality_rules(docs(spk, rows)).collect()}
-    assert all(got[i].kept for i in range(10, 90)) and not got[900].kept and got[2].base_failed
-    assert quality_rules(docs(spk, [])).count() == 0
-
-
-def test_quality_rules_count_every_document(spk):
-    """A language of capitals or of markup has a model, and each trigram of each document counts in it."""
-    from rivalscope.llm.rules import SYMBOLS, TABLE, counts, grams, quality_rules
-
-    r = random.Random(17)
-    rows = [(i, prose(r, 60), "en") for i in range(80)] + [(i, prose(r, 60).upper(), "xx") for i in range(100, 180)] + [(i, "| " + prose(r, 60).replace(" ", " | # | "), "md") for i in range(200, 280)]
-    df = spk.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert {x.doc_id for x in quality_rules(df).collect() if x.kept} == {i for i, _, _ in rows}
-    got = {(x.lang, x.gram): (x.n, x.docs) for x in counts(df, "lang", "text").collect()}
-    want = {}
-    for _, t, k in rows:
-        g = grams(t).tolist()
-        for x in set(g):
-            n, d = want.get((k, x), (0, 0))
-            want[k, x] = n + g.count(x), d + 1
-    assert got == want and any(x % SYMBOLS == TABLE[ord("|")] for _, x in got)
-
-
 def test_classifier(spk):
     from rivalscope.llm.classifier import classify
 
