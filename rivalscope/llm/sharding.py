@@ -1,15 +1,17 @@
 """Sharding by vector bin packing (operator 10).
 
-Groups of equal texts are placed so that bytes, tokens and rows are balanced jointly:
-each goes to the shard whose residual capacity has the highest dot product with the
-group's size vector.  The placement is decided over a bounded list of items:
-
-* a *heavy* group (more than ``HEAVY`` of a shard's fair share in any dimension) is an
-  item by itself; one above ``SPLIT`` of a share is dealt by a salt into pieces first;
-* all other groups fall by hash into cells of seven sizes, and a cell is an item.
-
-The number of items is bounded by the cells, the heavy groups a corpus can hold, and
-their pieces, whatever the corpus size; only these sums reach the driver.
+Groups of equal texts are placed so that bytes, tokens and rows are balanced jointly: each goes
+to the shard whose residual capacity has the highest dot product with the group's size vector.
+
+* Groups above ``HEAVY`` of a shard's fair share in any dimension are placed one by one, the
+  largest first.  One that is larger than a whole shard is dealt by a salt into pieces first.
+* All other groups fall into classes of nearly equal vectors.  What placing the groups of a class one
+  by one would give each shard is found at once, as equal vectors fill the shards like water; the groups
+  of a class, numbered in the order of their hash, then take their places in that order.
+
+The driver sees the heavy groups and one row a class, which are bounded whatever the corpus size.
+The last ``RESERVE`` of each class is placed with bytes weighing most, so that shards made
+uneven by large groups have equal bytes in the end: that is the law.
 """
 
 from __future__ import annotations
@@ -18,28 +20,46 @@ import numpy as np
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, global_rank, materialize, text_of
+from .common import broadcast_if_small, global_rank, materialize, scratch, text_of
 
-SALT = 256  #: pieces that a group's rows are dealt to before they are summed
-SPLIT = 0.25  #: a group above this part of a shard's share is placed by pieces
-HEAVY = 0.02  #: a group above this part of a shard's share is an item by itself
-CELLS = 1024  #: cells of each of the sizes 1/2, 1/4, ... of the hash space
-LEVELS = 7
+HEAVY = 0.02  #: a group above this part of a shard's share is placed by itself
+FINE = 4  #: classes of sizes, of tokens a byte and of copies are 2 ** (1 / FINE) wide
+RESERVE = 0.25  #: the part of each class that is placed last
 SLOT_ROWS = 50_000  #: rows that one task numbers
 
 
-def place(sizes: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item, largest first, by the dot product with residual capacity.
-
-    Capacities are the fair shares, so every dimension counts alike; ties go to the lowest shard.
-    """
-    share = sizes.sum(axis=0) / shards
-    unit = sizes / np.where(share > 0, share, 1)
-    left = np.ones((shards, sizes.shape[1]))
+def place(sizes: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The shard of each item, the largest first, by the dot product with ``left`` (shards x dimensions, changed here); ties go to the lowest shard."""
     out = np.zeros(len(sizes), np.int64)
-    for i in np.argsort(-unit.max(axis=1), kind="stable"):
-        out[i] = best = int(np.argmax(left @ unit[i]))
-        left[best] -= unit[i]
+    for i in np.argsort(-sizes.max(axis=1), kind="stable"):
+        out[i] = best = int(np.argmax(left @ sizes[i]))
+        left[best] -= sizes[i]
+    return out
+
+
+def pour(size: np.ndarray, number: int, left: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """How many of ``number`` items of one size each shard gets if they are placed one by one as in ``place``; ``left`` is changed."""
+    dot, step = left @ (weight * size), float(size @ (weight * size))
+    low, high = dot.min() - step * (number + 1), dot.max()
+    for _ in range(80):  # the level to which the shards' dot products sink
+        mid = (low + high) / 2
+        low, high = (low, mid) if np.floor((dot - mid).clip(min=0) / step).sum() <= number else (mid, high)
+    got = np.floor((dot - high).clip(min=0) / step).astype(np.int64)
+    while rest := number - int(got.sum()):
+        best = np.argsort(-(dot - got * step), kind="stable")[: min(rest, len(dot))]
+        got[best] += 1
+    left -= got[:, None] * size
+    return got
+
+
+def fill(sizes: np.ndarray, numbers: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """(classes x shards): how many groups of each class a shard gets.  ``sizes`` are mean vectors."""
+    out = np.zeros((len(sizes), len(left)), np.int64)
+    order = np.argsort(-sizes.max(axis=1), kind="stable")
+    last = np.floor(numbers * RESERVE).astype(np.int64)
+    for some, weight in ((numbers - last, np.ones(3)), (last, np.array([100.0, 1.0, 1.0]))):
+        for i in order:
+            out[i] += pour(sizes[i], int(some[i]), left, weight)
     return out
 
 
@@ -48,10 +68,15 @@ def shard(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text: str = "
 
     ``size`` is the UTF-8 length of the text plus ``overhead``; a null text counts as
     empty.  Law ``bytes``: shards have nearly equal sums of sizes.  Equal texts share a
-    shard unless they exceed a quarter of one.  ``slot`` numbers a shard's rows from 0
+    shard unless they exceed a whole one in bytes, tokens or rows.  ``slot`` numbers a shard's rows from 0
     without gaps; rows that agree in id and text may swap slots.  An empty table gives
     no rows.  Other columns are not read.
     """
+    with scratch(df.sparkSession):
+        return materialize(_shard(df, shards, id_col, text, overhead), "shards", keep=True)
+
+
+def _shard(df: DataFrame, shards: int, id_col: str, text: str, overhead: int) -> DataFrame:
     spark = df.sparkSession
     t = text_of(text)
     rows = df.select(
@@ -72,37 +97,40 @@ def shard(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text: str = "
         copies = rows.select("_row", "_u", F.lit(1).alias("_one")).join(broadcast_if_small(twice, 300_000), "_row", "left_semi")
         ranks = materialize(global_rank(copies, ["_row", "_u"], "_one", "_rank").select("_u", "_rank"), "shard-ranks")
         rows = rows.join(broadcast_if_small(ranks, 300_000), "_u", "left").withColumn("_rank", F.coalesce("_rank", F.lit(0).cast("long")))
-    rows = rows.drop("_u").withColumn("_salt", F.pmod(F.col("_row") + F.col("_rank"), F.lit(SALT)).cast("int"))
+    # pieces of a group: none holds more than an eighth of a shard's share, if the group is one of many rows
+    rows = materialize(rows.drop("_u").withColumn("_salt", F.pmod(F.col("_row") + F.col("_rank"), F.lit(8 * shards)).cast("int")), "shard-salted")
     pieces = rows.groupBy("_k1", "_k2", "_salt").agg(F.sum("size").alias("b"), F.sum("_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-    groups = pieces.groupBy("_k1", "_k2").agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("n").alias("n"))
-    total = groups.agg(F.sum("b"), F.sum("t"), F.sum("n")).first()
-    b, tok, n = (max(1, x or 0) / shards for x in total)
-    groups = groups.withColumn("_part", F.greatest(F.col("b") / b, F.col("t") / tok, F.col("n") / n))
-    # at most 3 * shards / HEAVY groups can be above HEAVY in one of three dimensions
-    heavy = materialize(groups.filter(F.col("_part") > HEAVY).select("_k1", "_k2", (F.col("_part") > SPLIT).alias("_split")), "shard-heavy")
-    heavy_flags = F.broadcast(heavy)
-
-    level = F.least(F.lit(LEVELS - 1), F.length(F.regexp_extract(F.lpad(F.bin(F.pmod(F.col("_k2"), F.lit(1 << LEVELS))), LEVELS, "0"), "^0*", 0)))
-    cell = (level * CELLS + F.pmod(F.col("_k1"), F.lit(CELLS))).cast("int")
-
-    def keyed(x: DataFrame) -> DataFrame:
-        """Adds the item of each row: (cell, null, null, null) or (null, k1, k2, salt or -1)."""
-        x = x.join(heavy_flags, ["_k1", "_k2"], "left")
-        alone = F.col("_split").isNotNull()
-        return x.withColumns({
-            "_cell": F.when(~alone, cell).otherwise(-1),
-            "_h1": F.when(alone, F.col("_k1")).otherwise(0),
-            "_h2": F.when(alone, F.col("_k2")).otherwise(0),
-            "_hs": F.when(F.col("_split"), F.col("_salt")).otherwise(-1),
-        })
-
-    key = ["_cell", "_h1", "_h2", "_hs"]
-    items = keyed(pieces).groupBy(*key).agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("n").alias("n"))
-    found = items.orderBy(*key).toPandas()  # bounded: see the module's docstring
-    where = found[key].copy()
-    where["shard"] = place(found[["b", "t", "n"]].to_numpy(float), shards).astype("int32") if len(found) else np.zeros(0, "int32")
-    placed = spark.createDataFrame(where, "_cell int, _h1 long, _h2 long, _hs int, shard int") if len(where) else spark.createDataFrame([], "_cell int, _h1 long, _h2 long, _hs int, shard int")
-    out = keyed(rows).join(F.broadcast(placed), key).drop("_split", *key, "_salt", "_tokens", "_k1", "_k2")
+    groups = materialize(pieces.groupBy("_k1", "_k2").agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("n").alias("n")), "shard-groups")
+    total = [max(1, x or 0) / shards for x in groups.agg(F.sum("b"), F.sum("t"), F.sum("n")).first()]
+    share = F.greatest(*(F.col(c) / x for c, x in zip("btn", total, strict=True)))
+    left = np.ones((shards, 3))
+
+    # at most 3 * shards / HEAVY groups can be above HEAVY in one of three dimensions, and 3 * shards above a whole shard
+    heavy = materialize(groups.filter(share > HEAVY).select("_k1", "_k2", (share > 1).alias("_split")), "shard-heavy")
+    alone = pieces.join(F.broadcast(heavy), ["_k1", "_k2"]).withColumn("_salt", F.when(F.col("_split"), F.col("_salt")).otherwise(-1))
+    alone = alone.groupBy("_k1", "_k2", "_split", "_salt").agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.sum("n").alias("n"))
+    found = alone.orderBy("_k1", "_k2", "_salt").toPandas()
+    found["shard"] = place(found[["b", "t", "n"]].to_numpy(float) / total, left).astype("int32") if len(found) else np.zeros(0, "int32")
+    placed = [(int(k1), int(k2), int(salt), int(s)) for k1, k2, salt, s in found[["_k1", "_k2", "_salt", "shard"]].itertuples(index=False)]
+    placed = spark.createDataFrame(placed, "_k1 long, _k2 long, _salt int, shard int")
+
+    # classes: sizes of 2**40, a token a byte or less, and copies bound their number
+    of = [F.floor(FINE * F.log2(c)).cast("int") for c in (F.col("b"), F.col("b") / (F.col("t") + 1), F.col("n"))]
+    light = groups.join(F.broadcast(heavy), ["_k1", "_k2"], "left_anti").select("_k1", "_k2", "b", "t", "n", *(c.alias(f"_c{i}") for i, c in enumerate(of)), F.lit(1).alias("_one"))
+    key = ["_c0", "_c1", "_c2"]
+    ranked = materialize(global_rank(light, [*key, "_k1", "_k2"], "_one", "_rank"), "shard-ranked")
+    kinds = ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("N"), F.min("_rank").alias("_from"), *(F.avg(c).alias(c) for c in "btn")).orderBy(*key).toPandas()
+    dealt = fill(kinds[["b", "t", "n"]].to_numpy(float) / total, kinds["N"].to_numpy(np.int64), left).cumsum(axis=1) + kinds["_from"].to_numpy(np.int64)[:, None]
+    ends = spark.createDataFrame([(*map(int, k), [int(x) for x in e]) for k, e in zip(kinds[key].itertuples(index=False), dealt, strict=True)], "_c0 int, _c1 int, _c2 int, _ends array<long>")
+    # a group's shard is the first whose places in the class reach beyond the group's number
+    where = ranked.join(F.broadcast(ends), key).select("_k1", "_k2", F.size(F.filter("_ends", lambda e: e <= F.col("_rank"))).alias("shard"))
+
+    rows = rows.drop("_tokens")
+    some = rows.join(F.broadcast(heavy), ["_k1", "_k2"]).withColumn("_salt", F.when(F.col("_split"), F.col("_salt")).otherwise(-1)).join(F.broadcast(placed), ["_k1", "_k2", "_salt"])
+    rest = rows.join(F.broadcast(heavy), ["_k1", "_k2"], "left_anti").join(where, ["_k1", "_k2"])
+    keep = ["_id", "_row", "_rank", "size", "text_crc32", "shard"]
+    out = materialize(some.select(*keep).union(rest.select(*keep)), "shard-placed")
+    n = total[2]
 
     # slots: each shard is cut by hash and number into parts that one task can number
     parts = max(1, int(n) // SLOT_ROWS + 1)

@@ -156,39 +156,6 @@ def test_licenses(spk):
     assert scan(docs(spk, [])).count() == 0
 
 
-def test_sharding(spk):
-    from rivalscope.llm.sharding import shard
-
-    r = random.Random(6)
-    rows = [(i, prose(r, r.randint(1, 80))) for i in range(10, 410)] + [(1000 + i, "the same text again") for i in range(300)] + EDGE
-    got = shard(docs(spk, rows), shards=8).collect()
-    assert len(got) == len(rows)
-    by = {}
-    for x in got:
-        by.setdefault(x.shard, []).append(x)
-    assert all(sorted(x.slot for x in b) == list(range(len(b))) for b in by.values())
-    sizes = {i: len((t or "").encode()) + 16 for i, t in rows if i not in (4, None)}
-    assert all(x.size == sizes[x.doc_id] for x in got if x.doc_id in sizes)
-    assert {x.text_crc32 for x in got if x.doc_id == 1000} == {zlib.crc32(b"the same text again")}
-    assert shard(docs(spk, [])).count() == 0
-
-
-def test_sharding_splits_rows_equal_in_id_and_text(spk, monkeypatch):
-    from rivalscope.llm import sharding
-
-    monkeypatch.setattr(sharding, "SLOT_ROWS", 100)
-    r = random.Random(16)
-    for i in (7, None):
-        rows = [(k, prose(r, r.randint(5, 40))) for k in range(1000, 2000)] + [(i, "the same row again and again")] * 2000
-        got = sharding.shard(docs(spk, rows), shards=8).collect()
-        size, slots = [0] * 8, [[] for _ in range(8)]
-        for x in got:
-            size[x.shard] += x.size
-            slots[x.shard].append(x.slot)
-        assert len(got) == 3000 and max(size) <= 1.05 * sum(size) / 8
-        assert all(sorted(v) == list(range(len(v))) for v in slots)
-
-
 def test_classifier(spk):
     from rivalscope.llm.classifier import classify
 
