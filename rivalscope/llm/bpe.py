@@ -3,12 +3,16 @@
 Distinct pre-tokens are put into matrices of equal length.  Each round, every row
 finds the rank of each neighbouring pair in a hash table, merges its leftmost pair
 of minimum rank, and is compacted by one cell.  Rows with no pair left drop out.
+
+A very long pre-token would take a round for each of its merges.  It is merged in the same
+order by a heap over its pairs instead.
 """
 
 from __future__ import annotations
 
 import base64
 import gc
+import heapq
 import json
 
 import numpy as np
@@ -17,6 +21,8 @@ import regex
 NONE = np.int32(2**31 - 1)
 #: Matrices are cut to about this many cells, which bounds memory whatever the batch holds.
 CELLS = 1 << 18
+#: Pre-tokens of more bytes than this are merged by themselves.
+LONG = 1024
 #: Entries that a worker remembers before it starts anew; a cache, so results don't depend on it.
 CACHE = 100_000
 
@@ -63,6 +69,7 @@ class Merger:
 
     def __init__(self, byte_ids: np.ndarray, table: PairTable, vocab: list[bytes]):
         self.byte_ids, self.table, self.vocab = byte_ids, table, vocab
+        self._pairs: dict[int, tuple[int, int]] | None = None  # made when a long row comes
 
     @classmethod
     def from_ranks(cls, path: str) -> Merger:
@@ -106,13 +113,50 @@ class Merger:
         while at < len(order):
             # a bucket: neighbouring lengths, so padding is at most a quarter of the longest
             shortest = int(lengths[order[at]])
+            if shortest > LONG:
+                out[order[at]] = self._long(tokens[order[at]])
+                at += 1
+                continue
             end = int(np.searchsorted(lengths[order], max(shortest, shortest * 5 // 4), side="right"))
-            end = min(end, at + max(1, CELLS // max(1, shortest * 5 // 4)))
+            end = min(end, int(np.searchsorted(lengths[order], LONG, side="right")), at + max(1, CELLS // max(1, shortest * 5 // 4)))
             rows = order[at:end]
             self._bucket(tokens, rows, lengths[rows], out)
             at = end
         return out
 
+    def _long(self, token: bytes) -> np.ndarray:
+        """Merges one long row: the heap gives the leftmost pair of minimum rank, of which either side may be gone by then."""
+        table, find = self.table, self._pair
+        ids = self.byte_ids[np.frombuffer(token, np.uint8)].tolist()
+        n = len(ids)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        row = np.array(ids, np.int32)
+        slot = table.find(row[:-1], row[1:])
+        rank = table.rank[slot]
+        heap = [(int(rank[i]), i, ids[i], ids[i + 1], int(table.merged[slot[i]])) for i in np.flatnonzero(rank != NONE).tolist()]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, merged = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j < 0 or ids[j] != b:
+                continue
+            ids[i], ids[j] = merged, -1
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+                if pair := find(merged, ids[after[j]]):
+                    heapq.heappush(heap, (pair[0], i, merged, ids[after[j]], pair[1]))
+            if before[i] >= 0 and (pair := find(ids[before[i]], merged)):
+                heapq.heappush(heap, (pair[0], before[i], ids[before[i]], merged, pair[1]))
+        return np.array([x for x in ids if x >= 0], np.int32)
+
+    def _pair(self, a: int, b: int) -> tuple[int, int] | None:
+        """(rank, merged id) of a pair, or none."""
+        if self._pairs is None:
+            used = np.flatnonzero(self.table.keys != -1)
+            self._pairs = dict(zip(self.table.keys[used].tolist(), zip(self.table.rank[used].tolist(), self.table.merged[used].tolist(), strict=True), strict=True))
+        return self._pairs.get(a << 32 | b)
+
     def _bucket(self, tokens: list[bytes], rows: np.ndarray, lengths: np.ndarray, out: list[np.ndarray]) -> None:
         width = int(lengths.max())
         flat = np.frombuffer(b"".join(tokens[i].ljust(width, b"\0") for i in rows), np.uint8).reshape(len(rows), width)

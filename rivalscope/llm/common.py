@@ -105,18 +105,25 @@ def heavy_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return materialize(found, "heavy-keys")
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
-    """``left.join(right, keys, how)`` (inner, left, left_semi or left_anti) for a ``right`` with at most one row a key.
+SALTS = 64  #: parts that the rows of a heavy key are dealt to
 
-    The rows of heavy keys (``hot``, by default those of ``left``) meet their row by broadcast and so stay where they
-    are; only the others are shuffled.  Both sides should be materialized.
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None, stored: bool = False) -> DataFrame:
+    """``left.join(right, keys, how)`` (inner or left) for a ``right`` with at most one row a key.
+
+    The rows of heavy keys (``hot``, by default those of ``left``, which is then read twice) are dealt to SALTS parts,
+    for each of which their row of ``right`` is repeated: a bounded number of rows.  The part follows from the row's other
+    columns, and from its place if ``left`` is ``stored``, where that can't change when a task is run again.
     """
     hot = heavy_keys(left, keys) if hot is None else hot
     if hot.isEmpty():
         return left.join(right, keys, how)
-    own = right.join(F.broadcast(hot), keys, "left_semi")
-    some = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(own), keys, how)
-    return some.unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how))
+    hot = F.broadcast(hot.select(*keys, F.lit(SALTS).alias("_salts")))
+    other = [F.col(c) for c in left.columns if c not in keys]
+    place = F.xxhash64(*other, *([F.monotonically_increasing_id()] if stored else []))
+    many = left.withColumn("_place", place).join(hot, keys, "left").withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod("_place", F.lit(SALTS))).otherwise(0).cast("int"))
+    one = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+    return many.drop("_place", "_salts").join(one, [*keys, "_salt"], how).drop("_salt")
 
 
 def partitions_for(df: DataFrame) -> int:

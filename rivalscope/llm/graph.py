@@ -15,7 +15,7 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
     Each round a node takes the least label of itself and its neighbours, then the label of
     that label, so paths shrink fast; rounds end when no label changes.  Neighbour minima are
-    combined before the shuffle, and nodes of very many links meet their label by broadcast.
+    combined before the shuffle, and the links of a node with very many are dealt to many tasks.
     Labels are looked up once for each distinct label, whatever the size of its component.
     """
     both = links.select(F.col(u).alias("a"), F.col(v).alias("b")).union(links.select(F.col(v), F.col(u))).filter("a is not null and b is not null and a <> b").distinct()

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import doc_key, global_rank, materialize
+from .common import doc_key, global_rank, lookup, materialize, scratch
 
 DOC = ["_k1", "_k2"]
 
@@ -34,7 +34,8 @@ def suffix_ranks(positions: DataFrame, longest: int) -> list[DataFrame]:
     ``longest`` lines.
     """
     names = positions.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n"))
-    level = positions.join(global_rank(names, ["h1", "h2"], "_n", "r").drop("_n"), ["h1", "h2"]).select(*DOC, "isl", "seq", "left", "depth", "r")
+    ranked = materialize(global_rank(names, ["h1", "h2"], "_n", "r").drop("_n"), "names")
+    level = lookup(positions, ranked, ["h1", "h2"]).select(*DOC, "isl", "seq", "left", "depth", "r")
     levels = [materialize(level, "ranks")]
     h = 1
     while 2 * h <= longest:
@@ -42,8 +43,8 @@ def suffix_ranks(positions: DataFrame, longest: int) -> list[DataFrame]:
         pairs = levels[-1].filter(F.col("depth") >= 2 * h).withColumn("r2", F.lead("r", h).over(line)).filter(F.col("left") >= 2 * h)
         pairs = materialize(pairs, "pairs")
         names = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("_n"))
-        ranked = global_rank(names, ["r", "r2"], "_n", "_new").drop("_n")
-        level = pairs.join(ranked, ["r", "r2"]).select(*DOC, "isl", "seq", "left", "depth", F.col("_new").alias("r"))
+        ranked = materialize(global_rank(names, ["r", "r2"], "_n", "_new").drop("_n"), "names")
+        level = lookup(pairs, ranked, ["r", "r2"]).select(*DOC, "isl", "seq", "left", "depth", F.col("_new").alias("r"))
         levels.append(materialize(level, "ranks"))
         h *= 2
     return levels
@@ -52,7 +53,7 @@ def suffix_ranks(positions: DataFrame, longest: int) -> list[DataFrame]:
 def repeated_windows(lines: DataFrame, min_words: int) -> DataFrame:
     """(_k1, _k2, seq, size) of the windows of lines that have an earlier copy."""
     again = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    some = lines.join(again, ["h1", "h2"]).dropDuplicates([*DOC, "seq"])
+    some = lookup(lines, materialize(again, "repeated-lines"), ["h1", "h2"]).dropDuplicates([*DOC, "seq"])
     doc = W.partitionBy(*DOC).orderBy("seq")
     some = some.withColumn("isl", F.col("seq") - F.row_number().over(doc))
     isle = W.partitionBy(*DOC, "isl")
@@ -88,7 +89,7 @@ def repeated_windows(lines: DataFrame, min_words: int) -> DataFrame:
     named = materialize(named, "windows")
     here = F.struct("_id", *DOC, "seq")
     intervals = named.groupBy("size", "a", "b").agg(F.min(here).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    later = named.join(intervals, ["size", "a", "b"]).filter(~here.eqNullSafe(F.col("_first")))
+    later = lookup(named, materialize(intervals, "intervals"), ["size", "a", "b"]).filter(~here.eqNullSafe(F.col("_first")))
     return later.select(*DOC, "seq", "size")
 
 
@@ -102,26 +103,32 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_w
     through; existing columns n_lines and n_deleted are replaced.  Write the result before
     filtering on its text: a filter pushed into it would rebuild the lines once a line.
     """
+    with scratch(df.sparkSession):
+        return _dedup_lines(df, id_col, text, min_words)
+
+
+def _dedup_lines(df: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
     rest = [c for c in df.columns if c not in ("n_lines", "n_deleted")]
-    keyed = df.select(*rest, *doc_key(id_col, text))
+    # the row's own columns travel in one struct, so none can clash with those used here
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col(id_col).alias("_id"), F.col(text).alias("_text"), *doc_key(id_col, text))
     # lines that hold a word, with their number among those
-    held = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(r"\S"))
-    lines = keyed.select(F.col(id_col).alias("_id"), *DOC, F.posexplode(held).alias("seq", "line"))
+    held = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"\S"))
+    lines = keyed.select("_id", *DOC, F.posexplode(held).alias("seq", "line"))
     lines = lines.select("_id", *DOC, "seq", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), F.regexp_count("line", F.lit(r"\S+")).cast("long").alias("w"))
     later = repeated_windows(materialize(lines, "lines"), min_words)
     gone = later.groupBy(*DOC).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("seq", F.col("seq") + F.col("size") - 1)))).alias("_gone"))
-    gone = materialize(gone, "gone").hint("shuffle_hash")
-    all_lines = F.split(F.col(text), "\n")
+    gone = materialize(gone, "gone", keep=True).hint("shuffle_hash")
     numbers = F.sequence(F.lit(0), F.size("_l") - 1)
     marked = F.transform("_l", lambda line, i: F.struct(i.alias("i"), line.rlike(r"\S").alias("word")))
     holding = F.transform(F.filter(marked, lambda x: x["word"]), lambda x: x["i"])
-    out = keyed.join(gone, DOC, "left").withColumn("_l", all_lines)
+    out = keyed.join(gone, DOC, "left").withColumn("_l", F.split("_text", "\n"))
     left = F.array_except(F.col("_n"), F.transform("_gone", lambda q: F.get("_h", q.cast("int"))))
     cut = F.array_join(F.transform(left, lambda i: F.get("_l", i)), "\n")
     out = out.withColumns({"_n": F.when(F.col("_gone").isNotNull(), numbers), "_h": F.when(F.col("_gone").isNotNull(), holding)})
     # a second use of _h keeps it a column of its own, made once a row and not once a line
-    return out.withColumns({
-        text: F.when(F.col("_gone").isNull() | F.col("_h").isNull(), F.col(text)).otherwise(cut),
-        "n_lines": F.coalesce(F.when(F.col(text).isNotNull(), F.size("_l")), F.lit(0)).cast("long"),
-        "n_deleted": F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long"),
-    }).select(*rest, "n_lines", "n_deleted")
+    out = out.withColumn("_text", F.when(F.col("_gone").isNull() | F.col("_h").isNull(), F.col("_text")).otherwise(cut))
+    return out.select(
+        *(F.col("_text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in rest),
+        F.coalesce(F.when(F.col("_l").isNotNull(), F.size("_l")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias("n_deleted"),
+    )

@@ -149,7 +149,7 @@ def apart(split: DataFrame, sets: DataFrame, bands: DataFrame, percent: int) ->
     if that is enough for a link, and in the first bucket they share.
     """
     first = split.groupBy("key").agg(F.min("k").alias("c"))
-    cluster = components(lookup(split.select("key", "k"), materialize(first, "cluster-centres"), ["key"]), "k", "c")
+    cluster = components(lookup(split.select("key", "k"), first, ["key"]), "k", "c")
     facts = materialize(split.select("k", "label").distinct().withColumn("m", F.monotonically_increasing_id()), "apart")
     held = facts.join(sets, "k").join(cluster.select(F.col("node").alias("k"), F.col("label").alias("cluster")), "k")
     held = materialize(held.select("m", F.size("set").alias("n"), "cluster", "set"), "apart-sets")
@@ -223,13 +223,14 @@ def _near_duplicates(df: DataFrame, id_col: str, text: str, width: int, percent:
     def confirm(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Of candidate pairs (u, v), those that are links; sizes and signatures are looked at before full sets."""
         f = {side: facts.select(F.col("k").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}"), F.col("_tk").alias(f"t_{side}")) for side in "uv"}
-        near = lookup(lookup(pairs, f["u"], ["u"]), f["v"], ["v"])
+        hot = {side: heavy_keys(pairs, [side]) for side in "uv"}
+        near = lookup(lookup(pairs, f["u"], ["u"], hot=hot["u"]), f["v"], ["v"], hot=hot["v"])
         near = near.filter((100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & alike("sig_u", "sig_v"))
         near = materialize(near.select("u", "v", "n_u", "n_v", "t_u", "t_v"), "near")
         if sets is None:
             sets = whole_sets(docs, near.select(F.col("u").alias("k"), F.col("t_u").alias("_tk")).union(near.select("v", "t_v")), width)
-        x = lookup(near.select("u", "v", "n_u", "n_v"), sets.select(F.col("k").alias("u"), F.col("set").alias("a")), ["u"])
-        x = lookup(x, sets.select(F.col("k").alias("v"), F.col("set").alias("b")), ["v"])
+        x = lookup(near.select("u", "v", "n_u", "n_v"), sets.select(F.col("k").alias("u"), F.col("set").alias("a")), ["u"], hot=hot["u"])
+        x = lookup(x, sets.select(F.col("k").alias("v"), F.col("set").alias("b")), ["v"], hot=hot["v"])
         both = F.size(F.array_intersect("a", "b"))
         return x.filter(100 * both >= percent * (F.col("n_u") + F.col("n_v") - both)).select("u", "v")
 
@@ -260,10 +261,10 @@ def _near_duplicates(df: DataFrame, id_col: str, text: str, width: int, percent:
 
     label = components(links).withColumnRenamed("node", "k")
     named = rows.filter("k is not null").select("_id", "_tk", "n", "k")
-    out = lookup(named, label, ["k"], "left").select("_id", "_tk", "n", F.coalesce("label", "k").alias("group"))
+    out = lookup(named, label, ["k"], "left", stored=True).select("_id", "_tk", "n", F.coalesce("label", "k").alias("group"))
     out = materialize(out, "grouped")
     least = materialize(out.groupBy("group").agg(F.min("_id").alias("least")), "least")
     alone = rows.filter("k is null").select("_id", "_tk", "n", F.lit(None).cast("binary").alias("group"), F.col("_id").alias("least"))
-    out = lookup(out, least, ["group"]).select("_id", "_tk", "n", "group", "least").union(alone)
+    out = lookup(out, least, ["group"], stored=True).select("_id", "_tk", "n", "group", "least").union(alone)
     out = out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("_id").eqNullSafe(F.col("least")).alias("kept"), *([F.col("group").alias("_group"), "_tk"] if groups else []))
     return materialize(out, "near-duplicates", keep=True)

@@ -270,7 +270,7 @@ def _quality_rules(df: DataFrame, id_col: str, text: str, lang: str) -> DataFram
     scored = materialize(scored, "perplexity")
     rest = scored.select("_row", F.col("_lang").alias("lang"), F.explode("_rare").alias("x")).select("_row", "lang", "x.*")
     if not rest.isEmpty():
-        more = lookup(materialize(rest, "rare-trigrams"), model.select("lang", "gram", "logp"), ["lang", "gram"]).groupBy("_row", "seg").agg(F.sum("logp").alias("more"))
+        more = lookup(materialize(rest, "rare-trigrams"), model.select("lang", "gram", "logp"), ["lang", "gram"], stored=True).groupBy("_row", "seg").agg(F.sum("logp").alias("more"))
         parts = scored.filter("_sums is not null").select("_row", "_size", F.posexplode("_sums").alias("seg", "nats")).join(more, ["_row", "seg"], "left")
         least, last = F.col("seg") * SEGMENT, F.greatest(F.lit(1), F.floor(F.col("_size") / SEGMENT)) - 1
         width = F.when(F.col("seg") == last, F.col("_size") - least).otherwise(SEGMENT)

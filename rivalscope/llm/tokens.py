@@ -83,13 +83,18 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """Adds ``out`` (binary): the bytes that the ids stand for; null ids give null, empty ids empty bytes."""
+    """Adds ``out`` (binary): the bytes that the ids stand for.
+
+    Null gives null, and so do ids of which one is null or not in the vocabulary; no ids give no bytes.
+    """
 
     @F.arrow_udf("binary")
     def back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = encoder(ranks_path, pattern)
         for batch in batches:
-            yield pa.array([None if x is None else e.decode(x) for x in batch.to_pylist()], pa.binary())
+            top = len(e.merger.vocab)
+            good = [x is not None and all(i is not None and 0 <= i < top for i in x) for x in batch.to_pylist()]
+            yield pa.array([e.decode(x) if ok else None for x, ok in zip(batch.to_pylist(), good, strict=True)], pa.binary())
 
     return df.withColumn(out, back(F.col(ids)))
 
@@ -114,7 +119,8 @@ def encode_digests(df: DataFrame, ranks_path: str, pattern: str, text: str = "te
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     rest = [c for c in df.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
-    return df.select(*rest, digest(F.col(text)).alias("_d")).select(*rest, "_d.*")
+    own = "_digest" + "_" * max(map(len, df.columns))  # longer than any column's name
+    return df.select(*rest, digest(F.col(text)).alias(own)).select(*rest, f"{own}.*")
 
 
 class Counter:
