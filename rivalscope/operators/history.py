@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..llm.common import materialize
+from ..shared import materialize
 from ..sources.fixtures import SEASONS, Tables
 from .breakdowns import STATS
 from .running import placed, rates, running

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import outcome
-from ..llm.common import materialize, partitions_for
+from ..shared import materialize, partitions_for
 from ..sources.fixtures import Tables
 
 
