@@ -12,53 +12,12 @@ Conventions that hold for every operator of this package:
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or, where it is unset (tests), one below the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
-
-
-_owned: list[list[str]] = []  #: folders of the operators that now run, innermost last
-
-
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives executor loss.
+from ..shared import global_rank, materialize, partitions_for, scratch, shared_dir  # noqa: F401  used by the operators
 
-    Inside ``scratch`` the folder is removed at its end, unless ``keep`` says that the result still reads it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rivalscope/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if _owned and not keep:
-        _owned[-1].append(path)
-    elif len(_owned) > 1:  # an operator's result lives as long as what called the operator
-        _owned[-2].append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end what ``materialize`` wrote inside it and was not told to keep."""
-    mine: list[str] = []
-    _owned.append(mine)
-    try:
-        yield
-    finally:
-        _owned.remove(mine)
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for p in mine:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def doc_key(*cols: str) -> list[Column]:
@@ -126,34 +85,6 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     return many.drop("_place", "_salts").join(one, [*keys, "_salt"], how).drop("_salt")
 
 
-def partitions_for(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def global_rank(df: DataFrame, keys: list[str], weight: str, out: str) -> DataFrame:
-    """Adds ``out``: the sum of ``weight`` over all rows whose ``keys`` sort strictly before this row's.
-
-    ``keys`` must be unique per row.  Rows are range-partitioned, each partition is
-    summed, and only one number per partition (bounded by the partition count) is
-    carried across, so no task sees more than its own range.
-    """
-    from pyspark.sql import Window as W
-
-    n = partitions_for(df)
-    ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
-    ranged = materialize(ranged, "ranged")
-    offsets = ranged.groupBy("_pid").agg(F.sum(weight).alias("_w"))
-    offsets = offsets.withColumn("_off", F.coalesce(F.sum("_w").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    within = F.sum(weight).over(W.partitionBy("_pid").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1))
-    ranked = ranged.withColumn("_in", F.coalesce(within, F.lit(0)))
-    # one row per partition: the bound of this broadcast is the partition count
-    return (
-        ranked.join(F.broadcast(offsets.drop("_w")), "_pid")
-        .withColumn(out, (F.col("_off") + F.col("_in")).cast("long"))
-        .drop("_pid", "_off", "_in")
-    )
-
-
 def ship(spark: SparkSession) -> None:
     """Give the executors this package (as ``--py-files`` would), once per Spark application."""
     import tempfile
