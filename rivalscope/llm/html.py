@@ -28,90 +28,206 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: A p element ends where one of these starts.
 ENDS_P = BLOCK - {"html", "head", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend", "iframe"}
 
-ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
-#: Only raw text runs to the end of the page if it isn't closed; other silent elements are then no more than their tag, as is a self-closed svg.
-PIECES = re.compile(
-    rf"<!--.*?(?:-->|$)|<({'|'.join(RAW)})(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*>|$)|<svg(?=[\s/>]){ATTRIBUTES}(?<=/)>|<({'|'.join(SILENT)})(?=[\s/>]){ATTRIBUTES}>.*?</\2(?=[\s/>])[^>]*>"
-    rf"|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>|<[!?][^>]*>|([^<]+|<)",
-    re.S | re.I,
-)
+#: Elements that hold blocks: what lies in one of them is judged together.
+ROOM = frozenset("html body article aside details dialog div dl fieldset footer form header main menu nav ol section table ul".split())
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>")
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>")  #: for what follows a tag whose quotes are never closed
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-WORDS = re.compile(r"[A-Za-z]+")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+COMMON = {"in html", "in body", "in div", "in p"}
+
+
+#: Names that made-up pages give to the parts of a page: of main text, and of the rest.
+MAIN = [
+    "article", "article", "article", "main", "main", "div content", "div post body", "div entry content", "section article", "div main text", "article post", "div story", "div article body", "section content", "div page content", "div copy", "div blog post",
+    "div news text", "div prose", "article story", "main content",
+]
+REST = [
+    "nav", "nav menu", "header", "header site", "div header", "footer", "div footer", "aside", "aside sidebar", "div sidebar", "div ad", "div ads", "div advert", "div banner", "section comments", "div comments", "div comment",
+    "ul menu", "div nav", "div cookie notice", "div notice", "div consent", "form", "form search", "form newsletter", "div subscribe", "div promo", "div sponsored", "div related", "div share", "div social", "div breadcrumb", "div popup", "ol comment list", "div login",
+    "div replies", "div reader responses", "section discussion", "ol reply thread", "div disclaimer", "div legal", "div copyright", "div privacy", "div terms", "div signup", "div toolbar", "div pagination", "div pager", "div recommended", "div trending", "div popular",
+    "div widget", "div modal", "div overlay", "div donate", "div alert", "div masthead", "div topbar", "div navbar", "div crumbs", "ul links", "div archive", "ul categories", "ul tags", "div advertisement", "aside promotion", "div warning", "div feedback", "section reviews", "div rail",
+]
+#: The part of made-up elements whose names say nothing, so that text and neighbours are learned from too.
+NAMELESS = 0.15
+#: What tells a part of a page by itself.  Where an ancestor has one of these, little is asked of the text.
+TELLING = {f"in {t}" for t in "article main nav header footer aside form".split()} | {f"word {w}" for name in MAIN + REST for w in name.split()[1:]}
 
 
 class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]  #: ancestors, each "tag" or "tag.word.word"
+    path: float | tuple[str, ...]  #: weight of the ancestors, or their features
     linked: int  #: characters inside links
-
-
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order: references decoded, white space made one space, empty ones left out."""
+    room: int  #: number of the innermost element that holds blocks
+    told: bool  #: whether an ancestor's tag or name is one of TELLING
+
+
+class Pieces:
+    """The markup of a page from left to right, each character read a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.low = page, page.translate(LOWER)
+        self.tag, self.gone = TAG, set[str]()
+
+    def end_of(self, name: str, at: int) -> int:
+        """Where the element ends whose content starts at ``at``, or -1; a missing end tag is looked for once."""
+        if name in self.gone:
+            return -1
+        while (at := self.low.find(f"</{name}", at)) >= 0:
+            after = at + len(name) + 2
+            if after >= len(self.low) or self.low[after] in " \t\n\r\f\v/>":
+                close = self.low.find(">", after)
+                return close + 1 if close >= 0 else len(self.low)
+            at = after
+        self.gone.add(name)
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        """(kind, name or text, attributes): kind is "text", "open" or "close"."""
+        page, at, end = self.page, 0, len(self.page)
+        while at < end:
+            if page[at] != "<":
+                to = page.find("<", at)
+                to = end if to < 0 else to
+                yield "text", page[at:to], ""
+                at = to
+                continue
+            if page.startswith("<!--", at):
+                to = page.find("-->", at + 4)
+                at = end if to < 0 else to + 3
+                continue
+            if page.startswith(("<!", "<?"), at):
+                to = page.find(">", at)
+                at = end if to < 0 else to + 1
+                continue
+            m = self.tag.match(page, at)
+            if not m and self.tag is TAG and at + 1 < end and (page[at + 1].isalpha() or page[at + 1] == "/"):
+                self.tag = LOOSE  # no quote that is open from here on is ever closed
+                m = LOOSE.match(page, at)
+            if not m:
+                yield "text", "<", ""
+                at += 1
+                continue
+            name, at = m[2].translate(LOWER), m.end()
+            if m[1]:
+                yield "close", name, ""
+            elif name in RAW:
+                to = self.end_of(name, at)
+                at = end if to < 0 else to
+            elif name in SILENT:
+                # without an end tag it is no more than its tag, as is a self-closed svg
+                to = -1 if name == "svg" and m[3].endswith("/") else self.end_of(name, at)
+                at = at if to < 0 else to
+            else:
+                yield "open", name, m[3]
+
+
+def blocks(page: str, weights: dict[str, float] | None = None) -> list[Block]:
+    """The leaf blocks of a page in order: references decoded, white space made one space, empty ones left out.
+
+    With ``weights`` the ancestors' features are summed as elements open and close, so depth costs nothing.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, list[str], int]] = []  # tag, features, room outside
+    block_at: list[int] = []  # places of the block elements in the stack
+    open_tags: dict[str, int] = {}
+    active: dict[str, int] = {}
+    total, room, rooms, linked, told = 0.0, 0, 0, 0, 0
     text: list[str] = []
-    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                out.append(Block(joined, tuple([name for _, name in stack]), linked))
+                parent = f"parent {stack[block_at[-1]][0] if block_at else 'none'}"
+                path = tuple(sorted({*active, parent})) if weights is None else total + weights.get(parent, 0.0)
+                out.append(Block(joined, path, linked, room, told > 0))
             text.clear()
             linked = 0
 
     def pop(to: int) -> None:
-        if any(tag in BLOCK for tag, _ in stack[to:]):
+        nonlocal total, room, told
+        if block_at and block_at[-1] >= to:
             flush()
-        del stack[to:]
-
-    for m in PIECES.finditer(page):
-        if m[6] is not None:
-            t = entities.unescape(m[6])
+        while len(stack) > to:
+            tag, own, outside = stack.pop()
+            open_tags[tag] -= 1
+            room = outside
+            if block_at and block_at[-1] == len(stack):
+                block_at.pop()
+            for f in own:
+                active[f] -= 1
+                told -= f in TELLING
+                if not active[f]:
+                    del active[f]
+                    total -= weights.get(f, 0.0) if weights else 0.0
+
+    for kind, tag, rest in Pieces(page):
+        if kind == "text":
+            t = entities.unescape(tag)
             text.append(t)
-            if any(tag == "a" for tag, _ in stack):
+            if open_tags.get("a"):
                 linked += len(t.strip())
-        elif m[4]:
-            tag = m[4].lower()
-            if tag in SILENT:
-                continue
-            if m[3]:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if at is not None:
-                    pop(at)
-                elif tag in BLOCK:
-                    flush()
-                continue
+        elif kind == "close":
+            if open_tags.get(tag):
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+            elif tag in BLOCK:
+                flush()
+        else:
             if tag == "br":
                 text.append(" ")
             if tag in BLOCK:
                 flush()
                 ends = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-                for i in range(len(stack) - 1, -1, -1):
+                for i in reversed(block_at):
                     if stack[i][0] in ends:
                         pop(i)
                         break
-                    if stack[i][0] in BLOCK and stack[i][0] != "p":
+                    if stack[i][0] != "p":
                         break
-            if tag not in VOID and not m[5].endswith("/"):
-                words = [w.lower() for found in NAMES.findall(m[5]) for w in WORDS.findall("".join(found))]
-                stack.append((tag, ".".join([tag, *words])))
+            if tag not in VOID and not (rest.endswith("/") and "=" not in rest[rest.rfind(" ") :]):
+                words = [w.lower() for found in NAMES.findall(rest) for w in WORDS.findall("".join(found))]
+                own = [f for f in {f"in {tag}" if tag in BLOCK else "", *(f"word {w}" for w in words)} - COMMON if f]
+                for f in own:
+                    if f not in active:
+                        active[f] = 0
+                        total += weights.get(f, 0.0) if weights else 0.0
+                    active[f] += 1
+                    told += f in TELLING
+                if tag in BLOCK:
+                    block_at.append(len(stack))
+                stack.append((tag, own, room))
+                open_tags[tag] = open_tags.get(tag, 0) + 1
+                if tag in ROOM:
+                    rooms += 1
+                    room = rooms
     flush()
     return out
 
 
-def path_features(path: tuple[str, ...]) -> list[str]:
-    tags = [p.split(".") for p in path]
-    block = [t for t in tags if t[0] in BLOCK]
-    out = {f"in {t[0]}" for t in block} | {f"word {w}" for t in tags for w in t[1:]}
-    out |= {f"parent {block[-1][0]}"} if block else {"parent none"}
-    return sorted(out - {"in html", "in body", "in div", "in p"})
-
-
-def text_features(b: Block) -> list[str]:
-    words = b.text.count(" ") + 1
-    return [f"words {min(6, words.bit_length())}", f"linked {int(4 * b.linked / max(1, len(b.text)))}", f"stop {b.text[-1] in '.!?'}", f"mark {b.text[0] in '©®'}"]
+def text_features(found: list[Block]) -> list[list[str]]:
+    """For each block of a page: features of its text, and of all text in its room."""
+    n = len(found)
+    words = [b.text.count(" ") + 1 for b in found]
+    links = [int(4 * b.linked / max(1, len(b.text))) for b in found]
+    size, link, many = {}, {}, {}
+    for b, w in zip(found, words, strict=True):
+        size[b.room] = size.get(b.room, 0) + w
+        link[b.room] = link.get(b.room, 0) + b.linked / max(1, len(b.text)) * w
+        many[b.room] = many.get(b.room, 0) + 1
+    band = lambda k: min(7, k.bit_length())
+    out = []
+    for i, b in enumerate(found):
+        t, w = b.text, words[i]
+        own = [
+            f"words {band(w)}", f"linked {links[i]}", f"stop {t[-1] in '.!?'}", f"mark {t[0] in '©®'}", f"commas {min(3, 20 * t.count(',') // w)}",
+            f"sentences {min(4, t.count('. ') + t.count('! ') + t.count('? '))}",
+            f"room words {band(size[b.room] >> 2)}", f"room blocks {min(4, many[b.room].bit_length())}", f"room linked {int(4 * link[b.room] / size[b.room])}",
+        ]
+        out.append(own[:4] if b.told else [f"plain {f}" for f in own])
+    return out
 
 
 class Field:
@@ -119,25 +235,22 @@ class Field:
 
     def __init__(self, weights: dict[str, float], moves: np.ndarray):
         self.weights, self.moves = weights, moves
-        self.known: dict[tuple[str, ...], float] = {}
 
-    def score(self, b: Block) -> float:
-        p = self.known.get(b.path)
-        if p is None:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            p = self.known[b.path] = sum(self.weights.get(f, 0.0) for f in path_features(b.path))
-        return p + sum(self.weights.get(f, 0.0) for f in text_features(b))
+    def scores(self, found: list[Block]) -> list[float]:
+        w = self.weights
+        paths = [b.path if isinstance(b.path, float) else sum(w.get(f, 0.0) for f in b.path) for b in found]
+        return [p + sum(w.get(f, 0.0) for f in own) for p, own in zip(paths, text_features(found), strict=True)]
 
     def decode(self, found: list[Block]) -> list[int]:
         """Viterbi."""
         if not found:
             return []
         (a00, a01), (a10, a11) = self.moves.tolist()
-        s0, s1, back = 0.0, self.score(found[0]), []
-        for b in found[1:]:
+        first, *rest = self.scores(found)
+        s0, s1, back = 0.0, first, []
+        for score in rest:
             from0 = (s0 + a00 < s1 + a10, s0 + a01 < s1 + a11)
-            s0, s1 = max(s0 + a00, s1 + a10), max(s0 + a01, s1 + a11) + self.score(b)
+            s0, s1 = max(s0 + a00, s1 + a10), max(s0 + a01, s1 + a11) + score
             back.append(from0)
         label = int(s1 > s0)
         out = [label]
@@ -147,10 +260,10 @@ class Field:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 80, decay: float = 1e-3) -> Field:
+def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 120, decay: float = 2e-4) -> Field:
     """Maximum conditional likelihood with a quadratic penalty: forward-backward on each page, Adagrad over all."""
     index: dict[str, int] = {}
-    rows = [[[index.setdefault(f, len(index)) for f in (*path_features(b.path), *text_features(b))] for b in found] for found, _ in pages]
+    rows = [[[index.setdefault(f, len(index)) for f in (*b.path, *own)] for b, own in zip(found, text_features(found), strict=True)] for found, _ in pages]
     w, moves = np.zeros(len(index)), np.zeros((2, 2))
     gw, gm = np.full(len(index), 1e-8), np.full((2, 2), 1e-8)
     # pages of a length are run together
@@ -190,24 +303,28 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 80, decay: f
     return Field({f: float(w[i]) for f, i in index.items()}, moves)
 
 
-#: Names that made-up pages give to the parts of a page: of main text, and of the rest.
-MAIN = ["article", "main", "div content", "div post body", "div entry content", "section article", "div main text", "article post"]
-REST = [
-    "nav", "nav menu", "header", "header site", "div header", "footer", "div footer", "aside", "aside sidebar", "div sidebar", "div ad", "div ads", "div advert", "div banner", "section comments", "div comments", "div comment",
-    "ul menu", "div nav", "div cookie notice", "div notice", "div consent", "form", "form search", "form newsletter", "div subscribe", "div promo", "div sponsored", "div related", "div share", "div social", "div breadcrumb", "div popup", "ol comment list", "div login",
-]
-
-
-def labelled_pages(number: int = 400, seed: int = 7) -> list[tuple[list[Block], list[int]]]:
+def labelled_pages(number: int = 500, seed: int = 7, nameless: float = NAMELESS) -> list[tuple[list[Block], list[int]]]:
     """Made-up pages of many layouts, with the label of each block.  Main text is marked by a private character while cutting."""
     r = random.Random(seed)
     mark = ""
 
+    def word() -> str:
+        if r.random() < 0.03:
+            return str(r.randint(1, 9999))
+        return "".join(r.choice("abcdefghijklmnopqrstuvwxyzéü") for _ in range(r.randint(2, 9))) + ("," if r.random() < commas else "")
+
     def words(lo: int, hi: int) -> str:
-        return " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyzéü") for _ in range(r.randint(2, 9))) for _ in range(r.randint(lo, hi))).capitalize() + r.choice([".", ".", ".", "", "!", "?"])
+        out, left = [], r.randint(lo, hi)
+        while left > 0:
+            n = min(left, r.randint(1, 24))
+            out.append(" ".join(word() for _ in range(n)).capitalize() + r.choice([".", ".", ".", ".", "!", "?"]))
+            left -= n
+        return " ".join(out) if r.random() < 0.8 else " ".join(out)[:-1]
 
     def element(name: str, inner: str) -> str:
         tag, *rest = name.split()
+        if rest and r.random() < nameless:
+            rest = ["".join(r.choice("bcdfghklmnprstvz") + r.choice("aeiou") for _ in range(3)) for _ in rest]
         return f'<{tag}{f" {r.choice(["class", "id", "class"])}={chr(34)}{r.choice(["-", " "]).join(rest)}{chr(34)}" if rest else ""}>{inner}</{tag}>'
 
     def rest_part() -> str:
@@ -215,16 +332,16 @@ def labelled_pages(number: int = 400, seed: int = 7) -> list[tuple[list[Block],
         if kind < 0.35:
             inner = "<ul>" + "".join(f'<li><a href="/">{words(1, 4)}</a></li>' for _ in range(r.randint(1, 7))) + "</ul>"
         elif kind < 0.7:
-            inner = r.choice(["", "<p>"]) + r.choice(["", "", "&copy; "]) + words(1, 30)
+            inner = r.choice(["", "<p>"]) + r.choice(["", "", "&copy; "]) + words(1, r.choice([5, 10, 30]))
         else:
-            inner = "".join(f"<{t}>{words(1, 40)}</{t}>" for t in r.choices(["p", "h2", "h3", "div", "p"], k=r.randint(1, 4)))
+            inner = "".join(f"<{t}>{words(1, r.choice([5, 12, 40]))}</{t}>" for t in r.choices(["p", "h2", "h3", "div", "p"], k=r.randint(1, 4)))
         return element(r.choice(REST), inner)
 
     def main_part(name: str) -> str:
         parts = [f"<{t}>{mark}{words(1, 9)}</{t}>" for t in r.choices(["h1", "h2"], k=r.random() < 0.8)]
         for _ in range(r.randint(1, 9)):
             tag = r.choice(["p"] * 8 + ["h2", "h3", "blockquote", "li", "pre", "td"])
-            body = mark + words(1, r.choice([3, 20, 120]))
+            body = mark + words(1, r.choice([3, 20, 120, 400]))
             if r.random() < 0.2:
                 body += f' <a href="/">{words(1, 3)}</a>'
             parts.append({"li": f"<ul><li>{body}</li></ul>", "td": f"<table><tr><td>{body}</td></tr></table>"}.get(tag, f"<{tag}>{body}</{tag}>"))
@@ -233,8 +350,9 @@ def labelled_pages(number: int = 400, seed: int = 7) -> list[tuple[list[Block],
         inner = "".join(parts)
         return element(name, f"<div>{inner}</div>" if r.random() < 0.3 else inner)
 
-    out = []
+    out, commas = [], 0.0
     for _ in range(number):
+        commas = r.choice([0.0, 0.03, 0.1, 0.2])
         middle = main_part(r.choice(MAIN)) if r.random() < 0.95 else f"<div>{main_part(r.choice(MAIN))}</div>"
         page = "".join(rest_part() for _ in range(r.randint(0, 4))) + middle + "".join(rest_part() for _ in range(r.randint(0, 4)))
         found = blocks(f"<html><body>{page}</body></html>")
@@ -243,15 +361,17 @@ def labelled_pages(number: int = 400, seed: int = 7) -> list[tuple[list[Block],
 
 
 def main_text(page: str, field: Field) -> str:
-    found = blocks(page)
+    found = blocks(page, field.weights)
     return "\n".join([b.text for b, label in zip(found, field.decode(found), strict=True) if label])
 
 
 def extract(df: DataFrame, html: str = "html", field: Field | None = None) -> DataFrame:
     """Adds text and n_chars: the main text of each whole page, its blocks joined by \\n, and its code points.
 
-    A null or empty page has an empty text.  Existing columns text and n_chars are replaced;
-    all others pass through.
+    A null or empty page has an empty text, and so has one without a readable block.  Broken markup is
+    read as far as it goes: a quote that is never closed doesn't swallow the page, what follows is still text.
+    Time grows with a page's length, whatever its nesting.  Equal pages have equal texts, an empty table gives
+    no rows.  Existing columns text and n_chars are replaced; all others pass through.
     """
     shared = df.sparkSession.sparkContext.broadcast(field or train(labelled_pages()))  # some hundred features
 

@@ -170,12 +170,17 @@ def test_classifier(spk):
 
 
 def test_html(spk):
-    from rivalscope.llm.html import extract, labelled_pages, train
+    from rivalscope.llm.html import extract, labelled_pages, main_text, train
 
     field = train(labelled_pages())
     fresh = labelled_pages(100, seed=99)
     hits = [a == b for found, y in fresh for a, b in zip(field.decode(found), y, strict=True)]
     assert sum(hits) >= 0.97 * len(hits)
+    nameless = labelled_pages(100, seed=98, nameless=1.0)  # no class or id that says anything: tags and text must do
+    hits = [a == b for found, y in nameless for a, b in zip(field.decode(found), y, strict=True)]
+    assert sum(hits) >= 0.85 * len(hits)
+    long = "<body><div class='qx'><h1>One</h1>" + "".join(f"<p>{'word ' * 60}end. Another sentence, with words.</p>" for _ in range(5)) + "</div><div class='disclaimer'>All rights reserved.</div></body>"
+    assert "reserved" not in main_text(long, field) and main_text(long, field).count("Another") == 5
     page = '<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy now.</div><article><h1>A &amp; B</h1><p>One\n two &lt;3.<br>Three.<p>Four five six seven eight nine.</p></article><footer>&copy; us</footer><script>if (a</script></body>'
     df = spk.createDataFrame([(1, "u", page, "t"), (2, None, None, "t"), (3, "u", "", "t")], "page_id long, url string, html string, text string")
     got = {x.page_id: (x.text, x.n_chars) for x in extract(df, field=field).collect()}
@@ -183,6 +188,19 @@ def test_html(spk):
     assert got == {1: (want, len(want)), 2: ("", 0), 3: ("", 0)}
 
 
+def test_html_reads_broken_pages_in_linear_time():
+    import time
+
+    from rivalscope.llm.html import blocks
+
+    assert [b.text for b in blocks('<p>One</p><p class="a>Two</p><p>Three</p>')] == ["One", "Two", "Three"]
+    assert [b.text for b in blocks("a < b <3 c<p title=x/>d")] == ["a < b <3 c", "d"]
+    began = time.time()
+    for bad in ('<a "', "<svg>", "<b>x", '<div class="x y">', "<p ", "<script>", "</i>", "<title", "<!--", "<i><p>y"):
+        blocks(bad * (1_000_000 // len(bad)), {})
+    assert time.time() - began < 60
+
+
 def test_html_keeps_what_follows_silent_elements():
     from rivalscope.llm.html import blocks, labelled_pages, main_text, train
 
