@@ -4,7 +4,11 @@ A linear classifier gives each document's evidence for "low quality" and "toxic"
 is fitted on a bounded sample of labelled documents (``SAMPLE`` rows); everything
 after it covers all documents: grouped sums of the evidence over hosts and over paths
 below them give site posteriors, sparse hosts shrink to the global rate and sparse
-paths to their host, and each document's evidence is combined with its site's.
+paths to their host, and each document's evidence is combined with its site's.  How
+strongly they shrink is estimated from the spread between hosts and between paths.
+
+The documents have no URL.  Their host is the first part of ``source`` (up to a slash), and
+the path below it is the rest of it together with the language.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import lookup, materialize, scratch
 
 SAMPLE = 3000  #: labelled documents that the classifier is fitted on, chosen by hash of the id
 SEEN = 3  #: a feature needs so many documents of the sample to get a weight
@@ -27,8 +31,8 @@ CACHE = 150_000  #: words whose scores a worker remembers
 TARGETS = ("low", "toxic")
 TELLING = 3.5  #: standard deviations by which a feature's documents must differ from the rate
 LEAST = 0.02  #: weights nearer to zero are dropped
-#: Strength of the host prior, and of the path prior below it, in documents.
-HOST_PRIOR, PATH_PRIOR = 50.0, 50.0
+#: Bounds of an estimated prior's strength in documents: with no spread between sites it would be infinite.
+WEAKEST, STRONGEST = 1.0, 1e6
 
 RUN = re.compile(r"(.)\1+")
 STRIP = re.compile(r"^\W+|\W+$")
@@ -135,6 +139,36 @@ def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def priors(paths: DataFrame, hosts: DataFrame) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
+    """Global rates, and the strengths of the priors of hosts and of paths in documents, by the method of moments.
+
+    A strength is the variance within paths over that between hosts, or between the paths of a host:
+    what a mean of so many documents varies by as much as the means of sites do.  All from sums by path and host.
+    """
+    up = hosts.agg(F.sum("h_n").alias("n"), F.count(F.lit(1)).alias("hosts"), F.sum(F.col("h_n") * F.col("h_n")).alias("hh"), F.sum(F.col("nn") / F.col("h_n")).alias("nn"), *(
+        c for t in TARGETS for c in (F.sum(f"h_{t}").alias(t), F.sum(F.col(f"h_{t}") * F.col(f"h_{t}") / F.col("h_n")).alias(f"host_{t}"), F.sum(f"between_{t}").alias(f"path_{t}")))).first()
+    down = paths.agg(F.count(F.lit(1)).alias("paths"), *(F.sum(f"sq_{t}").alias(f"sq_{t}") for t in TARGETS)).first()
+    n, rate, at_host, at_path = float(up["n"] or 0), {}, {}, {}
+    for t in TARGETS:
+        rate[t] = (float(up[t] or 0) + 0.5) / (n + 1)
+        if not n:
+            at_host[t] = at_path[t] = STRONGEST
+            continue
+        within = (down[f"sq_{t}"] - up[f"path_{t}"]) / max(1.0, n - down["paths"])
+        path = (up[f"path_{t}"] - up[f"host_{t}"] - within * (down["paths"] - up["hosts"])) / max(1.0, n - up["nn"])
+        host = (up[f"host_{t}"] - up[t] ** 2 / n - within * (up["hosts"] - 1)) / max(1.0, n - up["hh"] / n)
+        strength = lambda between: min(STRONGEST, max(WEAKEST, max(within, 1e-12) / between)) if between > 0 else STRONGEST  # noqa: E731, B023
+        at_host[t], at_path[t] = strength(host), strength(path)
+    return rate, at_host, at_path
+
+
+def site(host: str, path: str) -> tuple[Column, Column]:
+    """Host and path of a row: the first part of the host column, and the rest of it with the path column; nulls count as empty."""
+    whole, below = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (host, path))
+    first = F.substring_index(whole, "/", 1)
+    return first, F.concat(F.substring(whole, F.length(first) + 1, F.length(whole)), F.lit(":"), below)
+
+
 def verdict_key(id_col: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang") -> list[Column]:
     """Two hashes of what a verdict depends on, and the id; a null site is hashed as the empty one that it counts as."""
     parts = [F.col(id_col), F.col(text), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (host, path))]
@@ -150,8 +184,14 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     any of them don't count, and repeated ids count once each.  ``host`` and ``path`` name
     the columns of the site and of the part below it; null is a site of its own.  A null
     text counts as empty.  Without usable labels all evidence is even and all are kept.
-    An empty table gives no rows.  Other columns are not read.
+    Rows that agree in id, text and site get the same result.  An empty table gives no rows.  Other
+    columns are not read.
     """
+    with scratch(df.sparkSession):
+        return _classify(df, labels, id_col, text, host, path, threshold, sample)
+
+
+def _classify(df: DataFrame, labels: DataFrame, id_col: str, text: str, host: str, path: str, threshold: float, sample: int) -> DataFrame:
     spark = df.sparkSession
     lab = labels.select(F.col(id_col), F.col("quality").cast("int").alias("_q"), F.col("toxic").cast("int").alias("_t")).dropna().dropDuplicates()
     pick = lab.orderBy(F.xxhash64(id_col), id_col, "_q", "_t").limit(sample)
@@ -185,25 +225,24 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *batch.columns[4:], pa.array(p[:, 0]), pa.array(p[:, 1])], names=["_id", "host", "path", "_k1", "_k2", "p_low", "p_toxic"])
 
     id_type = df.schema[id_col].dataType.simpleString()
-    base = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("_text"), *verdict_key(id_col, text, host, path))
+    base = df.select(F.col(id_col).alias("_id"), *(c.alias(n) for c, n in zip(site(host, path), ("host", "path"), strict=True)), F.col(text).alias("_text"), *verdict_key(id_col, text, host, path))
     scored = materialize(base.mapInArrow(score, f"_id {id_type}, host string, path string, _k1 long, _k2 long, p_low double, p_toxic double"), "evidence")
 
-    sums = [F.count(F.lit(1)).alias("n"), F.sum("p_low").alias("low"), F.sum("p_toxic").alias("toxic")]
-    paths = scored.groupBy("host", "path").agg(*sums)
-    hosts = paths.groupBy("host").agg(*(F.sum(c).alias(f"h_{c}") for c in ("n", "low", "toxic")))
-    total = hosts.agg(F.sum("h_n"), F.sum("h_low"), F.sum("h_toxic")).first()
-    rate = {t: (float(total[i + 1] or 0) + 0.5) / (float(total[0] or 0) + 1) for i, t in enumerate(TARGETS)}
-    sites = paths.join(hosts, "host")
-    sites = broadcast_if_small(materialize(sites, "sites"), 200_000)
-    out = scored.join(sites, ["host", "path"])
+    sums = [F.count(F.lit(1)).alias("n"), *(F.sum(f"p_{t}").alias(t) for t in TARGETS), *(F.sum(F.col(f"p_{t}") * F.col(f"p_{t}")).alias(f"sq_{t}") for t in TARGETS)]
+    paths = materialize(scored.groupBy("host", "path").agg(*sums), "paths")
+    hosts = materialize(paths.groupBy("host").agg(*(F.sum(c).alias(f"h_{c}") for c in ("n", *TARGETS)), F.sum(F.col("n") * F.col("n")).alias("nn"), *(F.sum(F.col(t) * F.col(t) / F.col("n")).alias(f"between_{t}") for t in TARGETS)), "hosts")
+    rate, at_host, at_path = priors(paths, hosts)
+    sites = materialize(lookup(paths.select("host", "path", "n", *TARGETS), hosts.select("host", *(f"h_{c}" for c in ("n", *TARGETS))), ["host"]), "sites")
+    out = lookup(scored, sites, ["host", "path"], stored=True)
     for t in TARGETS:
         # the document's own evidence is left out of its site's, so it isn't counted twice
-        at_host = (F.col(f"h_{t}") - F.col(f"p_{t}") + HOST_PRIOR * rate[t]) / (F.col("h_n") - 1 + HOST_PRIOR)
-        at_path = (F.col(t) - F.col(f"p_{t}") + PATH_PRIOR * at_host) / (F.col("n") - 1 + PATH_PRIOR)
-        z = logit(F.col(f"p_{t}")) + logit(at_path) - logit(F.lit(rate[t]))
+        host_rate = (F.col(f"h_{t}") - F.col(f"p_{t}") + at_host[t] * rate[t]) / (F.col("h_n") - 1 + at_host[t])
+        path_rate = (F.col(t) - F.col(f"p_{t}") + at_path[t] * host_rate) / (F.col("n") - 1 + at_path[t])
+        z = logit(F.col(f"p_{t}")) + logit(path_rate) - logit(F.lit(rate[t]))
         out = out.withColumn(f"post_{t}", 1 / (1 + F.exp(-z)))
     kept = (F.col("post_low") <= threshold) & (F.col("post_toxic") <= threshold)
-    return out.select(F.col("_id").alias(id_col), "_k1", "_k2", "host", "path", "p_low", "p_toxic", "post_low", "post_toxic", kept.alias("kept"))
+    out = out.select(F.col("_id").alias(id_col), "_k1", "_k2", "host", "path", "p_low", "p_toxic", "post_low", "post_toxic", kept.alias("kept"))
+    return materialize(out, "verdicts", keep=True)
 
 
 _scorers: dict[str, Scorer] = {}

@@ -169,6 +169,39 @@ def test_classifier(spk):
     assert classify(docs(spk, EDGE), labels.limit(0)).count() == len(EDGE)
 
 
+def test_classifier_posteriors_match_a_loop(spk):
+    """Rates, estimated strengths and posteriors, from the evidence that the operator itself gives."""
+    import math
+
+    from rivalscope.llm import classifier as C
+
+    r = random.Random(21)
+    rows = [(i, prose(r, 30) + (" vile7" if r.random() < (0.8 if i % 4 == 0 else 0.1) else ""), ["en", "de", None][i % 3], ["a", "b/x", "b/y", "c", None][i % 5]) for i in range(600)] + [(None, None, "en", "a"), (1, "", None, None)] * 2
+    df = spk.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spk.createDataFrame([(i, 1, int("vile7" in rows[i][1])) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = C.classify(df, labels).collect()
+    assert len(got) == len(rows) and {x.host for x in got} == {"a", "b", "c", ""}
+    for t in C.TARGETS:
+        p = [x[f"p_{t}"] for x in got]
+        n, rate = len(p), (sum(p) + 0.5) / (len(p) + 1)
+        host, path = {}, {}
+        for x, v in zip(got, p, strict=True):
+            host.setdefault(x.host, []).append(v)
+            path.setdefault((x.host, x.path), []).append(v)
+        mean = lambda v: sum(v) / len(v)
+        within = sum((v - mean(g)) ** 2 for g in path.values() for v in g) / (n - len(path))
+        ssp = sum(len(g) * (mean(g) - mean(host[k[0]])) ** 2 for k, g in path.items())
+        ssh = sum(len(g) * (mean(g) - sum(p) / n) ** 2 for g in host.values())
+        between_p = (ssp - within * (len(path) - len(host))) / (n - sum(len(g) ** 2 / len(host[k[0]]) for k, g in path.items()))
+        between_h = (ssh - within * (len(host) - 1)) / (n - sum(len(g) ** 2 for g in host.values()) / n)
+        kp, kh = (min(1e6, max(1.0, within / b)) if b > 0 else 1e6 for b in (between_p, between_h))
+        logit = lambda q: math.log(min(max(q, 1e-6), 1 - 1e-6) / (1 - min(max(q, 1e-6), 1 - 1e-6)))
+        for x, v in zip(got, p, strict=True):
+            h, g = host[x.host], path[x.host, x.path]
+            at = (sum(g) - v + kp * (sum(h) - v + kh * rate) / (len(h) - 1 + kh)) / (len(g) - 1 + kp)
+            assert math.isclose(x[f"post_{t}"], 1 / (1 + math.exp(-(logit(v) + logit(at) - logit(rate)))), rel_tol=1e-4, abs_tol=1e-6)
+
+
 def test_html(spk):
     from rivalscope.llm.html import extract, labelled_pages, main_text, train
 
