@@ -127,5 +127,64 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
 
+#: Lines with a word; the shortest windows of 50 words from each line and to each line, as text; all but the first of equal ones go.
+OP2_SQL = r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+h AS (
+  SELECT doc_id, pos, line, len(regexp_extract_all(line, '\S+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq
+  FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM l) WHERE regexp_matches(line, '\S')
+), c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY seq) AS through FROM h),
+windows AS (
+  SELECT s.doc_id, s.seq AS a, min(e.seq) AS b FROM c s JOIN c e ON e.doc_id = s.doc_id AND e.seq >= s.seq AND e.through - s.through + s.w >= 50 GROUP BY 1, 2
+  UNION SELECT e.doc_id, max(s.seq), e.seq FROM c s JOIN c e ON e.doc_id = s.doc_id AND e.seq >= s.seq AND e.through - s.through + s.w >= 50 GROUP BY 1, 3
+), named AS (
+  SELECT windows.doc_id, a, b, string_agg(line, chr(10) ORDER BY seq) AS key FROM windows JOIN c ON c.doc_id = windows.doc_id AND seq BETWEEN a AND b GROUP BY ALL
+), later AS (SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, a) AS n FROM named) WHERE n > 1),
+gone AS (SELECT DISTINCT c.doc_id, c.pos FROM c JOIN later ON later.doc_id = c.doc_id AND c.seq BETWEEN a AND b),
+kept AS (
+  SELECT doc_id, list(line ORDER BY pos) AS lines FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM l) x
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = x.doc_id AND g.pos = x.pos) GROUP BY 1
+)
+SELECT l.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(kept.lines, chr(10)), '') END AS text, CAST(coalesce(len(l.lines), 0) AS BIGINT) AS n_lines,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_deleted
+FROM l LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) USING (doc_id)
+"""
+#: Every pair that shares a shingle, and all that is reachable over links.
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i : i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS g FROM d
+), s AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, links.v FROM reach JOIN links ON links.u = reach.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON a = doc_id
+"""
+
+
+def op9_sql() -> str:
+    """Each template's shingles are looked up at every position; windows as in the operator."""
+    from .licenses import PERCENT, SHINGLE, TEMPLATES
+
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    words = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+    each = f"[array_to_string(w[i : i + {SHINGLE - 1}], ' ') FOR i IN range(1, len(w) - {SHINGLE - 2})]"
+    listed = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in TEMPLATES.items())
+    return f"""
+WITH t AS (SELECT license, {words.format("text")} AS w FROM (VALUES {listed}) AS x(license, text)),
+ts AS (SELECT license, len(w) AS size, CAST(ceil(len(w) / 4) AS BIGINT) AS stride, len(list_distinct({each})) AS n, unnest(list_distinct({each})) AS g FROM t),
+d AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT doc_id, unnest({each}) AS g, unnest(range(len(w) - {SHINGLE - 1})) AS pos FROM d WHERE len(w) >= {SHINGLE}),
+hit AS (SELECT doc_id, license, n, g, unnest(range(greatest(0, CAST(ceil((pos + {SHINGLE} - (size + stride - 1)) / stride) AS BIGINT)), pos // stride + 1)) AS k FROM s JOIN ts USING (g)),
+part AS (SELECT doc_id, license, k, count(DISTINCT g) AS shared, 100.0 * count(DISTINCT g) / any_value(n) AS percent FROM hit GROUP BY 1, 2, 3 HAVING 100.0 * count(DISTINCT g) / any_value(n) >= {PERCENT}),
+best AS (SELECT doc_id, license, max(percent) AS percent, max(shared) AS shared FROM part GROUP BY 1, 2),
+found AS (SELECT doc_id, count(*) AS n, string_agg(license, ',' ORDER BY license) AS licenses, max(percent) AS percent, arg_min(license, (-shared, license)) AS name FROM best GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(licenses, '') AS licenses, coalesce(round(percent, 4), 0.0) AS best_percent, name AS best_license FROM d LEFT JOIN found USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_minhash_near_dedup": OP5_SQL, "op9_license_scan": op9_sql()}
