@@ -116,14 +116,15 @@ def proximity_matches(docs: DataFrame, words: list[str], slop: int, id_col: str
 
     Postings of the rarest word are the anchors.  For each, the shortest span around it that has
     all words is taken, the first of equals, from all postings within reach.  One row for each
-    anchor that has one.
+    anchor that has one.  No words, null or empty texts and an empty table give no rows; a word named twice counts once.
     """
+    words = list(dict.fromkeys(words))
     base = docs.select(F.col(id_col).alias("_id"), *doc_key(id_col, text), F.col(text))
     spark = docs.sparkSession
     vocabulary = spark.createDataFrame([(w,) for w in words], "term string")
     index = materialize(postings(base, vocabulary, text).filter(F.col("term") != END).distinct(), "postings")
     counts = {r["term"]: r["n"] for r in index.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a word
-    if set(words) - set(counts):
+    if not words or set(words) - set(counts):
         return index.select(F.col("_id").alias(id_col), F.col("pos").alias("start"), F.col("pos").alias("end")).limit(0)
     rare = min(words, key=lambda w: (counts[w], w))
     reach = len(words) - 1 + slop

@@ -31,6 +31,32 @@ def test_tokens(spk):
     assert encode(docs(spk, []), path, P.PATTERN).count() == 0
 
 
+def test_very_long_pretokens_and_bad_ids(spk):
+    import time
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from rivalscope.llm.bpe import Merger
+    from rivalscope.llm.tokens import decode, encode_digests
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r, merger = random.Random(2), Merger.from_ranks(path)
+    for letters in ("ACGT", "a", "ab", "abcdefghijklmnopqrstuvwxyz", "éà天"):
+        for n in (1023, 1025, 6000):
+            t = "".join(r.choice(letters) for _ in range(n))
+            assert merger.merge([t.encode()])[0].tolist() == [i for m in (t,) for i in library._encode_single_piece(m.encode())]
+    began = time.time()
+    merger.merge([bytes(r.choice(b"ACGT") for _ in range(1_000_000))])
+    assert time.time() - began < 60
+    df = spk.createDataFrame([([1, -1],), ([10**6],), ([None],), (None,), ([],)], "token_ids array<int>")
+    assert [x.decoded for x in decode(df, path, P.PATTERN).collect()] == [None, None, None, None, b""]
+    assert {x._d for x in encode_digests(docs(spk, EDGE), path, P.PATTERN).collect()} == {"d"}
+
+
 def test_line_dedup(spk):
     from rivalscope.llm.lines import dedup_lines
 
@@ -52,6 +78,13 @@ def test_line_dedup(spk):
         lines = [prose(r, r.choice([2, 7, 15, 30, 60])) for _ in range(10)] + ["", "  "]
         rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randint(1, 12)))) for i in range(30)]
         assert {x.doc_id: x.text for x in dedup_lines(docs(spk, rows), min_words=50).collect()} == brute(rows, 50)
+    # runs much longer than min_words
+    r = random.Random(5)
+    shared = [f"w{i % 70}" for i in range(160)]
+    rows = [(i, "\n".join([f"own{i}"] * r.randint(0, 3) + shared[r.randint(0, 40) : 120 + r.randint(0, 40)] + [f"end{i}"])) for i in range(4)]
+    found = dedup_lines(docs(spk, rows), min_words=50).collect()
+    assert {x.doc_id: x.text for x in found} == brute(rows, 50) and sum(x.n_deleted for x in found) > 200
+    assert {(x.n, x.key, x._n, x._d, x._k1) for x in found} == {(1, "z", 2, "d", 3)}  # clashing columns come through
     got = dedup_lines(docs(spk, EDGE)).collect()
     assert sorted((x.text is None, x.n_deleted) for x in got) == [(False, 0)] * 6 + [(True, 0)]
     assert dedup_lines(docs(spk, [])).count() == 0
@@ -117,6 +150,8 @@ def test_decontamination(spk):
     assert sorted(((x.doc_id, x.n_words, x.n_hit, x.n_items, x.contaminated) for x in got), key=key) == sorted(((i, *brute(t)) for i, t in rows), key=key)
     near = proximity_matches(docs(spk, [(1, "the red old lamp"), (2, "red a b c d e lamp")]), ["red", "lamp"], 2).collect()
     assert [(x.doc_id, x.start, x.end) for x in near] == [(1, 1, 3)]
+    assert proximity_matches(docs(spk, EDGE), [], 2).count() == proximity_matches(docs(spk, EDGE), ["one", "none"], 2).count() == 0
+    assert len(proximity_matches(docs(spk, EDGE), ["one", "one"], 0).collect()) == 2
     assert decontaminate(docs(spk, []), spk.createDataFrame([], "item_id long, text string")).count() == 0
 
 
@@ -153,6 +188,13 @@ def test_licenses(spk):
     got = {x.doc_id: x for x in scan(docs(spk, rows)).collect()}
     assert all(name in got[i].licenses.split(",") for i, name in enumerate(TEMPLATES, 10))
     assert got[100].n_licenses == got[5].n_licenses == 0
+    assert all(got[i].n_licenses == 0 and got[i].best_license is None for i in (1, 2, 3, 4, None))
+    # texts with a common opening are told apart, and changed ones are found by what is left of them
+    best = {x.doc_id: (x.best_license, x.best_percent) for x in scan(docs(spk, [(k, prose(r, 40) + " " + TEMPLATES[n] + " " + prose(r, 40)) for k, n in enumerate(n for n in TEMPLATES if n.endswith("full"))])).collect()}
+    assert [best[k] for k in sorted(best)] == [(n, 100.0) for n in TEMPLATES if n.endswith("full")]
+    w = TEMPLATES["MIT-full"].split()
+    w[40] = w[90] = "changed"
+    assert [(x.best_license, 90 < x.best_percent < 100) for x in scan(docs(spk, [(1, " ".join(w)), (1, " ".join(w))])).collect()] == [("MIT-full", True)] * 2
     assert scan(docs(spk, [])).count() == 0
 
 
