@@ -320,3 +320,21 @@ def test_pipeline_stages_judge_rows(spk, monkeypatch):
     got = rows_of(C.quality_classifier(spk, docs(spk, rows + more), ""))
     assert (None, a) in got and (301, d) in got and rows[301] in got
     assert not {(None, b + " vile7"), (301, c + " vile7")} & set(got)
+
+
+def test_pipeline_stages_on_edges_and_empty_tables(spk, monkeypatch):
+    """Each stage keeps the columns of its input but for the last one's, and clean rows whatever is null in them."""
+    import corpus_pipeline as C
+
+    rows = [(i, t, None if k % 2 else "en", None if k % 3 else "s", None) for k, (i, t) in enumerate(EDGE)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    tables = {"labels": spk.createDataFrame([], "doc_id long, quality int, toxic int"), "benchmark": spk.createDataFrame([(None, None)], "item_id long, text string")}
+    monkeypatch.setattr(C.llm, "table", lambda spark, sf_dir, name: tables[name])
+    full, none = spk.createDataFrame(rows, schema), spk.createDataFrame([], schema)
+    for name, stage in C.STAGES:
+        out, empty = stage(spk, full, "").collect(), stage(spk, none, "")
+        assert empty.count() == 0
+        if name != C.STAGES[-1][0]:
+            assert empty.columns == none.columns
+        # of the three rows "one" the near-dedup stage keeps one
+        assert len(out) == (len(rows) - 2 if "MinHash" in name else len(rows)), name
