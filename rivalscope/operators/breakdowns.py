@@ -46,7 +46,8 @@ def others(sm: DataFrame, t: Tables, same_team: bool, by_hero: bool) -> DataFram
 
 def by_player(sm: DataFrame, t: Tables, same_team: bool, min_games: int = 1) -> DataFrame:
     out = others(sm, t, same_team, False).groupBy("other_player").agg(*tally()).filter(F.col("games") >= min_games)
-    return out.join(t.players, out.other_player == t.players.id).drop("id", "other_player").withColumnRenamed("display_name", "name")
+    names = t.players.select(F.col("id").alias("other_player"), F.col("display_name").alias("name"))
+    return out.join(names, "other_player").drop("other_player")
 
 
 def by_other_hero(sm: DataFrame, t: Tables, same_team: bool) -> DataFrame:
