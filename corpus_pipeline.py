@@ -1,8 +1,14 @@
 """The corpus pipeline: five stages over ``documents``, each working on all that the one before kept.
 
 ``run`` chains the stages, writing each result as Parquet in the shared folder.  There is no
-SQL for it: byte-pair merging and the classifier's fit are not expressible; the stages are
-tested against brute force in tests/llm.
+SQL for it: byte-pair merging and the classifier's fit are not expressible.  tests/llm holds the
+line, near-dedup, decontamination and BPE stages' operators against brute force or a library, the
+classifier's posteriors against a loop, and the verdicts of the stages against small tables.
+
+For every stage: rows are judged, not ids, so null and repeated ids are safe, and rows that are equal
+share their fate (but in near-dedup, which keeps one of them).  Null and empty texts pass through all
+stages as they are, unless the classifier rejects them; columns that a stage doesn't name pass through;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rivalscope.llm import queries as llm
 from rivalscope.llm.classifier import classify, verdict_key
-from rivalscope.llm.common import broadcast_if_small, doc_key, materialize
+from rivalscope.llm.common import broadcast_if_small, doc_key, materialize, scratch
 from rivalscope.llm.decontam import decontaminate
 from rivalscope.llm.lines import dedup_lines
 from rivalscope.llm.neardup import near_duplicates
@@ -79,9 +85,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; only the last one's table stays in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, f"stage-{i + 1}")
+    with scratch(spark):
+        for i, (_, stage) in enumerate(STAGES, 1):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{i}", keep=i == len(STAGES))
     return docs
