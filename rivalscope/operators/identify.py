@@ -12,22 +12,46 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def identify(candidates: DataFrame, library: DataFrame, tolerance: int = 8, margin: int = 2) -> DataFrame:
-    """Names each candidate (id, hash) by the nearest hash of ``library`` (owner, hash).
+#: A library of at most so many hashes is broadcast and held against each candidate.
+SMALL = 20_000
 
-    The result is "none" if no owner is within ``tolerance`` bits, "ambiguous" if another owner is less than
-    ``margin`` bits farther, else "match".  Two hashes at most d bits apart agree in one of d + 1 bands,
-    so an equal-key join on bands finds all that matter: the owner and its rivals.
+
+def is_small(library: DataFrame) -> bool:
+    return library.limit(SMALL + 1).count() <= SMALL
+
+
+def meeting(candidates: DataFrame, library: DataFrame, reach: int) -> DataFrame:
+    """(id, hash, owner, _lib): all pairs at most ``reach`` bits apart, and others.
+
+    A small library is broadcast.  Otherwise hashes are cut in so many bands that two of them within reach differ by one
+    bit at most in some band: library hashes are keyed by their bands, candidates by theirs and by all that are one bit off.
     """
-    bands = tolerance + margin
+    library = library.withColumnRenamed("hash", "_lib")
+    if is_small(library):
+        return candidates.join(F.broadcast(library), F.bit_count(F.col("hash").bitwiseXOR(F.col("_lib"))) <= reach)
+    bands = reach // 2 + 1
     width, wide = divmod(64, bands)
     starts = [i * width + min(i, wide) for i in range(bands + 1)]
 
-    def banded(df: DataFrame) -> DataFrame:
-        parts = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", a).bitwiseAND(F.lit(2 ** (b - a) - 1).cast("long")).alias("bits")) for i, (a, b) in enumerate(zip(starts, starts[1:]))]
-        return df.select("*", F.explode(F.array(*parts)).alias("_p")).select(*df.columns, "_p.band", "_p.bits")
+    def keys(h: Column, flips: bool) -> Column:
+        out = []
+        for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
+            bits = F.shiftrightunsigned(h, a).bitwiseAND(F.lit(2 ** (b - a) - 1).cast("long"))
+            masks = [0, *(1 << k for k in range(b - a))] if flips else [0]
+            out += [F.struct(F.lit(i).alias("band"), bits.bitwiseXOR(F.lit(m).cast("long")).alias("bits")) for m in masks]
+        return F.explode(F.array(*out))
 
-    pairs = banded(candidates).join(banded(library.withColumnRenamed("hash", "_lib").withColumn("hash", F.col("_lib"))).drop("hash"), ["band", "bits"])
+    x = candidates.select("id", "hash", keys(F.col("hash"), True).alias("_p"))
+    return x.join(library.select("owner", "_lib", keys(F.col("_lib"), False).alias("_p")), "_p").drop("_p")
+
+
+def identify(candidates: DataFrame, library: DataFrame, tolerance: int = 8, margin: int = 2) -> DataFrame:
+    """Names each candidate (id, hash) by the nearest hash of ``library`` (owner, hash).
+
+    The result is "none" if no owner is within ``tolerance`` bits, "ambiguous" if another owner is less than
+    ``margin`` bits farther, else "match".
+    """
+    pairs = meeting(candidates, library, tolerance + margin - 1)
     near = pairs.groupBy("id", "owner").agg(F.min(distance(F.col("hash"), F.col("_lib"))).cast("long").alias("d")).filter(F.col("d") <= tolerance + margin - 1)
     w = W.partitionBy("id").orderBy("d", "owner")
     best = near.select("id", "owner", "d", F.lead("d").over(w).alias("next"), F.row_number().over(w).alias("n")).filter("n = 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..shared import materialize
 from ..sources.drafts import Drafts
 from ..sources.fixtures import SEASONS, TAGS, Tables
+from . import identify
 from .breakdowns import by, by_player, comp_shapes, overall, with_wilson
 from .running import rates, running
 
@@ -193,11 +194,20 @@ def signatures(t: Tables) -> tuple[DataFrame, DataFrame]:
 def plate_matches(seen: DataFrame, library: DataFrame, most: int = 40) -> DataFrame:
     """The nearest owner of each signature within ``most`` bits, the least of equals, with the match's confidence.
 
-    The library has one row a known player.  It is held against every signature, as bits that far apart leave
-    no key that both must share: a broadcast while it is small, else in blocks that Spark's nested loop cuts.
+    A library (owner, words) that a count proves small is broadcast.  Of another, only those are compared that agree
+    in one of ``most`` + 1 stretches of bits, as two signatures within ``most`` bits must.
     """
     far = F.aggregate(F.zip_with("words", "_words", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = seen.crossJoin(library.toDF("owner", "_words")).withColumn("distance", far).filter(F.col("distance") <= most)
+    library = library.toDF("owner", "_words")
+    if identify.is_small(library):
+        pairs = seen.crossJoin(F.broadcast(library))
+    else:
+        parts = -(-(most + 1) // 15)  # of each word
+        cuts = [32 * i // parts for i in range(parts + 1)]
+        stretch = lambda x, i: F.flatten(F.array(*(F.array(F.struct((i * parts + k).alias("part"), F.shiftright(x, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("bits"))) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))))
+        keyed = lambda df, words: df.withColumn("_p", F.explode(F.flatten(F.transform(words, stretch))))
+        pairs = keyed(seen, "words").join(keyed(library, "_words"), "_p")
+    near = pairs.withColumn("distance", far).filter(F.col("distance") <= most)
     best = near.groupBy("vec_id").agg(F.min(F.struct("distance", "owner")).alias("m"))
     return best.select("vec_id", F.col("m.owner").alias("owner"), F.col("m.distance").cast("long").alias("distance"), confidence(F.col("m.distance"), most).alias("confidence"))
 

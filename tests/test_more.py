@@ -30,3 +30,15 @@ def test_scalar_rules(spark):
         confidence(F.lit(0), 8), confidence(F.lit(8), 8), confidence(F.lit(9), 8), confidence(F.lit(0), 0), confidence(F.lit(1), 0),
     ).first()
     assert list(row) == ["a_bc" + "x" * 34, "shot", "10:05", 605, None, "data/a/b.png", 1.0, 0.5, 0.0, 1.0, 0.0]
+
+
+def test_large_libraries_give_the_same_matches(spark, monkeypatch):
+    from rivalscope.operators import identify, lists
+    from rivalscope.sources.fixtures import Tables
+
+    t = Tables(spark, SF)
+    heroes, (seen, library) = identify.hero_identify(t).collect(), lists.signatures(t)
+    plates = sorted(lists.plate_matches(seen, library).collect())
+    monkeypatch.setattr(identify, "SMALL", 0)
+    assert sorted(map(str, identify.hero_identify(t).collect())) == sorted(map(str, heroes))
+    assert sorted(lists.plate_matches(seen, library).collect()) == plates
