@@ -20,26 +20,28 @@ def rank_of(origin: Column) -> Column:
 
 
 def merge_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Merges the cells (keys, seq, value, origin) of each key in the order of ``seq``, which is unique in a key.
+    """Merges the cells (keys, seq, value, origin and, if there is one, source) of each key in the order of ``seq``, which is unique in a key.
 
     The first cell with a value holds until one with another value and a higher rank comes; equal values
-    and suggestions leave it as it is.  A manual value stays, and each later differing value is a conflict;
+    and suggestions leave it as it is.  A value whose source (without that column, whose origin) is manual stays, and each later differing value is a conflict;
     any other losing value is superseded.  Ranks rise with each change, so there are at most four holders,
     found by as many aggregates instead of a fold over a collected list.  Blank values don't take part; a
     key without values gives no row.
     """
-    full = cells.filter(F.trim(F.col("value")) != "").withColumn("rank", rank_of(F.col("origin")))
-    held = F.struct("seq", "value", "origin", "rank")
+    manual = F.coalesce(F.col("source" if "source" in cells.columns else "origin") == "manual", F.lit(False))
+    full = cells.filter(F.trim(F.col("value")) != "").withColumns({"rank": rank_of(F.col("origin")), "manual": manual})
+    full = full.withColumn("holds", F.when(F.col("manual"), TOP).otherwise(F.col("rank")))  # what another value has to outrank
+    held = F.struct("seq", "value", "origin", "holds", "manual")
     first = full.groupBy(*keys).agg(F.min_by(held, "seq").alias("h"))
     spans = first.withColumn("level", F.lit(0))
     for level in range(1, TOP + 1):
-        after = full.join(first, keys).filter((F.col("seq") > F.col("h.seq")) & (F.col("value") != F.col("h.value")) & (F.col("rank") > F.col("h.rank")) & ~F.coalesce(F.col("origin") == SUGGESTION, F.lit(False)))
+        after = full.join(first, keys).filter((F.col("seq") > F.col("h.seq")) & (F.col("value") != F.col("h.value")) & (F.col("rank") > F.col("h.holds")) & ~F.coalesce(F.col("origin") == SUGGESTION, F.lit(False)))
         first = after.groupBy(*keys).agg(F.min_by(held, "seq").alias("h"))
         spans = spans.union(first.withColumn("level", F.lit(level)))
     steps = spans.groupBy(*keys).agg(F.array_sort(F.collect_list("h")).alias("holders"))  # four at most
     rows = full.join(steps, keys).withColumn("at", F.try_element_at(F.filter("holders", lambda h: h["seq"] < F.col("seq")), F.lit(-1)))
     against = F.col("at").isNotNull() & (F.col("value") != F.col("at.value")) & ~F.coalesce(F.col("origin") == SUGGESTION, F.lit(False))
-    manual = F.coalesce(F.col("at.origin") == "manual", F.lit(False))
+    manual = F.coalesce(F.col("at.manual"), F.lit(False))
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     last = F.element_at(F.first("holders"), -1)
     return rows.groupBy(*keys).agg(last["value"].alias("value"), last["origin"].alias("origin"), n(against & manual).alias("conflicts"), n(against & ~manual).alias("superseded"))

@@ -83,6 +83,13 @@ def test_merge_cells(spark):
     assert got == {"a": ("z", "manual", 1, 2), "c": ("u", None, 0, 1)}
 
 
+def test_merge_cells_by_source(spark):
+    """A typed value stays whatever its origin; one that a template read is outranked."""
+    cells = [(1, "a", "x", "in_game_scoreboard", "manual"), (2, "a", "y", "endgame_report", "template"), (1, "b", "x", "in_game_scoreboard", "template"), (2, "b", "y", "endgame_report", "template"), (1, "c", "x", "endgame_report", "template"), (2, "c", "y", None, "manual")]
+    got = {r.k: tuple(r)[1:] for r in merge_cells(spark.createDataFrame(cells, "seq long, k string, value string, origin string, source string"), ["k"]).collect()}
+    assert got == {"a": ("x", "in_game_scoreboard", 1, 0), "b": ("y", "endgame_report", 0, 1), "c": ("x", "endgame_report", 0, 1)}
+
+
 def test_identify(spark):
     lib = spark.createDataFrame([(1, 0), (2, -1), (3, 2**9 - 1)], "owner long, hash long")
     cand = spark.createDataFrame([(1, 0), (2, 2**4 - 1), (3, -(2**63)), (4, 2**30 - 1), (5, -(2**9))], "id long, hash long")
