@@ -16,7 +16,7 @@ ROW_FIELDS = ["player_name", "role", "hero_id", *STATS]
 
 def blank(c: str) -> Column:
     """Null, or text without any character but white space."""
-    return F.col(c).isNull() | F.col(c).cast("string").rlike(r"^\s*$")
+    return F.col(c).isNull() | F.col(c).cast("string").rlike(r"(?U)^\s*$")
 
 
 def populated(d: Drafts) -> DataFrame:
@@ -81,7 +81,7 @@ def resolved(d: Drafts) -> DataFrame:
     New players get ids above all old ones, in the order of the first row that names them.
     """
     names = d.t.players.select(F.col("id").alias("_known"), F.col("display_name").alias("_name"))
-    rows = populated(d).join(valid(d).select("draft_id", "match_id"), "draft_id").withColumn("_name", F.when(~blank("player_name"), F.trim("player_name")))
+    rows = populated(d).join(valid(d).select("draft_id", "match_id"), "draft_id").withColumn("_name", F.when(~blank("player_name"), F.regexp_replace("player_name", r"(?U)^\s+|\s+$", "")))
     rows = rows.join(names, "_name", "left")
     new = rows.filter("player_id IS NULL AND _known IS NULL AND _name IS NOT NULL").groupBy("_name").agg(F.min("row_id").alias("_first")).withColumn("_one", F.lit(1))
     number = global_rank(new, ["_first"], "_one", "_new").select("_name", "_new")

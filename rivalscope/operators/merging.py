@@ -29,7 +29,7 @@ def merge_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     key without values gives no row.
     """
     manual = F.coalesce(F.col("source" if "source" in cells.columns else "origin") == "manual", F.lit(False))
-    full = cells.filter(F.trim(F.col("value")) != "").withColumns({"rank": rank_of(F.col("origin")), "manual": manual})
+    full = cells.filter(F.col("value").rlike(r"(?U)\S")).withColumns({"rank": rank_of(F.col("origin")), "manual": manual})
     full = full.withColumn("holds", F.when(F.col("manual"), TOP).otherwise(F.col("rank")))  # what another value has to outrank
     held = F.struct("seq", "value", "origin", "holds", "manual")
     first = full.groupBy(*keys).agg(F.min_by(held, "seq").alias("h"))
