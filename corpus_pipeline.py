@@ -25,10 +25,15 @@ from rivalscope.llm.neardup import near_duplicates
 from rivalscope.llm.tokens import encode_digests
 
 
+def whole(docs: DataFrame, *more: Column) -> DataFrame:
+    """The rows of ``docs`` as one column ``_row``, so that no column of theirs clashes with ``more``."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *more)
+
+
 def keep(docs: DataFrame, key: list[Column], verdicts: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose own verdict (_k1, _k2, kept) is to keep; ``key`` gives _k1 and _k2 of a row."""
     good = verdicts.filter("kept").select("_k1", "_k2").distinct()
-    return docs.select("*", *key).join(good.hint("shuffle_hash"), ["_k1", "_k2"], "left_semi").select(*docs.columns)
+    return whole(docs, *key).join(good.hint("shuffle_hash"), ["_k1", "_k2"], "left_semi").select("_row.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +55,14 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     rows = found.groupBy("_group", "_id", "_tk").agg(F.count(F.lit(1)).alias("_n"))
     best = rows.filter("_group is not null").groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_tk", "_n")).alias("b")).select("b._id", "b._tk", "b._n")
     winners = materialize(best.union(rows.filter("_group is null").select("_id", "_tk", F.lit(1).alias("_n"))), "winners")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    keyed = whole(docs, F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_key"))
 
     def of(some: DataFrame) -> DataFrame:
-        return keyed.join(some, keyed.doc_id.eqNullSafe(some._id) & (keyed._key == some._tk), "left_semi")
+        return keyed.join(some, keyed._doc.eqNullSafe(some._id) & (keyed._key == some._tk), "left_semi")
 
     once, more = winners.filter("_n = 1"), winners.filter("_n > 1")
-    again = of(broadcast_if_small(more, 300_000)).dropDuplicates(["doc_id", "_key"])  # rows equal in id and text
-    return of(once.hint("shuffle_hash")).union(again).select(*docs.columns)
+    again = of(broadcast_if_small(more, 300_000)).dropDuplicates(["_doc", "_key"])  # rows equal in id and text
+    return of(once.hint("shuffle_hash")).union(again).select("_row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
