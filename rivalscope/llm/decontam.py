@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, doc_key, materialize
+from .common import ascii_lower, broadcast_if_small, doc_key, materialize, scratch
 
 #: What lies between words: all ASCII but 0-9, A-Z and a-z.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -88,6 +88,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     have no words; repeated item ids count once; all items with a null id count as one in n_items and
     are left out of the list that items_sha256 is of.  Rows that agree in id and text get the same result.  Empty tables: no rows, or no hits.
     """
+    with scratch(docs.sparkSession):
+        return materialize(_decontaminate(docs, items, id_col, text, item_id, item_text, window, one_in), "decontaminated", keep=True)
+
+
+def _decontaminate(docs: DataFrame, items: DataFrame, id_col: str, text: str, item_id: str, item_text: str, window: int, one_in: int) -> DataFrame:
     base = docs.select(F.col(id_col).alias("_id"), *doc_key(id_col, text), F.col(text))
     windows = item_windows(items, item_id, item_text, window).distinct()
     windows = materialize(windows.withColumn("pid", F.xxhash64("words")), "windows")
