@@ -2,51 +2,80 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or, where it is unset (tests), one below the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
+    Only a session in one process (tests) may do without it; tables then lie below its warehouse.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return found.rstrip("/")
+
+
+class Run:
+    """One call of an operator: the folder of its tables, and the run that called it."""
+
+    def __init__(self, spark: SparkSession, outer: Run | None):
+        self.spark, self.outer = spark, outer
+        self.folder = f"{shared_dir(spark)}/rivalscope/{uuid.uuid4().hex}"
+
+    def remove(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-_owned: list[list[str]] = []  #: folders of the operators that now run, innermost last
+
+#: The innermost run of this thread; other threads have runs of their own.
+_run: ContextVar[Run | None] = ContextVar("run", default=None)
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives executor loss.
 
-    Inside ``scratch`` the folder is removed at its end, unless ``keep`` says that the result still reads it.
+    Inside ``scratch`` the table goes with it at its end.  With ``keep`` it is a result: it lives as long as
+    the run that called this one, or, where there is none, until the folder is cleared, as outside ``scratch``.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rivalscope/{name}-{uuid.uuid4().hex}"
+    spark, run = df.sparkSession, _run.get()
+    owner = run.outer if run and keep else run
+    path = f"{owner.folder if owner else shared_dir(spark) + '/rivalscope/results'}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _owned and not keep:
-        _owned[-1].append(path)
-    elif len(_owned) > 1:  # an operator's result lives as long as what called the operator
-        _owned[-2].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end what ``materialize`` wrote inside it and was not told to keep."""
-    mine: list[str] = []
-    _owned.append(mine)
+    """Removes at its end what ``materialize`` wrote inside it and was not told to keep; runs may nest and go on in several threads."""
+    run = Run(spark, _run.get())
+    token = _run.set(run)
     try:
         yield
     finally:
-        _owned.remove(mine)
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for p in mine:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
+        _run.reset(token)
+        run.remove()
+
+
+def stored(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that writes tables on its way: they are removed at its end, and its result is written too, as it would read them."""
+
+    @functools.wraps(operator)
+    def whole(*args: object, **named: object) -> DataFrame:
+        with scratch(SparkSession.active()):
+            return materialize(operator(*args, **named), operator.__name__, keep=True)
+
+    return whole
 
 
 def partitions_for(df: DataFrame) -> int:
