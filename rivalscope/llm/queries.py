@@ -90,6 +90,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import group_spellings
+
+    return group_spellings(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -102,6 +120,9 @@ def queries() -> dict[str, Query]:
         "op8_token_counts": op8_token_counts,
         "op9_license_scan": op9_license_scan,
         "op10_sharding": op10_sharding,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_source_mixing": op13_source_mixing,
     }
 
 
@@ -186,5 +207,45 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(licenses
 """
 
 
+#: Every document is scored for every item that shares a term with it.
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), d AS (SELECT doc_id, row, CAST(len(w) AS BIGINT) AS n, w FROM t WHERE len(w) > 0),
+facts AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS length FROM d),
+q AS (
+  SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), p AS (
+  SELECT doc_id, row, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, row, n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), weights AS (SELECT term, CAST(floor(1000 * ln((2.0 * docs + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS weight FROM p, facts GROUP BY term, docs),
+scores AS (
+  SELECT item_id, text, doc_id, row, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length)))) AS BIGINT) AS score
+  FROM p JOIN weights USING (term) JOIN q USING (term), facts GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 50
+"""
+
+
+#: The level of the water in closed form: sources in the order in which they fill; the first that holds at its own level.
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][place % 3 + 1] AS weight, 2.0 * source_size AS cap, 1.5 * sum(source_size) OVER () AS budget FROM s),
+c AS (
+  SELECT *, row_number() OVER fill AS turn, coalesce(sum(cap) OVER (fill ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken,
+    sum(weight) OVER (fill ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w WINDOW fill AS (ORDER BY cap / weight, place)
+), l AS (SELECT arg_min((budget - taken) / rest, turn) FILTER ((budget - taken) / rest * weight <= cap) AS high FROM c),
+t AS (SELECT source, source_size, CAST(least(cap, weight * high) AS DOUBLE) AS target FROM w, l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM t),
+o AS (
+  SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY md5('20250114:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) - size AS before FROM d
+)
+SELECT doc_id, size, source_size, target, CAST(copies * size + greatest(0, least(size, CAST(round(target) AS BIGINT) - copies * source_size - before)) AS BIGINT) AS taken,
+  o.source, copies, CAST(greatest(0, least(size, CAST(round(target) AS BIGINT) - copies * source_size - before)) AS BIGINT) AS part_words
+FROM o JOIN e ON o.source IS NOT DISTINCT FROM e.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_minhash_near_dedup": OP5_SQL, "op9_license_scan": op9_sql()}
+    return {"op1_decontamination": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_minhash_near_dedup": OP5_SQL, "op9_license_scan": op9_sql(), "op12_ranked_search": OP12_SQL, "op13_source_mixing": OP13_SQL}
