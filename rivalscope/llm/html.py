@@ -1,7 +1,8 @@
 """Main-text extraction by a linear-chain conditional random field over leaf blocks (operator 4).
 
 A page is cut into leaf blocks: the text between block-level tags, with its ancestors.
-Each block has features of its ancestors' tags and class and id words, and of its text.
+Each block has features of its ancestors' tags and class and id words, of its text, and of the element that it shares with
+others.  No feature decides alone, and names on what holds most of a page count apart, as they can't tell its parts.
 The field is trained on labelled pages (by default those of ``labelled_pages``, a bounded
 number of made-up layouts whose labels are known) and decoded by Viterbi.
 """
@@ -35,13 +36,13 @@ LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>")  #: for what follows
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
-COMMON = {"in html", "in body", "in div", "in p"}
+COMMON = {"html", "body", "div", "p"}
 
 
 #: Names that made-up pages give to the parts of a page: of main text, and of the rest.
 MAIN = [
     "article", "article", "article", "main", "main", "div content", "div post body", "div entry content", "section article", "div main text", "article post", "div story", "div article body", "section content", "div page content", "div copy", "div blog post",
-    "div news text", "div prose", "article story", "main content",
+    "div news text", "div prose", "article story", "main content", "div text body", "div post content", "div rich text",
 ]
 REST = [
     "nav", "nav menu", "header", "header site", "div header", "footer", "div footer", "aside", "aside sidebar", "div sidebar", "div ad", "div ads", "div advert", "div banner", "section comments", "div comments", "div comment",
@@ -49,18 +50,20 @@ REST = [
     "div replies", "div reader responses", "section discussion", "ol reply thread", "div disclaimer", "div legal", "div copyright", "div privacy", "div terms", "div signup", "div toolbar", "div pagination", "div pager", "div recommended", "div trending", "div popular",
     "div widget", "div modal", "div overlay", "div donate", "div alert", "div masthead", "div topbar", "div navbar", "div crumbs", "ul links", "div archive", "ul categories", "ul tags", "div advertisement", "aside promotion", "div warning", "div feedback", "section reviews", "div rail",
 ]
-#: The part of made-up elements whose names say nothing, so that text and neighbours are learned from too.
-NAMELESS = 0.15
-#: What tells a part of a page by itself.  Where an ancestor has one of these, little is asked of the text.
-TELLING = {f"in {t}" for t in "article main nav header footer aside form".split()} | {f"word {w}" for name in MAIN + REST for w in name.split()[1:]}
+#: Words that stand before or after such names where they speak of the whole page or of what an article is about.
+AROUND = ["has", "with", "no", "is", "page", "site", "layout", "single", "fixed", "left", "right", "open", "wrapper", "container", "theme", "wide", "about", "the", "new", "film", "law", "guide", "explained", "best", "history"]
+WIDE = 0.75  #: an element that holds this part of a page's words can't tell its parts from each other: its names count apart
 
 
 class Block(NamedTuple):
     text: str
-    path: float | tuple[str, ...]  #: weight of the ancestors, or their features
+    element: int  #: the innermost open element, -1 if there is none
     linked: int  #: characters inside links
-    room: int  #: number of the innermost element that holds blocks
-    told: bool  #: whether an ancestor's tag or name is one of TELLING
+
+
+class Page(NamedTuple):
+    blocks: list[Block]
+    elements: list[tuple[str, list[str], int]]  #: tag, words of its names, and the element around it
 
 
 class Pieces:
@@ -123,46 +126,32 @@ class Pieces:
                 yield "open", name, m[3]
 
 
-def blocks(page: str, weights: dict[str, float] | None = None) -> list[Block]:
-    """The leaf blocks of a page in order: references decoded, white space made one space, empty ones left out.
-
-    With ``weights`` the ancestors' features are summed as elements open and close, so depth costs nothing.
-    """
+def parse(page: str) -> Page:
+    """The leaf blocks of a page in order (references decoded, white space made one space, empty ones left out) and all its elements."""
     out: list[Block] = []
-    stack: list[tuple[str, list[str], int]] = []  # tag, features, room outside
+    elements: list[tuple[str, list[str], int]] = []
+    stack: list[int] = []
     block_at: list[int] = []  # places of the block elements in the stack
     open_tags: dict[str, int] = {}
-    active: dict[str, int] = {}
-    total, room, rooms, linked, told = 0.0, 0, 0, 0, 0
     text: list[str] = []
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                parent = f"parent {stack[block_at[-1]][0] if block_at else 'none'}"
-                path = tuple(sorted({*active, parent})) if weights is None else total + weights.get(parent, 0.0)
-                out.append(Block(joined, path, linked, room, told > 0))
+                out.append(Block(joined, stack[-1] if stack else -1, linked))
             text.clear()
             linked = 0
 
     def pop(to: int) -> None:
-        nonlocal total, room, told
         if block_at and block_at[-1] >= to:
             flush()
         while len(stack) > to:
-            tag, own, outside = stack.pop()
-            open_tags[tag] -= 1
-            room = outside
+            open_tags[elements[stack.pop()][0]] -= 1
             if block_at and block_at[-1] == len(stack):
                 block_at.pop()
-            for f in own:
-                active[f] -= 1
-                told -= f in TELLING
-                if not active[f]:
-                    del active[f]
-                    total -= weights.get(f, 0.0) if weights else 0.0
 
     for kind, tag, rest in Pieces(page):
         if kind == "text":
@@ -172,7 +161,7 @@ def blocks(page: str, weights: dict[str, float] | None = None) -> list[Block]:
                 linked += len(t.strip())
         elif kind == "close":
             if open_tags.get(tag):
-                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if elements[stack[i]][0] == tag))
             elif tag in BLOCK:
                 flush()
         else:
@@ -182,73 +171,137 @@ def blocks(page: str, weights: dict[str, float] | None = None) -> list[Block]:
                 flush()
                 ends = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
                 for i in reversed(block_at):
-                    if stack[i][0] in ends:
+                    if elements[stack[i]][0] in ends:
                         pop(i)
                         break
-                    if stack[i][0] != "p":
+                    if elements[stack[i]][0] != "p":
                         break
             if tag not in VOID and not (rest.endswith("/") and "=" not in rest[rest.rfind(" ") :]):
-                words = [w.lower() for found in NAMES.findall(rest) for w in WORDS.findall("".join(found))]
-                own = [f for f in {f"in {tag}" if tag in BLOCK else "", *(f"word {w}" for w in words)} - COMMON if f]
-                for f in own:
-                    if f not in active:
-                        active[f] = 0
-                        total += weights.get(f, 0.0) if weights else 0.0
-                    active[f] += 1
-                    told += f in TELLING
+                words = [] if tag in ("html", "body") else sorted({w.lower() for found in NAMES.findall(rest) for w in WORDS.findall("".join(found))})
+                elements.append((tag, words, stack[-1] if stack else -1))
                 if tag in BLOCK:
                     block_at.append(len(stack))
-                stack.append((tag, own, room))
+                stack.append(len(elements) - 1)
                 open_tags[tag] = open_tags.get(tag, 0) + 1
-                if tag in ROOM:
-                    rooms += 1
-                    room = rooms
     flush()
+    return Page(out, elements)
+
+
+def named(page: Page) -> list[list[str]]:
+    """For each element the features that it gives to all blocks inside: its tag and names, apart where it holds most of the page."""
+    inside = [0] * len(page.elements)
+    for b in page.blocks:
+        if b.element >= 0:
+            inside[b.element] += b.text.count(" ") + 1
+    for i in range(len(page.elements) - 1, -1, -1):  # an element comes after that around it
+        outer = page.elements[i][2]
+        if outer >= 0:
+            inside[outer] += inside[i]
+    least = WIDE * sum(b.text.count(" ") + 1 for b in page.blocks)
+    out = []
+    for (tag, words, _), n in zip(page.elements, inside, strict=True):
+        wide = "wide " if n >= least else ""
+        out.append([*([f"{wide}in {tag}"] if tag in BLOCK and tag not in COMMON else []), *(f"{wide}word {w}" for w in words)])
+    return out
+
+
+def paths(page: Page, weights: dict[str, float] | None = None) -> list:
+    """For each element what it and those around it give, each feature once: the features, or with ``weights`` their sum, in time that doesn't grow with depth."""
+    active: dict[str, int] = {}
+    stack: list[tuple[int, list[str]]] = []
+    out: list = []
+    for i, own in enumerate(named(page)):
+        outer = page.elements[i][2]
+        while stack and stack[-1][0] != outer:
+            for f in stack.pop()[1]:
+                active[f] -= 1
+                if not active[f]:
+                    del active[f]
+        new = [f for f in dict.fromkeys(own) if f not in active]
+        for f in own:
+            active[f] = active.get(f, 0) + 1
+        stack.append((i, own))
+        if weights is None:
+            out.append([*active])
+        else:
+            out.append((out[outer] if outer >= 0 else 0.0) + sum(weights.get(f, 0.0) for f in new))
     return out
 
 
-def text_features(found: list[Block]) -> list[list[str]]:
-    """For each block of a page: features of its text, and of all text in its room."""
-    n = len(found)
+def rooms(page: Page) -> tuple[list[int], list[int]]:
+    """The room of each block, and the room around each: the innermost element that holds blocks; 0 is the page, element i is i + 1."""
+    room = [0]
+    for i, (tag, _, outer) in enumerate(page.elements):
+        room.append(i + 1 if tag in ROOM else room[outer + 1])
+    around = [0, *(room[outer + 1] for _, _, outer in page.elements)]
+    return [room[b.element + 1] for b in page.blocks], around
+
+
+def text_features(page: Page) -> tuple[list[list[str]], list[int]]:
+    """For each block features of its text, of its own element, of all text in its room, and of where the room lies to the one with most text; and whether the block before is in the same room."""
+    found, (own_room, around) = page.blocks, rooms(page)
     words = [b.text.count(" ") + 1 for b in found]
-    links = [int(4 * b.linked / max(1, len(b.text))) for b in found]
+    links = [min(1.0, b.linked / len(b.text)) for b in found]
     size, link, many = {}, {}, {}
-    for b, w in zip(found, words, strict=True):
-        size[b.room] = size.get(b.room, 0) + w
-        link[b.room] = link.get(b.room, 0) + b.linked / max(1, len(b.text)) * w
-        many[b.room] = many.get(b.room, 0) + 1
-    band = lambda k: min(7, k.bit_length())
-    out = []
+    for r, w, k in zip(own_room, words, links, strict=True):
+        size[r] = size.get(r, 0) + w
+        link[r] = link.get(r, 0.0) + k * w
+        many[r] = many.get(r, 0) + 1
+    most = max(size, key=lambda r: size[r] - link[r], default=0)
+    above = {0}
+    r = around[most] if most else 0
+    while r:
+        above.add(r)
+        r = around[r]
+    below: dict[int, bool] = {}
+
+    def under(r: int) -> bool:
+        trail = []
+        while r and r != most and r not in below:
+            trail.append(r)
+            r = around[r]
+        inside = r == most or below.get(r, False)
+        below.update(dict.fromkeys(trail, inside))
+        return inside
+
+    first = next((i for i, r in enumerate(own_room) if r == most), 0)
+    band = lambda k: min(7, int(k).bit_length())
+    total, out = sum(words), []
     for i, b in enumerate(found):
-        t, w = b.text, words[i]
-        own = [
-            f"words {band(w)}", f"linked {links[i]}", f"stop {t[-1] in '.!?'}", f"mark {t[0] in '©®'}", f"commas {min(3, 20 * t.count(',') // w)}",
-            f"sentences {min(4, t.count('. ') + t.count('! ') + t.count('? '))}",
-            f"room words {band(size[b.room] >> 2)}", f"room blocks {min(4, many[b.room].bit_length())}", f"room linked {int(4 * link[b.room] / size[b.room])}",
-        ]
-        out.append(own[:4] if b.told else [f"plain {f}" for f in own])
-    return out
+        t, w, r = b.text, words[i], own_room[i]
+        tag, names, outer = page.elements[b.element] if b.element >= 0 else ("none", [], -1)
+        at = "most" if r == most else "over" if r in above else "under" if under(r) else "beside" if around[r] == around[most] and r else "far"
+        at += "" if at in ("most", "under") else " before" if i < first else " after"
+        out.append([
+            f"own {tag}", f"parent {page.elements[outer][0] if outer >= 0 else 'none'}", *(f"own word {x}" for x in names),
+            f"words {band(w)}", f"linked {int(4 * links[i])}", f"stop {t[-1] in '.!?…。'}", f"mark {t[0] in '©®'}", f"commas {min(3, 20 * t.count(',') // w)}",
+            f"sentences {min(4, t.count('. ') + t.count('! ') + t.count('? '))}", f"room words {band(size[r] >> 2)}", f"room blocks {min(4, many[r].bit_length())}",
+            f"room linked {int(4 * link[r] / size[r])}", f"room share {int(5 * size[r] / total)}", f"at {at}", f"at {at} {min(3, band(w >> 1))}",
+        ])
+    same = [int(i > 0 and own_room[i] == own_room[i - 1]) for i in range(len(found))]
+    return out, same
 
 
 class Field:
-    """Two labels (0 rest, 1 main): a weight for each feature, for each change of label, and for the first label."""
+    """Two labels (0 rest, 1 main): a weight for each feature, and for each change of label, within a room and between rooms."""
 
     def __init__(self, weights: dict[str, float], moves: np.ndarray):
         self.weights, self.moves = weights, moves
 
-    def scores(self, found: list[Block]) -> list[float]:
-        w = self.weights
-        paths = [b.path if isinstance(b.path, float) else sum(w.get(f, 0.0) for f in b.path) for b in found]
-        return [p + sum(w.get(f, 0.0) for f in own) for p, own in zip(paths, text_features(found), strict=True)]
+    def scores(self, page: Page) -> tuple[list[float], list[int]]:
+        w, outer = self.weights, paths(page, self.weights)
+        own, same = text_features(page)
+        return [sum(w.get(f, 0.0) for f in fs) + (outer[b.element] if b.element >= 0 else 0.0) for fs, b in zip(own, page.blocks, strict=True)], same
 
-    def decode(self, found: list[Block]) -> list[int]:
+    def decode(self, page: Page) -> list[int]:
         """Viterbi."""
-        if not found:
+        if not page.blocks:
             return []
-        (a00, a01), (a10, a11) = self.moves.tolist()
-        first, *rest = self.scores(found)
-        s0, s1, back = 0.0, first, []
-        for score in rest:
+        moves = self.moves.tolist()
+        scores, same = self.scores(page)
+        s0, s1, back = 0.0, scores[0], []
+        for score, k in zip(scores[1:], same[1:], strict=True):
+            (a00, a01), (a10, a11) = moves[k]
             from0 = (s0 + a00 < s1 + a10, s0 + a01 < s1 + a11)
             s0, s1 = max(s0 + a00, s1 + a10), max(s0 + a01, s1 + a11) + score
             back.append(from0)
@@ -260,12 +313,16 @@ class Field:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 120, decay: float = 2e-4) -> Field:
+def train(pages: list[tuple[Page, list[int]]], rounds: int = 120, decay: float = 2e-4) -> Field:
     """Maximum conditional likelihood with a quadratic penalty: forward-backward on each page, Adagrad over all."""
     index: dict[str, int] = {}
-    rows = [[[index.setdefault(f, len(index)) for f in (*b.path, *own)] for b, own in zip(found, text_features(found), strict=True)] for found, _ in pages]
-    w, moves = np.zeros(len(index)), np.zeros((2, 2))
-    gw, gm = np.full(len(index), 1e-8), np.full((2, 2), 1e-8)
+    rows, sames = [], []
+    for page, _ in pages:
+        outer, (own, same) = paths(page), text_features(page)
+        rows.append([[index.setdefault(f, len(index)) for f in (*fs, *(outer[b.element] if b.element >= 0 else []))] for fs, b in zip(own, page.blocks, strict=True)])
+        sames.append(same)
+    w, moves = np.zeros(len(index)), np.zeros((2, 2, 2))
+    gw, gm = np.full(len(index), 1e-8), np.full((2, 2, 2), 1e-8)
     # pages of a length are run together
     by_length: dict[int, list[int]] = {}
     for i, r in enumerate(rows):
@@ -275,27 +332,29 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 120, decay:
         if n:
             flat = np.concatenate([np.array(f, np.int64) for i in ids for f in rows[i]])
             owner = np.repeat(np.arange(len(ids) * n), [len(f) for i in ids for f in rows[i]])
-            batches.append((n, len(ids), flat, owner, np.array([pages[i][1] for i in ids])))
+            batches.append((n, len(ids), flat, owner, np.array([pages[i][1] for i in ids]), np.array([sames[i] for i in ids])))
     for _ in range(rounds):
         g, m = decay * w * len(pages), decay * moves * len(pages)
-        for n, k, flat, owner, y in batches:
+        for n, k, flat, owner, y, same in batches:
             e = np.zeros((k, n, 2))
             e[:, :, 1] = np.bincount(owner, w[flat], k * n).reshape(k, n)
+            step = moves[same]  # page, block, label before, label
             fwd, bwd = np.zeros((k, n, 2)), np.zeros((k, n, 2))
             fwd[:, 0] = e[:, 0]
             for t in range(1, n):
-                fwd[:, t] = e[:, t] + np.logaddexp(fwd[:, t - 1, :1] + moves[0], fwd[:, t - 1, 1:] + moves[1])
+                fwd[:, t] = e[:, t] + np.logaddexp(fwd[:, t - 1, :1] + step[:, t, 0], fwd[:, t - 1, 1:] + step[:, t, 1])
             for t in range(n - 2, -1, -1):
                 nxt = e[:, t + 1] + bwd[:, t + 1]
-                bwd[:, t] = np.logaddexp(moves[None, :, 0] + nxt[:, :1], moves[None, :, 1] + nxt[:, 1:])
+                bwd[:, t] = np.logaddexp(step[:, t + 1, :, 0] + nxt[:, :1], step[:, t + 1, :, 1] + nxt[:, 1:])
             z = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])[:, None]
             p = np.exp(fwd[:, :, 1] + bwd[:, :, 1] - z)
             g += np.bincount(flat, (p - y).ravel()[owner], len(w))
             for a in (0, 1):
                 for b in (0, 1):
                     if n > 1:
-                        pair = np.exp(fwd[:, :-1, a] + moves[a, b] + e[:, 1:, b] + bwd[:, 1:, b] - z)
-                        m[a, b] += pair.sum() - ((y[:, :-1] == a) & (y[:, 1:] == b)).sum()
+                        pair = np.exp(fwd[:, :-1, a] + step[:, 1:, a, b] + e[:, 1:, b] + bwd[:, 1:, b] - z) - ((y[:, :-1] == a) & (y[:, 1:] == b))
+                        for kind in (0, 1):
+                            m[kind, a, b] += pair[same[:, 1:] == kind].sum()
         gw += g * g
         gm += m * m
         w -= 0.3 * g / np.sqrt(gw)
@@ -303,10 +362,15 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 120, decay:
     return Field({f: float(w[i]) for f, i in index.items()}, moves)
 
 
-def labelled_pages(number: int = 500, seed: int = 7, nameless: float = NAMELESS) -> list[tuple[list[Block], list[int]]]:
-    """Made-up pages of many layouts, with the label of each block.  Main text is marked by a private character while cutting."""
+def labelled_pages(number: int = 900, seed: int = 7, nameless: float = 0.2) -> list[tuple[Page, list[int]]]:
+    """Made-up pages of many layouts, with the label of each block.  Main text is marked by a private character while cutting.
+
+    Names of parts may say nothing (``nameless``) or, of an article, speak of other things; wrappers around the whole page bear
+    names of its parts; some pages have one element, or no markup at all.
+    """
     r = random.Random(seed)
-    mark = ""
+    mark = "\ue000"
+    loose = [w for name in MAIN + REST for w in name.split()[1:]]
 
     def word() -> str:
         if r.random() < 0.03:
@@ -321,48 +385,91 @@ def labelled_pages(number: int = 500, seed: int = 7, nameless: float = NAMELESS)
             left -= n
         return " ".join(out) if r.random() < 0.8 else " ".join(out)[:-1]
 
+    def nonsense() -> str:
+        return "".join(r.choice("bcdfghklmnprstvz") + r.choice("aeiou") for _ in range(r.randint(2, 3)))
+
+    def misleading() -> str:
+        return r.choice(["-", " ", "_"]).join(r.choice([r.choice(AROUND), r.choice(AROUND), r.choice(loose), nonsense()]) for _ in range(r.randint(1, 4)))
+
+    def tagged(tag: str, names: str, inner: str) -> str:
+        quote = chr(34) if r.random() < 0.8 else "'"
+        return f"<{tag}{f' {r.choice(["class", "id", "class"])}={quote}{names}{quote}' if names else ''}>{inner}</{tag}>"
+
     def element(name: str, inner: str) -> str:
         tag, *rest = name.split()
         if rest and r.random() < nameless:
-            rest = ["".join(r.choice("bcdfghklmnprstvz") + r.choice("aeiou") for _ in range(3)) for _ in rest]
-        return f'<{tag}{f" {r.choice(["class", "id", "class"])}={chr(34)}{r.choice(["-", " "]).join(rest)}{chr(34)}" if rest else ""}>{inner}</{tag}>'
+            rest = [nonsense() for _ in rest]
+        return tagged(tag, r.choice(["-", " "]).join(rest), inner)
 
     def rest_part() -> str:
         kind = r.random()
         if kind < 0.35:
             inner = "<ul>" + "".join(f'<li><a href="/">{words(1, 4)}</a></li>' for _ in range(r.randint(1, 7))) + "</ul>"
+        elif kind < 0.45:
+            inner = " ".join(f'<a href="/">{words(1, 4)}</a>' for _ in range(r.randint(1, 7)))
         elif kind < 0.7:
             inner = r.choice(["", "<p>"]) + r.choice(["", "", "&copy; "]) + words(1, r.choice([5, 10, 30]))
+        elif kind < 0.8:
+            inner = "".join(f"<h3>{words(1, 3)}</h3>" * (r.random() < 0.3) + tagged(r.choice(["div", "li", "article"]), r.choice(["", "", "comment", "reply"]), f"<p>{words(3, 60)}</p>" * r.randint(1, 2)) for _ in range(r.randint(1, 4)))
+            return tagged(*r.choice([("section", "comments"), ("div", "comments"), ("ol", "comment-list"), ("div", "discussion"), ("div", "replies")]), inner)
         else:
             inner = "".join(f"<{t}>{words(1, r.choice([5, 12, 40]))}</{t}>" for t in r.choices(["p", "h2", "h3", "div", "p"], k=r.randint(1, 4)))
         return element(r.choice(REST), inner)
 
-    def main_part(name: str) -> str:
-        parts = [f"<{t}>{mark}{words(1, 9)}</{t}>" for t in r.choices(["h1", "h2"], k=r.random() < 0.8)]
+    def paragraphs() -> str:
+        parts, tags = [], r.choice([["p"] * 8 + ["h2", "h3", "blockquote", "li", "pre", "td"], ["p"], ["div"], ["p"] * 5 + ["h2", "li", "figcaption"]])
+        high = r.choice([[3, 20, 120, 400], [12, 25], [60, 200]])
         for _ in range(r.randint(1, 9)):
-            tag = r.choice(["p"] * 8 + ["h2", "h3", "blockquote", "li", "pre", "td"])
-            body = mark + words(1, r.choice([3, 20, 120, 400]))
+            tag = r.choice(tags)
+            if tag == "li":
+                parts.append("<ul>" + "".join(f"<li>{mark}{words(1, r.choice([4, 12]))}</li>" for _ in range(r.randint(1, 7))) + "</ul>")
+                continue
+            body = mark + words(1, r.choice(high))
             if r.random() < 0.2:
                 body += f' <a href="/">{words(1, 3)}</a>'
-            parts.append({"li": f"<ul><li>{body}</li></ul>", "td": f"<table><tr><td>{body}</td></tr></table>"}.get(tag, f"<{tag}>{body}</{tag}>"))
-            if r.random() < 0.12:
+            parts.append({"td": f"<table><tr><td>{body}</td></tr></table>", "figcaption": f"<figure><figcaption>{body}</figcaption></figure>"}.get(tag, f"<{tag}>{body}</{tag}>"))
+            if r.random() < 0.08:
                 parts.append(rest_part())
-        inner = "".join(parts)
-        return element(name, f"<div>{inner}</div>" if r.random() < 0.3 else inner)
+        return "".join(parts)
+
+    def main_part() -> str:
+        kind = r.random()
+        if kind < 0.06:
+            return "<br><br>".join(mark + words(5, 60) if k == 0 else words(5, 60) for k in range(r.randint(1, 4)))
+        inner = "".join(f"<{t}>{mark}{words(1, 9)}</{t}>" for t in r.choices(["h1", "h2"], k=r.random() < 0.8))
+        if r.random() < 0.25:
+            inner += "".join(tagged(r.choice(["section", "div"]), r.choice(["", "", nonsense()]), paragraphs()) for _ in range(r.randint(1, 3)))
+        else:
+            inner += paragraphs()
+        if r.random() < 0.3:
+            inner = f"<div>{inner}</div>"
+        if kind < 0.2:
+            return tagged(r.choice(["article", "article", "main", "div"]), misleading(), inner)
+        if kind < 0.32:
+            return tagged("div", r.choice(["", nonsense(), nonsense()]), inner)
+        if kind < 0.36:
+            return inner
+        return element(r.choice(MAIN), inner)
 
     out, commas = [], 0.0
     for _ in range(number):
         commas = r.choice([0.0, 0.03, 0.1, 0.2])
-        middle = main_part(r.choice(MAIN)) if r.random() < 0.95 else f"<div>{main_part(r.choice(MAIN))}</div>"
-        page = "".join(rest_part() for _ in range(r.randint(0, 4))) + middle + "".join(rest_part() for _ in range(r.randint(0, 4)))
-        found = blocks(f"<html><body>{page}</body></html>")
-        out.append(([b._replace(text=b.text.replace(mark, "")) for b in found], [int(b.text.startswith(mark)) for b in found]))
+        if r.random() < 0.03:
+            html = mark + words(5, 300)
+        else:
+            page = "".join(rest_part() for _ in range(r.randint(0, 4))) + main_part() + "".join(rest_part() for _ in range(r.randint(0, 4)))
+            for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+                page = tagged(*(("form", r.choice(["", "aspnetForm", "form1"])) if r.random() < 0.1 else (r.choice(["div", "div", "section", "main"]), misleading())), page)
+            html = f"<html><body{r.choice(['', f' class={chr(34)}{misleading()}{chr(34)}'])}>{page}</body></html>"
+        found = parse(html)
+        labels = [int(b.text.startswith(mark)) for b in found.blocks]
+        out.append((found._replace(blocks=[b._replace(text=b.text.replace(mark, "")) for b in found.blocks]), labels))
     return out
 
 
-def main_text(page: str, field: Field) -> str:
-    found = blocks(page, field.weights)
-    return "\n".join([b.text for b, label in zip(found, field.decode(found), strict=True) if label])
+def main_text(html: str, field: Field) -> str:
+    page = parse(html)
+    return "\n".join([b.text for b, label in zip(page.blocks, field.decode(page), strict=True) if label])
 
 
 def extract(df: DataFrame, html: str = "html", field: Field | None = None) -> DataFrame:
@@ -381,5 +488,5 @@ def extract(df: DataFrame, html: str = "html", field: Field | None = None) -> Da
         for batch in batches:
             yield pa.array([main_text(p or "", f) for p in batch.to_pylist()], pa.string())
 
-    rest = [c for c in df.columns if c not in ("text", "n_chars")]
-    return df.select(*rest, text(F.col(html)).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("text", "n_chars")]
+    return df.select(*rest, text(F.col(f"`{html}`")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))

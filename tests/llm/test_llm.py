@@ -250,10 +250,10 @@ def test_html(spk):
     field = train(labelled_pages())
     fresh = labelled_pages(100, seed=99)
     hits = [a == b for found, y in fresh for a, b in zip(field.decode(found), y, strict=True)]
-    assert sum(hits) >= 0.97 * len(hits)
+    assert sum(hits) >= 0.96 * len(hits)
     nameless = labelled_pages(100, seed=98, nameless=1.0)  # no class or id that says anything: tags and text must do
     hits = [a == b for found, y in nameless for a, b in zip(field.decode(found), y, strict=True)]
-    assert sum(hits) >= 0.85 * len(hits)
+    assert sum(hits) >= 0.92 * len(hits)
     long = "<body><div class='qx'><h1>One</h1>" + "".join(f"<p>{'word ' * 60}end. Another sentence, with words.</p>" for _ in range(5)) + "</div><div class='disclaimer'>All rights reserved.</div></body>"
     assert "reserved" not in main_text(long, field) and main_text(long, field).count("Another") == 5
     page = '<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy now.</div><article><h1>A &amp; B</h1><p>One\n two &lt;3.<br>Three.<p>Four five six seven eight nine.</p></article><footer>&copy; us</footer><script>if (a</script></body>'
@@ -263,23 +263,51 @@ def test_html(spk):
     assert got == {1: (want, len(want)), 2: ("", 0), 3: ("", 0)}
 
 
-def test_html_reads_broken_pages_in_linear_time():
+def test_html_gold_pages(spk):
+    """Hand-written pages: by characters of blocks that are right, whole."""
+    from collections import Counter
+
+    from rivalscope.llm.html import extract
+
+    from .gold_pages import pages
+
+    gold = list(pages())
+    assert len(gold) >= 45
+    df = spk.createDataFrame([(k, html) for k, (html, _) in enumerate(gold)] * 2, "`page.id` int, html string")
+    got = [(r["page.id"], r.text, r.n_chars) for r in extract(df).collect()]
+    assert len(got) == 2 * len(gold) and len(set(got)) == len(gold) and all(n == len(t) for _, t, n in got)
+    right = found = wanted = 0
+    for k, text, _ in set(got):
+        a, b = Counter(text.split("\n")), Counter(gold[k][1].split("\n"))
+        right += sum(len(x) * n for x, n in (a & b).items())
+        found, wanted = found + len(text), wanted + len(gold[k][1])
+        assert k >= 10 or text == gold[k][1], k  # names of parts on wrappers, articles named for what they are about, no names, no markup
+    assert right >= 0.97 * found and right >= 0.97 * wanted
+
+
+def test_html_reads_broken_pages_in_linear_time(spk):
     import time
 
-    from rivalscope.llm.html import blocks
+    from rivalscope.llm.html import Field, extract, main_text, parse
+
+    assert [b.text for b in parse('<p>One</p><p class="a>Two</p><p>Three</p>').blocks] == ["One", "Two", "Three"]
+    assert [b.text for b in parse("a < b <3 c<p title=x/>d").blocks] == ["a < b <3 c", "d"]
+    import numpy as np
 
-    assert [b.text for b in blocks('<p>One</p><p class="a>Two</p><p>Three</p>')] == ["One", "Two", "Three"]
-    assert [b.text for b in blocks("a < b <3 c<p title=x/>d")] == ["a < b <3 c", "d"]
+    field = Field({"own p": 1.0}, np.zeros((2, 2, 2)))
     began = time.time()
-    for bad in ('<a "', "<svg>", "<b>x", '<div class="x y">', "<p ", "<script>", "</i>", "<title", "<!--", "<i><p>y"):
-        blocks(bad * (1_000_000 // len(bad)), {})
-    assert time.time() - began < 60
+    for bad in ('<a "', "<svg>", "<b>x", '<div class="x y">', "<div>x", "<p ", "<script>", "</i>", "<title", "<!--", "<i><p>y", "<li>x<ul>"):
+        main_text(bad * (1_000_000 // len(bad)), field)
+    assert time.time() - began < 90
+    long = spk.createDataFrame([(1, "<p>" + "word " * 400_000 + "</p>"), (2, "<div>" * 50_000 + "x")], "page_id int, html string")
+    assert [x.n_chars for x in extract(long, field=field).orderBy("page_id").collect()] == [1_999_999, 0]
+    assert extract(long.limit(0), field=field).count() == 0
 
 
 def test_html_keeps_what_follows_silent_elements():
-    from rivalscope.llm.html import blocks, labelled_pages, main_text, train
+    from rivalscope.llm.html import labelled_pages, main_text, parse, train
 
-    text = lambda page: [b.text for b in blocks(page)]
+    text = lambda page: [b.text for b in parse(page).blocks]
     for name in ('<svg class="i"/>', "<svg/>", "<math/>", "<video-player src='a'></video-player>", "<title-card></title-card>", "<object-x></object-x>", "<template-x>", "<video src=a>", "<canvas>", "<svg><path d='M0'/>", "<svg><text>no</text></svg>", "<video>no</VIDEO >"):
         assert text(f"<p>One.</p>{name}<p>Three.</p>") == ["One.", "Three."], name
     assert text("<p>a <math><mi>x</mi></math> b <object data=u>c</object></p>") == ["a x b c"]
