@@ -1,5 +1,8 @@
 """Quality rules with n-gram perplexity bands (operator 7).
 
+A text has to lie in two bands of its language: the perplexity of the whole text, and the part of its segments that
+are odd, which a passage in another language isn't, but one that hardly any document has anything like.
+
 A modified Kneser-Ney character trigram model of each language is counted over all its
 documents by Spark aggregation: no characters are folded, no document or language is left
 out, and the model grows with the corpus.  Each trigram's log probability lies in a table
@@ -20,15 +23,17 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, lookup, materialize, scratch
 
 WINDOW = 8
-#: A text's score is this quantile over its segments of so many characters: passages quoted in another language don't count as noise.
-QUANTILE, SEGMENT = 0.25, 64
-HOT = 1 << 20  #: trigrams that are broadcast, 12 MB; the result doesn't depend on it
+SEGMENT = 64  #: characters that are judged together for oddness
+HOT = 1 << 20  #: trigrams that are broadcast, 16 MB; the result doesn't depend on it
 FLUSH = 1 << 20  #: distinct trigrams that a counting task holds before it passes its sums on
-#: Bands: median +- (ABOVE or BELOW) * spread, spread being 1.4826 times the median absolute
-#: deviation, plus LENGTH / sqrt(characters), as short texts scatter more.
-BELOW, ABOVE, LENGTH = 6.0, 6.0, 6.0
+#: Bands: median +- (ABOVE, BELOW or ODD) * spread, spread being 1.4826 times the median absolute
+#: deviation, plus LENGTH / sqrt(characters) for perplexity, as short texts scatter more, and SMALL / sqrt(the
+#: language's segments) for oddness, as what few documents write is rare by chance.
+BELOW, ABOVE, ODD, LENGTH, SMALL = 6.0, 5.0, 6.0, 6.0, 8.0
 #: The spread of a language is pooled with that of all as if the latter had been seen on this many documents.
 POOL = 50.0
+#: The part of odd segments that a text may have, and what is added over the root of their number.
+TOLERATED, FEW_SEGMENTS = 0.2, 0.6
 #: The part of a language's own model in what its texts are scored by, the rest being the model of all documents:
 #: a passage quoted in another language isn't noise.
 OWN = 0.5
@@ -90,44 +95,48 @@ def discount(c: str, sums: DataFrame) -> tuple[DataFrame, Column]:
 
 
 def kneser_ney(found: DataFrame) -> DataFrame:
-    """(lang, gram, n, logp) from (lang, gram, n, docs): interpolated modified Kneser-Ney of order three.
+    """(lang, gram, n, logp) from (lang, gram, n): interpolated modified Kneser-Ney of order three.
 
-    What is left of a count after discounting is damped by the part of the documents that hold the
-    trigram, and the rest is given to the lower order: every document counts, but what many write in
-    few documents, such as markup or capitals, stays unlikely.  The lowest order is add-one-half over
-    the language's characters.  All trigrams of the corpus have a row, so scoring meets no unknown one.
+    The lowest order is add-one-half over the language's characters.  All trigrams of the corpus have a row, so scoring meets no unknown one.
     """
     head, tail, last = F.shiftright("gram", BITS), F.col("gram").bitwiseAND((1 << 2 * BITS) - 1), (1 << BITS) - 1
-    most = found.groupBy("lang").agg(F.max("docs").alias("most"))
-    third = materialize(found.join(broadcast_if_small(most, 10_000), "lang").select("lang", "gram", "n", (F.col("docs") / F.col("most")).alias("spread"), head.alias("head"), tail.alias("tail")), "trigrams")
+    third = materialize(found.select("lang", "gram", "n", head.alias("head"), tail.alias("tail")), "trigrams")
     # order two: how many characters come before a pair
-    pairs = materialize(third.groupBy("lang", "tail").agg(F.count(F.lit(1)).cast("double").alias("kinds"), F.max("spread").alias("spread")), "pairs")
+    pairs = materialize(third.groupBy("lang", "tail").agg(F.count(F.lit(1)).cast("double").alias("kinds")), "pairs")
     pairs = pairs.withColumns({"b": F.shiftright("tail", BITS), "c": F.col("tail").bitwiseAND(last)})
     ones = pairs.groupBy("lang", "c").agg(F.count(F.lit(1)).cast("double").alias("k1"))
     total = ones.groupBy("lang").agg((F.sum("k1") + F.count(F.lit(1)) / 2).alias("all1"))
     facts, d = discount("kinds", pairs)
-    pairs = pairs.join(facts.join(total, "lang"), "lang").withColumn("d", F.col("kinds") - (F.col("kinds") - F.least(d, "kinds")) * F.col("spread"))
+    pairs = pairs.join(facts.join(total, "lang"), "lang").withColumn("d", F.least(d, "kinds"))
     by_b = pairs.groupBy("lang", "b").agg(F.sum("kinds").alias("all2"), F.sum("d").alias("left2"))
     low = pairs.join(by_b, ["lang", "b"]).join(ones, ["lang", "c"])
     p2 = (F.col("kinds") - F.col("d")) / F.col("all2") + F.col("left2") / F.col("all2") * (F.col("k1") + 0.5) / F.col("all1")
     low = materialize(low.select("lang", "tail", p2.alias("p2")), "pair-probabilities")
     # order three
     facts, d = discount("n", third)
-    third = third.join(broadcast_if_small(facts, 10_000), "lang").withColumn("d", F.col("n") - (F.col("n") - F.least(d, F.col("n").cast("double"))) * F.col("spread"))
+    third = third.join(broadcast_if_small(facts, 10_000), "lang").withColumn("d", F.least(d, F.col("n").cast("double")))
     by_head = third.groupBy("lang", "head").agg(F.sum("n").alias("all3"), F.sum("d").alias("left3"))
     whole = third.join(by_head, ["lang", "head"]).join(low, ["lang", "tail"])
     p3 = (F.col("n") - F.col("d")) / F.col("all3") + F.col("left3") / F.col("all3") * F.col("p2")
     return whole.select("lang", "gram", "n", F.log(p3).alias("logp"))
 
 
+def rarities(found: DataFrame) -> DataFrame:
+    """(gram, rarity): minus the logarithm of the part of a language's documents that have the trigram, in the language that has it most."""
+    most = found.groupBy("lang").agg(F.max("docs").alias("most"))
+    part = found.join(broadcast_if_small(most, 10_000), "lang").groupBy("gram").agg(F.max(F.col("docs") / F.col("most")).alias("part"))
+    return part.select("gram", (-F.log("part")).alias("rarity"))
+
+
 def models(found: DataFrame) -> DataFrame:
-    """(lang, gram, n, logp): each language's model, interpolated with that of all documents."""
-    every = found.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    named = found.withColumn("lang", F.concat(F.lit("="), "lang")).unionByName(every.withColumn("lang", F.lit("*")))
+    """(lang, gram, n, logp, rarity): each language's model, interpolated with that of all documents, and the trigrams' rarities."""
+    every = found.groupBy("gram").agg(F.sum("n").alias("n"))
+    named = found.select(F.concat(F.lit("="), "lang").alias("lang"), "gram", "n").unionByName(every.withColumn("lang", F.lit("*")))
     both = materialize(kneser_ney(materialize(named, "all-ngrams")), "kneser-ney")
     own = both.filter("lang <> '*'").withColumn("lang", F.expr("substring(lang, 2)"))
     pool = both.filter("lang = '*'").select("gram", F.col("logp").alias("pooled"))
-    return own.join(pool, "gram").select("lang", "gram", "n", F.log(OWN * F.exp("logp") + (1 - OWN) * F.exp("pooled")).alias("logp"))
+    joined = own.join(pool, "gram").join(rarities(found), "gram")
+    return joined.select("lang", "gram", "n", F.log(OWN * F.exp("logp") + (1 - OWN) * F.exp("pooled")).alias("logp"), "rarity")
 
 
 def keys(lang: str, g: np.ndarray) -> np.ndarray:
@@ -143,30 +152,32 @@ def segments(n: int) -> np.ndarray:
 
 
 class HashArrays:
-    """Log probabilities in arrays sorted by hash."""
+    """Log probabilities and rarities in arrays sorted by hash."""
 
     def __init__(self, table: pa.Table):
-        langs, g, logp = table["lang"].to_pylist(), table["gram"].to_numpy(), table["logp"].to_numpy()
+        langs, g = table["lang"].to_pylist(), table["gram"].to_numpy()
         key = np.zeros(len(g), np.uint64)
         names = np.array(langs, object)
         for k in set(langs):
             mine = names == k
             key[mine] = keys(k, g[mine])
         order = np.argsort(key)
-        self.key, self.logp = key[order], logp[order].astype(np.float32)
-        clash = self.key[1:] == self.key[:-1]  # two trigrams of one hash are left to the table
+        key = key[order]
+        clash = key[1:] == key[:-1]  # two trigrams of one hash are left to the table
         keep = np.ones(len(key), bool)
         keep[1:] &= ~clash
         keep[:-1] &= ~clash
-        self.key, self.logp = self.key[keep], self.logp[keep]
+        self.key = key[keep]
+        self.logp, self.rarity = (table[c].to_numpy()[order].astype(np.float32)[keep] for c in ("logp", "rarity"))
 
-    def find(self, lang: str, g: np.ndarray) -> np.ndarray:
-        """Log probabilities; nan where the arrays have none."""
+    def find(self, lang: str, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities and rarities; nan where the arrays have none."""
         key = keys(lang, g)
         if not len(self.key):
-            return np.full(len(g), np.nan)
+            return np.full(len(g), np.nan), np.full(len(g), np.nan)
         at = np.searchsorted(self.key, key).clip(max=len(self.key) - 1)
-        return np.where(self.key[at] == key, self.logp[at].astype(np.float64), np.nan)
+        same = self.key[at] == key
+        return tuple(np.where(same, x[at].astype(np.float64), np.nan) for x in (self.logp, self.rarity))
 
 
 def base_facts(text: str) -> tuple[int, int, int, int, int]:
@@ -212,10 +223,11 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row for each input row: id, the base facts, base_failed, kept, perplexity and its bands.
+    """One row for each input row: id, the base facts, base_failed, kept, perplexity and its band, odd (the part of odd segments) and odd_most.
 
-    ``perplexity`` is that of a text's characters in the model of its language, in the lower
-    quartile of its segments, which every text has that isn't empty.  Null and empty texts have no words and fail the base rules.
+    ``perplexity`` is that of all characters of a text in the model of its language, which every text has that isn't empty.
+    A segment is odd if its characters' mean rarity is far above the median of its language's segments.
+    Null and empty texts have no words and fail the base rules.
     A null language is a language of its own.  A language's bands lie around the median of its
     documents; the fewer they are, the more the spread is that of all languages.  Rows that agree
     in text and language get the same result.  An empty table gives no rows.  Other columns are not read.
@@ -224,13 +236,23 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text: str = "text", lan
         return _quality_rules(df, id_col, text, lang)
 
 
+def bands(rows: DataFrame, value: str) -> DataFrame:
+    """(_lang, n, mid, spread) of ``value``, from mergeable sketches over all of ``rows``; a language has one row."""
+    mid = materialize(rows.groupBy("_lang").agg(F.percentile_approx(value, 0.5, 2000).alias("mid"), F.count(value).alias("n")), "medians")
+    off = rows.join(broadcast_if_small(mid, 100_000), "_lang").withColumn("off", F.abs(F.col(value) - F.col("mid")))
+    mad = off.groupBy("_lang").agg(F.first("mid").alias("mid"), F.first("n").alias("n"), F.percentile_approx("off", 0.5, 2000).alias("mad"))
+    pooled = off.agg(F.percentile_approx("off", 0.5, 2000)).first()[0] or 0.0
+    spread = 1.4826 * F.sqrt((F.col("n") * F.pow(F.coalesce("mad", F.lit(0.0)), 2) + POOL * pooled**2) / (F.col("n") + POOL))
+    return broadcast_if_small(materialize(mad.select("_lang", "n", "mid", spread.alias("spread")), "bands"), 100_000)
+
+
 def _quality_rules(df: DataFrame, id_col: str, text: str, lang: str) -> DataFrame:
     spark = df.sparkSession
     found = materialize(counts(df, lang, text), "ngrams")
     model = materialize(models(found), "models")
     size = model.count()
     hot = model if size <= HOT else model.orderBy(F.desc("n"), "lang", "gram").limit(HOT)
-    arrays = HashArrays(hot.select("lang", "gram", "logp").toArrow())  # HOT rows at most
+    arrays = HashArrays(hot.select("lang", "gram", "logp", "rarity").toArrow())  # HOT rows at most
     shared = spark.sparkContext.broadcast(arrays)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,55 +262,55 @@ def _quality_rules(df: DataFrame, id_col: str, text: str, lang: str) -> DataFram
                 part = batch.slice(at, 250)
                 langs, texts = part.column(2).to_pylist(), [t or "" for t in part.column(3).to_pylist()]
                 cols = list(zip(*map(base_facts, texts), strict=True))
-                logs, sums, rare = ([None] * len(texts) for _ in range(3))
+                logs, odd, rare = ([None] * len(texts) for _ in range(3))
                 for k in set(langs):
                     mine = [i for i, x in enumerate(langs) if x == k and texts[i]]
                     if not mine:
                         continue
                     each = [grams(texts[i]) for i in mine]
                     kinds, pos = np.unique(np.concatenate(each), return_inverse=True)
-                    p = arrays.find(k, kinds)
+                    p, r = arrays.find(k, kinds)
                     absent = np.isnan(p)
-                    own = np.where(absent, 0.0, -p)[pos]
+                    nats, rarity, absent = np.where(absent, 0.0, -p)[pos], np.where(absent, 0.0, r)[pos], absent[pos]
                     ends = np.cumsum([*map(len, each)])
                     for i, g, end in zip(mine, each, ends, strict=True):
                         here = slice(end - len(g), end)
                         cut = segments(len(g))
-                        nats = np.add.reduceat(own[here], cut)
-                        if absent[pos[here]].any():
-                            odd = np.flatnonzero(absent[pos[here]])
-                            sums[i] = nats.tolist()
-                            rare[i] = [{"seg": int(np.searchsorted(cut, q, "right") - 1), "gram": int(g[q])} for q in odd]
-                        else:
-                            logs[i] = float(np.quantile(nats / np.diff([*cut, len(g)]), QUANTILE))
-                out = [*part.columns[:3], *(pa.array(c, pa.int64()) for c in cols), pa.array(logs, pa.float64()), pa.array(list(map(len, texts)), pa.int64()), pa.array(sums, pa.list_(pa.float64())), pa.array(rare, pa.list_(pa.struct([("seg", pa.int32()), ("gram", pa.int64())])))]
-                yield pa.RecordBatch.from_arrays(out, names=["_id", "_row", "_lang", *BASE, "_lp", "_size", "_sums", "_rare"])
+                        logs[i] = float(nats[here].sum())
+                        odd[i] = (np.add.reduceat(rarity[here], cut) / np.diff([*cut, len(g)])).astype(np.float32)
+                        if absent[here].any():
+                            rare[i] = [{"seg": int(np.searchsorted(cut, q, "right") - 1), "gram": int(g[q])} for q in np.flatnonzero(absent[here])]
+                out = [*part.columns[:3], *(pa.array(c, pa.int64()) for c in cols), pa.array(logs, pa.float64()), pa.array(list(map(len, texts)), pa.int64()), pa.array(odd, pa.list_(pa.float32())), pa.array(rare, pa.list_(pa.struct([("seg", pa.int32()), ("gram", pa.int64())])))]
+                yield pa.RecordBatch.from_arrays(out, names=["_id", "_row", "_lang", *BASE, "_nats", "_size", "_odd", "_rare"])
 
     rows = df.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang"), F.col(text).alias("_text"))
     id_type = df.schema[id_col].dataType.simpleString()
-    scored = rows.mapInArrow(score, f"_id {id_type}, _row long, _lang string, {', '.join(f'{c} long' for c in BASE)}, _lp double, _size long, _sums array<double>, _rare array<struct<seg: int, gram: long>>")
+    scored = rows.mapInArrow(score, f"_id {id_type}, _row long, _lang string, {', '.join(f'{c} long' for c in BASE)}, _nats double, _size long, _odd array<float>, _rare array<struct<seg: int, gram: long>>")
     scored = materialize(scored, "perplexity")
     rest = scored.select("_row", F.col("_lang").alias("lang"), F.explode("_rare").alias("x")).select("_row", "lang", "x.*")
+    segs = scored.select("_row", "_lang", F.size("_odd").alias("_n"), "_size", F.posexplode("_odd").alias("seg", "value"))
     if not rest.isEmpty():
-        more = lookup(materialize(rest, "rare-trigrams"), model.select("lang", "gram", "logp"), ["lang", "gram"], stored=True).groupBy("_row", "seg").agg(F.sum("logp").alias("more"))
-        parts = scored.filter("_sums is not null").select("_row", "_size", F.posexplode("_sums").alias("seg", "nats")).join(more, ["_row", "seg"], "left")
-        least, last = F.col("seg") * SEGMENT, F.greatest(F.lit(1), F.floor(F.col("_size") / SEGMENT)) - 1
-        width = F.when(F.col("seg") == last, F.col("_size") - least).otherwise(SEGMENT)
-        found = parts.groupBy("_row").agg(F.percentile((F.col("nats") - F.coalesce("more", F.lit(0.0))) / width, QUANTILE).alias("_found"))
-        scored = materialize(scored.drop("_rare", "_sums").join(found, "_row", "left").withColumn("_lp", F.coalesce("_lp", "_found")).drop("_found"), "perplexity")
-
-    # medians come from mergeable sketches over all documents; a language has one row
-    mid = materialize(scored.groupBy("_lang").agg(F.percentile_approx("_lp", 0.5, 2000).alias("_mid"), F.count("_lp").alias("_docs")), "medians")
-    off = scored.join(broadcast_if_small(mid, 100_000), "_lang").withColumn("_off", F.abs(F.col("_lp") - F.col("_mid")))
-    mad = materialize(off.groupBy("_lang").agg(F.first("_mid").alias("_mid"), F.first("_docs").alias("_docs"), F.percentile_approx("_off", 0.5, 2000).alias("_mad")), "bands")
-    pooled = off.agg(F.percentile_approx("_off", 0.5, 2000)).first()[0] or 0.0
-    spread = 1.4826 * F.sqrt((F.col("_docs") * F.pow(F.coalesce("_mad", F.lit(0.0)), 2) + POOL * pooled**2) / (F.col("_docs") + POOL))
-    out = scored.join(broadcast_if_small(mad.select("_lang", "_mid", spread.alias("_spread")), 100_000), "_lang")
+        more = lookup(materialize(rest, "rare-trigrams"), model.select("lang", "gram", "logp", "rarity"), ["lang", "gram"], stored=True)
+        more = materialize(more.groupBy("_row", "seg").agg(F.sum("logp").alias("logp"), F.sum("rarity").alias("rarity")), "rare-segments")
+        width = F.when(F.col("seg") == F.col("_n") - 1, F.col("_size") - F.col("seg") * SEGMENT).otherwise(SEGMENT)
+        segs = segs.join(more.drop("logp"), ["_row", "seg"], "left").withColumn("value", F.col("value") + F.coalesce(F.col("rarity") / width, F.lit(0.0)))
+        late = more.groupBy("_row").agg(F.sum("logp").alias("_late"))
+        scored = scored.join(late, "_row", "left").withColumn("_nats", F.col("_nats") - F.coalesce("_late", F.lit(0.0)))
+        segs = materialize(segs, "segments")
+    scored = scored.withColumn("_lp", F.col("_nats") / F.col("_size")).drop("_rare", "_odd")
+
+    far = bands(segs, "value").select("_lang", (F.col("mid") + ODD * F.col("spread") + SMALL / F.sqrt("n")).alias("_far"))
+    odd = segs.join(far, "_lang").groupBy("_row").agg(F.avg((F.col("value") > F.col("_far")).cast("int")).alias("odd"), F.count(F.lit(1)).alias("_segments"))
+    scored = scored.join(odd, "_row", "left")
+    out = scored.join(bands(scored, "_lp").drop("n"), "_lang")
     slack = LENGTH / F.sqrt(F.greatest(F.col("_size"), F.lit(1)))
-    out = out.withColumns({"ppl_low": F.exp(F.col("_mid") - BELOW * F.col("_spread") - slack), "ppl_high": F.exp(F.col("_mid") + ABOVE * F.col("_spread") + slack), "perplexity": F.exp("_lp")})
+    out = out.withColumns({
+        "ppl_low": F.exp(F.col("mid") - BELOW * F.col("spread") - slack), "ppl_high": F.exp(F.col("mid") + ABOVE * F.col("spread") + slack),
+        "perplexity": F.exp("_lp"), "odd_most": TOLERATED + FEW_SEGMENTS / F.sqrt(F.greatest(F.col("_segments"), F.lit(1))),
+    })
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    inside = F.col("perplexity").between(F.col("ppl_low"), F.col("ppl_high"))
-    out = out.select(F.col("_id").alias(id_col), *BASE, failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), "perplexity", "ppl_low", "ppl_high")
+    inside = F.col("perplexity").between(F.col("ppl_low"), F.col("ppl_high")) & (F.col("odd") <= F.col("odd_most"))
+    out = out.select(F.col("_id").alias(id_col), *BASE, failed.alias("base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias("kept"), "perplexity", "ppl_low", "ppl_high", "odd", "odd_most")
     return materialize(out, "quality", keep=True)
 
 

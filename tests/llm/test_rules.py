@@ -25,14 +25,13 @@ def test_base_facts():
         assert base_facts(t) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), repeats(w))
 
 
+def trigrams(t):
+    return [("\n\n" + t)[p : p + 3] for p in range(len(t))]
+
+
 def brute_model(texts):
-    """{trigram: probability} of one language, term by term from the formulas."""
-    n, docs_with = Counter(), Counter()
-    for t in texts:
-        g = [("\n\n" + t)[p : p + 3] for p in range(len(t))]
-        n.update(g)
-        docs_with.update(set(g))
-    most = max(docs_with.values())
+    """{trigram: probability} of one language, term by term from the formulas of modified Kneser-Ney."""
+    n = Counter(g for t in texts for g in trigrams(t))
 
     def discounts(c):
         of = Counter(c.values())
@@ -40,18 +39,17 @@ def brute_model(texts):
         return {k: max(0, k - (k + 1) * y * of[k + 1] / of[k]) if of[k] else 0 for k in (1, 2, 3)}
 
     kinds2 = Counter(g[1:] for g in n)
-    spread2 = {t: max(docs_with[g] for g in n if g[1:] == t) / most for t in kinds2}
     kinds1 = Counter(t[1] for t in kinds2)
     p1 = {c: (kinds1[c] + 0.5) / (sum(kinds1.values()) + len(kinds1) / 2) for c in kinds1}
     d = discounts(kinds2)
-    d2 = {t: k - (k - min(k, d[min(3, k)])) * spread2[t] for t, k in kinds2.items()}
+    d2 = {t: min(k, d[min(3, k)]) for t, k in kinds2.items()}
     p2 = {}
     for t, k in kinds2.items():
         same = [u for u in kinds2 if u[0] == t[0]]
         total = sum(kinds2[u] for u in same)
         p2[t] = (k - d2[t]) / total + sum(d2[u] for u in same) / total * p1[t[1]]
     d = discounts(n)
-    d3 = {g: k - (k - min(k, d[min(3, k)])) * docs_with[g] / most for g, k in n.items()}
+    d3 = {g: min(k, d[min(3, k)]) for g, k in n.items()}
     p3 = {}
     for g, k in n.items():
         same = [u for u in n if u[:2] == g[:2]]
@@ -60,14 +58,12 @@ def brute_model(texts):
     return p3
 
 
-def quantile(values, q):
+def median(values):
     v = sorted(values)
-    at = q * (len(v) - 1)
-    low = int(at)
-    return v[low] + (at - low) * (v[min(low + 1, len(v) - 1)] - v[low])
+    return v[(len(v) - 1) // 2]
 
 
-def test_model_and_perplexity_match_brute_force(spk, monkeypatch):
+def test_model_and_bands_match_brute_force(spk, monkeypatch):
     """Also with few trigrams broadcast, when most are looked up in the table."""
     from rivalscope.llm import rules
 
@@ -76,15 +72,47 @@ def test_model_and_perplexity_match_brute_force(spk, monkeypatch):
     rows = [(100 * j + i, t, k) for j, (k, ts) in enumerate(texts.items()) for i, t in enumerate(ts)]
     df = spk.createDataFrame(rows, "doc_id long, text string, lang string")
     own, pool = {k: brute_model(ts) for k, ts in texts.items()}, brute_model([t for _, t, _ in rows])
-    want = {}
-    for i, t, k in rows:
-        nats = [-math.log(rules.OWN * own[k][g] + (1 - rules.OWN) * pool[g]) for g in (("\n\n" + t)[p : p + 3] for p in range(len(t)))]
-        cut = list(range(0, max(1, len(t) // rules.SEGMENT) * rules.SEGMENT, rules.SEGMENT)) + [len(t)]
-        want[i] = math.exp(quantile([sum(nats[a:b]) / (b - a) for a, b in zip(cut, cut[1:], strict=False)], rules.QUANTILE))
+    ppl = {i: math.exp(sum(-math.log(rules.OWN * own[k][g] + (1 - rules.OWN) * pool[g]) for g in trigrams(t)) / len(t)) for i, t, k in rows}
+    held = {k: Counter(g for t in ts for g in set(trigrams(t))) for k, ts in texts.items()}
+    rarity = {g: min(-math.log(c[g] / max(c.values())) for c in held.values() if c[g]) for c in held.values() for g in c}
+    segs = {}
+    for i, t, _ in rows:
+        g = [rarity[x] for x in trigrams(t)]
+        cut = list(range(0, max(1, len(g) // rules.SEGMENT) * rules.SEGMENT, rules.SEGMENT)) + [len(g)]
+        segs[i] = [sum(g[a:b]) / (b - a) for a, b in zip(cut, cut[1:], strict=False)]
+    mids = {k: median([x for i, _, j in rows if j == k for x in segs[i]]) for k in texts}
+    off = {k: [abs(x - mids[k]) for i, _, j in rows if j == k for x in segs[i]] for k in texts}
+    pooled = median([x for v in off.values() for x in v])
+    far = {k: mids[k] + rules.ODD * 1.4826 * math.sqrt((len(v) * median(v) ** 2 + rules.POOL * pooled**2) / (len(v) + rules.POOL)) + rules.SMALL / math.sqrt(len(v)) for k, v in off.items()}
+    odd = {i: sum(x > far[k] + 1e-6 for x in segs[i]) / len(segs[i]) for i, _, k in rows}
     for hot in (1 << 20, 30, 0):
         monkeypatch.setattr(rules, "HOT", hot)
-        got = {x.doc_id: x.perplexity for x in rules.quality_rules(df).collect()}
-        assert got.keys() == want.keys() and all(abs(got[i] / want[i] - 1) < 1e-5 for i in want), hot
+        got = {x.doc_id: (x.perplexity, x.odd) for x in rules.quality_rules(df).collect()}
+        assert got.keys() == ppl.keys() and all(abs(got[i][0] / ppl[i] - 1) < 1e-5 and abs(got[i][1] - odd[i]) < 1e-9 for i in ppl), hot
+
+
+def test_garbage_and_quotes(spk):
+    """Of two hundred plain documents in two languages: those with passages of the other are kept, those of which a third or more is garbage are not, wherever it stands."""
+    from rivalscope.llm.rules import quality_rules
+
+    r = random.Random(19)
+    other = lambda n: " ".join(r.choice("montagne rivière lumière chapeau fenêtre jardin oiseau".split()) + str(r.randint(0, 40)) for _ in range(n))
+    noise = lambda n: " ".join("".join(chr(r.randrange(0x21, 0x7F)) for _ in range(7)) for _ in range(n))
+    rows = [(i, prose(r, 120), "en") for i in range(100)] + [(100 + i, other(120), "fr") for i in range(100)]
+    rows += [(300 + i, prose(r, 80) + "\n" + other(40), "en") for i in range(4)] + [(310, prose(r, 60) + " " + other(60), "en")]
+    bad = {}
+    for k, share in enumerate((0.3, 0.4, 0.5, 0.7, 1.0)):
+        n = round(240 * share)
+        for j, place in enumerate((0, 0.5, 1)):
+            w = prose(r, 240 - n).split()
+            at = int(place * len(w))
+            bad[500 + 10 * k + j] = " ".join([*w[:at], noise(n), *w[at:]])
+    rows += [(i, t, "en") for i, t in bad.items()] + [(900, prose(r, 200) + " " + noise(8), "en")]
+    got = {x.doc_id: x for x in quality_rules(spk.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not [got[i] for i in (*range(200), 300, 301, 302, 303, 310, 900) if not got[i].kept]
+    assert not any(got[i].kept or got[i].base_failed for i in bad)
+    # perplexity alone tells those that are mostly garbage
+    assert all(got[i].perplexity > got[i].ppl_high for i in bad if i >= 530) and all(got[i].perplexity <= got[i].ppl_high for i in range(200))
 
 
 def test_verdicts(spk):
@@ -111,4 +139,4 @@ def test_every_language_is_treated_alike(spk):
     rows = [(i, prose(r, 60), f"l{i % 300}") for i in range(600)]
     rows += [(1000 + i, prose(r, 60).upper(), "caps") for i in range(30)] + [(2000 + i, "| " + prose(r, 60).replace(" ", " | # | "), "md") for i in range(30)]
     got = quality_rules(spk.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
-    assert all(x.kept for x in got) and len(got) == len(rows)
+    assert not [x for x in got if not x.kept] and len(got) == len(rows)
