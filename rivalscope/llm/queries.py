@@ -141,10 +141,19 @@ dw AS (
   FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, sizes WHERE len(w) >= size)
 ), hit AS (SELECT dw.doc_id, dw.s, dw.size, iw.item_id FROM dw JOIN iw USING (size, key)),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hit) GROUP BY doc_id),
+occ AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM d),
+often AS (SELECT term, count(*) AS n FROM occ GROUP BY 1),
+bags AS (SELECT DISTINCT item_id, unnest(w) AS term FROM b),
+ask AS (SELECT item_id, term FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY n, term) AS r, count(*) OVER (PARTITION BY item_id) AS c FROM bags JOIN often USING (term)) WHERE r <= 3 AND c >= 3),
+p AS (SELECT doc_id, item_id, term, pos FROM occ JOIN ask USING (term)),
+close AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near
+  FROM (SELECT a.doc_id, a.item_id FROM p a JOIN p e ON a.doc_id = e.doc_id AND a.item_id = e.item_id AND e.pos BETWEEN a.pos AND a.pos + 12 GROUP BY a.doc_id, a.item_id, a.pos HAVING count(DISTINCT e.term) = 3) GROUP BY 1
+),
 names AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN names USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN names USING (doc_id) LEFT JOIN close USING (doc_id)
 """
 
 

@@ -366,3 +366,35 @@ def test_pipeline_stages_on_edges_and_empty_tables(spk, monkeypatch):
             assert empty.columns == none.columns
         # of the three rows "one" the near-dedup stage keeps one
         assert len(out) == (len(rows) - 2 if "MinHash" in name else len(rows)), name
+
+
+def test_decontamination_is_linear_in_a_text_and_finds_items_nearby(spk):
+    import time
+
+    from rivalscope.llm.decontam import decontaminate
+
+    r = random.Random(24)
+    item = [f"t{k}" for k in range(4000)]
+    items = spk.createDataFrame([(1, " ".join(item)), (2, "alpha beta gamma delta"), (3, "alpha beta"), (4, "alpha gamma omega")], "item_id long, text string")
+    took = []
+    for n in (1, 12):
+        began = time.time()
+        (x,) = decontaminate(docs(spk, [(1, " ".join(item * n))]), items).collect()
+        took.append(time.time() - began)
+        assert (x.n_words, x.n_hit, x.n_items, x.n_near) == (4000 * n, 4000 * n, 1, 1)
+    assert took[1] < 6 * took[0] + 10
+    texts = ["alpha x beta x gamma", "gamma " + "x " * 11 + "beta alpha", "gamma " + "x " * 12 + "beta alpha", "gamma beta alpha delta omega", "alpha beta", "omega alpha Gamma"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(9, None), (9, ""), (0, texts[0])]
+    got = sorted((x.doc_id, x.n_near) for x in decontaminate(docs(spk, rows), items).collect())
+    # the rarest three of item 2 are delta, then gamma or beta by count; of item 4 omega, gamma, alpha
+    words = [t.lower().split() for _, t in rows if t]
+    often = lambda w: (sum(x.count(w) for x in words), w)
+
+    def near(t):
+        w, n = (t or "").lower().split(), 0
+        for bag in (["alpha", "beta", "gamma", "delta"], ["alpha", "gamma", "omega"]):
+            three = set(sorted(bag, key=often)[:3])
+            n += any(three <= set(w[p : p + 13]) for p in range(len(w)))
+        return n
+
+    assert got == sorted((i, near(t)) for i, t in rows) and sum(n for _, n in got) >= 2
