@@ -21,7 +21,7 @@ from rivalscope.llm.classifier import classify, verdict_key
 from rivalscope.llm.common import broadcast_if_small, doc_key, materialize, scratch
 from rivalscope.llm.decontam import decontaminate
 from rivalscope.llm.lines import dedup_lines
-from rivalscope.llm.neardup import near_duplicates
+from rivalscope.llm.neardup import near_duplicates, text_key
 from rivalscope.llm.tokens import encode_digests
 
 
@@ -55,7 +55,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     rows = found.groupBy("_group", "_id", "_tk").agg(F.count(F.lit(1)).alias("_n"))
     best = rows.filter("_group is not null").groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_tk", "_n")).alias("b")).select("b._id", "b._tk", "b._n")
     winners = materialize(best.union(rows.filter("_group is null").select("_id", "_tk", F.lit(1).alias("_n"))), "winners")
-    keyed = whole(docs, F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_key"))
+    keyed = whole(docs, F.col("doc_id").alias("_doc"), text_key("text").alias("_key"))
 
     def of(some: DataFrame) -> DataFrame:
         return keyed.join(some, keyed._doc.eqNullSafe(some._id) & (keyed._key == some._tk), "left_semi")
@@ -72,10 +72,10 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes what is left; the digests are those of the ids and of the bytes they decode to."""
+    """Encodes what is left: doc_id, lang, source, token_ids, their number, and digests of the ids and of the bytes they decode to; other columns end here."""
     llm.ship(spark)
     ranks, pattern = llm.vocabulary("byte_bpe_50k.tiktoken"), llm.pretoken_pattern()
-    return encode_digests(docs.select("doc_id", "lang", "source", "text"), ranks, pattern).drop("text")
+    return encode_digests(docs.select("doc_id", "lang", "source", "text"), ranks, pattern, keep_ids=True).drop("text")
 
 
 STAGES = [

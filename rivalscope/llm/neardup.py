@@ -1,9 +1,9 @@
 """Near-duplicate groups by min-max hashing (operator 5).
 
 Each set of word shingles is hashed by 64 permutations; both the minimum and the maximum
-of each are kept, giving 128 signature values for 64 evaluations.  Bands of four values
-retrieve candidates: a pair with similarity 0.8 shares no band with probability
-(1 - 0.8**4)**32 < 5e-8.  Candidates are confirmed on their full sets.
+of each are kept, giving 128 signature values for 64 evaluations.  Bands of so many values
+retrieve candidates that a linked pair shares none with probability below 1e-7: of four values, where
+links begin at similarity 0.8, as (1 - 0.8**4)**32 < 5e-8.  Candidates are confirmed on their full sets.
 
 Within a bucket no list of all pairs is made.  Members are first compared with the
 bucket's centre (the member whose buckets are fullest), then those not joined with it with a second
@@ -13,20 +13,20 @@ exact bounds leave a link possible (``apart``), so no link is given up.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, heavy_keys, lookup, materialize, scratch
 from .graph import components
 
-PERMUTATIONS, BAND = 64, 4
-#: A pair of similarity 0.8 agrees in less than this part of 128 values with probability below 1e-7.
-LEAST_AGREEMENT = 0.61
+PERMUTATIONS = 64
+MISSED = 1e-7  #: most that a linked pair may be missed with
 #: A shingle is rare if so many texts of a candidate component hold it, at most.
 RARE = 16
 CACHE = 200_000
@@ -35,7 +35,24 @@ _rng = np.random.default_rng(20_240_817)
 FACTORS = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2)
 MIX = _rng.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BANDS = 2 * PERMUTATIONS // BAND
+
+
+def band_size(percent: int) -> int:
+    """Values in a band: the most with which a pair of so many percent is missed with probability below MISSED."""
+    fit = [b for b in (8, 4, 2, 1) if (1 - (percent / 100) ** b) ** (2 * PERMUTATIONS // b) < MISSED]
+    if not fit:
+        raise ValueError(f"{2 * PERMUTATIONS} values can't find pairs of {percent} percent")
+    return fit[0]
+
+
+def least_agreement(percent: int) -> float:
+    """The part of all values in which a pair of so many percent agrees at least, but with probability below MISSED (binomial)."""
+    n, s, below = 2 * PERMUTATIONS, percent / 100, 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * s**k * (1 - s) ** (n - k)
+        if below >= MISSED:
+            return k / n
+    return 1.0
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -87,16 +104,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band, the band's number mixed in."""
-    parts = sig.reshape(len(sig), BANDS, BAND)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * MIX[8], (len(sig), BANDS)).copy()
-    for k in range(BAND):
+def band_keys(sig: np.ndarray, size: int) -> np.ndarray:
+    """One 64-bit key per band of ``size`` values, the band's number mixed in."""
+    number = 2 * PERMUTATIONS // size
+    parts = sig.reshape(len(sig), number, size)
+    key = np.broadcast_to(np.arange(1, number + 1, dtype=np.uint64) * MIX[8], (len(sig), number)).copy()
+    for k in range(size):
         key = _mix(key * MIX[9] + parts[:, :, k])
     return key.view(np.int64)
 
 
-def describe(df: DataFrame, width: int) -> DataFrame:
+def describe(df: DataFrame, width: int, band: int) -> DataFrame:
     """(_id, _tk, _text) -> (_id, _tk, k, n, bands, sig): the set's identity and size, its band keys, a byte of each value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +125,7 @@ def describe(df: DataFrame, width: int) -> DataFrame:
                 sets = [shingles(t or "") for t in part.column(2).to_pylist()]
                 some = [s for s in sets if len(s)]
                 sig = signatures(some)
-                keys, low = band_keys(sig), _mix(sig).astype(np.uint8)
+                keys, low = band_keys(sig, band), _mix(sig).astype(np.uint8)
                 k, bands, sigs, j = [], [], [], 0
                 for s in sets:
                     k.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -118,7 +136,7 @@ def describe(df: DataFrame, width: int) -> DataFrame:
                     [part.column(0), part.column(1), pa.array(k, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["_id", "_tk", "k", "n", "bands", "sig"]
                 )
 
-    return df.mapInArrow(run, f"_id {df.schema['_id'].dataType.simpleString()}, _tk long, k binary, n long, bands array<long>, sig binary")
+    return df.mapInArrow(run, f"_id {df.schema['_id'].dataType.simpleString()}, _tk binary, k binary, n long, bands array<long>, sig binary")
 
 
 def whole_sets(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
@@ -182,6 +200,11 @@ def apart(split: DataFrame, sets: DataFrame, bands: DataFrame, percent: int) ->
     return sharing.union(common.select(F.least("k_u", "k_v").alias("u"), F.greatest("k_u", "k_v").alias("v"))).distinct()
 
 
+def text_key(text: str) -> Column:
+    """128 bits that name a text; null is as an empty one."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80, groups: bool = False) -> DataFrame:
     """One row for each input row: id, n_shingles, component_id, kept.
 
@@ -191,15 +214,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     row whose id it is.  Rows that agree in id share a component only if their texts link.
     A null id is never the least id unless the whole component has none, and is then kept.
     An empty table gives no rows.  Other columns are not read.  With ``groups`` also ``_group``,
-    the component's own name (null for an empty set), and ``_tk``, the hash of the text.
+    the component's own name (null for an empty set), and ``_tk``, the MD5 of the text (``text_key``).  ``percent`` decides how values are banded;
+    one so low that the signature can't find its pairs (below 12) is refused.
     """
     with scratch(df.sparkSession):
         return _near_duplicates(df, id_col, text, width, percent, groups)
 
 
 def _near_duplicates(df: DataFrame, id_col: str, text: str, width: int, percent: int, groups: bool) -> DataFrame:
-    docs = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_tk"), F.col(text).alias("_text"))
-    rows = materialize(describe(docs, width), "signatures")
+    docs = df.select(F.col(id_col).alias("_id"), text_key(text).alias("_tk"), F.col(text).alias("_text"))
+    rows = materialize(describe(docs, width, band_size(percent)), "signatures")
     classes = rows.filter("n > 0").groupBy("k").agg(F.min("_tk").alias("_tk"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
 
@@ -207,18 +231,21 @@ def _near_duplicates(df: DataFrame, id_col: str, text: str, width: int, percent:
     full = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     full = broadcast_if_small(materialize(full, "buckets"), 300_000)
     members = materialize(members.join(full, "key"), "members")
+    crowded = heavy_keys(members, ["key"])
     degree = materialize(members.groupBy("k").agg(F.sum(F.log2("size")).alias("degree")), "degrees")
     members = materialize(members.select("key", "k").join(degree, "k"), "members")
 
     facts = classes.select("k", "n", "sig", "_tk")
     pair = F.when(F.col("k") < F.col("c"), F.struct(F.col("k").alias("u"), F.col("c").alias("v"))).otherwise(F.struct(F.col("c").alias("u"), F.col("k").alias("v")))
 
+    least = least_agreement(percent)
+
     @F.arrow_udf("boolean")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         if not len(a):
             return pa.array([], pa.bool_())
         x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(len(v), -1) for v in (a, b))
-        return pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT)
+        return pa.array((x == y).mean(axis=1) >= least)
 
     def confirm(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Of candidate pairs (u, v), those that are links; sizes and signatures are looked at before full sets."""
@@ -240,20 +267,20 @@ def _near_duplicates(df: DataFrame, id_col: str, text: str, width: int, percent:
 
     # first: each member against its bucket's centre
     centre = members.groupBy("key").agg(F.max_by("k", F.struct("degree", "k")).alias("c"))
-    tried = materialize(members.join(centre, "key").filter("k <> c").select(pair.alias("p")).select("p.*").distinct(), "pairs")
+    tried = materialize(lookup(members, centre, ["key"], hot=crowded, stored=True).filter("k <> c").select(pair.alias("p")).select("p.*").distinct(), "pairs")
     links = materialize(confirm(tried), "confirmed")
     # second: those outside the component of the bucket's centre against a centre of their own
     at = materialize(labelled(links), "members")
     main = at.groupBy("key").agg(F.max_by("label", F.struct("degree", "k")).alias("main"), F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b").select("key", "main")
-    split = materialize(at.join(main, "key"), "split")
+    split = materialize(lookup(at, main, ["key"], hot=crowded, stored=True), "split")
     centre = split.filter("label <> main").groupBy("key").agg(F.max_by(F.struct("k", "label"), F.struct("degree", "k")).alias("s"))
-    more = split.join(centre.select("key", F.col("s.k").alias("c"), F.col("s.label").alias("c_label")), "key").filter("label <> c_label").select(pair.alias("p")).select("p.*").distinct()
+    more = lookup(split, centre.select("key", F.col("s.k").alias("c"), F.col("s.label").alias("c_label")), ["key"], hot=crowded, stored=True).filter("label <> c_label").select(pair.alias("p")).select("p.*").distinct()
     more = materialize(more.join(tried, ["u", "v"], "left_anti"), "pairs")
     links = materialize(links.union(confirm(more)), "confirmed")
     # last: what is still apart, where a link is possible and wasn't looked for
     at = materialize(labelled(links), "members")
     sums = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("key").agg(F.max_by("label", F.struct("_n", "label")).alias("main"), F.count(F.lit(1)).alias("_l")).filter("_l > 1")
-    split = materialize(at.join(sums.select("key", "main"), "key").select("key", "k", "label", "main"), "split")
+    split = materialize(lookup(at, sums.select("key", "main"), ["key"], hot=crowded, stored=True).select("key", "k", "label", "main"), "split")
     sets = whole_sets(docs, classes.join(split.select("k").distinct(), "k").select("k", "_tk"), width)
     rest = materialize(apart(split, sets, classes.select("k", "bands"), percent), "pairs")
     rest = materialize(rest.join(tried.union(more), ["u", "v"], "left_anti"), "pairs")

@@ -67,7 +67,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
 
     Null and empty texts get an empty array.  Very long texts are encoded whole.
     ``ranks_path`` is a ``.tiktoken`` file that every executor can open; ``pattern``
-    splits texts into pre-tokens, which are merged separately.  An existing column
+    splits texts into pre-tokens, which are merged separately; no match of it may cross a single space between two
+    characters that aren't blank, as those of GPT-2 and its successors don't.  An existing column
     named ``out`` is replaced.
     """
 
@@ -99,28 +100,31 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids",
     return df.withColumn(out, back(F.col(ids)))
 
 
-def encode_digests(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256 of the ids that ``encode`` gives and the bytes ``decode`` gives.
+def encode_digests(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Adds n_tokens, ids_sha256 and decoded_sha256 of the ids that ``encode`` gives and the bytes ``decode`` gives, and with ``keep_ids`` the ids as token_ids.
 
-    The digests are taken where the ids are made, so ids need not travel back to the JVM.
+    The digests are taken where the ids are made, so ids need not travel back to the JVM.  Null and empty texts have no ids.
     """
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids"] if keep_ids else [])]
 
-    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids)
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = encoder(ranks_path, pattern)
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, kept = [], [], [], []
             for _, some in slices([t or "" for t in batch.to_pylist()]):
                 for parts in e.parts(some):
                     ids = list(chain.from_iterable([p[0] for p in parts]))
                     n.append(len(ids))
+                    if keep_ids:
+                        kept.append(np.array(ids, np.int32))
                     a.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
                     b.append(hashlib.sha256(e.decode(ids)).hexdigest())
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else [])], names=names)
 
-    rest = [c for c in df.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
     own = "_digest" + "_" * max(map(len, df.columns))  # longer than any column's name
-    return df.select(*rest, digest(F.col(text)).alias(own)).select(*rest, f"{own}.*")
+    return df.select(*rest, digest(F.col(f"`{text}`")).alias(own)).select(*rest, f"{own}.*")
 
 
 class Counter:
@@ -189,5 +193,5 @@ def count_tokens(df: DataFrame, json_path: str, pattern: str, limit: int = 512,
             texts = [t or "" for t in batch.to_pylist()]
             yield pa.array([x for _, some in slices(texts) for x in c.count(some)], pa.int64())
 
-    rest = [c for c in df.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
     return df.select(*rest, F.octet_length(text_of(text)).cast("long").alias("n_bytes"), n(F.col(text)).alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -398,3 +398,49 @@ def test_decontamination_is_linear_in_a_text_and_finds_items_nearby(spk):
         return n
 
     assert got == sorted((i, near(t)) for i, t in rows) and sum(n for _, n in got) >= 2
+
+
+def test_near_duplicates_at_other_thresholds_and_just_above_them(spk):
+    """Planted pairs whose similarity lies just above the threshold are all found."""
+    from rivalscope.llm.neardup import band_size, least_agreement, near_duplicates
+
+    r = random.Random(30)
+    assert (band_size(80), band_size(50)) == (4, 2) and 0.5 < least_agreement(80) < 0.8
+    for percent in (50, 80, 90):
+        rows, linked = [], 0
+        for i in range(60):
+            w = [f"p{i}w{k}" for k in range(r.randint(150, 400))]
+            v, runs = list(w), 0
+            want = lambda v, w=w: len(a & b) / len(a | b) if (a := {tuple(w[k : k + 4]) for k in range(len(w) - 3)}) and (b := {tuple(v[k : k + 4]) for k in range(len(v) - 3)}) else 0
+            while want(v) > (percent + 5) / 100:
+                v[r.randrange(len(v))] = f"x{i}y{runs}"
+                runs += 1
+            rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+            linked += 100 * want(v) >= percent
+        got = {x.doc_id: x.component_id for x in near_duplicates(docs(spk, rows), percent=percent).collect()}
+        assert sum(got[2 * i + 1] == 2 * i for i in range(60)) == linked > 40
+    try:
+        near_duplicates(docs(spk, []), percent=5)
+    except ValueError:
+        return
+    raise AssertionError("a threshold that can't be met was taken")
+
+
+def test_digests_ids_and_dotted_names(spk):
+    import hashlib
+
+    import public_tokenizers as P
+
+    from rivalscope.llm.tokens import count_tokens, encode, encode_digests
+
+    path, js = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
+    rows = [(i, t) for i, t in EDGE] + [(9, "Two  words\n天地 <|endoftext|>"), (9, "Two  words\n天地 <|endoftext|>")]
+    df = spk.createDataFrame([(i, t, 1, "x") for i, t in rows], "`doc.id` long, text string, n_bytes int, `a.b` string")
+    ids = [x.token_ids for x in encode(df, path, P.PATTERN).collect()]
+    got = encode_digests(df, path, P.PATTERN, keep_ids=True).collect()
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert [(x["doc.id"], x["a.b"], x.token_ids, x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in got] == [(i, "x", k, len(k), sha(" ".join(map(str, k)).encode()), sha((t or "").encode())) for (i, t), k in zip(rows, ids, strict=True)]
+    assert "token_ids" not in encode_digests(df, path, P.PATTERN).columns and encode_digests(df.limit(0), path, P.PATTERN).count() == 0
+    counted = count_tokens(df, js, P.PATTERN, limit=3).collect()
+    assert [(x["doc.id"], x.n_bytes, x.over_limit) for x in counted] == [(i, len((t or "").encode()), x.n_tokens > 3) for (i, t), x in zip(rows, counted, strict=True)]
+    assert count_tokens(df.limit(0), js, P.PATTERN).count() == 0
