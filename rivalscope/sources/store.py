@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,22 +34,72 @@ SEEDED = {"heroes": "name", "maps": "name", "ranks": "ordinal", "tags": "code"}
 
 @dataclass
 class Store:
-    """The tables of one folder, with the same attributes as the fixture's; operators take either."""
+    """The tables of one folder, with the same attributes as the fixture's; operators take either.
+
+    A table lies in ``<folder>/<name>`` until a commit publishes another version of it.  Each publication has a numbered manifest with
+    the place of every table; readers follow the last one, so they see all of a publication or nothing of it.
+    """
 
     spark: SparkSession
     folder: str
     form: str = "parquet"  #: or "csv", with a header
 
+    def _files(self, *parts: str) -> tuple:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def version(self) -> int:
+        """The number of the last manifest, 0 without one."""
+        fs, path = self._files("_manifests")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return max([int(n.split(".")[0]) for n in names if n.endswith(".json")], default=0)
+
+    def places(self) -> dict[str, str]:
+        """Where published tables lie, by name, below the folder."""
+        n = self.version()
+        return json.loads(self.spark.read.text(f"{self.folder}/_manifests/{n:09d}.json", wholetext=True).first()[0]) if n else {}
+
     def read(self, name: str) -> DataFrame:
-        """A table by its declared schema.  Columns that the file lacks are null, others are not read."""
+        """A table by its declared schema.  Columns that the file lacks are null, others are not read; a table without a file is empty."""
         options = {"header": True} if self.form == "csv" else {}
-        raw = self.spark.read.format(self.form).options(**options).load(f"{self.folder}/{name}")
+        place = self.places().get(name, name)
+        if not (found := self._files(place))[0].exists(found[1]):
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        raw = self.spark.read.format(self.form).options(**options).load(f"{self.folder}/{place}")
         cols = (field.strip().split(" ") for field in SCHEMAS[name].split(","))
         return raw.select(*((F.col(c) if c in raw.columns else F.lit(None)).cast(kind).alias(c) for c, kind in cols))
 
-    def write(self, name: str, df: DataFrame) -> None:
+    def write(self, name: str, df: DataFrame, place: str | None = None) -> None:
         options = {"header": True} if self.form == "csv" else {}
-        df.write.format(self.form).options(**options).mode("errorifexists").save(f"{self.folder}/{name}")
+        df.write.format(self.form).options(**options).mode("errorifexists").save(f"{self.folder}/{place or name}")
+
+    def publish(self, tables: dict[str, DataFrame], after: int | None = None) -> int:
+        """Writes new versions of ``tables`` and makes them those that are read, all at once; returns the publication's number.
+
+        With ``after``, the version that ``tables`` were made from, nothing is published if another has come since.  The number is claimed
+        while writing, so two can't publish at once.  What was written by a publication that failed is read by nobody.
+        """
+        if after is not None and self.version() != after:
+            raise RuntimeError(f"version {after} is no longer the last one")
+        number, places, mark = self.version() + 1, self.places(), uuid.uuid4().hex
+        fs, claim = self._files("_manifests", f"{number:09d}.claim")
+        if not fs.exists(claim.getParent()):
+            fs.mkdirs(claim.getParent())
+        if not fs.createNewFile(claim):
+            raise RuntimeError(f"another publication {number} is under way; if it failed, remove {claim}")
+        try:
+            for name, df in tables.items():
+                self.write(name, df, f"_versions/{number:09d}-{mark}/{name}")
+                places[name] = f"_versions/{number:09d}-{mark}/{name}"
+            fs, draft = self._files("_manifests", f"{mark}.draft")
+            stream = fs.create(draft)
+            stream.write(bytearray(json.dumps(places, sort_keys=True).encode()))
+            stream.close()
+            if not fs.rename(draft, self._files("_manifests", f"{number:09d}.json")[1]):
+                raise RuntimeError(f"publication {number} could not be made the current one")
+        finally:
+            fs.delete(claim, False)
+        return number
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in SCHEMAS:
