@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import global_rank, materialize, partitions_for, scratch, shared_dir  # noqa: F401  used by the operators
+from ..shared import broadcast_if_small, global_rank, heavy_keys, lookup, materialize, partitions_for, scratch, shared_dir  # noqa: F401  used by the operators
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -37,54 +37,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(df)`` when a count proves it has at most ``max_rows`` rows, else ``df`` for a shuffled join.
-
-    ``df`` should be materialized or cheap, as the count runs it.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-SLOTS = 1 << 16  #: of the hash counts that find heavy keys
-FEW = 1000  #: a key of fewer rows is never heavy
-
-
-def heavy_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The values of ``keys`` (none null) that hold more than FEW rows and 4 / SLOTS of all: SLOTS / 4 at most, which bounds their broadcast.
-
-    Hash slots are counted first, which shuffles little; only keys in full slots are counted themselves.
-    """
-    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
-    some = df.select(*keys).dropna()
-    counts = {r["s"]: r["n"] for r in some.groupBy(slot.alias("s")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FEW).collect()}  # at most SLOTS rows
-    # slots of FEW rows or less aren't in the sum; that makes the limit lower only while all is small
-    limit = max(FEW, 4 * sum(counts.values()) // SLOTS)
-    full = df.sparkSession.createDataFrame([(s,) for s, n in counts.items() if n > limit], "s int")
-    found = some.withColumn("s", slot).join(F.broadcast(full), "s").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select(*keys)
-    return materialize(found, "heavy-keys")
-
-
-SALTS = 64  #: parts that the rows of a heavy key are dealt to
-
-
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None, stored: bool = False) -> DataFrame:
-    """``left.join(right, keys, how)`` (inner or left) for a ``right`` with at most one row a key.
-
-    The rows of heavy keys (``hot``, by default those of ``left``, which is then read twice) are dealt to SALTS parts,
-    for each of which their row of ``right`` is repeated: a bounded number of rows.  The part follows from the row's other
-    columns, and from its place if ``left`` is ``stored``, where that can't change when a task is run again.
-    """
-    hot = heavy_keys(left, keys) if hot is None else hot
-    if hot.isEmpty():
-        return left.join(right, keys, how)
-    hot = F.broadcast(hot.select(*keys, F.lit(SALTS).alias("_salts")))
-    other = [F.col(c) for c in left.columns if c not in keys]
-    place = F.xxhash64(*other, *([F.monotonically_increasing_id()] if stored else []))
-    many = left.withColumn("_place", place).join(hot, keys, "left").withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod("_place", F.lit(SALTS))).otherwise(0).cast("int"))
-    one = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
-    return many.drop("_place", "_salts").join(one, [*keys, "_salt"], how).drop("_salt")
-
-
 def ship(spark: SparkSession) -> None:
     """Give the executors this package (as ``--py-files`` would), once per Spark application."""
     import tempfile
