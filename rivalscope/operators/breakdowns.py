@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import RELIABLE, tally, wilson
+from ..shared import broadcast_if_small, stored
 from ..sources.fixtures import Tables
 from .running import placed, rates
+from .subject import SMALL
 
 STATS = ["eliminations", "assists", "deaths", "damage", "healing", "mitigation"]
 
@@ -96,12 +98,14 @@ def with_wilson(df: DataFrame) -> DataFrame:
     return df.withColumns({"score": F.round(wilson(F.col("wins"), F.col("losses"), True), 6), "ceiling": F.round(wilson(F.col("wins"), F.col("losses"), False), 6)})
 
 
+@stored
 def trends(t: Tables, window: int = 10, own: bool = False) -> DataFrame:
     """For every other player, or the operator: position, running and rolling win rate of their matches in time order."""
     window = min(100, max(2, window or 10))
     return rates(placed(t, own).select("player_id", "match_id", "x", "wins"), ["player_id"], "x", window).select("player_id", "match_id", "x", "cumulative", "rolling", F.col("size").alias("n"))
 
 
+@stored
 def longest_streaks(t: Tables, own: bool = False) -> DataFrame:
     """For every other player, or the operator: length of the longest run of wins and of losses; a draw breaks a run."""
     # within a run, the place and the number of like outcomes grow alike
@@ -111,31 +115,20 @@ def longest_streaks(t: Tables, own: bool = False) -> DataFrame:
     return runs.groupBy("player_id").agg(best("win").alias("longest_win"), best("loss").alias("longest_loss"))
 
 
+def worn_tags(t: Tables) -> DataFrame:
+    """(player_id, tag_code, n): the tags that players wear, with their place in the vocabulary; one that it lacks has none."""
+    return t.player_tags.select("player_id", "tag_code").join(broadcast_if_small(t.tags.select(F.col("code").alias("tag_code"), F.col("sort_order").alias("n")), SMALL), "tag_code", "left")
+
+
 def tags_of_players(t: Tables) -> DataFrame:
     """Each player's tag codes in the order of the vocabulary."""
-    from ..sources.fixtures import TAGS
-
-    order = F.create_map(*(x for code, _, n in TAGS for x in (F.lit(code), F.lit(n))))
-    codes = t.player_tags.groupBy("player_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.get(F.array(order), F.lit(0))[F.col("tag_code")].alias("n"), "tag_code"))), lambda x: x["tag_code"]), ",").alias("tags"))
+    codes = worn_tags(t).groupBy("player_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "tag_code"))), lambda x: x["tag_code"]), ",").alias("tags"))
     return t.players.join(codes, F.col("id") == F.col("player_id"), "left").select("display_name", F.coalesce("tags", F.lit("")).alias("tags"))
 
 
 def exact_comps(sm: DataFrame, t: Tables) -> DataFrame:
     """Tallies by the sorted hero names of the subject's team, where every seat has one."""
-    named = t.match_players.join(F.broadcast(t.heroes.select(F.col("id").alias("hero_id"), F.col("name").alias("_n"))), "hero_id")
+    named = t.match_players.join(broadcast_if_small(t.heroes.select(F.col("id").alias("hero_id"), F.col("name").alias("_n")), SMALL), "hero_id")
     team = named.groupBy(F.col("match_id").alias("_m"), F.col("team").alias("_t")).agg(F.array_join(F.array_sort(F.collect_list("_n")), " · ").alias("name"), F.count(F.lit(1)).alias("named"))  # the seats of one team
     rows = sm.join(team, (F.col("match_id") == F.col("_m")) & (F.col("team") == F.col("_t"))).filter(F.col("team_size").isNull() | (F.col("named") == F.col("team_size")))
     return rows.groupBy("name").agg(*tally())
-
-
-def highlights(sm: DataFrame, t: Tables, best: bool, top: int = 5, min_games: int = RELIABLE) -> DataFrame:
-    """The best entries by lower Wilson bound, or the worst by upper bound, over maps, heroes, roles, allies and team shapes."""
-    kinds = {"map": by(sm, "map"), "hero": by(sm, "hero"), "role": by(sm, "role"), "ally": by_player(sm, t, True), "comp": comp_shapes(sm, t)[0]}
-    columns = {"ally": "name", "comp": "shape"}
-    out = None
-    for kind, df in kinds.items():
-        rows = df.select(F.lit(kind).alias("kind"), F.col(columns.get(kind, kind)).alias("name"), "games", "wins", "losses").filter(F.col("games") >= min_games)
-        out = rows if out is None else out.unionByName(rows)
-    base = overall(sm).select(F.col("win_rate").alias("_base"))  # one row
-    out = with_wilson(out).join(F.broadcast(base)).withColumn("delta", F.round(F.col("score") - F.col("_base"), 5)).drop("_base")
-    return out.orderBy(F.desc("score") if best else F.asc("ceiling"), "kind", "name").limit(top)

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import global_rank, materialize
+from ..shared import global_rank, stored
 from ..sources.drafts import STATS, Drafts
+from .publishing import season_of
 
 ROW_FIELDS = ["player_name", "role", "hero_id", *STATS]
 
@@ -39,6 +40,7 @@ def problems(d: Drafts) -> DataFrame:
     return facts.select("draft_id", F.explode(found).alias("problem"))
 
 
+@stored
 def valid(d: Drafts) -> DataFrame:
     """The drafts without problems, with the id of their match: that which they edit, or a new one in the order of drafts."""
     good = d.meta.join(problems(d).select("draft_id").distinct(), "draft_id", "left_anti")
@@ -55,47 +57,42 @@ def kept(old: DataFrame, key: str, ok: DataFrame) -> DataFrame:
     return old.join(edited, key, "left_anti")
 
 
-def season_of(played_at: Column) -> Column:
-    """The season whose days hold the date of ``played_at``, if any."""
-    from ..sources.fixtures import SEASONS
-
-    day, out = F.substring(played_at, 1, 10), F.lit(None).cast("long")
-    for i, _, start, end in SEASONS:
-        out = F.when(day.between(start, end or "9999-12-31"), F.lit(i).cast("long")).otherwise(out)
-    return out
-
-
+@stored
 def matches_after(d: Drafts) -> DataFrame:
     """A missing team size is that of the larger team, none if there is no row."""
     ok = valid(d)
     seats = populated(d).groupBy("draft_id").agg(F.count_if(F.col("team") == "ally").alias("a"), F.count_if(F.col("team") == "enemy").alias("e"))
     size = F.coalesce(F.nullif("team_size", F.lit(0)), F.nullif(F.greatest("a", "e").cast("int"), F.lit(0)))
     cols = ["id", "played_at", "map_id", "mode", "result", "team_size", "season_id"]
-    new = ok.join(seats, "draft_id", "left").withColumns({"id": F.col("match_id"), "team_size": size, "season_id": season_of(F.col("played_at"))})
+    new = ok.join(seats, "draft_id", "left").withColumns({"id": F.col("match_id"), "team_size": size})
+    new = new.join(season_of(new, d.t.seasons), "id", "left")
     return kept(d.old_matches, "id", ok).select(*cols).unionByName(new.select(*cols))
 
 
-def resolved(d: Drafts) -> DataFrame:
+@stored
+def resolved(d: Drafts, ok: DataFrame | None = None) -> DataFrame:
     """The rows of valid drafts with ``match_id`` and the player they name: by id, or by exact trimmed name, known or new.
 
     New players get ids above all old ones, in the order of the first row that names them.
     """
     names = d.t.players.select(F.col("id").alias("_known"), F.col("display_name").alias("_name"))
-    rows = populated(d).join(valid(d).select("draft_id", "match_id"), "draft_id").withColumn("_name", F.when(~blank("player_name"), F.regexp_replace("player_name", r"(?U)^\s+|\s+$", "")))
+    rows = populated(d).join((ok or valid(d)).select("draft_id", "match_id"), "draft_id").withColumn("_name", F.when(~blank("player_name"), F.regexp_replace("player_name", r"(?U)^\s+|\s+$", "")))
     rows = rows.join(names, "_name", "left")
     new = rows.filter("player_id IS NULL AND _known IS NULL AND _name IS NOT NULL").groupBy("_name").agg(F.min("row_id").alias("_first")).withColumn("_one", F.lit(1))
     number = global_rank(new, ["_first"], "_one", "_new").select("_name", "_new")
     last = d.t.players.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))  # one row
     out = rows.join(number, "_name", "left").join(F.broadcast(last))
     who = F.coalesce("player_id", "_known", F.col("_last") + F.col("_new") + 1)
-    return materialize(out.withColumns({"is_new": F.col("player_id").isNull() & F.col("_new").isNotNull(), "player_id": who}).drop("_known", "_last", "_new"), "resolved")
+    return out.withColumns({"is_new": F.col("player_id").isNull() & F.col("_new").isNotNull(), "player_id": who}).drop("_known", "_last", "_new")
 
 
+@stored
 def roster_after(d: Drafts) -> DataFrame:
     ok, cols = valid(d), ["match_id", "team", "row_index", "is_me", "player_id", "role", "hero_id", *STATS]
-    return kept(d.old_rows, "match_id", ok).select(*cols).unionByName(resolved(d).select(*cols))
+    return kept(d.old_rows, "match_id", ok).select(*cols).unionByName(resolved(d, ok).select(*cols))
 
 
+@stored
 def bans_after(d: Drafts) -> DataFrame:
     ok = valid(d)
     drafted = d.t.match_bans.withColumnRenamed("match_id", "draft_id").join(ok.select("draft_id", "match_id"), "draft_id")
@@ -103,9 +100,11 @@ def bans_after(d: Drafts) -> DataFrame:
     return kept(d.old_bans, "match_id", ok).select(*cols).unionByName(drafted.select(*cols))
 
 
+@stored
 def players_after(d: Drafts) -> DataFrame:
     """Games seen: the old count, less the rows of edited matches but not below 0, and one for each new row."""
-    rows, ok = resolved(d), valid(d)
+    ok = valid(d)
+    rows = resolved(d, ok)
     n = F.count(F.lit(1))
     before = d.old_rows.dropna(subset=["player_id"]).groupBy("player_id").agg(n.alias("_before"))
     edited = ok.filter("editing_match_id IS NOT NULL").select(F.col("editing_match_id").alias("match_id"))
@@ -119,6 +118,7 @@ def players_after(d: Drafts) -> DataFrame:
     return who.select(F.col("player_id").alias("id"), "display_name", seen.cast("long").alias("games_seen"))
 
 
+@stored
 def provenance(d: Drafts) -> DataFrame:
     """One row for each non-blank cell that a template read, with the value it replaced."""
     cells = F.array(*(F.when(~blank(c), F.lit(c)) for c in ROW_FIELDS))
@@ -132,11 +132,13 @@ def learned(old: DataFrame, new: DataFrame, owner: str) -> DataFrame:
     return both.groupBy(owner, "phash").agg(F.sum("times_matched").alias("times_matched"))
 
 
+@stored
 def nameplates_after(d: Drafts) -> DataFrame:
     new = resolved(d).dropna(subset=["player_id", "nameplate"]).withColumnRenamed("nameplate", "phash")
     return learned(d.old_nameplates, new, "player_id")
 
 
+@stored
 def portraits_after(d: Drafts) -> DataFrame:
     """A hash that another hero holds is refused: its owner is that of the library, or who came first."""
     new = resolved(d).dropna(subset=["hero_id", "portrait"]).withColumnRenamed("portrait", "phash")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.fixtures import SEASONS, Tables
+from ..shared import broadcast_if_small
+from ..sources.fixtures import Tables
 from .merging import observations
+from .subject import SMALL
 
 
 def empty_drafts(t: Tables) -> DataFrame:
@@ -93,19 +95,8 @@ def open_drafts(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ seasons
 
 
-def proposals(t: Tables) -> DataFrame:
-    """Seasons that somebody asks for: one a nation, some with blank names, bad dates or no end."""
-    i = F.col("n_nationkey")
-    day = lambda year, month: F.format_string("%04d-%02d-01", (1992 + year).cast("int"), (1 + month).cast("int"))
-    return t.raw("nation").select(
-        i.cast("long").alias("id"), F.when(i % 9 != 0, F.concat(F.lit(" "), "n_name")).otherwise("  ").alias("name"),
-        F.when(i % 11 != 0, day(i % 11, i % 12)).otherwise("soon").alias("starts_on"), F.when(i % 4 != 0, day(i % 11 + i % 2, (i + 5) % 12)).alias("ends_on"),
-    )
-
-
-def season_problems(t: Tables) -> DataFrame:
-    """(id, problem) of proposals: what creating each of them would be refused for."""
-    p = proposals(t)
+def season_problems(t: Tables, p: DataFrame) -> DataFrame:
+    """(id, problem) of proposed seasons ``p`` (id, name, starts_on, ends_on): what creating each of them beside ``t.seasons`` would be refused for."""
     is_day = lambda c: F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}$")
     wrong = F.array_compact(F.array(
         F.when(F.trim("name") == "", "no name"), F.when(~is_day("starts_on"), "no start"),
@@ -113,17 +104,17 @@ def season_problems(t: Tables) -> DataFrame:
     ))
     own = p.select("id", F.explode(wrong).alias("problem"))
     sound = p.join(own.select("id").distinct(), "id", "left_anti")
-    held = t.spark.createDataFrame([(name, a, b or "9999-12-31") for _, name, a, b in SEASONS], "season string, a string, b string")  # a handful
-    clash = sound.join(F.broadcast(held), (F.col("starts_on") <= F.col("b")) & (F.col("a") <= F.coalesce("ends_on", F.lit("9999-12-31"))))
+    held = t.seasons.select(F.col("name").alias("season"), F.col("starts_on").alias("a"), F.coalesce("ends_on", F.lit("9999-12-31")).alias("b"))
+    clash = sound.join(broadcast_if_small(held, SMALL), (F.col("starts_on") <= F.col("b")) & (F.col("a") <= F.coalesce("ends_on", F.lit("9999-12-31"))))
     return own.union(clash.select("id", F.concat(F.lit("overlaps "), "season")))
 
 
-def season_overlaps(t: Tables) -> DataFrame:
-    """(a, b): pairs of proposals with a common day, each pair once; no end means forever.
+def season_overlaps(p: DataFrame) -> DataFrame:
+    """(a, b): pairs of seasons with a common day, each pair once; no end means forever.
 
     Seasons meet by the years that they share, so nothing is held against everything else.
     """
-    p = proposals(t).filter("starts_on <> 'soon' AND (ends_on IS NULL OR ends_on >= starts_on)").select("id", "starts_on", F.coalesce("ends_on", F.lit("9999-12-31")).alias("end"))
+    p = p.filter("starts_on <> 'soon' AND (ends_on IS NULL OR ends_on >= starts_on)").select("id", "starts_on", F.coalesce("ends_on", F.lit("9999-12-31")).alias("end"))
     last = p.agg(F.max(F.substring("starts_on", 1, 4).cast("int")).alias("last"))  # one row: no later year has a start
     years = F.sequence(F.substring("starts_on", 1, 4).cast("int"), F.least(F.substring("end", 1, 4).cast("int"), F.col("last")))
     y = p.join(F.broadcast(last)).select("id", "starts_on", "end", F.explode(years).alias("year"))
@@ -139,12 +130,12 @@ def season_deleted(t: Tables, gone: int) -> DataFrame:
 # ------------------------------------------------------------------ tags and notes
 
 
-def tags_replaced(t: Tables) -> DataFrame:
-    """Tags after the players of even ids got a new set, in which a code may be named twice; unknown codes are refused with the whole set."""
-    ask = t.raw("supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("player_id"), F.when(F.col("s_suppkey") % 6 == 0, F.array(F.lit("blue"), F.lit("red"))).otherwise(F.array(F.lit("white"), F.lit("pink"), F.lit("white"))).alias("codes"))
-    known = F.array(*map(F.lit, ("tank", "damage", "support", "red", "pink", "white")))
-    good = ask.filter(F.size(F.array_except("codes", known)) == 0)
-    stay = t.player_tags.join(good.select("player_id"), "player_id", "left_anti")
+def tags_replaced(t: Tables, ask: DataFrame) -> DataFrame:
+    """(player_id, tag_code) after players got new sets (``ask``: player_id, codes), in which a code may be named twice; a code that ``t.tags`` lacks refuses its whole set."""
+    each = ask.select("player_id", F.explode("codes").alias("code"))
+    wrong = each.join(broadcast_if_small(t.tags.select("code"), SMALL), "code", "left_anti").select("player_id").distinct()
+    good = ask.join(wrong, "player_id", "left_anti")
+    stay = t.player_tags.select("player_id", "tag_code").join(good.select("player_id"), "player_id", "left_anti")
     return stay.union(good.select("player_id", F.explode(F.array_distinct("codes"))))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import materialize
-from ..sources.fixtures import SEASONS, Tables
+from ..shared import broadcast_if_small, materialize, stored
+from ..sources.fixtures import Tables
 from .breakdowns import STATS
 from .running import placed, rates, running
+from .subject import SMALL
 
 # Settings with their defaults and types.
 SETTINGS = [("my_display_name", "", "text"), ("confidence_threshold", "0.75", "float"), ("default_team_size", "6", "int"), ("hero_hash_max_distance", "8", "int"), ("nameplate_hash_max_distance", "35", "int"), ("read_unknown_names", "1", "int")]
@@ -16,6 +17,7 @@ SETTINGS = [("my_display_name", "", "text"), ("confidence_threshold", "0.75", "f
 EDITED = [(1, "S1", "1995-01-01", "1996-03-31"), (2, "S2", "1996-04-01", "1998-12-31"), (3, "S3", "2000-01-01", None), (4, "S4", "1999-01-01", "1999-12-31")]
 
 
+@stored
 def tagged(t: Tables, own: bool = False) -> DataFrame:
     """``placed`` for each tag that a team-mate in the match wears."""
     rows = materialize(placed(t, own).select("id", "match_id", "player_id", "team", "outcome", "x"), "placed")
@@ -25,6 +27,7 @@ def tagged(t: Tables, own: bool = False) -> DataFrame:
     return rows.join(worn, ["player_id", "match_id"])
 
 
+@stored
 def tagged_trends(t: Tables, window: int = 10, own: bool = False) -> DataFrame:
     """Running and rolling win rate over the matches with each tag; ``x`` keeps the overall place."""
     window = min(100, max(2, window or 10))
@@ -33,11 +36,13 @@ def tagged_trends(t: Tables, window: int = 10, own: bool = False) -> DataFrame:
     return rates(rows, subject, "n", window).select(*subject, "match_id", "x", "n", "cumulative", "rolling", "size")
 
 
+@stored
 def tagged_series(t: Tables, own: bool = False) -> DataFrame:
     win = (F.col("outcome") == "win").cast("long")
     return tagged(t, own).groupBy("player_id", "tag_code").agg(F.count(F.lit(1)).cast("long").alias("games"), F.sum(win).alias("wins"), F.round(F.avg(win), 6).alias("win_rate"))
 
 
+@stored
 def current_streaks(t: Tables, own: bool = False) -> DataFrame:
     """Outcome of each subject's latest match, and how many in a row had it."""
     ends = placed(t, own).groupBy("player_id", "outcome").agg(F.max("x").alias("x"))  # the last place of each outcome
@@ -56,14 +61,18 @@ def player_averages(t: Tables) -> DataFrame:
     return t.match_players.dropna(subset=["player_id"]).groupBy("player_id").agg(F.count(F.lit(1)).cast("long").alias("games"), *(F.round(F.avg(c), 6).alias(c) for c in STATS))
 
 
-def seasons(t: Tables, rows: list[tuple]) -> DataFrame:
-    return F.broadcast(t.spark.createDataFrame(rows, "new_id long, name string, starts string, ends string"))  # a list in the code
+def spans(seasons: DataFrame) -> DataFrame:
+    return broadcast_if_small(seasons.select(F.col("id").alias("new_id"), "name", F.col("starts_on").alias("starts"), F.col("ends_on").alias("ends")), SMALL)
 
 
-def reassign(t: Tables, rows: list[tuple] = EDITED) -> DataFrame:
-    """Matches whose season changes when the seasons become ``rows``, which don't overlap."""
+def edited(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(EDITED, "id long, name string, starts_on string, ends_on string")
+
+
+def reassign(t: Tables, seasons: DataFrame) -> DataFrame:
+    """Matches whose season changes when the seasons become ``seasons`` (id, name, starts_on, ends_on), which don't overlap."""
     day = F.date_format(F.to_utc_timestamp(F.to_timestamp("played_at"), F.current_timezone()), "yyyy-MM-dd")
-    m, s = t.matches.select(F.col("id").alias("match_id"), "season_id", day.alias("day")), seasons(t, rows)
+    m, s = t.matches.select(F.col("id").alias("match_id"), "season_id", day.alias("day")), spans(seasons)
     found = m.join(s, (F.col("day") >= F.col("starts")) & (F.col("day") <= F.coalesce("ends", F.lit("9999-12-31"))), "left")
     return found.filter(~F.col("season_id").eqNullSafe(F.col("new_id"))).select("match_id", F.col("season_id").alias("old_season"), F.col("new_id").alias("new_season"))
 
@@ -71,8 +80,8 @@ def reassign(t: Tables, rows: list[tuple] = EDITED) -> DataFrame:
 def clashes(t: Tables) -> DataFrame:
     """Each player's time from first to last match as a proposed season: names of the seasons that it overlaps."""
     m = t.matches.select(F.col("id").alias("match_id"), F.substring("played_at", 1, 10).alias("day"))
-    spans = t.match_players.dropna(subset=["player_id"]).select("player_id", "match_id").join(m, "match_id").groupBy("player_id").agg(F.min("day").alias("a"), F.max("day").alias("b")).dropna()
-    hit = spans.join(seasons(t, SEASONS), (F.col("a") <= F.coalesce("ends", F.lit("9999-12-31"))) & (F.col("starts") <= F.col("b")))
+    whole = t.match_players.dropna(subset=["player_id"]).select("player_id", "match_id").join(m, "match_id").groupBy("player_id").agg(F.min("day").alias("a"), F.max("day").alias("b")).dropna()
+    hit = whole.join(spans(t.seasons), (F.col("a") <= F.coalesce("ends", F.lit("9999-12-31"))) & (F.col("starts") <= F.col("b")))
     return hit.groupBy("player_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("clashes"))  # at most every season
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import materialize
+from ..shared import materialize, stored
 from ..sources.drafts import Drafts
-from ..sources.fixtures import SEASONS, TAGS, Tables
+from ..sources.fixtures import Tables
 from . import identify
-from .breakdowns import by, by_player, comp_shapes, overall, with_wilson
+from .breakdowns import by, by_player, comp_shapes, overall, with_wilson, worn_tags
 from .running import rates, running
 
 KINDS = ["map", "hero", "role", "ally", "comp"]  #: of highlights, in the order in which ties are shown
@@ -18,7 +18,7 @@ KINDS = ["map", "hero", "role", "ally", "comp"]  #: of highlights, in the order
 def season_list(t: Tables) -> DataFrame:
     """All seasons with their number of matches, and one row for matches without a season if there are any."""
     n = t.matches.groupBy("season_id").agg(F.count(F.lit(1)).alias("matches"))
-    rows = t.spark.createDataFrame(SEASONS, "id long, name string, starts_on string, ends_on string")
+    rows = t.seasons
     listed = rows.join(n, rows.id == n.season_id, "left").select(
         "id", "name", "starts_on", "ends_on", F.col("ends_on").isNull().alias("ongoing"), F.coalesce("matches", F.lit(0)).alias("matches")
     )
@@ -31,8 +31,7 @@ def players_page(t: Tables, limit: int = 200) -> DataFrame:
     """The players with most games first: games, whether a row of theirs is the operator's, nameplates and tags."""
     roster = t.match_players.dropna(subset=["player_id"]).groupBy("player_id").agg(F.count(F.lit(1)).alias("games_seen"), F.max("is_me").alias("is_me"))
     plates = Drafts(t).old_nameplates.groupBy("player_id").agg(F.count(F.lit(1)).alias("nameplate_count"))
-    order = F.create_map(*(x for code, _, n in TAGS for x in (F.lit(code), F.lit(n))))
-    tags = t.player_tags.groupBy("player_id").agg(F.array_sort(F.collect_list(F.struct(F.get(F.array(order), F.lit(0))[F.col("tag_code")].alias("n"), "tag_code"))).alias("t"))
+    tags = worn_tags(t).groupBy("player_id").agg(F.array_sort(F.collect_list(F.struct("n", "tag_code"))).alias("t"))  # a player's tags
     who = t.players.withColumnRenamed("id", "player_id")
     for part in (roster, plates, tags):
         who = who.join(part, "player_id", "left")
@@ -89,15 +88,10 @@ def rosters(t: Tables) -> DataFrame:
     return rows.select("match_id", F.posexplode("p").alias("place", "x")).select("match_id", "place", F.col("x.id").alias("row_id"))
 
 
-def rank_filter(sm: DataFrame, ranks: DataFrame, low: int, high: int) -> DataFrame:
-    """Rows whose ranks' ordinals lie in the bounds; ``ranks`` (id, ordinal) is looked up, as ids say nothing about the order."""
-    lo, hi = ranks.toDF("rank_range_low", "_lo"), ranks.toDF("rank_range_high", "_hi")
-    rows = sm.join(F.broadcast(lo), "rank_range_low").join(F.broadcast(hi), "rank_range_high")
-    return rows.filter((F.col("_lo") >= low) & (F.col("_hi") <= high)).drop("_lo", "_hi")
-
-
+@stored
 def highlights(sm: DataFrame, t: Tables, rank: str = "score", best: bool = True, kinds: list[str] = KINDS, top: int = 5, min_games: int = 5) -> DataFrame:
     """Best by lower Wilson bound or by its distance from the subject's rate, or worst by upper bound; ties by kind, games and name."""
+    sm = materialize(sm, "subject")  # read once for each kind
     made = {"map": lambda: by(sm, "map"), "hero": lambda: by(sm, "hero"), "role": lambda: by(sm, "role"), "ally": lambda: by_player(sm, t, True), "comp": lambda: comp_shapes(sm, t)[0]}
     named, out = {"ally": "name", "comp": "shape"}, None
     for kind in kinds:
@@ -117,12 +111,14 @@ def subject_places(sm: DataFrame) -> DataFrame:
     return running(rows, ["one"], [F.col("played_at").asc_nulls_first(), "match_id", "id"], sums)
 
 
+@stored
 def subject_trend(sm: DataFrame, window: int | None = 10) -> DataFrame:
     """Place, running and rolling win rate of any subject under any filters."""
     window = min(100, max(2, window or 10))
     return rates(subject_places(sm).select("one", "match_id", "id", "x", "wins"), ["one"], "x", window).select("match_id", "x", "cumulative", "rolling", F.col("size").alias("n"))
 
 
+@stored
 def subject_streaks(sm: DataFrame) -> DataFrame:
     """(kind, outcome, length, started, ended): the current run, and the first of the longest runs of wins and of losses."""
     alike = F.when(F.col("outcome") == "win", F.col("wins")).when(F.col("outcome") == "loss", F.col("losses")).otherwise(F.col("draws"))
@@ -138,7 +134,7 @@ def subject_streaks(sm: DataFrame) -> DataFrame:
 def trend_summary(t: Tables) -> DataFrame:
     """Games of the operator, tags there are, and tags that some player has."""
     used = t.player_tags.select("tag_code").distinct().agg(F.count(F.lit(1)).alias("tags_in_use"))
-    return t.match_players.filter("is_me").agg(F.count(F.lit(1)).alias("games")).withColumn("tags_defined", F.lit(len(TAGS)).cast("long")).join(used)
+    return t.match_players.filter("is_me").agg(F.count(F.lit(1)).alias("games")).join(t.tags.agg(F.count(F.lit(1)).alias("tags_defined"))).join(used)
 
 
 def shipped(t: Tables) -> DataFrame:
@@ -191,7 +187,7 @@ def signatures(t: Tables) -> tuple[DataFrame, DataFrame]:
     return e.select("vec_id", "owner").join(library, "owner").select("vec_id", flipped.alias("words")), library
 
 
-def plate_matches(seen: DataFrame, library: DataFrame, most: int = 40) -> DataFrame:
+def plate_matches(seen: DataFrame, library: DataFrame, most: int = 35) -> DataFrame:
     """The nearest owner of each signature within ``most`` bits, the least of equals, with the match's confidence.
 
     A library (owner, words) that a count proves small is broadcast.  Of another, only those are compared that agree

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import outcome
-from ..shared import materialize, partitions_for
+from ..shared import materialize, partitions_for, stored
 from ..sources.fixtures import Tables
 
 
@@ -26,6 +26,7 @@ def running(rows: DataFrame, subject: list[str], order: list, sums: dict[str, Co
     return out.withColumns({k: F.col(k) + F.col(f"_before_{k}") for k in sums}).drop("_pid", *(f"_before_{k}" for k in sums))
 
 
+@stored
 def placed(t: Tables, own: bool = False) -> DataFrame:
     """Rows of every other player, or the operator's own as those of player 0: outcome, place ``x`` in time order, and wins, losses and draws up to it."""
     m = t.matches.select(F.col("id").alias("match_id"), "played_at", "result")

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import outcome
+from ..shared import broadcast_if_small
 from ..sources.fixtures import Tables
 
+SMALL = 100_000  #: rows of a vocabulary that is broadcast
+
 
 @dataclass
 class Filters:
@@ -21,7 +24,7 @@ class Filters:
     season_id: int | str | None = None  #: an id, or "none" for matches without a season
     date_from: str | None = None
     date_to: str | None = None
-    rank_min: int | None = None
+    rank_min: int | None = None  #: ordinals of ``ranks``, whose ids say nothing about the order; a match without a known rank is left out
     rank_max: int | None = None
     with_player: int | None = None
     against_player: int | None = None
@@ -35,10 +38,6 @@ class Filters:
             out.append(F.col("played_at") >= self.date_from)
         if self.date_to:
             out.append(F.col("played_at") <= self.date_to)
-        if self.rank_min is not None:
-            out.append(F.col("rank_range_low") >= self.rank_min)
-        if self.rank_max is not None:
-            out.append(F.col("rank_range_high") <= self.rank_max)
         return out
 
 
@@ -47,13 +46,17 @@ def subject_matches(t: Tables, player_id: int | None = None, filters: Filters |
     filters = filters or Filters()
     rows = t.match_players.filter("is_me" if player_id is None else F.col("player_id") == player_id)
     own = rows.select(F.col("id").alias("subject_row_id"), "match_id", "team", "hero_id", F.col("role").alias("_role"), "eliminations", "assists", "deaths", "damage", "healing", "mitigation")
-    heroes = F.broadcast(t.heroes.select(F.col("id").alias("hero_id"), F.col("name").alias("hero"), F.col("role").alias("_hero_role")))
-    maps = F.broadcast(t.maps.select(F.col("id").alias("map_id"), F.col("name").alias("map"), F.col("mode").alias("_map_mode")))
+    heroes = broadcast_if_small(t.heroes.select(F.col("id").alias("hero_id"), F.col("name").alias("hero"), F.col("role").alias("_hero_role")), SMALL)
+    maps = broadcast_if_small(t.maps.select(F.col("id").alias("map_id"), F.col("name").alias("map"), F.col("mode").alias("_map_mode")), SMALL)
     m = t.matches.withColumnsRenamed({"id": "match_id", "mode": "_mode"})
     sm = own.join(m, "match_id").join(heroes, "hero_id", "left").join(maps, "map_id", "left")
     sm = sm.withColumns({"role": F.coalesce("_role", "_hero_role"), "mode": F.coalesce("_mode", "_map_mode"), "outcome": outcome(F.col("result"), F.col("team"))})
     for predicate in filters.columns():
         sm = sm.filter(predicate)
+    for column, bound, ok in (("rank_range_low", filters.rank_min, lambda c: c >= filters.rank_min), ("rank_range_high", filters.rank_max, lambda c: c <= filters.rank_max)):
+        if bound is not None:
+            good = t.ranks.filter(ok(F.col("ordinal"))).select(F.col("id").alias(column)).distinct()
+            sm = sm.join(broadcast_if_small(good, SMALL), column, "left_semi")
     for who, same in ((filters.with_player, True), (filters.against_player, False)):
         if who is not None:
             other = t.match_players.filter(F.col("player_id") == who).select(F.col("match_id").alias("_m"), F.col("team").alias("_t"), F.col("id").alias("_i"))

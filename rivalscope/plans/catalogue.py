@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import kind_guess, name_clean
 from ..operators import breakdowns as B, history, identify, merging, names
 from ..operators.subject import Filters, subject_matches
-from ..sources.fixtures import SEASONS, Tables
+from ..sources.fixtures import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLAYER = 3  #: the player from whose point of view the ``_player`` queries are
@@ -56,9 +56,10 @@ def match_list_page(t: Tables) -> DataFrame:
 
 
 def season_counts(t: Tables) -> DataFrame:
+    """Every season with its number of matches, and the matches without a season if there are any."""
     n = t.matches.groupBy("season_id").agg(F.count(F.lit(1)).cast("long").alias("matches"))
-    names = t.spark.createDataFrame([(i, name) for i, name, _, _ in SEASONS], "season_id long, season string")
-    return n.join(F.broadcast(names), "season_id", "left").select(F.coalesce("season", F.lit("Unassigned")).alias("season"), "matches")
+    listed = t.seasons.select(F.col("id").alias("season_id"), F.col("name").alias("season")).join(n, "season_id", "left").select("season", F.coalesce("matches", F.lit(0).cast("long")).alias("matches"))
+    return listed.union(n.filter("season_id IS NULL").select(F.lit("Unassigned"), "matches"))
 
 
 def duplicate_files(t: Tables) -> DataFrame:
@@ -128,8 +129,6 @@ def queries() -> dict[str, Query]:
         "latest_by_path": whole(latest_by_path),
         "delete_cascade": whole(delete_cascade),
         "exact_comps": me(B.exact_comps),
-        "highlights_best": me(lambda sm, t: B.highlights(sm, t, True)),
-        "highlights_worst": me(lambda sm, t: B.highlights(sm, t, False)),
         "merge_drafts": whole(lambda t: merging.merge_cells(merging.observations(t), ["draft", "path"])),
         "games_seen": whole(merging.games_seen),
         "integrity": whole(merging.violations),
@@ -140,7 +139,7 @@ def queries() -> dict[str, Query]:
         "streak_current": whole(history.current_streaks),
         "player_hero_counts": whole(history.hero_counts),
         "player_averages": whole(history.player_averages),
-        "season_reassign": whole(history.reassign),
+        "season_reassign": whole(lambda t: history.reassign(t, history.edited(t))),
         "season_clashes": whole(history.clashes),
         "typed_settings": whole(lambda t: history.typed_settings(history.stored_settings(t))),
         "team_sizes": whole(history.team_sizes),

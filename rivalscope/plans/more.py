@@ -8,6 +8,7 @@ from ..operators import breakdowns as B, editing as E, lists as L
 from ..operators.subject import Filters, subject_matches
 from ..sources.drafts import Drafts
 from ..sources.fixtures import Tables
+from ..sources.inputs import proposals, tag_sets
 from .oracle import ALLY, BASE, ME, PLAYER, SHAPES, TALLY, wilson
 
 WHO = 3  #: the player from whose point of view the ``_player`` queries are
@@ -15,11 +16,6 @@ BUSY = Filters(mode="escort", date_from="1993-01-01", team_size=2)
 PHASH = "lower(lpad(to_hex({}), 16, '0'))"
 
 
-def ranks(t: Tables):
-    """Forty ranks whose ids run against their ordinals."""
-    return t.spark.range(1, 41).select("id", (41 - F.col("id")).alias("ordinal"))
-
-
 def whole(f):
     return lambda spark, sf_dir: f(Tables(spark, sf_dir))
 
@@ -56,8 +52,10 @@ BUILD = {
     "allies_most_losses": me(lambda sm, t: L.top_allies(sm, t, "losses", 20)),
     "roster_preview": whole(L.roster_preview),
     "rosters": whole(L.rosters),
-    "filter_rank_ordinals": me(lambda sm, t: B.by(L.rank_filter(sm, ranks(t), 4, 30), "team"), player=WHO),
+    "filter_rank_ordinals": me(lambda sm, t: B.by(sm, "team"), Filters(rank_min=4, rank_max=30), WHO),
     "filter_many_player": me(lambda sm, t: B.by(sm, "team"), BUSY, WHO),
+    "highlights_best": me(lambda sm, t: L.highlights(sm, t)),
+    "highlights_worst": me(lambda sm, t: L.highlights(sm, t, best=False)),
     "highlights_delta": me(lambda sm, t: L.highlights(sm, t, "delta"), player=WHO),
     "highlights_some_kinds": me(lambda sm, t: L.highlights(sm, t, "score", False, ["hero", "role"]), player=WHO),
     "trend_filtered": me(lambda sm, t: L.subject_trend(sm), BUSY),
@@ -81,10 +79,10 @@ BUILD = {
     "attached_by_prefix": whole(lambda t: E.attached(t, "a")),
     "crops_dropped": whole(E.without_crops),
     "open_drafts": whole(E.open_drafts),
-    "season_problems": whole(E.season_problems),
-    "season_overlaps": whole(E.season_overlaps),
+    "season_problems": whole(lambda t: E.season_problems(t, proposals(t))),
+    "season_overlaps": whole(lambda t: E.season_overlaps(proposals(t))),
     "season_deleted": whole(lambda t: E.season_deleted(t, 2)),
-    "tags_replaced": whole(E.tags_replaced),
+    "tags_replaced": whole(lambda t: E.tags_replaced(t, tag_sets(t))),
     "notes_edited": whole(E.notes_edited),
     "text_rules": whole(text_rules),
     "hero_names_resolved": whole(lambda t: t.raw("part").select("p_partkey", F.col("p_brand").alias("name")).join(F.broadcast(t.heroes), "name", "left").select("p_partkey", F.col("id").alias("hero_id"), "role")),
@@ -149,6 +147,8 @@ SQL = {
     "rosters": of("SELECT match_id, row_number() OVER (PARTITION BY match_id ORDER BY team <> 'ally', row_index, id) - 1 AS place, id AS row_id FROM match_players"),
     "filter_rank_ordinals": of(f"SELECT team, {TALLY} FROM sm WHERE 41 - rank_range_low >= 4 AND 41 - rank_range_high <= 30 AND rank_range_low BETWEEN 1 AND 40 AND rank_range_high BETWEEN 1 AND 40 GROUP BY team", PLAYER),
     "filter_many_player": of(f"SELECT team, {TALLY} FROM sm {WHERE} GROUP BY team", PLAYER),
+    "highlights_best": of(highlights({"map": 0, "hero": 1, "role": 2, "ally": 3, "comp": 4}, "score DESC")),
+    "highlights_worst": of(highlights({"map": 0, "hero": 1, "role": 2, "ally": 3, "comp": 4}, "ceiling")),
     "highlights_delta": of(highlights({"map": 0, "hero": 1, "role": 2, "ally": 3, "comp": 4}, "delta DESC"), PLAYER),
     "highlights_some_kinds": of(highlights({"hero": 1, "role": 2}, "ceiling"), PLAYER),
     "trend_filtered": of(trend(10, WHERE)),
@@ -166,8 +166,8 @@ SQL = {
       lib AS (SELECT owner, [list_sum([CASE WHEN v[(32 * w + b) % 64 + 1] > ((32 * w + b) // 64 - 4) / 16.0 THEN CAST(1 AS BIGINT) << b ELSE 0 END FOR b IN range(32)]) FOR w IN range(15)] AS words FROM first),
       seen AS (SELECT vec_id, [CASE WHEN i = 1 THEN xor(CAST(words[i] AS BIGINT), CAST((vec_id * 2654435761 % 4294967296) & (vec_id * 97 % 4294967296) AS BIGINT)) ELSE CAST(words[i] AS BIGINT) END FOR i IN range(1, 16)] AS words FROM e JOIN lib USING (owner)),
       near AS (SELECT vec_id, lib.owner, list_sum([bit_count(xor(CAST(seen.words[i] AS BIGINT), CAST(lib.words[i] AS BIGINT))) FOR i IN range(1, 16)]) AS distance FROM seen, lib),
-      best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, owner) AS n FROM near WHERE distance <= 40)
-      SELECT vec_id, owner, CAST(distance AS BIGINT) AS distance, round(1 - distance / 40.0 * 0.5, 6) AS confidence FROM best WHERE n = 1""",
+      best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, owner) AS n FROM near WHERE distance <= 35)
+      SELECT vec_id, owner, CAST(distance AS BIGINT) AS distance, round(1 - distance / 35.0 * 0.5, 6) AS confidence FROM best WHERE n = 1""",
     "empty_drafts": of("SELECT id AS match_id, team, unnest(range(coalesce(team_size, 6))) AS row_index FROM matches, (VALUES ('ally'), ('enemy')) AS x(team)"),
     "conflicts_resolved": OBS + """, b AS (SELECT draft, path, arg_min(value, seq) AS mine, arg_max(value, seq) AS theirs, count(*) AS n FROM e WHERE value IS NOT NULL GROUP BY 1, 2)
       SELECT draft, path, CASE WHEN mine <> theirs AND n % 2 = 0 THEN theirs ELSE mine END AS value, CASE WHEN mine <> theirs AND n % 2 = 0 THEN 'template' ELSE 'kept' END AS source FROM b""",

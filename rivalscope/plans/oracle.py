@@ -63,15 +63,10 @@ OTHERS = """, r AS (SELECT p.id, p.match_id, p.player_id, m.played_at, CASE WHEN
 RELATION = ", r AS (SELECT them.player_id, m.result AS outcome FROM match_players them JOIN match_players me ON me.match_id = them.match_id AND me.is_me JOIN matches m ON m.id = them.match_id WHERE NOT them.is_me AND them.player_id IS NOT NULL AND them.team {} me.team) SELECT player_id, " + TALLY + " FROM r GROUP BY 1"
 FILTERS = {
     "filter_hero": "hero_id = 4", "filter_role": "role = 'tank'", "filter_map": "map_id = 3", "filter_mode": "mode = 'escort'", "filter_team_size": "team_size = 2", "filter_dates": "played_at >= '1995-03-01' AND played_at <= '1996-09-30'",
-    "filter_rank": "rank_range_low >= 5 AND rank_range_high <= 30", "filter_season": "season_id = 2", "filter_unassigned": "season_id IS NULL",
+    "filter_rank": "41 - rank_range_low >= 5 AND 41 - rank_range_high <= 30 AND rank_range_low BETWEEN 1 AND 40 AND rank_range_high BETWEEN 1 AND 40", "filter_season": "season_id = 2", "filter_unassigned": "season_id IS NULL",
     "filter_teammate": "EXISTS (SELECT 1 FROM match_players o WHERE o.match_id = sm.match_id AND o.team = sm.team AND o.id <> sm.subject_row_id AND o.player_id = 7)", "filter_opponent": "EXISTS (SELECT 1 FROM match_players o WHERE o.match_id = sm.match_id AND o.team <> sm.team AND o.player_id = 8)",
 }
 
-HIGHLIGHTS = SHAPES + f""", k AS (
- SELECT 'map' AS kind, map AS name, outcome FROM sm WHERE map IS NOT NULL UNION ALL SELECT 'hero', hero, outcome FROM sm WHERE hero IS NOT NULL UNION ALL SELECT 'role', role, outcome FROM sm WHERE role IS NOT NULL
- UNION ALL SELECT 'ally', players.display_name, sm.outcome FROM sm {ALLY} JOIN players ON players.id = o.player_id UNION ALL SELECT 'comp', shape, outcome FROM shaped WHERE complete
-), x AS (SELECT kind, name, {TALLY} FROM k GROUP BY 1, 2 HAVING count(*) >= 5), y AS (SELECT kind, name, games, wins, losses, {wilson('-')} AS score, {wilson('+')} AS ceiling FROM x)
-SELECT *, round(score - (SELECT round(avg(CASE WHEN outcome = 'win' THEN 1.0 ELSE 0 END), 6) FROM sm), 5) AS delta FROM y"""
 CELLS = " UNION ALL ".join(f"SELECT id AS match_id, '{f}' AS path, CAST({f} AS VARCHAR) AS value FROM matches WHERE {f} IS NOT NULL" for f in ("played_at", "map_id", "mode", "result", "team_size"))
 CELLS += " UNION ALL SELECT o_orderkey, 'duration_seconds', CAST(300 + o_orderkey % 1200 AS VARCHAR) FROM orders"
 MERGE = """WITH RECURSIVE c AS (
@@ -144,13 +139,11 @@ def oracle_sql() -> dict[str, str]:
         "player_against_me": q(RELATION.format("<>")),
         "export_everything": q("SELECT p.match_id, m.played_at, maps.name AS map, m.result, m.team_size, p.team, p.row_index, players.display_name AS player, h.name AS hero, p.eliminations, p.assists, p.deaths, p.damage, p.healing, p.mitigation FROM match_players p JOIN matches m ON m.id = p.match_id LEFT JOIN maps ON maps.id = m.map_id LEFT JOIN players ON players.id = p.player_id LEFT JOIN heroes h ON h.id = p.hero_id"),
         "match_list_page": q("SELECT id, played_at, result FROM matches ORDER BY played_at DESC NULLS LAST, id DESC LIMIT 50 OFFSET 100"),
-        "season_counts": q("SELECT CASE season_id WHEN 1 THEN 'S1' WHEN 2 THEN 'S2' WHEN 3 THEN 'S3' ELSE 'Unassigned' END AS season, count(*) AS matches FROM matches GROUP BY 1"),
+        "season_counts": q(", s(id, season) AS (VALUES (1, 'S1'), (2, 'S2'), (3, 'S3')) SELECT season, (SELECT count(*) FROM matches WHERE season_id = s.id) AS matches FROM s UNION ALL SELECT 'Unassigned', count(*) FROM matches WHERE season_id IS NULL HAVING count(*) > 0"),
         "duplicate_files": "WITH f AS (SELECT doc_id, sha256(text) AS sha, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id FROM documents) SELECT doc_id, first_id FROM f WHERE doc_id <> first_id",
         "latest_by_path": "SELECT user_id, event_type, arg_max(json_extract_string(props, '$.k'), event_id) AS value, count(*) AS edits FROM events GROUP BY 1, 2",
         "delete_cascade": q("SELECT 'matches' AS table_name, count(*) AS n FROM matches WHERE result <> 'draw' UNION ALL SELECT 'match_players', count(*) FROM match_players WHERE match_id NOT IN (SELECT id FROM matches WHERE result = 'draw') UNION ALL SELECT 'match_bans', count(*) FROM match_bans WHERE match_id NOT IN (SELECT id FROM matches WHERE result = 'draw')"),
         "exact_comps": q(f", l AS (SELECT p.match_id, p.team, string_agg(h.name, ' · ' ORDER BY h.name) AS name, count(*) AS named FROM match_players p JOIN heroes h ON h.id = p.hero_id GROUP BY 1, 2) SELECT l.name, {TALLY} FROM sm JOIN l USING (match_id, team) WHERE team_size IS NULL OR named = team_size GROUP BY l.name"),
-        "highlights_best": q(HIGHLIGHTS + " ORDER BY score DESC, kind, name LIMIT 5"),
-        "highlights_worst": q(HIGHLIGHTS + " ORDER BY ceiling, kind, name LIMIT 5"),
         "merge_drafts": MERGE,
         "games_seen": q("SELECT players.id, display_name, count(x.match_id) AS games_seen, max(x.played_at) AS last_seen FROM players LEFT JOIN (SELECT p.player_id, p.match_id, m.played_at FROM match_players p JOIN matches m ON m.id = p.match_id) x ON x.player_id = players.id GROUP BY 1, 2"),
         "integrity": q("SELECT 'roster row without match' AS rule, count(*) AS n FROM match_players WHERE match_id NOT IN (SELECT id FROM matches) UNION ALL SELECT 'roster row of unknown player', count(*) FROM match_players WHERE player_id NOT IN (SELECT id FROM players) UNION ALL SELECT 'match with several own rows', count(*) FROM (SELECT match_id FROM match_players WHERE is_me GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'match without own row', count(*) FROM matches WHERE id NOT IN (SELECT match_id FROM match_players WHERE is_me) UNION ALL SELECT 'unknown result', count(*) FROM matches WHERE coalesce(result, '') NOT IN ('win', 'loss', 'draw')"),

@@ -38,6 +38,19 @@ class Tables:
         modes = F.array(*map(F.lit, ("control", "escort", "hybrid", "push", "flashpoint")))
         return self.raw("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.element_at(modes, F.col("n_regionkey") + 1).alias("mode"))
 
+    @cached_property
+    def seasons(self) -> DataFrame:
+        return self.spark.createDataFrame(SEASONS, "id long, name string, starts_on string, ends_on string")
+
+    @cached_property
+    def tags(self) -> DataFrame:
+        return self.spark.createDataFrame(TAGS, "code string, tag_set string, sort_order int")
+
+    @cached_property
+    def ranks(self) -> DataFrame:
+        """Forty ranks whose ids run against their ordinals."""
+        return self.spark.range(1, 41).select("id", (41 - F.col("id")).alias("ordinal"))
+
     @cached_property
     def players(self) -> DataFrame:
         return self.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("display_name"))

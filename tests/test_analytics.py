@@ -38,7 +38,7 @@ def value(v):
     return f"{v:.5f}" if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", ["by_map", "by_ally", "by_opponent_hero", "bans", "comp_shapes", "comp_unclassified", "hero_pairs", "wilson_by_map", "trend_points", "streak_longest", "players_tags", "filter_teammate", "filter_unassigned", "totals_me", "exact_comps", "highlights_best", "highlights_worst", "merge_drafts", "games_seen", "integrity", "match_cells", "hero_identify", *ADDED])
+@pytest.mark.parametrize("name", ["by_map", "by_ally", "by_opponent_hero", "bans", "comp_shapes", "comp_unclassified", "hero_pairs", "wilson_by_map", "trend_points", "streak_longest", "players_tags", "filter_teammate", "filter_unassigned", "totals_me", "exact_comps", "merge_drafts", "games_seen", "integrity", "match_cells", "hero_identify", *ADDED])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"):
