@@ -12,7 +12,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import documents as D
 from .fixtures import Tables
+from .store import SCHEMAS
 
 STATS = ["eliminations", "assists", "deaths", "damage", "healing", "mitigation"]
 
@@ -88,3 +90,69 @@ class Drafts:
         p = self.t.match_players.filter("match_id % 4 = 2 AND player_id IS NOT NULL")
         p = p.select("player_id", phash(F.col("player_id") * 10 + F.col("id") % 4).alias("phash"))
         return p.groupBy("player_id", "phash").agg(F.count(F.lit(1)).alias("times_matched"))
+
+
+class DraftStore:
+    """The tables of a user whose drafts are those above, as documents: what a commit as a whole reads.
+
+    Files, bans, superseded values and stored counters are made up, and so is the provenance of matches that are edited.
+    """
+
+    def __init__(self, t: Tables):
+        self.t, self.d, self.spark = t, Drafts(t), t.spark
+        self.heroes, self.maps, self.seasons = t.heroes, t.maps, t.seasons
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in SCHEMAS:
+            raise AttributeError(name)
+        kinds = [f.strip().split(" ") for f in SCHEMAS[name].split(",")]
+        rows = getattr(self, f"_{name}")()
+        return rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds))
+
+    def _players(self) -> DataFrame:
+        return self.t.players.withColumn("games_seen", F.col("id") % 40)
+
+    def _matches(self) -> DataFrame:
+        return self.d.old_matches
+
+    def _match_players(self) -> DataFrame:
+        return self.d.old_rows
+
+    def _match_bans(self) -> DataFrame:
+        return self.d.old_bans.withColumn("id", F.col("match_id") * 10 + F.col("slot_index"))
+
+    def _match_sources(self) -> DataFrame:
+        return self.d.old_matches.filter("id % 16 = 0").select("id", F.col("id").alias("match_id"), F.concat(F.lit("screenshots/"), F.col("id").cast("string"), F.lit("/old.png")).alias("file_path"))
+
+    def _field_provenance(self) -> DataFrame:
+        of_match = self.d.old_matches.filter("id % 5 = 0").select(F.col("id"), F.lit("matches").alias("table_name"), F.col("id").alias("row_id"), F.lit("mode").alias("column_name"))
+        of_row = self.d.old_rows.filter("id % 9 = 0").select(F.col("id"), F.lit("match_players"), F.col("id").alias("row_id"), F.lit("role"))
+        return of_match.union(of_row).withColumn("source", F.lit("template"))
+
+    def _player_nameplates(self) -> DataFrame:
+        return self.d.old_nameplates.withColumn("id", F.col("player_id"))
+
+    def _hero_portraits(self) -> DataFrame:
+        return self.d.old_portraits.withColumn("id", F.col("hero_id"))
+
+    @cached_property
+    def documents(self) -> D.Documents:
+        cell = lambda v, source, sure: F.struct(v.alias("value"), source.alias("source"), F.when(source == "template", "endgame_report").otherwise(source).alias("origin"), sure.alias("confidence"))
+        m = self.d.meta
+        of = F.when(F.col("draft_id") % 3 == 0, "template").otherwise("manual")
+        meta = m.select("draft_id", "editing_match_id", *(cell((F.col(c) if c in m.columns else F.lit(None)).cast(kind), of, F.lit(0.9)).alias(c) for c, kind in D.META.items()))
+        r = self.d.rows
+        passed = {"player_id": F.col("player_id"), "nameplate_phash": F.col("nameplate"), "nameplate_width": F.lit(30), "portrait_phash": F.col("portrait")}
+        rows = r.select("draft_id", F.col("row_id").alias("place"), "team", F.col("row_index").cast("long").alias("row_index"), "is_me", *(passed.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in D.PASSED.items()), *(cell(F.col(c).cast(kind), F.col("source"), F.lit(0.8)).alias(c) for c, kind in D.CELLS.items()))
+        bans = self.t.match_bans.filter("match_id % 4 = 0").select(F.col("match_id").alias("draft_id"), F.col("slot_index").alias("place"), "hero_id", F.col("slot_index").cast("long").alias("slot_index"))
+        path = F.concat(F.lit("rows["), "team", F.lit(":"), F.col("row_index").cast("string"), F.lit("].damage"))
+        lost = r.filter("superseded IS NOT NULL").select("draft_id", F.col("row_id").alias("place"), path.alias("path"), F.col("superseded").alias("value"))
+        file = m.filter("draft_id % 3 = 0").select("draft_id", F.lit(0).alias("place"), F.format_string("drafts/%d/shot.png", "draft_id").alias("path"), F.sha2(F.col("draft_id").cast("string"), 256).alias("sha256"), F.lit("endgame_report").alias("kind"), F.lit(None).cast("string").alias("ingested_at"))
+        open_ = m.filter("conflicts > 0").select("draft_id", F.lit(0).alias("place"), F.lit("meta.mode").alias("path"), F.lit("a").alias("mine"), F.lit("b").alias("theirs"), F.lit("endgame_report").alias("theirs_origin"), F.lit(0.5).alias("theirs_confidence"))
+        return D.Documents(meta=meta, rows=rows, bans=bans, files=file, conflicts=open_, superseded=lost, rejects=meta.limit(0))
+
+    def _drafts(self) -> DataFrame:
+        """One document in thirteen is cut off in the middle, one in seventeen has a word for a number."""
+        i = F.col("draft_id")
+        broken = F.when(i % 13 == 0, F.expr("left(payload, length(payload) div 2)")).when(i % 17 == 0, F.regexp_replace("payload", r'"deaths":\{"value":\d+', '"deaths":{"value":"many"')).otherwise(F.col("payload"))
+        return D.build(self.documents).select(i.alias("id"), F.lit("open").alias("status"), broken.alias("payload"))
