@@ -137,16 +137,16 @@ def trend_summary(t: Tables) -> DataFrame:
     return t.match_players.filter("is_me").agg(F.count(F.lit(1)).alias("games")).join(t.tags.agg(F.count(F.lit(1)).alias("tags_defined"))).join(used)
 
 
-def shipped(t: Tables) -> DataFrame:
-    """(hero_id, phash) of a library that comes with the program, from the embeddings' labels."""
+def shipped(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, hero_id, phash) of a library that comes with the program, from the embeddings' labels."""
     from ..sources.drafts import phash
 
-    return t.raw("embeddings").select((F.col("label") + 1).cast("long").alias("hero_id"), phash(F.col("label") * 3 + F.col("vec_id") % 7).alias("phash"))
+    return embeddings.select("vec_id", (F.col("label") + 1).cast("long").alias("hero_id"), phash(F.col("label") * 3 + F.col("vec_id") % 7).alias("phash"))
 
 
 def library(t: Tables) -> DataFrame:
     """Shipped and learned hashes together, each hash once a hero, from where it came first."""
-    both = shipped(t).withColumn("origin", F.lit("shipped")).unionByName(Drafts(t).old_portraits.select("hero_id", "phash", F.lit("learned").alias("origin")))
+    both = shipped(t.raw("embeddings")).drop("vec_id").withColumn("origin", F.lit("shipped")).unionByName(Drafts(t).old_portraits.select("hero_id", "phash", F.lit("learned").alias("origin")))
     return both.groupBy("hero_id", "phash").agg(F.max("origin").alias("origin"))  # "shipped" sorts after "learned"
 
 

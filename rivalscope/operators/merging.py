@@ -48,10 +48,14 @@ def merge_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def observations(t: Tables) -> DataFrame:
+    return cells_of_events(t.raw("events"))
+
+
+def cells_of_events(events: DataFrame) -> DataFrame:
     """Events as cells of drafts; some are blank."""
     origins = F.array(*map(F.lit, ORIGIN_RANK))
     value = F.when(F.col("event_id") % 11 != 0, F.get_json_object("props", "$.k"))
-    return t.raw("events").select(F.col("user_id").alias("draft"), F.col("event_type").alias("path"), F.col("event_id").alias("seq"), value.alias("value"), F.get(origins, (F.col("event_id") % 4).cast("int")).alias("origin"))
+    return events.select(F.col("user_id").alias("draft"), F.col("event_type").alias("path"), F.col("event_id").alias("seq"), value.alias("value"), F.get(origins, (F.col("event_id") % 4).cast("int")).alias("origin"))
 
 
 def games_seen(t: Tables) -> DataFrame:

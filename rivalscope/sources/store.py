@@ -54,10 +54,17 @@ class Store:
         names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
         return max([int(n.split(".")[0]) for n in names if n.endswith(".json")], default=0)
 
+    def manifest(self) -> dict:
+        n = self.version()
+        return json.loads(self.spark.read.text(f"{self.folder}/_manifests/{n:09d}.json", wholetext=True).first()[0]) if n else {"tables": {}, "marks": {}}
+
     def places(self) -> dict[str, str]:
         """Where published tables lie, by name, below the folder."""
-        n = self.version()
-        return json.loads(self.spark.read.text(f"{self.folder}/_manifests/{n:09d}.json", wholetext=True).first()[0]) if n else {}
+        return self.manifest()["tables"]
+
+    def marks(self) -> dict[str, int]:
+        """What publishers noted beside the tables, such as how far a stream has come."""
+        return self.manifest()["marks"]
 
     def read(self, name: str) -> DataFrame:
         """A table by its declared schema.  Columns that the file lacks are null, others are not read; a table without a file is empty."""
@@ -73,15 +80,15 @@ class Store:
         options = {"header": True} if self.form == "csv" else {}
         df.write.format(self.form).options(**options).mode("errorifexists").save(f"{self.folder}/{place or name}")
 
-    def publish(self, tables: dict[str, DataFrame], after: int | None = None) -> int:
+    def publish(self, tables: dict[str, DataFrame], after: int | None = None, marks: dict[str, int] | None = None) -> int:
         """Writes new versions of ``tables`` and makes them those that are read, all at once; returns the publication's number.
 
-        With ``after``, the version that ``tables`` were made from, nothing is published if another has come since.  The number is claimed
+        With ``after``, the version that ``tables`` were made from, nothing is published if another has come since.  ``marks`` are published with them.  The number is claimed
         while writing, so two can't publish at once.  What was written by a publication that failed is read by nobody.
         """
         if after is not None and self.version() != after:
             raise RuntimeError(f"version {after} is no longer the last one")
-        number, places, mark = self.version() + 1, self.places(), uuid.uuid4().hex
+        number, now, mark = self.version() + 1, self.manifest(), uuid.uuid4().hex
         fs, claim = self._files("_manifests", f"{number:09d}.claim")
         if not fs.exists(claim.getParent()):
             fs.mkdirs(claim.getParent())
@@ -90,10 +97,10 @@ class Store:
         try:
             for name, df in tables.items():
                 self.write(name, df, f"_versions/{number:09d}-{mark}/{name}")
-                places[name] = f"_versions/{number:09d}-{mark}/{name}"
+                now["tables"][name] = f"_versions/{number:09d}-{mark}/{name}"
             fs, draft = self._files("_manifests", f"{mark}.draft")
             stream = fs.create(draft)
-            stream.write(bytearray(json.dumps(places, sort_keys=True).encode()))
+            stream.write(bytearray(json.dumps({"tables": now["tables"], "marks": now["marks"] | (marks or {})}, sort_keys=True).encode()))
             stream.close()
             if not fs.rename(draft, self._files("_manifests", f"{number:09d}.json")[1]):
                 raise RuntimeError(f"publication {number} could not be made the current one")
