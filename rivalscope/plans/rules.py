@@ -1,10 +1,10 @@
-"""Queries of the schema's rules, and their SQL."""
+"""Queries of the schema's rules and of profiles, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import references as R
+from ..operators import profiles as P, references as R
 from ..sources.drafts import DraftStore
 from ..sources.fixtures import Tables
 from .oracle import BASE, ME
@@ -19,7 +19,14 @@ def deleted(spark, sf_dir):
     return R.sizes(R.delete(t, "matches", t.matches.filter("result = 'draw'").select("id")), DELETED)
 
 
+def prices(spark, sf_dir):
+    """The orders' prices as one long profile by order number."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit(0).alias("series"), F.col("o_orderkey").alias("pos"), F.col("o_totalprice").cast("double").alias("value"))
+
+
 BUILD = {
+    "profile_runs": lambda spark, sf_dir: P.runs(prices(spark, sf_dir), 200_000, 3),
+    "profile_swings": lambda spark, sf_dir: P.peak_to_trough(prices(spark, sf_dir), 64).select("pos", F.round("swing", 2).alias("swing")),
     "schema_violations": lambda spark, sf_dir: R.validate(Tables(spark, sf_dir), CHECKED),
     "deleted_with_all": deleted,
     "rows_cleared": lambda spark, sf_dir: R.clear(TaggedStore(Tables(spark, sf_dir)))[1].filter(~F.col("table_name").isin("drafts", "field_provenance", "match_sources")),
@@ -42,6 +49,9 @@ RULES = [
     *(rule(r.name, f"SELECT count(*) FROM {r.table} x WHERE {r.column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {r.to} y WHERE y.{r.key} = x.{r.column})") for r in R.REFERENCES if r.table in CHECKED and r.to in CHECKED),
 ]
 SQL = {
+    "profile_runs": """, q AS (SELECT o_orderkey AS pos, CAST(o_totalprice AS DOUBLE) AS v FROM orders WHERE o_totalprice >= 200000), f AS (SELECT *, CASE WHEN pos - lag(pos) OVER (ORDER BY pos) <= 4 THEN 0 ELSE 1 END AS s FROM q),
+      r AS (SELECT *, sum(s) OVER (ORDER BY pos) AS run FROM f) SELECT 0 AS series, min(pos) AS start, max(pos) AS "end", count(*) AS n, max(v) AS peak FROM r GROUP BY run""",
+    "profile_swings": """, v AS (SELECT o_orderkey AS pos, CAST(o_totalprice AS DOUBLE) AS v FROM orders) SELECT pos, round(max(v) OVER w - min(v) OVER w, 2) AS swing FROM v WINDOW w AS (ORDER BY pos RANGE BETWEEN 63 PRECEDING AND CURRENT ROW)""",
     "schema_violations": ", ranks AS (SELECT unnest(range(1, 41)) AS id, 41 - unnest(range(1, 41)) AS ordinal), seasons(id, name) AS (VALUES (1, 'S1'), (2, 'S2'), (3, 'S3')) " + " UNION ALL ".join(RULES),
     "deleted_with_all": """, m AS (SELECT * FROM matches WHERE id % 4 <> 0 OR id % 8 = 0), k AS (SELECT id FROM m WHERE result <> 'draw'), r AS (SELECT * FROM match_players WHERE match_id IN (SELECT id FROM m)),
       n AS (SELECT 'matches' AS table_name, (SELECT count(*) FROM k) AS n UNION ALL SELECT 'match_players', (SELECT count(*) FROM r WHERE match_id IN (SELECT id FROM k)) UNION ALL SELECT 'match_bans', (SELECT count(*) FROM match_bans WHERE match_id IN (SELECT id FROM k))
