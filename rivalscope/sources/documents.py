@@ -11,6 +11,8 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialize
+
 # The documents' fields and types.
 META = {"played_at": "string", "map_id": "bigint", "mode": "string", "result": "string", "team_size": "bigint", "duration_seconds": "bigint", "rank_range_low": "bigint", "rank_range_high": "bigint", "notes": "string"}
 CELLS = {"player_name": "string", "role": "string", "hero_id": "bigint", "eliminations": "bigint", "assists": "bigint", "deaths": "bigint", "damage": "bigint", "healing": "bigint", "mitigation": "bigint"}
@@ -62,11 +64,12 @@ def unreadable(names: dict[str, str], of: Column) -> Column:
     return F.coalesce(*bad)
 
 
-def parse(drafts: DataFrame) -> Documents:
+def parse(drafts: DataFrame, keep: bool = False) -> Documents:
     """Takes the payloads of ``drafts`` (id, payload) apart.
 
     A draft whose payload is no JSON object, lacks ``meta`` or ``rows``, has two rows of one seat or a value of the wrong type is a reject with its reason.
     Missing fields are null, missing lists empty; keys that the format doesn't have are not kept.  A row without ``is_me`` isn't the operator's.
+    Each payload is read once: what comes of it is written (``materialize``, to which ``keep`` goes), and all tables are read from there.
     """
     doc = F.from_json("payload", payload_type(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
     read = drafts.select(F.col("id").alias("draft_id"), "payload", doc.alias("d"))
@@ -79,6 +82,8 @@ def parse(drafts: DataFrame) -> Documents:
         .when(wrong.isNotNull(), F.concat(F.lit("not a number: "), wrong))
     )
     judged = read.withColumn("reason", reason)
+    bad = F.col("reason").isNotNull()
+    judged = materialize(judged.select("draft_id", "reason", F.when(bad, F.col("payload")).alias("payload"), F.when(~bad, F.col("d").dropFields("_malformed")).alias("d")), "parsed", keep)
     good = judged.filter("reason IS NULL").select("draft_id", "d.*")
     meta = good.select("draft_id", "editing_match_id", *cells_typed(META, "meta"))
     rows = good.select("draft_id", F.posexplode("rows").alias("place", "r"))
@@ -89,13 +94,20 @@ def parse(drafts: DataFrame) -> Documents:
 
 def build(docs: Documents) -> DataFrame:
     """(draft_id, payload): the documents again, lists in the order of ``place``; parsing them gives the same tables."""
-    out = docs.meta.select("draft_id", "editing_match_id", F.struct(*META).alias("meta"))
+    parts = {"_meta": docs.meta.select("draft_id", F.struct("editing_match_id", F.struct(*META).alias("meta")).alias("_meta"))}
     for name in ("rows", *LISTS):
         table = getattr(docs, name)
         cols = [c for c in table.columns if c not in ("draft_id", "place")]
-        held = table.groupBy("draft_id").agg(F.array_sort(F.collect_list(F.struct("place", F.struct(*cols).alias("x")))).alias("_l"))  # one document's list
-        empty = F.from_json(F.lit("[]"), f"array<{table.select(F.struct(*cols).alias('x')).schema['x'].dataType.simpleString()}>")
-        out = out.join(held.select("draft_id", F.transform("_l", lambda x: x["x"]).alias(name)), "draft_id", "left").withColumn(name, F.coalesce(name, empty))
+        parts[name] = table.select("draft_id", F.struct("place", F.struct(*cols).alias("x")).alias(name))
+    # one column a table, so that all are dealt and collected at once
+    kinds = {name: part.schema[name].dataType for name, part in parts.items()}
+    out = None
+    for name, part in parts.items():
+        part = part.select("draft_id", *(F.col(k) if k == name else F.lit(None).cast(kind).alias(k) for k, kind in kinds.items()))
+        out = part if out is None else out.union(part)
+    lists = (F.array_sort(F.collect_list(name)).alias(name) for name in ("rows", *LISTS))  # one document's; nulls aren't collected
+    out = out.groupBy("draft_id").agg(F.first("_meta", ignorenulls=True).alias("_meta"), *lists).filter("_meta IS NOT NULL")
+    out = out.select("draft_id", "_meta.*", *(F.transform(name, lambda x: x["x"]).alias(name) for name in ("rows", *LISTS)))
     return out.select("draft_id", F.to_json(F.struct("editing_match_id", "meta", "rows", *LISTS), {"ignoreNullFields": "false"}).alias("payload"))
 
 

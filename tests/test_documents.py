@@ -133,3 +133,20 @@ def test_publication_is_whole_or_nothing(spark, store):
     assert store.version() == 1 and store.matches.count() == 2
     empty = Store(spark, store.folder + "/none")
     assert commit_store(empty, "NOW").count() == 0 and empty.matches.count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_read_once_and_built_in_one_grouping(spark):
+    docs = D.parse(drafts(spark, {1: payload(rows=[row("ally", 0, True)]), 2: payload("loss"), 3: "{"}))
+    assert all("from_json" not in plan(x) for x in (docs.meta, docs.rows, docs.bans, docs.superseded, docs.rejects))
+    built = D.build(docs)
+    assert "Join" not in plan(built) and plan(built).count("Aggregate [") == 1
+    assert {x.draft_id: len(json.loads(x.payload)["rows"]) for x in built.collect()} == {1: 1, 2: 0}
+    # rows of a draft that isn't there make no document
+    docs.meta = docs.meta.filter("draft_id = 2")
+    assert [x.draft_id for x in D.build(docs).collect()] == [2]
+
+
