@@ -39,6 +39,14 @@ def numbered(rows: DataFrame, keys: list[str], held: DataFrame, out: str = "id")
     return ranked.join(F.broadcast(last)).withColumn(out, F.col("_last") + F.col("_number") + 1).drop("_last", "_number")
 
 
+def numbered_within(rows: DataFrame, key: str, order: str, held: DataFrame, out: str = "id") -> DataFrame:
+    """``numbered`` by ``key`` and ``order``, where one key has few rows: only the keys are ranked over all, so ``rows`` aren't dealt by ranges."""
+    last = held.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_last"))  # one row
+    before = global_rank(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), [key], "_n", "_before").drop("_n")
+    ranked = rows.withColumn("_number", F.row_number().over(W.partitionBy(key).orderBy(order))).join(before, key)
+    return ranked.join(F.broadcast(last)).withColumn(out, F.col("_last") + F.col("_before") + F.col("_number")).drop("_last", "_before", "_number")
+
+
 def problems(docs: D.Documents, rows: DataFrame, t: Store) -> DataFrame:
     """(draft_id, problem): why an open draft can't be committed; ``rows`` are those with content."""
     own = rows.groupBy("draft_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_me").alias("own"))
@@ -60,8 +68,8 @@ def problems(docs: D.Documents, rows: DataFrame, t: Store) -> DataFrame:
     found = facts.select("draft_id", F.explode(F.array_compact(F.array(*(F.when(rule, name) for rule, name in rules)))).alias("problem"))
     parts = [found, docs.rejects.select("draft_id", F.col("reason").alias("problem"))]
     for table, column in ((t.players, "player_id"), (t.heroes, "hero_id")):  # what rows refer to
-        asked = rows.select("draft_id", (F.col(column) if column == "player_id" else F.col(column)["value"]).alias("id")).dropna().distinct()
-        parts.append(asked.join(table.select("id"), "id", "left_anti").select("draft_id", F.lit(f"unknown {column[:-3]}").alias("problem")).distinct())
+        asked = rows.select("draft_id", (F.col(column) if column == "player_id" else F.col(column)["value"]).alias("id")).dropna()
+        parts.append(asked.join(broadcast_if_small(table.select("id"), SMALL), "id", "left_anti").select("draft_id", F.lit(f"unknown {column[:-3]}").alias("problem")).distinct())
     maps = docs.meta.select("draft_id", F.col("map_id")["value"].alias("id")).dropna()
     parts.append(maps.join(t.maps.select("id"), "id", "left_anti").select("draft_id", F.lit("unknown map").alias("problem")))
     out = parts[0]
@@ -77,16 +85,17 @@ class Commit:
     moves: DataFrame  #: match_id, path, target: files to move to their match's folder; their rows name the target
 
 
-def commit(t: Store, now: str, ids: Sequence[int] | None = None) -> Commit:
+def commit(t: Store, now: str, ids: Sequence[int] | None = None, only: Sequence[str] | None = None) -> Commit:
     """All open drafts of ``t`` (or those of ``ids``) that have no problem become matches, in the order of their ids.
 
     A draft that edits a match replaces its fields, roster, bans and provenance under the same id, and gives back the games that the
     old roster counted.  A row's player is the one of its id, else of its exact trimmed name, else new.  Rows without content
-    are no players.  Committed drafts are never committed again.  A portrait that another hero holds is not learned.  Read the results inside the run (``scratch``) that calls this.
+    are no players.  With ``only`` (names of tables, ``refused`` or ``moves``) the tables not named may be missing, and the work that they alone need is left out.
+    Committed drafts are never committed again.  A portrait that another hero holds is not learned.  Read the results inside the run (``scratch``) that calls this.
     """
+    wants = lambda *names: only is None or not set(names).isdisjoint(only)
     drafts = t.drafts.filter("status = 'open'")
     docs = D.parse(drafts if ids is None else drafts.filter(F.col("id").isin(list(ids))))
-    docs = D.Documents(meta=materialize(docs.meta, "draft-meta"), rows=materialize(docs.rows, "draft-rows"), bans=docs.bans, files=docs.files, conflicts=docs.conflicts, superseded=docs.superseded, rejects=docs.rejects)
     rows = docs.rows.filter(F.col("is_me") | F.coalesce(F.greatest(*(~blank(F.col(c)) for c in D.CELLS)), F.lit(False)))
     refused = materialize(problems(docs, rows, t), "refused")
 
@@ -97,17 +106,11 @@ def commit(t: Store, now: str, ids: Sequence[int] | None = None) -> Commit:
 
     # players: names are looked up, as a name may be that of a third of all rows
     mine = rows.join(ok.select("draft_id", "match_id"), "draft_id")
-    mine = mine.withColumn("_name", F.when(~blank(F.col("player_name")) & F.col("player_id").isNull(), F.regexp_replace(F.col("player_name")["value"], r"(?U)^\s+|\s+$", "")))
-    mine = materialize(numbered(mine, ["draft_id", "place"], t.match_players), "committed-rows")
-    known = t.players.groupBy(F.col("display_name").alias("_name")).agg(F.min("id").alias("_known"))
-    named = materialize(lookup(mine.filter("_name IS NOT NULL").select("id", "_name"), known, ["_name"], "left", stored=True), "named-rows")
-    new = named.filter("_known IS NULL").groupBy("_name").agg(F.min("id").alias("_first"))
-    new = materialize(numbered(new, ["_first"], t.players, "_new").select("_name", "_new"), "new-players")
-    who = lookup(named, new, ["_name"], "left", stored=True).select("id", F.coalesce("_known", "_new").alias("_who"))
-    mine = materialize(mine.join(who, "id", "left").withColumn("player_id", F.coalesce("player_id", "_who")).drop("_who", "_name"), "resolved-rows")
+    seats = mine.groupBy("match_id").agg(F.greatest(F.count_if(F.col("team") == "ally"), F.count_if(F.col("team") == "enemy")).alias("_seats"))
+    if wants("match_players", "players", "field_provenance", "player_nameplates", "hero_portraits"):
+        mine, new = resolved(rows, ok, t)
 
     # matches
-    seats = mine.groupBy("match_id").agg(F.greatest(F.count_if(F.col("team") == "ally"), F.count_if(F.col("team") == "enemy")).alias("_seats"))
     value = lambda c: F.col(c)["value"]
     old = t.matches
     facts = ok.join(seats, "match_id", "left").join(old.select(F.col("id").alias("match_id"), F.col("created_at").alias("_created")), "match_id", "left")
@@ -122,44 +125,52 @@ def commit(t: Store, now: str, ids: Sequence[int] | None = None) -> Commit:
     out = {"matches": left(old, "id").select(cols("matches")).unionByName(facts.select(cols("matches")))}
 
     # roster and bans
-    roster = mine.select("id", "match_id", "player_id", "team", "is_me", *(F.col(c)["value"].alias(c) for c in D.CELLS if c != "player_name"), F.col("row_index").cast("int").alias("row_index"))
-    out["match_players"] = left(t.match_players).select(cols("match_players")).unionByName(roster.select(cols("match_players")))
-    bans = docs.bans.filter("hero_id IS NOT NULL").join(ok.select("draft_id", "match_id"), "draft_id")
-    bans = numbered(bans, ["draft_id", "place"], t.match_bans).withColumn("slot_index", F.col("slot_index").cast("int"))
-    out["match_bans"] = left(t.match_bans).select(cols("match_bans")).unionByName(bans.select(cols("match_bans")))
+    if wants("match_players"):
+        roster = mine.select("id", "match_id", "player_id", "team", "is_me", *(F.col(c)["value"].alias(c) for c in D.CELLS if c != "player_name"), F.col("row_index").cast("int").alias("row_index"))
+        out["match_players"] = left(t.match_players).select(cols("match_players")).unionByName(roster.select(cols("match_players")))
+    if wants("match_bans"):
+        bans = docs.bans.filter("hero_id IS NOT NULL").join(ok.select("draft_id", "match_id"), "draft_id")
+        bans = numbered_within(bans, "draft_id", "place", t.match_bans).withColumn("slot_index", F.col("slot_index").cast("int"))
+        out["match_bans"] = left(t.match_bans).select(cols("match_bans")).unionByName(bans.select(cols("match_bans")))
 
     # stored counters: what the old rosters of edited matches counted is given back, but not below 0
     count = lambda df, name: df.dropna(subset=["player_id"]).groupBy("player_id").agg(F.count(F.lit(1)).alias(name))
-    born = new.select(F.col("_new").alias("id"), F.col("_name").alias("display_name"), F.lit(now).alias("first_seen"), F.lit(0).cast("long").alias("games_seen"))
-    people = t.players.unionByName(born, allowMissingColumns=True).withColumnRenamed("id", "player_id")
-    people = people.join(count(t.match_players.join(edited, "match_id", "left_semi"), "_back"), "player_id", "left").join(count(mine, "_more"), "player_id", "left")
-    seen = F.greatest(F.lit(0), F.coalesce("games_seen", F.lit(0)) - F.coalesce("_back", F.lit(0))) + F.coalesce("_more", F.lit(0))
-    people = people.withColumns({"games_seen": seen.cast("long"), "last_seen": F.when(F.col("_more").isNotNull(), F.lit(now)).otherwise(F.col("last_seen"))})
-    out["players"] = people.withColumnRenamed("player_id", "id").select(cols("players"))
+    if wants("players"):
+        born = new.select(F.col("_new").alias("id"), F.col("_name").alias("display_name"), F.lit(now).alias("first_seen"), F.lit(0).cast("long").alias("games_seen"))
+        people = t.players.unionByName(born, allowMissingColumns=True).withColumnRenamed("id", "player_id")
+        people = people.join(count(t.match_players.join(edited, "match_id", "left_semi"), "_back"), "player_id", "left").join(count(mine, "_more"), "player_id", "left")
+        seen = F.greatest(F.lit(0), F.coalesce("games_seen", F.lit(0)) - F.coalesce("_back", F.lit(0))) + F.coalesce("_more", F.lit(0))
+        people = people.withColumns({"games_seen": seen.cast("long"), "last_seen": F.when(F.col("_more").isNotNull(), F.lit(now)).otherwise(F.col("last_seen"))})
+        out["players"] = people.withColumnRenamed("player_id", "id").select(cols("players"))
 
     # provenance of what a template read, the match's own fields and its rows'; of the values that a path replaced the last counts
-    lost = docs.superseded.groupBy("draft_id", "path").agg(F.max_by("value", "place").alias("superseded_value"))
-    told = lambda table, row, path, names: F.array_compact(F.array(*(F.when(~blank(F.col(c)) & (F.col(c)["source"] == "template"), F.struct(F.lit(table).alias("table_name"), row.alias("row_id"), F.lit(c).alias("column_name"), F.concat(path, F.lit(c)).alias("path"), F.col(c)["confidence"].alias("confidence"))) for c in names)))
-    seat = F.concat(F.lit("rows["), "team", F.lit(":"), F.col("row_index").cast("string"), F.lit("]."))
-    traced = ok.select("draft_id", F.explode(told("matches", F.col("match_id"), F.lit("meta."), D.META)).alias("x"))
-    traced = traced.union(mine.select("draft_id", F.explode(told("match_players", F.col("id"), seat, D.CELLS)).alias("x"))).select("draft_id", "x.*")
-    traced = numbered(traced.join(lost, ["draft_id", "path"], "left"), ["draft_id", "path"], t.field_provenance).withColumn("source", F.lit("template"))
-    gone = edited.select(F.lit("matches").alias("table_name"), F.col("match_id").alias("row_id")).union(t.match_players.join(edited, "match_id", "left_semi").select(F.lit("match_players"), "id"))
-    out["field_provenance"] = t.field_provenance.join(gone, ["table_name", "row_id"], "left_anti").select(cols("field_provenance")).unionByName(traced.select(cols("field_provenance")))
+    if wants("field_provenance"):
+        lost = docs.superseded.groupBy("draft_id", "path").agg(F.max_by("value", "place").alias("superseded_value"))
+        told = lambda table, row, path, names: F.array_compact(F.array(*(F.when(~blank(F.col(c)) & (F.col(c)["source"] == "template"), F.struct(F.lit(table).alias("table_name"), row.alias("row_id"), F.lit(c).alias("column_name"), F.concat(path, F.lit(c)).alias("path"), F.col(c)["confidence"].alias("confidence"))) for c in names)))
+        seat = F.concat(F.lit("rows["), "team", F.lit(":"), F.col("row_index").cast("string"), F.lit("]."))
+        traced = ok.select("draft_id", F.explode(told("matches", F.col("match_id"), F.lit("meta."), D.META)).alias("x"))
+        traced = traced.union(mine.select("draft_id", F.explode(told("match_players", F.col("id"), seat, D.CELLS)).alias("x"))).select("draft_id", "x.*")
+        traced = numbered(traced.join(lost, ["draft_id", "path"], "left"), ["draft_id", "path"], t.field_provenance).withColumn("source", F.lit("template"))
+        gone = edited.select(F.lit("matches").alias("table_name"), F.col("match_id").alias("row_id")).union(t.match_players.join(edited, "match_id", "left_semi").select(F.lit("match_players"), "id"))
+        out["field_provenance"] = t.field_provenance.join(gone, ["table_name", "row_id"], "left_anti").select(cols("field_provenance")).unionByName(traced.select(cols("field_provenance")))
 
     # files
     files = docs.files.join(ok.select("draft_id", "match_id"), "draft_id")
     target = F.concat(F.lit("screenshots/"), F.col("match_id").cast("string"), F.lit("/"), F.element_at(F.split("path", "/"), -1))
     files = files.select("draft_id", "place", "match_id", "path", target.alias("file_path"), F.col("sha256").alias("file_sha256"), "kind", F.coalesce("ingested_at", F.lit(now)).alias("ingested_at"))
-    out["match_sources"] = t.match_sources.select(cols("match_sources")).unionByName(numbered(files, ["draft_id", "place"], t.match_sources).select(cols("match_sources")))
+    if wants("match_sources"):
+        out["match_sources"] = t.match_sources.select(cols("match_sources")).unionByName(numbered_within(files, "draft_id", "place", t.match_sources).select(cols("match_sources")))
 
     # what nameplates and portraits teach
-    plates = mine.dropna(subset=["player_id", "nameplate_phash"]).groupBy("player_id", F.col("nameplate_phash").alias("phash")).agg(F.count(F.lit(1)).alias("_more"), F.min_by("nameplate_width", "id").cast("int").alias("width_px"))
-    out["player_nameplates"] = learned(t.player_nameplates, plates, "player_id", now).select(cols("player_nameplates"))
-    faces = mine.select("id", F.col("hero_id")["value"].alias("hero_id"), F.col("portrait_phash").alias("phash")).dropna()
-    owner = faces.groupBy("phash").agg(F.min_by("hero_id", "id").alias("_first")).join(t.hero_portraits.groupBy("phash").agg(F.min("hero_id").alias("_held")), "phash", "left")
-    faces = faces.join(owner.select("phash", F.coalesce("_held", "_first").alias("hero_id")), ["phash", "hero_id"]).groupBy("hero_id", "phash").agg(F.count(F.lit(1)).alias("_more"))
-    out["hero_portraits"] = learned(t.hero_portraits, faces, "hero_id", now).select(cols("hero_portraits"))
+    if wants("player_nameplates"):
+        plates = mine.dropna(subset=["player_id", "nameplate_phash"]).groupBy("player_id", F.col("nameplate_phash").alias("phash")).agg(F.count(F.lit(1)).alias("_more"), F.min_by("nameplate_width", "id").cast("int").alias("width_px"))
+        out["player_nameplates"] = learned(t.player_nameplates, plates, "player_id", now).select(cols("player_nameplates"))
+    if wants("hero_portraits"):
+        faces = mine.select("id", F.col("hero_id")["value"].alias("hero_id"), F.col("portrait_phash").alias("phash")).dropna()
+        faces = faces.groupBy("hero_id", "phash").agg(F.count(F.lit(1)).alias("_more"), F.min("id").alias("_id"))
+        owner = faces.groupBy("phash").agg(F.min_by("hero_id", "_id").alias("_first")).join(t.hero_portraits.groupBy("phash").agg(F.min("hero_id").alias("_held")), "phash", "left")
+        faces = faces.join(owner.select("phash", F.coalesce("_held", "_first").alias("hero_id")), ["phash", "hero_id"]).drop("_id")
+        out["hero_portraits"] = learned(t.hero_portraits, faces, "hero_id", now).select(cols("hero_portraits"))
 
     done = t.drafts.join(ok.select(F.col("draft_id").alias("id"), "match_id"), "id", "left")
     done = done.withColumns({"status": F.when(F.col("match_id").isNotNull(), "committed").otherwise(F.col("status")), "updated_at": F.when(F.col("match_id").isNotNull(), now).otherwise(F.col("updated_at")), "committed_match_id": F.coalesce("match_id", "committed_match_id")})
@@ -167,6 +178,23 @@ def commit(t: Store, now: str, ids: Sequence[int] | None = None) -> Commit:
     return Commit(out, refused, files.select("match_id", "path", F.col("file_path").alias("target")))
 
 
+def resolved(rows: DataFrame, ok: DataFrame, t: Store) -> tuple[DataFrame, DataFrame]:
+    """The rows of the drafts ``ok`` with ``id``, ``match_id`` and their players' ids; and the new players, ``_name`` and ``_new``.
+
+    Ids and names are found on narrow rows; the whole rows are dealt and written once.
+    """
+    name = F.when(~blank(F.col("player_name")) & F.col("player_id").isNull(), F.regexp_replace(F.col("player_name")["value"], r"(?U)^\s+|\s+$", ""))
+    keys = rows.select("draft_id", "place", name.alias("_name")).join(ok.select("draft_id", "match_id"), "draft_id")
+    keys = materialize(numbered_within(keys, "draft_id", "place", t.match_players), "committed-rows")
+    known = t.players.groupBy(F.col("display_name").alias("_name")).agg(F.min("id").alias("_known"))
+    named = materialize(lookup(keys.filter("_name IS NOT NULL").select("id", "draft_id", "place", "_name"), known, ["_name"], "left", stored=True), "named-rows")
+    new = named.filter("_known IS NULL").groupBy("_name").agg(F.min("id").alias("_first"))
+    new = materialize(numbered(new, ["_first"], t.players, "_new").select("_name", "_new"), "new-players")
+    who = lookup(named, new, ["_name"], "left", stored=True).select("draft_id", "place", F.coalesce("_known", "_new").alias("_who"))
+    mine = rows.join(keys.select("draft_id", "place", "id", "match_id"), ["draft_id", "place"]).join(who, ["draft_id", "place"], "left")
+    return materialize(mine.withColumn("player_id", F.coalesce("player_id", "_who")).drop("_who"), "resolved-rows"), new
+
+
 def learned(held: DataFrame, new: DataFrame, owner: str, now: str) -> DataFrame:
     """``held`` with the counts of ``new`` (owner, phash, _more, ...) added, and a row for what it lacks."""
     both = held.join(new.select(owner, "phash", "_more"), [owner, "phash"], "left").withColumn("times_matched", F.col("times_matched") + F.coalesce("_more", F.lit(0))).drop("_more")
@@ -181,10 +209,11 @@ def reopen(t: Store, ids: Sequence[int], now: str) -> DataFrame:
     (so that a name typed anew finds its player), and the bans in order; files stay with the match.
     """
     open_ = D.parse(t.drafts.filter("status = 'open'")).meta.select("editing_match_id").dropna()
+    asked = F.col("match_id").isin(list(ids))
     m = t.matches.filter(F.col("id").isin(list(ids))).join(open_, F.col("id") == F.col("editing_match_id"), "left_anti")
     m = materialize(numbered(m.withColumnRenamed("id", "match_id"), ["match_id"], t.drafts, "draft_id"), "reopened")
     keys = m.select("draft_id", "match_id")
-    p = t.match_players.join(keys, "match_id")
+    p = t.match_players.filter(asked).join(keys, "match_id")
     seats = p.groupBy("draft_id").agg(F.greatest(F.count_if(F.col("team") == "ally"), F.count_if(F.col("team") == "enemy")).alias("_n"))
     size = m.join(seats, "draft_id", "left").select("draft_id", F.coalesce(F.nullif(F.col("team_size").cast("long"), F.lit(0)), F.nullif("_n", F.lit(0)), F.lit(6)).alias("_n"))
     meta = m.select("draft_id", F.col("match_id").alias("editing_match_id"), *(D.manual(F.col(c).cast(kind)).alias(c) for c, kind in D.META.items()))
@@ -195,7 +224,7 @@ def reopen(t: Store, ids: Sequence[int], now: str) -> DataFrame:
     filled = filled.groupBy("draft_id", "team", "row_index").agg(F.max("is_me").alias("is_me"), *(F.first(c).alias(c) for c in D.CELLS))
     rows = spots.join(filled, ["draft_id", "team", "row_index"], "left").select(
         "draft_id", "place", "team", "row_index", F.coalesce("is_me", F.lit(False)).alias("is_me"), *(F.lit(None).cast(kind).alias(c) for c, kind in D.PASSED.items()), *(D.manual(F.col(c).cast(kind)).alias(c) for c, kind in D.CELLS.items()))
-    bans = t.match_bans.join(keys, "match_id").select("draft_id", F.struct("slot_index", "id").alias("place"), "hero_id", F.col("slot_index").cast("long").alias("slot_index"))
+    bans = t.match_bans.filter(asked).join(keys, "match_id").select("draft_id", F.struct("slot_index", "id").alias("place"), "hero_id", F.col("slot_index").cast("long").alias("slot_index"))
     none = {k: t.spark.createDataFrame([], "draft_id long, place int, " + ", ".join(f"{c} {kind}" for c, kind in D.LISTS[k].items())) for k in ("files", "conflicts", "superseded")}
     made = D.build(D.Documents(meta=meta, rows=rows, bans=bans, rejects=none["files"], **none))
     new = made.select(F.col("draft_id").alias("id"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.lit("open").alias("status"), "payload", F.lit(None).cast("long").alias("committed_match_id"))

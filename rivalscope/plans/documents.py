@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import publishing as P
-from ..shared import stored
+from ..shared import scratch, stored
 from ..sources import documents as D
 from ..sources.drafts import DraftStore
 from ..sources.fixtures import Tables
@@ -24,21 +24,32 @@ def after(table: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]
 
     @stored
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        done = P.commit(DraftStore(Tables(spark, sf_dir)), NOW)
+        done = P.commit(DraftStore(Tables(spark, sf_dir), written=True), NOW, only=[table])
         return (done.refused if table == "refused" else done.moves if table == "moves" else done.tables[table]).select(*columns)
 
     return run
 
 
 def documents(f: Callable[[D.Documents], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(D.parse(DraftStore(Tables(spark, sf_dir)).drafts))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scratch(spark):
+            return f(D.parse(DraftStore(Tables(spark, sf_dir)).drafts, keep=True))
+
+    return run
+
+
+def again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the documents that were taken apart, put together and taken apart again."""
+    with scratch(spark):
+        built = D.build(D.parse(DraftStore(Tables(spark, sf_dir)).drafts))
+        return D.cells(D.parse(built.select(F.col("draft_id").alias("id"), "payload"), keep=True)).select("draft_id", "path", "value", "source", "confidence")
 
 
 @stored
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every table after the commit."""
     out = None
-    for name, df in P.commit(DraftStore(Tables(spark, sf_dir)), NOW).tables.items():
+    for name, df in P.commit(DraftStore(Tables(spark, sf_dir), written=True), NOW).tables.items():
         n = df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"))
         out = n if out is None else out.union(n)
     return out
@@ -56,7 +67,7 @@ def reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BUILD = {
     "draft_documents": documents(lambda d: D.cells(d).select("draft_id", "path", "value", "source", "confidence")),
-    "draft_documents_again": documents(lambda d: D.cells(D.parse(D.build(d).select(F.col("draft_id").alias("id"), "payload"))).select("draft_id", "path", "value", "source", "confidence")),
+    "draft_documents_again": again,
     "draft_rejects": documents(lambda d: d.rejects.select("draft_id", F.split("reason", ":")[0].alias("reason"))),
     "draft_lists": documents(lambda d: d.bans.select("draft_id", F.lit("ban").alias("list"), F.col("hero_id").cast("string").alias("value")).union(d.files.select("draft_id", F.lit("file"), "path")).union(d.superseded.select("draft_id", F.lit("superseded"), "path")).union(d.conflicts.select("draft_id", F.lit("conflict"), "path"))),
     "whole_commit_refused": after("refused", "draft_id", "problem"),

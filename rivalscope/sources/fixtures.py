@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from ..shared import materialize
+
 # The tag vocabulary and the seasons of the fixture.
 TAGS = [("tank", "role", 1), ("damage", "role", 2), ("support", "role", 3), ("red", "free", 4), ("pink", "free", 5), ("white", "free", 6)]
 SEASONS = [(1, "S1", "1995-01-01", "1996-06-30"), (2, "S2", "1996-07-01", "1998-12-31"), (3, "S3", "2000-01-01", None)]
@@ -27,6 +29,13 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def written(self, *names: str) -> Tables:
+        """The same tables, with those of ``names`` written (``materialize``) instead of derived again wherever they are read."""
+        out = Tables(self.spark, self.sf_dir)
+        for name in names:
+            out.__dict__[name] = materialize(getattr(self, name), name)  # where cached_property keeps it
+        return out
+
     @cached_property
     def heroes(self) -> DataFrame:
         brands = self.raw("part").select(F.col("p_brand").alias("name")).distinct()

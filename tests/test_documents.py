@@ -150,3 +150,18 @@ def test_documents_are_read_once_and_built_in_one_grouping(spark):
     assert [x.draft_id for x in D.build(docs).collect()] == [2]
 
 
+def test_a_commit_makes_only_what_is_asked_for(spark, store):
+    with scratch(spark):
+        whole, part = commit(store, "N"), commit(store, "N", only=["drafts"])
+        assert "match_players" in whole.tables and not {"match_players", "players", "field_provenance"} & set(part.tables)
+        assert sorted(map(str, part.tables["drafts"].collect())) == sorted(map(str, whole.tables["drafts"].collect()))
+
+
+def test_fixture_tables_are_written_once(spark):
+    from rivalscope.sources.fixtures import Tables
+
+    sf = "/root/testdata/sf0.001"
+    with scratch(spark):
+        t = Tables(spark, sf).written("match_players")
+        assert "Window" not in plan(t.match_players)
+        assert t.match_players.exceptAll(Tables(spark, sf).match_players).isEmpty() and t.match_players.count() == Tables(spark, sf).match_players.count()
