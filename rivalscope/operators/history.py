@@ -20,7 +20,7 @@ EDITED = [(1, "S1", "1995-01-01", "1996-03-31"), (2, "S2", "1996-04-01", "1998-1
 @stored
 def tagged(t: Tables, own: bool = False) -> DataFrame:
     """``placed`` for each tag that a team-mate in the match wears."""
-    rows = materialize(placed(t, own).select("id", "match_id", "player_id", "team", "outcome", "x"), "placed")
+    rows = placed(t, own).select("id", "match_id", "player_id", "team", "outcome", "x")  # placed is stored
     mates = t.match_players.dropna(subset=["player_id"]).select("match_id", "team", F.col("id").alias("_mate"), F.col("player_id").alias("_who"))
     tags = t.player_tags.select(F.col("player_id").alias("_who"), "tag_code")
     worn = rows.select("id", "match_id", "player_id", "team").join(mates, ["match_id", "team"]).filter("_mate <> id").join(tags, "_who").select("player_id", "match_id", "tag_code").distinct()
@@ -32,7 +32,7 @@ def tagged_trends(t: Tables, window: int = 10, own: bool = False) -> DataFrame:
     """Running and rolling win rate over the matches with each tag; ``x`` keeps the overall place."""
     window = min(100, max(2, window or 10))
     subject = ["player_id", "tag_code"]
-    rows = running(tagged(t, own).select(*subject, "match_id", "x", "outcome"), subject, ["x"], {"n": F.lit(1), "wins": F.col("outcome") == "win"})
+    rows = materialize(running(tagged(t, own).select(*subject, "match_id", "x", "outcome"), subject, ["x"], {"n": F.lit(1), "wins": F.col("outcome") == "win"}), "running")
     return rates(rows, subject, "n", window).select(*subject, "match_id", "x", "n", "cumulative", "rolling", "size")
 
 

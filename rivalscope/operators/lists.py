@@ -115,7 +115,7 @@ def subject_places(sm: DataFrame) -> DataFrame:
 def subject_trend(sm: DataFrame, window: int | None = 10) -> DataFrame:
     """Place, running and rolling win rate of any subject under any filters."""
     window = min(100, max(2, window or 10))
-    return rates(subject_places(sm).select("one", "match_id", "id", "x", "wins"), ["one"], "x", window).select("match_id", "x", "cumulative", "rolling", F.col("size").alias("n"))
+    return rates(materialize(subject_places(sm).select("one", "match_id", "id", "x", "wins"), "running"), ["one"], "x", window).select("match_id", "x", "cumulative", "rolling", F.col("size").alias("n"))
 
 
 @stored

@@ -16,7 +16,8 @@ def running(rows: DataFrame, subject: list[str], order: list, sums: dict[str, Co
     ``subject`` holds no nulls, and ``order`` is unique within a subject.  Rows are range-partitioned by
     both; across ranges only one sum a subject and range is carried, so no task has more than its range.
     """
-    ranged = rows.withColumns({k: F.coalesce(c.cast("long"), F.lit(0)) for k, c in sums.items()})
+    # written first, as dealing by ranges reads its rows twice: once for the bounds
+    ranged = materialize(rows.withColumns({k: F.coalesce(c.cast("long"), F.lit(0)) for k, c in sums.items()}), "unranged")
     ranged = materialize(ranged.repartitionByRange(partitions_for(rows), *subject, *order).withColumn("_pid", F.spark_partition_id()), "ranged")
     earlier = W.partitionBy(*subject).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)  # as many rows as ranges
     parts = ranged.groupBy(*subject, "_pid").agg(*(F.sum(k).alias(k) for k in sums))
@@ -37,8 +38,7 @@ def placed(t: Tables, own: bool = False) -> DataFrame:
 
 
 def rates(rows: DataFrame, subject: list[str], n: str, window: int) -> DataFrame:
-    """Adds cumulative, rolling and ``size`` from the running ``wins`` at each place ``n``: sums at ``n`` less those at ``n - window``."""
-    rows = materialize(rows, "running")
+    """Adds cumulative, rolling and ``size`` from the running ``wins`` at each place ``n``: sums at ``n`` less those at ``n - window``.  ``rows`` should be stored, as they are read twice."""
     old = rows.select(*subject, (F.col(n) + window).alias(n), F.col("wins").alias("_old"))
     size = F.least(F.col(n), F.lit(window)).cast("long")
     return rows.join(old, [*subject, n], "left").withColumns({

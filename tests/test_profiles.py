@@ -35,3 +35,18 @@ def test_runs_and_swings(spark, monkeypatch):
             full = [x for x in rows if None not in x]
             assert got == sorted((s, p, v, max(w := [y for x, q, y in full if x == s and p - width < q <= p]) - min(w)) for s, p, v in full)
     assert profiles.runs(df.limit(0), 6).count() == profiles.peak_to_trough(df.limit(0), 3).count() == 0
+
+
+def test_rows_are_written_before_they_are_dealt_by_ranges(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from rivalscope.operators import running as R
+    from rivalscope.shared import scratch
+
+    write, plans = R.materialize, {}
+    monkeypatch.setattr(R, "materialize", lambda df, name, keep=False: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or write(df, name, keep))
+    rows = spark.range(40).selectExpr("id % 3 AS s", "id").dropDuplicates(["id"])
+    with scratch(spark):
+        got = R.running(rows, ["s"], ["id"], {"n": F.lit(1)}).collect()
+    assert {(x.s, x.id, x.n) for x in got} == {(i % 3, i, i // 3 + 1) for i in range(40)}
+    assert "Aggregate" not in plans["ranged"]  # what is dealt is read, not made twice
