@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import global_rank, stored
+from ..shared import global_rank, heavy_keys, lookup, materialize, stored
 from ..sources.drafts import STATS, Drafts
 from .publishing import season_of
 
@@ -77,11 +77,15 @@ def resolved(d: Drafts, ok: DataFrame | None = None) -> DataFrame:
     """
     names = d.t.players.select(F.col("id").alias("_known"), F.col("display_name").alias("_name"))
     rows = populated(d).join((ok or valid(d)).select("draft_id", "match_id"), "draft_id").withColumn("_name", F.when(~blank("player_name"), F.regexp_replace("player_name", r"(?U)^\s+|\s+$", "")))
-    rows = rows.join(names, "_name", "left")
-    new = rows.filter("player_id IS NULL AND _known IS NULL AND _name IS NOT NULL").groupBy("_name").agg(F.min("row_id").alias("_first")).withColumn("_one", F.lit(1))
+    rows = materialize(rows, "drafted")
+    # rows without a name would all meet in one task, and so would those of a frequent one
+    named, unnamed = rows.filter("_name IS NOT NULL"), rows.filter("_name IS NULL")
+    hot = heavy_keys(named, ["_name"])
+    named = lookup(named, names, ["_name"], "left", hot, stored=True)
+    new = named.filter("player_id IS NULL AND _known IS NULL").groupBy("_name").agg(F.min("row_id").alias("_first")).withColumn("_one", F.lit(1))
     number = global_rank(new, ["_first"], "_one", "_new").select("_name", "_new")
     last = d.t.players.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))  # one row
-    out = rows.join(number, "_name", "left").join(F.broadcast(last))
+    out = lookup(named, number, ["_name"], "left", hot).unionByName(unnamed, allowMissingColumns=True).join(F.broadcast(last))
     who = F.coalesce("player_id", "_known", F.col("_last") + F.col("_new") + 1)
     return out.withColumns({"is_new": F.col("player_id").isNull() & F.col("_new").isNotNull(), "player_id": who}).drop("_known", "_last", "_new")
 
@@ -106,13 +110,12 @@ def players_after(d: Drafts) -> DataFrame:
     ok = valid(d)
     rows = resolved(d, ok)
     n = F.count(F.lit(1))
-    before = d.old_rows.dropna(subset=["player_id"]).groupBy("player_id").agg(n.alias("_before"))
-    edited = ok.filter("editing_match_id IS NOT NULL").select(F.col("editing_match_id").alias("match_id"))
-    back = d.old_rows.dropna(subset=["player_id"]).join(edited, "match_id").groupBy("player_id").agg(n.alias("_back"))
+    edited = ok.filter("editing_match_id IS NOT NULL").select(F.col("editing_match_id").alias("match_id"), F.lit(True).alias("_edited"))
+    before = d.old_rows.dropna(subset=["player_id"]).select("match_id", "player_id").join(edited, "match_id", "left").groupBy("player_id").agg(n.alias("_before"), F.count("_edited").alias("_back"))
     more = rows.dropna(subset=["player_id"]).groupBy("player_id").agg(n.alias("_more"))
     new = rows.filter("is_new").select(F.col("player_id").alias("id"), F.col("_name").alias("display_name")).distinct()
     who = d.t.players.unionByName(new).withColumnRenamed("id", "player_id")
-    for part in (before, back, more):
+    for part in (before, more):
         who = who.join(part, "player_id", "left")
     seen = F.greatest(F.lit(0), F.coalesce("_before", F.lit(0)) - F.coalesce("_back", F.lit(0))) + F.coalesce("_more", F.lit(0))
     return who.select(F.col("player_id").alias("id"), "display_name", seen.cast("long").alias("games_seen"))
