@@ -7,7 +7,7 @@ commit or nothing of it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W
@@ -20,9 +20,9 @@ from ..sources.store import SCHEMAS, Store
 SMALL = 100_000  #: rows of a table that is broadcast
 
 
-def blank(c: Column) -> Column:
-    """A cell without a value, or of white space only."""
-    return c["value"].isNull() | c["value"].cast("string").rlike(r"(?U)^\s*$")
+def blank(c: Column, kind: str = "string") -> Column:
+    """A cell without a value, or of white space only; numbers (``kind``) are never white space."""
+    return c["value"].isNull() | c["value"].rlike(r"(?U)^\s*$") if kind == "string" else c["value"].isNull()
 
 
 def season_of(rows: DataFrame, seasons: DataFrame, key: str = "id", played_at: str = "played_at") -> DataFrame:
@@ -82,7 +82,7 @@ def problems(docs: D.Documents, rows: DataFrame, t: Store) -> DataFrame:
 class Commit:
     tables: dict[str, DataFrame]  #: every table that a commit changes, as it is afterwards
     refused: DataFrame  #: draft_id, problem
-    moves: DataFrame  #: match_id, path, target: files to move to their match's folder; their rows name the target
+    moves: DataFrame | None  #: match_id, path, target: files to move to their match's folder; their rows name the target
 
 
 def commit(t: Store, now: str, ids: Sequence[int] | None = None, only: Sequence[str] | None = None) -> Commit:
@@ -96,8 +96,10 @@ def commit(t: Store, now: str, ids: Sequence[int] | None = None, only: Sequence[
     wants = lambda *names: only is None or not set(names).isdisjoint(only)
     drafts = t.drafts.filter("status = 'open'")
     docs = D.parse(drafts if ids is None else drafts.filter(F.col("id").isin(list(ids))))
-    rows = docs.rows.filter(F.col("is_me") | F.coalesce(F.greatest(*(~blank(F.col(c)) for c in D.CELLS)), F.lit(False)))
+    rows = docs.rows.filter(F.col("is_me") | F.coalesce(F.greatest(*(~blank(F.col(c), kind) for c, kind in D.CELLS.items())), F.lit(False)))
     refused = materialize(problems(docs, rows, t), "refused")
+    if not wants(*(name for name in (*SCHEMAS, "moves"))):
+        return Commit({}, refused, None)
 
     good = docs.meta.join(refused.select("draft_id").distinct(), "draft_id", "left_anti")
     fresh = numbered(good.filter("editing_match_id IS NULL").select("draft_id"), ["draft_id"], t.matches, "_new")
@@ -108,7 +110,9 @@ def commit(t: Store, now: str, ids: Sequence[int] | None = None, only: Sequence[
     mine = rows.join(ok.select("draft_id", "match_id"), "draft_id")
     seats = mine.groupBy("match_id").agg(F.greatest(F.count_if(F.col("team") == "ally"), F.count_if(F.col("team") == "enemy")).alias("_seats"))
     if wants("match_players", "players", "field_provenance", "player_nameplates", "hero_portraits"):
-        mine, new = resolved(rows, ok, t)
+        # what each table takes of a row besides ids
+        taken = {"match_players": ["team", "row_index", "is_me", *D.CELLS], "players": [], "field_provenance": ["team", "row_index", *D.CELLS], "player_nameplates": ["nameplate_phash", "nameplate_width"], "hero_portraits": ["hero_id", "portrait_phash"]}
+        mine, new = resolved(rows, ok, t, dict.fromkeys(c for name, columns in taken.items() if wants(name) for c in columns))
 
     # matches
     value = lambda c: F.col(c)["value"]
@@ -146,11 +150,12 @@ def commit(t: Store, now: str, ids: Sequence[int] | None = None, only: Sequence[
     # provenance of what a template read, the match's own fields and its rows'; of the values that a path replaced the last counts
     if wants("field_provenance"):
         lost = docs.superseded.groupBy("draft_id", "path").agg(F.max_by("value", "place").alias("superseded_value"))
-        told = lambda table, row, path, names: F.array_compact(F.array(*(F.when(~blank(F.col(c)) & (F.col(c)["source"] == "template"), F.struct(F.lit(table).alias("table_name"), row.alias("row_id"), F.lit(c).alias("column_name"), F.concat(path, F.lit(c)).alias("path"), F.col(c)["confidence"].alias("confidence"))) for c in names)))
+        told = lambda table, row, path, names: F.array_compact(F.array(*(F.when(~blank(F.col(c), kind) & (F.col(c)["source"] == "template"), F.struct(F.lit(table).alias("table_name"), row.alias("row_id"), F.lit(c).alias("column_name"), F.concat(path, F.lit(c)).alias("path"), F.col(c)["confidence"].alias("confidence"))) for c, kind in names.items())))
         seat = F.concat(F.lit("rows["), "team", F.lit(":"), F.col("row_index").cast("string"), F.lit("]."))
         traced = ok.select("draft_id", F.explode(told("matches", F.col("match_id"), F.lit("meta."), D.META)).alias("x"))
         traced = traced.union(mine.select("draft_id", F.explode(told("match_players", F.col("id"), seat, D.CELLS)).alias("x"))).select("draft_id", "x.*")
-        traced = numbered(traced.join(lost, ["draft_id", "path"], "left"), ["draft_id", "path"], t.field_provenance).withColumn("source", F.lit("template"))
+        traced = materialize(traced.join(lost, ["draft_id", "path"], "left"), "traced")
+        traced = numbered_within(traced, "draft_id", "path", t.field_provenance).withColumn("source", F.lit("template"))
         gone = edited.select(F.lit("matches").alias("table_name"), F.col("match_id").alias("row_id")).union(t.match_players.join(edited, "match_id", "left_semi").select(F.lit("match_players"), "id"))
         out["field_provenance"] = t.field_provenance.join(gone, ["table_name", "row_id"], "left_anti").select(cols("field_provenance")).unionByName(traced.select(cols("field_provenance")))
 
@@ -178,10 +183,10 @@ def commit(t: Store, now: str, ids: Sequence[int] | None = None, only: Sequence[
     return Commit(out, refused, files.select("match_id", "path", F.col("file_path").alias("target")))
 
 
-def resolved(rows: DataFrame, ok: DataFrame, t: Store) -> tuple[DataFrame, DataFrame]:
-    """The rows of the drafts ``ok`` with ``id``, ``match_id`` and their players' ids; and the new players, ``_name`` and ``_new``.
+def resolved(rows: DataFrame, ok: DataFrame, t: Store, columns: Iterable[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of the drafts ``ok``, of which ``columns`` are kept, with ``id``, ``match_id`` and their players' ids; and the new players, ``_name`` and ``_new``.
 
-    Ids and names are found on narrow rows; the whole rows are dealt and written once.
+    Ids and names are found on narrow rows; what is kept is dealt and written once.
     """
     name = F.when(~blank(F.col("player_name")) & F.col("player_id").isNull(), F.regexp_replace(F.col("player_name")["value"], r"(?U)^\s+|\s+$", ""))
     keys = rows.select("draft_id", "place", name.alias("_name")).join(ok.select("draft_id", "match_id"), "draft_id")
@@ -191,7 +196,7 @@ def resolved(rows: DataFrame, ok: DataFrame, t: Store) -> tuple[DataFrame, DataF
     new = named.filter("_known IS NULL").groupBy("_name").agg(F.min("id").alias("_first"))
     new = materialize(numbered(new, ["_first"], t.players, "_new").select("_name", "_new"), "new-players")
     who = lookup(named, new, ["_name"], "left", stored=True).select("draft_id", "place", F.coalesce("_known", "_new").alias("_who"))
-    mine = rows.join(keys.select("draft_id", "place", "id", "match_id"), ["draft_id", "place"]).join(who, ["draft_id", "place"], "left")
+    mine = rows.select("draft_id", "place", "player_id", *columns).join(keys.select("draft_id", "place", "id", "match_id"), ["draft_id", "place"]).join(who, ["draft_id", "place"], "left")
     return materialize(mine.withColumn("player_id", F.coalesce("player_id", "_who")).drop("_who"), "resolved-rows"), new
 
 

@@ -83,13 +83,20 @@ def parse(drafts: DataFrame, keep: bool = False) -> Documents:
     )
     judged = read.withColumn("reason", reason)
     bad = F.col("reason").isNotNull()
-    judged = materialize(judged.select("draft_id", "reason", F.when(bad, F.col("payload")).alias("payload"), F.when(~bad, F.col("d").dropFields("_malformed")).alias("d")), "parsed", keep)
-    good = judged.filter("reason IS NULL").select("draft_id", "d.*")
-    meta = good.select("draft_id", "editing_match_id", *cells_typed(META, "meta"))
-    rows = good.select("draft_id", F.posexplode("rows").alias("place", "r"))
-    rows = rows.select("draft_id", "place", "r.team", "r.row_index", F.coalesce("r.is_me", F.lit(False)).alias("is_me"), *(f"r.{c}" for c in PASSED), *cells_typed(CELLS, "r"))
+    judged = judged.select("draft_id", "reason", F.when(bad, F.col("payload")).alias("payload"), F.when(~bad, F.col("d")).alias("d"))
+    # one line for each row of the scoreboard, the first with what the document has once: columns of their own, of which readers take those that they need
+    lines = judged.select("*", F.posexplode_outer("d.rows").alias("place", "r"))
+    once = {"editing_match_id": F.col("d.editing_match_id")} | dict(zip(META, cells_typed(META, "d.meta"), strict=True)) | {k: F.col(f"d.{k}") for k in LISTS}
+    first = F.coalesce(F.col("place"), F.lit(0)) == 0
+    lines = lines.select(
+        "draft_id", "reason", "payload", *(F.when(first, c).alias(k) for k, c in once.items()),
+        "place", "r.team", "r.row_index", F.coalesce("r.is_me", F.lit(False)).alias("is_me"), *(f"r.{c}" for c in PASSED), *cells_typed(CELLS, "r"),
+    )
+    lines = materialize(lines, "parsed", keep)
+    good = lines.filter((F.col("reason").isNull()) & first)
+    rows = lines.filter("place IS NOT NULL").select("draft_id", "place", "team", "row_index", "is_me", *PASSED, *CELLS)
     lists = {k: good.select("draft_id", F.posexplode(k).alias("place", "x")).select("draft_id", "place", "x.*") for k in LISTS}
-    return Documents(meta=meta, rows=rows, rejects=judged.filter("reason IS NOT NULL").select("draft_id", "reason", "payload"), **lists)
+    return Documents(meta=good.select("draft_id", "editing_match_id", *META), rows=rows, rejects=lines.filter("reason IS NOT NULL").select("draft_id", "reason", "payload"), **lists)
 
 
 def build(docs: Documents) -> DataFrame:

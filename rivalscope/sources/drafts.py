@@ -101,7 +101,7 @@ class DraftStore:
     """
 
     def __init__(self, t: Tables, written: bool = False):
-        self.t = t.written("matches", "match_players", "match_bans") if written else t
+        self.t = t.written("matches", "lines") if written else t
         self.d, self.spark, self.keep = Drafts(self.t), t.spark, written
         self.heroes, self.maps, self.seasons = t.heroes, t.maps, t.seasons
 

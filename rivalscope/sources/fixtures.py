@@ -86,12 +86,17 @@ class Tables:
         )
 
     @cached_property
-    def match_players(self) -> DataFrame:
+    def lines(self) -> DataFrame:
+        """The numbered lines with their parts' heroes: what rosters and bans are made of."""
         part = self.raw("part").select("p_partkey", "p_size", "p_brand")
         hero = self.heroes.select(F.col("id").alias("_hero"), F.col("name").alias("p_brand"))
         rows = self.numbered.join(part, F.col("l_partkey") == F.col("p_partkey")).join(F.broadcast(hero), "p_brand")
+        return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "rn", "p_size", "_hero")
+
+    @cached_property
+    def match_players(self) -> DataFrame:
         odd, rn = F.col("rn") % 2 == 1, F.col("rn")
-        return rows.select(
+        return self.lines.select(
             (F.col("l_orderkey") * 100 + rn).alias("id"), F.col("l_orderkey").alias("match_id"),
             F.when(rn == 1, F.lit(0).cast("long")).when((F.col("l_returnflag") == "N") & (F.col("l_partkey") % 3 == 0), None).otherwise(F.col("l_suppkey")).alias("player_id"),
             F.when(odd, "ally").otherwise("enemy").alias("team"), (rn == 1).alias("is_me"), F.when(F.col("l_partkey") % 13 == 0, "tank").alias("role"), F.when(F.col("p_size") % 10 != 0, F.col("_hero")).alias("hero_id"),
@@ -101,9 +106,7 @@ class Tables:
 
     @cached_property
     def match_bans(self) -> DataFrame:
-        part = self.raw("part").select("p_partkey", "p_brand")
-        hero = self.heroes.select(F.col("id").alias("hero_id"), F.col("name").alias("p_brand"))
-        return self.numbered.filter("l_discount >= 0.09").join(part, F.col("l_partkey") == F.col("p_partkey")).join(F.broadcast(hero), "p_brand").select(F.col("l_orderkey").alias("match_id"), "hero_id", (F.col("rn") - 1).alias("slot_index"))
+        return self.lines.filter("l_discount >= 0.09").select(F.col("l_orderkey").alias("match_id"), F.col("_hero").alias("hero_id"), (F.col("rn") - 1).alias("slot_index"))
 
     @cached_property
     def player_tags(self) -> DataFrame:

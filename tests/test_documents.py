@@ -165,3 +165,24 @@ def test_fixture_tables_are_written_once(spark):
         t = Tables(spark, sf).written("match_players")
         assert "Window" not in plan(t.match_players)
         assert t.match_players.exceptAll(Tables(spark, sf).match_players).isEmpty() and t.match_players.count() == Tables(spark, sf).match_players.count()
+
+
+def test_rows_of_documents_are_columns_and_a_commit_reads_few_of_them(spark, store):
+    docs = D.parse(drafts(spark, {1: payload(rows=[row("ally", 0, True), row("enemy", 0, hero_id=read(3))], bans=[{"hero_id": 2, "slot_index": 1}]), 2: payload("loss"), 3: "{"}))
+    assert "Generate" not in plan(docs.rows) and "withfield" not in plan(docs.rows).lower()
+    assert sorted((x.draft_id, x.place, x.team, x.hero_id.value) for x in docs.rows.collect()) == [(1, 0, "ally", None), (1, 1, "enemy", 3)]
+    assert sorted(x.draft_id for x in docs.meta.collect()) == [1, 2] and docs.bans.count() == 1 and [x.draft_id for x in docs.rejects.collect()] == [3]
+    with scratch(spark):
+        assert not commit(store, "N", only=["refused"]).tables
+        part, whole = (commit(store, "N", only=only).tables["field_provenance"] for only in (["field_provenance"], None))
+        assert sorted(map(str, part.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_rosters_and_bans_come_from_one_numbering(spark):
+    from rivalscope.sources.fixtures import Tables
+
+    sf = "/root/testdata/sf0.001"
+    with scratch(spark):
+        t = Tables(spark, sf).written("lines")
+        assert "Window" not in plan(t.match_players) + plan(t.match_bans)
+        assert t.match_bans.exceptAll(Tables(spark, sf).match_bans).isEmpty() and t.match_bans.count() == Tables(spark, sf).match_bans.count()
