@@ -27,7 +27,7 @@ from .common import lookup, materialize, scratch
 
 SAMPLE = 3000  #: labelled documents that the classifier is fitted on, chosen by hash of the id
 SEEN = 3  #: a feature needs so many documents of the sample to get a weight
-CACHE = 150_000  #: words whose scores a worker remembers
+CACHE = 40_000  #: words that a worker remembers; it keeps them while other stages run
 TARGETS = ("low", "toxic")
 TELLING = 3.5  #: standard deviations by which a feature's documents must differ from the rate
 LEAST = 0.02  #: weights nearer to zero are dropped
@@ -77,6 +77,8 @@ def fit(texts: list[str], targets: np.ndarray, rounds: int = 400, decay: float =
     known: dict[str, list[int]] = {}
     for text in texts:
         words, own = features(text)
+        if len(known) > CACHE:
+            known.clear()
         for w in words:
             if (f := known.get(w)) is None:
                 f = known[w] = word_features(w)
@@ -208,6 +210,7 @@ def _classify(df: DataFrame, labels: DataFrame, id_col: str, text: str, host: st
         if texts:
             slots, weights, bias = fit(texts, np.array([low, toxic], float))
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (slots, weights, bias)], names=["slots", "weights", "bias"])
+        pa.default_memory_pool().release_unused()
 
     found = rows.select("_text", "_q", "_t").mapInArrow(fitted, "slots binary, weights binary, bias binary").collect()
     if found:
@@ -223,6 +226,7 @@ def _classify(df: DataFrame, labels: DataFrame, id_col: str, text: str, host: st
             z = [scorer(t or "") for t in batch.column(3).to_pylist()]
             p = 1 / (1 + np.exp(-np.array(z).reshape(-1, 2).clip(-30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *batch.columns[4:], pa.array(p[:, 0]), pa.array(p[:, 1])], names=["_id", "host", "path", "_k1", "_k2", "p_low", "p_toxic"])
+        pa.default_memory_pool().release_unused()
 
     id_type = df.schema[id_col].dataType.simpleString()
     base = df.select(F.col(id_col).alias("_id"), *(c.alias(n) for c, n in zip(site(host, path), ("host", "path"), strict=True)), F.col(text).alias("_text"), *verdict_key(id_col, text, host, path))

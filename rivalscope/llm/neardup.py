@@ -29,7 +29,7 @@ PERMUTATIONS = 64
 MISSED = 1e-7  #: most that a linked pair may be missed with
 #: A shingle is rare if so many texts of a candidate component hold it, at most.
 RARE = 16
-CACHE = 200_000
+CACHE = 40_000  #: words whose hashes a task remembers
 CHUNK = 4096
 _rng = np.random.default_rng(20_240_817)
 FACTORS = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,6 +135,7 @@ def describe(df: DataFrame, width: int, band: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(k, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["_id", "_tk", "k", "n", "bands", "sig"]
                 )
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, f"_id {df.schema['_id'].dataType.simpleString()}, _tk binary, k binary, n long, bands array<long>, sig binary")
 
@@ -148,6 +149,7 @@ def whole_sets(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 found = [shingles(t or "") for t in batch.slice(at, 256).column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["k", "set"])
+        pa.default_memory_pool().release_unused()
 
     need = materialize(need.distinct(), "need")
     texts = docs.join(broadcast_if_small(need.select("_tk").distinct(), 500_000), "_tk", "left_semi").select("_tk", "_text").dropDuplicates(["_tk"])

@@ -444,3 +444,17 @@ def test_digests_ids_and_dotted_names(spk):
     counted = count_tokens(df, js, P.PATTERN, limit=3).collect()
     assert [(x["doc.id"], x.n_bytes, x.over_limit) for x in counted] == [(i, len((t or "").encode()), x.n_tokens > 3) for (i, t), x in zip(rows, counted, strict=True)]
     assert count_tokens(df.limit(0), js, P.PATTERN).count() == 0
+
+
+def test_the_classifier_forgets_words(monkeypatch):
+    import numpy as np
+
+    from rivalscope.llm import classifier as C
+
+    texts, made, whole = [f"w{i} same v{i % 3}" for i in range(40)], [], C.word_features
+    targets = np.array([[i % 3 == 0 for i in range(40)], [i % 2 == 0 for i in range(40)]], float)
+    want = C.fit(texts, targets)
+    monkeypatch.setattr(C, "CACHE", 5)
+    monkeypatch.setattr(C, "word_features", lambda w: made.append(w) or whole(w))
+    got, kinds = C.fit(texts, targets), 44
+    assert all((a == b).all() for a, b in zip(got, want, strict=True)) and len(made) > kinds
