@@ -95,7 +95,9 @@ def commit(t: Store, now: str, ids: Sequence[int] | None = None, only: Sequence[
     """
     wants = lambda *names: only is None or not set(names).isdisjoint(only)
     drafts = t.drafts.filter("status = 'open'")
-    docs = D.parse(drafts if ids is None else drafts.filter(F.col("id").isin(list(ids))))
+    parts = D.PARTS if wants("field_provenance") else ["value"]
+    passed = ["player_id", *(["nameplate_phash", "nameplate_width"] if wants("player_nameplates") else []), *(["portrait_phash"] if wants("hero_portraits") else [])]
+    docs = D.parse(drafts if ids is None else drafts.filter(F.col("id").isin(list(ids))), parts=[x for x in parts if x != "origin"], passed=passed)
     rows = docs.rows.filter(F.col("is_me") | F.coalesce(F.greatest(*(~blank(F.col(c), kind) for c, kind in D.CELLS.items())), F.lit(False)))
     refused = materialize(problems(docs, rows, t), "refused")
     if not wants(*(name for name in (*SCHEMAS, "moves"))):

@@ -6,16 +6,18 @@ A payload has ``meta`` (match fields), ``rows`` (the scoreboard), ``bans``, ``fi
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import materialize
+from ..shared import materialize, partitions_for
 
 # The documents' fields and types.
 META = {"played_at": "string", "map_id": "bigint", "mode": "string", "result": "string", "team_size": "bigint", "duration_seconds": "bigint", "rank_range_low": "bigint", "rank_range_high": "bigint", "notes": "string"}
 CELLS = {"player_name": "string", "role": "string", "hero_id": "bigint", "eliminations": "bigint", "assists": "bigint", "deaths": "bigint", "damage": "bigint", "healing": "bigint", "mitigation": "bigint"}
+PARTS = ["value", "source", "origin", "confidence"]  # of a cell
 PASSED = {"player_id": "bigint", "nameplate_phash": "string", "nameplate_width": "bigint", "nameplate_crop": "string", "nameplate_crop_url": "string", "nameplate_confidence": "double", "portrait_phash": "string", "portrait_crop": "string", "portrait_crop_url": "string"}
 LISTS = {
     "bans": {"hero_id": "bigint", "slot_index": "bigint"},
@@ -33,9 +35,9 @@ def struct_of(names: dict[str, str]) -> str:
     return "struct<" + ", ".join(f"{k}: {v}" for k, v in names.items()) + ">"
 
 
-def payload_type() -> str:
-    """The payload's type as it is read: cells' values are text, as anything may stand there."""
-    cells = lambda names: {k: cell_type("string") for k in names}
+def payload_type(typed: bool = False) -> str:
+    """The payload's type as it is read: cells' values are text, as anything may stand there; if ``typed``, of the fields' types."""
+    cells = lambda names: {k: cell_type(kind if typed else "string") for k, kind in names.items()}
     row = {"team": "string", "row_index": "bigint", "is_me": "boolean"} | PASSED | cells(CELLS)
     parts = {"editing_match_id": "bigint", "meta": struct_of(cells(META)), "rows": f"array<{struct_of(row)}>"} | {k: f"array<{struct_of(v)}>" for k, v in LISTS.items()}
     return struct_of(parts | {"_malformed": "string"})
@@ -54,8 +56,8 @@ class Documents:
     rejects: DataFrame  #: reason, payload: drafts that are in no other table
 
 
-def cells_typed(names: dict[str, str], of: str) -> list[Column]:
-    return [F.when(F.col(f"{of}.{k}").isNotNull(), F.col(f"{of}.{k}").withField("value", F.col(f"{of}.{k}.value").try_cast(kind))).alias(k) for k, kind in names.items()]
+def cells_typed(names: dict[str, str], of: Column) -> list[Column]:
+    return [F.when(of[k].isNotNull(), F.struct(of[k]["value"].try_cast(kind).alias("value"), *(of[k][c].alias(c) for c in ("source", "origin", "confidence")))).alias(k) for k, kind in names.items()]
 
 
 def unreadable(names: dict[str, str], of: Column) -> Column:
@@ -64,37 +66,49 @@ def unreadable(names: dict[str, str], of: Column) -> Column:
     return F.coalesce(*bad)
 
 
-def parse(drafts: DataFrame, keep: bool = False) -> Documents:
+def parse(drafts: DataFrame, keep: bool = False, parts: Sequence[str] = PARTS, passed: Sequence[str] = tuple(PASSED)) -> Documents:
     """Takes the payloads of ``drafts`` (id, payload) apart.
 
     A draft whose payload is no JSON object, lacks ``meta`` or ``rows``, has two rows of one seat or a value of the wrong type is a reject with its reason.
     Missing fields are null, missing lists empty; keys that the format doesn't have are not kept.  A row without ``is_me`` isn't the operator's.
-    Each payload is read once: what comes of it is written (``materialize``, to which ``keep`` goes), and all tables are read from there.
+    A payload is read with the fields' types; only one that doesn't fit them, as numbers given as text do, is read again as text and judged value by value.
+    What comes of it is written (``materialize``, to which ``keep`` goes), and all tables are read from there; of what was read, cells keep
+    ``parts`` and rows ``passed``.
     """
-    doc = F.from_json("payload", payload_type(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
-    read = drafts.select(F.col("id").alias("draft_id"), "payload", doc.alias("d"))
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}
+    fits = lambda c: F.col(c).isNotNull() & F.col(f"{c}._malformed").isNull()
+    read = drafts.select(F.col("id").alias("draft_id"), "payload").withColumn("d", F.from_json("payload", payload_type(typed=True), how))
+    read = read.withColumn("s", F.when(~fits("d"), F.from_json("payload", payload_type(), how)))
+    meta, rows = F.col("s.meta"), F.col("s.rows")
+    wrong = F.coalesce(unreadable(META, meta), F.get(F.filter(F.transform(rows, lambda r: unreadable(CELLS, r)), lambda x: x.isNotNull()), F.lit(0)))
+    as_is = ["team", "row_index", "is_me", *PASSED]
+    typed = F.struct(
+        F.col("s.editing_match_id").alias("editing_match_id"), F.when(meta.isNotNull(), F.struct(*cells_typed(META, meta))).alias("meta"),
+        F.transform(rows, lambda r: F.when(r.isNotNull(), F.struct(*(r[c].alias(c) for c in as_is), *cells_typed(CELLS, r)))).alias("rows"), *(F.col(f"s.{k}").alias(k) for k in LISTS), F.col("s._malformed").alias("_malformed"),
+    )
+    read = read.select("draft_id", "payload", F.when(F.col("s").isNotNull(), wrong).alias("wrong"), F.when(fits("d"), F.col("d")).when(fits("s"), typed).alias("d"))
     seats = F.transform("d.rows", lambda r: F.concat_ws(":", r["team"], r["row_index"].cast("string")))
-    wrong = F.coalesce(unreadable(META, F.col("d.meta")), F.get(F.filter(F.transform("d.rows", lambda r: unreadable(CELLS, r)), lambda x: x.isNotNull()), F.lit(0)))
     reason = (
-        F.when(F.col("payload").isNull() | F.col("d").isNull() | F.col("d._malformed").isNotNull(), "not a JSON object of this shape")
+        F.when(F.col("d").isNull(), "not a JSON object of this shape")
         .when(F.col("d.meta").isNull(), "no meta").when(F.col("d.rows").isNull(), "no rows")
-        .when(F.size(F.array_distinct(seats)) < F.size(seats), "two rows of one seat")
-        .when(wrong.isNotNull(), F.concat(F.lit("not a number: "), wrong))
+        .when(F.size(F.array_distinct(seats)) < F.size("d.rows"), "two rows of one seat")
+        .when(F.col("wrong").isNotNull(), F.concat(F.lit("not a number: "), "wrong"))
     )
     judged = read.withColumn("reason", reason)
     bad = F.col("reason").isNotNull()
     judged = judged.select("draft_id", "reason", F.when(bad, F.col("payload")).alias("payload"), F.when(~bad, F.col("d")).alias("d"))
     # one line for each row of the scoreboard, the first with what the document has once: columns of their own, of which readers take those that they need
     lines = judged.select("*", F.posexplode_outer("d.rows").alias("place", "r"))
-    once = {"editing_match_id": F.col("d.editing_match_id")} | dict(zip(META, cells_typed(META, "d.meta"), strict=True)) | {k: F.col(f"d.{k}") for k in LISTS}
+    cell = lambda of, k: F.col(f"{of}.{k}") if list(parts) == PARTS else F.when(F.col(f"{of}.{k}").isNotNull(), F.struct(*(F.col(f"{of}.{k}.{x}").alias(x) for x in parts)))
+    once = {"editing_match_id": F.col("d.editing_match_id")} | {k: cell("d.meta", k) for k in META} | {k: F.col(f"d.{k}") for k in LISTS}
     first = F.coalesce(F.col("place"), F.lit(0)) == 0
     lines = lines.select(
         "draft_id", "reason", "payload", *(F.when(first, c).alias(k) for k, c in once.items()),
-        "place", "r.team", "r.row_index", F.coalesce("r.is_me", F.lit(False)).alias("is_me"), *(f"r.{c}" for c in PASSED), *cells_typed(CELLS, "r"),
+        "place", "r.team", "r.row_index", F.coalesce("r.is_me", F.lit(False)).alias("is_me"), *(f"r.{c}" for c in passed), *(cell("r", c).alias(c) for c in CELLS),
     )
     lines = materialize(lines, "parsed", keep)
     good = lines.filter((F.col("reason").isNull()) & first)
-    rows = lines.filter("place IS NOT NULL").select("draft_id", "place", "team", "row_index", "is_me", *PASSED, *CELLS)
+    rows = lines.filter("place IS NOT NULL").select("draft_id", "place", "team", "row_index", "is_me", *passed, *CELLS)
     lists = {k: good.select("draft_id", F.posexplode(k).alias("place", "x")).select("draft_id", "place", "x.*") for k in LISTS}
     return Documents(meta=good.select("draft_id", "editing_match_id", *META), rows=rows, rejects=lines.filter("reason IS NOT NULL").select("draft_id", "reason", "payload"), **lists)
 
@@ -113,7 +127,8 @@ def build(docs: Documents) -> DataFrame:
         part = part.select("draft_id", *(F.col(k) if k == name else F.lit(None).cast(kind).alias(k) for k, kind in kinds.items()))
         out = part if out is None else out.union(part)
     lists = (F.array_sort(F.collect_list(name)).alias(name) for name in ("rows", *LISTS))  # one document's; nulls aren't collected
-    out = out.groupBy("draft_id").agg(F.first("_meta", ignorenulls=True).alias("_meta"), *lists).filter("_meta IS NOT NULL")
+    # a document is many times its packed rows, by whose size Spark would make few tasks of them
+    out = out.repartition(partitions_for(out), "draft_id").groupBy("draft_id").agg(F.first("_meta", ignorenulls=True).alias("_meta"), *lists).filter("_meta IS NOT NULL")
     out = out.select("draft_id", "_meta.*", *(F.transform(name, lambda x: x["x"]).alias(name) for name in ("rows", *LISTS)))
     return out.select("draft_id", F.to_json(F.struct("editing_match_id", "meta", "rows", *LISTS), {"ignoreNullFields": "false"}).alias("payload"))
 

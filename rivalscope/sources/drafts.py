@@ -12,7 +12,6 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import materialize
 from . import documents as D
 from .fixtures import Tables
 from .store import SCHEMAS
@@ -102,14 +101,14 @@ class DraftStore:
 
     def __init__(self, t: Tables, written: bool = False):
         self.t = t.written("matches", "lines") if written else t
-        self.d, self.spark, self.keep = Drafts(self.t), t.spark, written
+        self.d, self.spark = Drafts(self.t), t.spark
         self.heroes, self.maps, self.seasons = t.heroes, t.maps, t.seasons
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
         kinds = [f.strip().split(" ") for f in SCHEMAS[name].split(",")]
-        rows = self.made if name == "drafts" else getattr(self, f"_{name}")()
+        rows = getattr(self, f"_{name}")()
         return rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds))
 
     def _players(self) -> DataFrame:
@@ -154,10 +153,6 @@ class DraftStore:
         open_ = m.filter("conflicts > 0").select("draft_id", F.lit(0).alias("place"), F.lit("meta.mode").alias("path"), F.lit("a").alias("mine"), F.lit("b").alias("theirs"), F.lit("endgame_report").alias("theirs_origin"), F.lit(0.5).alias("theirs_confidence"))
         return D.Documents(meta=meta, rows=rows, bans=bans, files=file, conflicts=open_, superseded=lost, rejects=meta.limit(0))
 
-    @cached_property
-    def made(self) -> DataFrame:
-        return materialize(self._drafts(), "drafts") if self.keep else self._drafts()
-
     def _drafts(self) -> DataFrame:
         """One document in thirteen is cut off in the middle, one in seventeen has a word for a number."""
         i = F.col("draft_id")

@@ -186,3 +186,19 @@ def test_rosters_and_bans_come_from_one_numbering(spark):
         t = Tables(spark, sf).written("lines")
         assert "Window" not in plan(t.match_players) + plan(t.match_bans)
         assert t.match_bans.exceptAll(Tables(spark, sf).match_bans).isEmpty() and t.match_bans.count() == Tables(spark, sf).match_bans.count()
+
+
+def test_documents_are_read_by_type_and_written_as_far_as_asked_for(spark):
+    odd = [read("12"), read(" 12 "), read(""), read(None), read(12.5), read(10**20), read(True), read({"a": 1})]
+    docs = {i: payload(rows=[row("ally", 0, damage=x, role=cell(3))]) for i, x in enumerate(odd)} | {20: payload(rows=[row("ally", 0, damage=read(7)), None]), 21: json.dumps(payload(meta={"map_id": read(4)}))[:-1], 22: payload(meta={"map_id": read("x")})}
+    got = D.parse(drafts(spark, docs))
+    assert {x.draft_id: x.reason for x in got.rejects.collect()} == {4: "not a number: damage", 5: "not a number: damage", 6: "not a number: damage", 7: "not a number: damage", 21: "not a JSON object of this shape", 22: "not a number: map_id"}
+    assert {(x.draft_id, x.place): (x.damage and x.damage.value, x.role and x.role.value) for x in got.rows.collect()} == {(0, 0): (12, "3"), (1, 0): (12, "3"), (2, 0): (None, "3"), (3, 0): (None, "3"), (20, 0): (7, None), (20, 1): (None, None)}
+    few = D.parse(drafts(spark, docs), parts=["value"], passed=["player_id"])
+    assert few.rows.schema["damage"].dataType.names == ["value"] and "portrait_phash" not in few.rows.columns
+    assert sorted((x.draft_id, x.place, x.damage and x.damage.value) for x in few.rows.collect()) == sorted((x.draft_id, x.place, x.damage and x.damage.value) for x in got.rows.collect())
+
+
+def test_documents_are_built_and_read_by_as_many_tasks_as_there_are_partitions(spark):
+    docs = D.parse(drafts(spark, {i: payload("loss") for i in range(40)}))
+    assert D.build(docs).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
