@@ -36,6 +36,24 @@ def test_late_cells_give_what_the_batch_merge_gives(spark, tmp_path):
     assert [tuple(x) for x in got.collect()] == [(1, "a", "x", "manual", 1, 0)]
 
 
+def test_many_keys_share_a_group_of_the_state(spark, tmp_path, monkeypatch):
+    from rivalscope.streaming import cells
+
+    monkeypatch.setattr(cells, "SLOTS", 3)
+    day = [__import__("datetime").datetime(2024, 1, 1, 0, 0, 0, x) for x in (123456, 123457)]
+    schema = "draft long, day timestamp, seq long, value string, origin string"
+    rows = [(k % 20, day[k % 40 // 20], k, str(k % 3), ("manual", "endgame_report", None)[k % 7 % 3]) for k in range(240)]
+    for n in range(2):
+        arrive(spark, tmp_path / "in", n, rows[120 * n : 120 * n + 120], schema)
+    found, keys = {}, ["draft", "day"]
+    merged = merge_stream(read(spark, tmp_path / "in", schema), keys)
+    query = merged.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).foreachBatch(lambda df, n: found.update({(x.draft, x.day): tuple(x) for x in df.collect()})).start()
+    query.awaitTermination()
+    want = merge_cells(spark.createDataFrame(rows, schema), keys)
+    assert set(found.values()) == {tuple(x) for x in want.select(merged.columns).collect()} and len(found) == 40
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 3
+
+
 def test_committed_and_repeated_files_are_refused(spark, tmp_path):
     schema = "file_sha256 string, ingested_at timestamp, n int"
     day = lambda d: __import__("datetime").datetime(2024, 1, d)
