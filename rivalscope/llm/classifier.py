@@ -13,9 +13,11 @@ the path below it is the rest of it together with the language.
 
 from __future__ import annotations
 
+import operator
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from .common import lookup, materialize, scratch
 
 SAMPLE = 3000  #: labelled documents that the classifier is fitted on, chosen by hash of the id
 SEEN = 3  #: a feature needs so many documents of the sample to get a weight
-CACHE = 40_000  #: words that a worker remembers; it keeps them while other stages run
+CACHE = 40_000  #: words that the fit, and shapes that a worker remembers; it keeps them while other stages run
 TARGETS = ("low", "toxic")
 TELLING = 3.5  #: standard deviations by which a feature's documents must differ from the rate
 LEAST = 0.02  #: weights nearer to zero are dropped
@@ -38,37 +40,66 @@ RUN = re.compile(r"(.)\1+")
 STRIP = re.compile(r"^\W+|\W+$")
 
 
+class Kinds(dict):
+    """For ``str.translate``: code points as capital, small, digit, or themselves."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return kind
+
+
+KINDS = Kinds()
+STARTS = (4, 5, 6)  #: letters of a longer word's beginnings
+
+
 def slot(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) >> 1
 
 
-def word_features(word: str) -> list[int]:
-    """Slots of a word: the word, its first letters, and its shape."""
-    low = STRIP.sub("", word.lower())
-    shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-    out = ["s" + RUN.sub(r"\1", shape)[:12]]
+def bare(word: str) -> str:
+    """In small letters, without signs around it."""
+    low = word.lower()
+    return low if low.isalnum() else STRIP.sub("", low)
+
+
+def squeezed(shape: str) -> str:
+    return RUN.sub(r"\1", shape)[:12]
+
+
+def word_names(word: str) -> list[str]:
+    """Features of a word: the word, its first letters, and its shape."""
+    low, out = bare(word), ["s" + squeezed(word.translate(KINDS))]
     if low:
-        out += ["w" + low, *("p" + low[:k] for k in (4, 5, 6) if len(low) > k)]
-    return [slot(x) for x in out]
+        out += ["w" + low, *("p" + low[:k] for k in STARTS if len(low) > k)]
+    return out
+
 
+def word_features(word: str) -> list[int]:
+    """Slots of a word's features."""
+    return [slot(x) for x in word_names(word)]
 
-def doc_features(words: list[str]) -> list[int]:
-    """Slots for a whole document: tenths of repeated, capital and symbol words, kinds of words, and its length."""
+
+def doc_names(words: list[str], kinds: set[str]) -> list[str]:
+    """Features of a whole document: tenths of repeated, capital and symbol words, kinds of words, and its length; ``kinds`` are its distinct words."""
     n = len(words)
     if not n:
-        return [slot("d-empty")]
-    again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
-    capital = sum(w.isupper() and len(w) > 1 for w in words) / n
-    odd = sum(not w[-1].isalnum() and w[-1] not in ".,;:!?'\")" for w in words) / n
-    return [slot(f"d-{k}-{int(10 * v)}") for k, v in (("again", again), ("capital", capital), ("odd", odd), ("kinds", len(set(words)) / n))] + [slot(f"d-length-{n.bit_length()}")]
+        return ["d-empty"]
+    times = lambda some: sum(map(some.__contains__, words)) if some else 0
+    again = sum(map(operator.eq, words, islice(words, 1, None))) / n
+    capital = times({w for w in filter(str.isupper, kinds) if len(w) > 1}) / n
+    odd = times({w for w in kinds if not w[-1].isalnum() and w[-1] not in ".,;:!?'\")"}) / n
+    return [f"d-{k}-{int(10 * v)}" for k, v in (("again", again), ("capital", capital), ("odd", odd), ("kinds", len(kinds) / n))] + [f"d-length-{n.bit_length()}"]
 
 
-def features(text: str) -> tuple[set[str], list[int]]:
+def features(text: str) -> tuple[set[str], list[str]]:
+    """The distinct words of a text, and its features as a whole."""
     words = text.split()
-    return set(words), doc_features(words)
+    kinds = set(words)
+    return kinds, doc_names(words, kinds)
 
 
-Model = tuple[np.ndarray, np.ndarray, np.ndarray]  # slots, weights (targets x slots), biases
+Model = tuple[np.ndarray, np.ndarray, np.ndarray]  # features' names, weights (targets x features), biases
 
 
 def fit(texts: list[str], targets: np.ndarray, rounds: int = 400, decay: float = 1e-5) -> Model:
@@ -76,7 +107,8 @@ def fit(texts: list[str], targets: np.ndarray, rounds: int = 400, decay: float =
     n, cols = len(texts), []
     known: dict[str, list[int]] = {}
     for text in texts:
-        words, own = features(text)
+        words, whole = features(text)
+        own = [slot(x) for x in whole]
         if len(known) > CACHE:
             known.clear()
         for w in words:
@@ -87,7 +119,7 @@ def fit(texts: list[str], targets: np.ndarray, rounds: int = 400, decay: float =
     del known
     bias = np.zeros(len(targets))
     if not n:
-        return np.zeros(0, np.int64), np.zeros((len(targets), 0)), bias
+        return np.zeros(0, object), np.zeros((len(targets), 0)), bias
     owner = np.repeat(np.arange(n), list(map(len, cols)))
     slots, col, seen = np.unique(np.concatenate(cols), return_inverse=True, return_counts=True)
     del cols
@@ -115,25 +147,52 @@ def fit(texts: list[str], targets: np.ndarray, rounds: int = 400, decay: float =
         bias[k] = b
         weights[k, own] = w
     large = (np.abs(weights) >= LEAST).any(axis=0)
-    return slots[large], weights[:, large], bias
+    return names_of(slots[large], texts), weights[:, large], bias
+
+
+def names_of(slots: np.ndarray, texts: list[str]) -> np.ndarray:
+    """The names of features that ``texts`` have."""
+    names: dict[int, str | None] = dict.fromkeys(slots.tolist())
+    seen: set[str] = set()
+    for text in texts:
+        words, whole = features(text)
+        if len(seen) > CACHE:
+            seen.clear()
+        for x in (*whole, *(x for w in words - seen for x in word_names(w))):
+            if (f := slot(x)) in names:
+                names[f] = x
+        seen |= words
+    return np.array(list(names.values()), object)
 
 
 class Scorer:
-    """Sums the weights of the distinct features of a document; the slots of a word that have a weight are remembered."""
+    """Sums the weights of the distinct features of a document.
+
+    Of its words only those and their beginnings that have a weight are met, by name in sets; none are remembered.
+    """
 
-    def __init__(self, slots: np.ndarray, weights: np.ndarray, bias: np.ndarray):
-        self.w, self.b = weights, bias
-        self.at = {f: i for i, f in enumerate(slots.tolist())}
-        self.known: dict[str, tuple[int, ...]] = {}
+    def __init__(self, names: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+        self.w, self.b = np.ascontiguousarray(weights.T), bias
+        self.at = {x: i for i, x in enumerate(names.tolist())}
+        self.words = {x[1:] for x in self.at if x[0] == "w"}
+        self.starts = {k: {x[1:] for x in self.at if x[0] == "p" and len(x) == k + 1} for k in STARTS}
+        self.shapes: dict[str, int | None] = {}
 
     def __call__(self, text: str) -> np.ndarray:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        words, doc = features(text)
-        for w in words.difference(self.known):
-            self.known[w] = tuple([self.at[f] for f in word_features(w) if f in self.at])
-        own = {self.at[f] for f in doc if f in self.at}.union(*filter(None, map(self.known.__getitem__, words)))
-        return self.b + self.w[:, list(own)].sum(axis=1)
+        kinds, whole = features(text)
+        lows = {low if (low := w.lower()).isalnum() else STRIP.sub("", low) for w in kinds}
+        found = [*whole, *("w" + x for x in lows & self.words)]
+        for k, held in self.starts.items():
+            found += ["p" + x for x in {low[:k] for low in lows if len(low) > k} & held]
+        own = {self.at.get(x) for x in found}
+        if len(self.shapes) > CACHE:
+            self.shapes.clear()
+        for shape in {w.translate(KINDS) for w in kinds}:
+            if (i := self.shapes.get(shape, -1)) == -1:
+                i = self.shapes[shape] = self.at.get("s" + squeezed(shape))
+            own.add(i)
+        own.discard(None)
+        return self.b + self.w[sorted(own)].sum(axis=0)
 
 
 def logit(p: Column) -> Column:
@@ -208,14 +267,14 @@ def _classify(df: DataFrame, labels: DataFrame, id_col: str, text: str, host: st
             low += [1 - q for q in batch.column(1).to_pylist()]
             toxic += batch.column(2).to_pylist()
         if texts:
-            slots, weights, bias = fit(texts, np.array([low, toxic], float))
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (slots, weights, bias)], names=["slots", "weights", "bias"])
+            names, weights, bias = fit(texts, np.array([low, toxic], float))
+            yield pa.RecordBatch.from_arrays([pa.array([names.tolist()], pa.list_(pa.string())), *(pa.array([x.tobytes()], pa.binary()) for x in (weights, bias))], names=["names", "weights", "bias"])
         pa.default_memory_pool().release_unused()
 
-    found = rows.select("_text", "_q", "_t").mapInArrow(fitted, "slots binary, weights binary, bias binary").collect()
+    found = rows.select("_text", "_q", "_t").mapInArrow(fitted, "names array<string>, weights binary, bias binary").collect()
     if found:
-        slots, bias = np.frombuffer(found[0]["slots"], np.int64), np.frombuffer(found[0]["bias"])
-        model = slots, np.frombuffer(found[0]["weights"]).reshape(len(bias), len(slots)), bias
+        names, bias = np.array(found[0]["names"], object), np.frombuffer(found[0]["bias"])
+        model = names, np.frombuffer(found[0]["weights"]).reshape(len(bias), len(names)), bias
     else:
         model = fit([], np.zeros((2, 0)))
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, model))  # bounded by the sample

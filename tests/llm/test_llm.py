@@ -458,3 +458,39 @@ def test_the_classifier_forgets_words(monkeypatch):
     monkeypatch.setattr(C, "word_features", lambda w: made.append(w) or whole(w))
     got, kinds = C.fit(texts, targets), 44
     assert all((a == b).all() for a, b in zip(got, want, strict=True)) and len(made) > kinds
+
+
+def test_the_classifier_scores_by_names_without_hashing(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from rivalscope.llm import classifier as C
+
+    r = random.Random(5)
+    kinds = ["red", "Red", "RED", "étéé", "ÉTÉ", "ΑΣΣ", "x1", "99", "...", "#", "(over)", "stones", "stoneware", "stoned!", "a_b", "_", "ß", "İstanbul", "x" * 40, "B"]
+    texts = [" ".join(r.choice(kinds) for _ in range(r.randrange(30))) for _ in range(120)]
+    def named(text):
+        words, own = text.split(), set()
+        for w in words:
+            low = C.STRIP.sub("", w.lower())
+            shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w)
+            own |= {"s" + C.RUN.sub(r"\1", shape)[:12]} | ({"w" + low} | {"p" + low[:k] for k in (4, 5, 6) if len(low) > k} if low else set())
+        if not (n := len(words)):
+            own = {"d-empty"}
+        else:
+            tenths = {"again": sum(a == b for a, b in zip(words, words[1:], strict=False)), "capital": sum(w.isupper() and len(w) > 1 for w in words), "odd": sum(not w[-1].isalnum() and w[-1] not in ".,;:!?'\")" for w in words), "kinds": len(set(words))}
+            own |= {f"d-{k}-{int(10 * (v / n))}" for k, v in tenths.items()} | {f"d-length-{n.bit_length()}"}
+        return own
+
+    held = np.array(sorted(set().union(*map(named, texts))), object)
+    assert {x[0] for x in held} == {"w", "p", "s", "d"}
+    targets = np.array([["red" in t.split() for t in texts], ["stoneware" in t for t in texts]], float)
+    names, weights, _ = C.fit(texts, targets)
+    assert weights.shape == (2, len(names)) and len(names) == len(set(names)) and set(names) <= set(held)
+    weights, bias = np.random.default_rng(1).normal(size=(2, len(held))), np.array([0.5, -1])
+    monkeypatch.setattr(C, "slot", None)  # a feature of a scored word is met by its name
+    score = C.Scorer(held, weights, bias)
+    for text in [*texts, "", " \n", "new Words! 7"]:
+        assert np.allclose(score(text), bias + weights[:, np.isin(held, list(named(text)))].sum(axis=1), atol=1e-9)
+    assert len(score.shapes) < len(kinds) + 3
