@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..shared import broadcast_if_small, global_rank, lookup, materialize, scratch
+from ..shared import broadcast_if_small, global_rank, global_ranks, lookup, materialize, scratch
 from ..sources import documents as D
 from ..sources.store import SCHEMAS, Store
 
@@ -25,6 +25,19 @@ def blank(c: Column, kind: str = "string") -> Column:
     return c["value"].isNull() | c["value"].rlike(r"(?U)^\s*$") if kind == "string" else c["value"].isNull()
 
 
+def filled(row: Column) -> Column:
+    """Whether a row of the scoreboard has any value."""
+    return F.coalesce(F.greatest(*(~blank(row[c], kind) for c, kind in D.CELLS.items())), F.lit(False))
+
+
+def told(cells: Column, kinds: dict[str, str]) -> dict[str, Column]:
+    """The fields whose values a template read as bits in the order of ``kinds``, and the confidences of all if there are any: no lambdas, which Spark doesn't compile."""
+    bits = F.lit(0)
+    for k, (c, kind) in enumerate(kinds.items()):
+        bits = bits + F.when(~blank(cells[c], kind) & (cells[c]["source"] == "template"), 1 << k).otherwise(0)
+    return {"told": bits, "sure": F.when(bits != 0, F.array(*(cells[c]["confidence"] for c in kinds)))}
+
+
 def season_of(rows: DataFrame, seasons: DataFrame, key: str = "id", played_at: str = "played_at") -> DataFrame:
     """(key, season_id) for the rows whose day of ``played_at`` lies in a season; the one of least id where seasons overlap."""
     s = seasons.select(F.col("id").alias("season_id"), "starts_on", F.coalesce("ends_on", F.lit("9999-12-31")).alias("_to"))
@@ -47,9 +60,9 @@ def numbered_within(rows: DataFrame, key: str, order: str, held: DataFrame, out:
     return ranked.join(F.broadcast(last)).withColumn(out, F.col("_last") + F.col("_before") + F.col("_number")).drop("_last", "_before", "_number")
 
 
-def problems(docs: D.Documents, rows: DataFrame, t: Store) -> DataFrame:
-    """(draft_id, problem): why an open draft can't be committed; ``rows`` are those with content."""
-    own = rows.groupBy("draft_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_me").alias("own"))
+def problems(docs: D.Documents, rows: DataFrame, counts: DataFrame, t: Store) -> DataFrame:
+    """(draft_id, problem): why an open draft can't be committed; ``rows`` are those with content, ``counts`` their numbers by draft."""
+    own = counts.select("draft_id", "rows", "own")
     open_ = docs.conflicts.groupBy("draft_id").agg(F.count(F.lit(1)).alias("conflicts"))
     held = t.matches.select(F.col("id").alias("editing_match_id"), F.lit(True).alias("_held"))
     turn = F.when(F.col("editing_match_id").isNotNull(), F.row_number().over(W.partitionBy("editing_match_id").orderBy("draft_id")))
@@ -95,31 +108,40 @@ def commit(t: Store, now: str, ids: Sequence[int] | None = None, only: Sequence[
     """
     wants = lambda *names: only is None or not set(names).isdisjoint(only)
     drafts = t.drafts.filter("status = 'open'")
-    parts = D.PARTS if wants("field_provenance") else ["value"]
+    trace = wants("field_provenance")
     passed = ["player_id", *(["nameplate_phash", "nameplate_width"] if wants("player_nameplates") else []), *(["portrait_phash"] if wants("hero_portraits") else [])]
-    docs = D.parse(drafts if ids is None else drafts.filter(F.col("id").isin(list(ids))), parts=[x for x in parts if x != "origin"], passed=passed)
-    rows = docs.rows.filter(F.col("is_me") | F.coalesce(F.greatest(*(~blank(F.col(c), kind) for c, kind in D.CELLS.items())), F.lit(False)))
-    refused = materialize(problems(docs, rows, t), "refused")
+    # what each table takes of a row besides ids
+    taken = {"match_players": ["team", "row_index", "is_me", *D.CELLS], "players": [], "player_nameplates": ["nameplate_phash", "nameplate_width"], "hero_portraits": ["hero_id", "portrait_phash"]}
+    cells = D.CELLS if wants("match_players") else ["player_name", "hero_id"] if wants(*taken) else ["hero_id"]
+    docs = D.parse(
+        drafts if ids is None else drafts.filter(F.col("id").isin(list(ids))), parts=["value"], passed=passed, cells=list(cells), read=["value", "source"] if trace else ["value"],
+        of_meta={k: lambda m, k=k: told(m, D.META)[k] for k in ("told", "sure") if trace}, of_row={"filled": filled} | {f"row_{k}": lambda r, k=k: told(r, D.CELLS)[k] for k in ("told", "sure") if trace},
+    )
+    rows = docs.rows.filter("is_me OR filled")
+    side = lambda name: F.count_if(F.col("team") == name)
+    counts = rows.groupBy("draft_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_me").alias("own"), F.greatest(side("ally"), side("enemy")).alias("_seats"), *([F.sum(F.bit_count("row_told")).alias("_told")] if trace else []))
+    counts = materialize(counts, "rows-of-drafts")
+    refused = materialize(problems(docs, rows, counts, t), "refused")
     if not wants(*(name for name in (*SCHEMAS, "moves"))):
         return Commit({}, refused, None)
 
-    good = docs.meta.join(refused.select("draft_id").distinct(), "draft_id", "left_anti")
-    fresh = numbered(good.filter("editing_match_id IS NULL").select("draft_id"), ["draft_id"], t.matches, "_new")
-    ok = materialize(good.join(fresh, "draft_id", "left").withColumn("match_id", F.coalesce("editing_match_id", "_new")).drop("_new"), "committed-drafts")
+    # ids of matches, rows and provenance go up with the drafts': one pass over narrow rows tells what all before a draft have taken
+    good = docs.meta.select("draft_id", "editing_match_id", F.bit_count("told").alias("_meta_told") if trace else F.lit(0).alias("_meta_told")).join(refused.select("draft_id").distinct(), "draft_id", "left_anti").join(counts, "draft_id", "left")
+    good = good.select("draft_id", "_seats", F.when(F.col("editing_match_id").isNull(), 1).otherwise(0).alias("_fresh"), F.coalesce("rows", F.lit(0)).alias("_rows"), *([(F.col("_meta_told") + F.coalesce("_told", F.lit(0))).alias("_cells")] if trace else []))
+    good = global_ranks(good, ["draft_id"], {"_fresh": "_matches_before", "_rows": "_rows_before"} | ({"_cells": "_cells_before"} if trace else {}))
+    last = lambda held, name: F.broadcast(held.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias(name)))  # noqa: E731  one row
+    good = good.join(last(t.matches, "_last")).withColumn("_new", F.col("_last") + F.col("_matches_before") + 1).drop("_last", "_matches_before", "_fresh", "_rows", "_cells")
+    ok = materialize(docs.meta.join(good, "draft_id").withColumn("match_id", F.coalesce("editing_match_id", "_new")).drop("_new"), "committed-drafts")
     edited = ok.filter("editing_match_id IS NOT NULL").select("match_id")
 
     # players: names are looked up, as a name may be that of a third of all rows
-    mine = rows.join(ok.select("draft_id", "match_id"), "draft_id")
-    seats = mine.groupBy("match_id").agg(F.greatest(F.count_if(F.col("team") == "ally"), F.count_if(F.col("team") == "enemy")).alias("_seats"))
-    if wants("match_players", "players", "field_provenance", "player_nameplates", "hero_portraits"):
-        # what each table takes of a row besides ids
-        taken = {"match_players": ["team", "row_index", "is_me", *D.CELLS], "players": [], "field_provenance": ["team", "row_index", *D.CELLS], "player_nameplates": ["nameplate_phash", "nameplate_width"], "hero_portraits": ["hero_id", "portrait_phash"]}
+    if wants(*taken):
         mine, new = resolved(rows, ok, t, dict.fromkeys(c for name, columns in taken.items() if wants(name) for c in columns))
 
     # matches
     value = lambda c: F.col(c)["value"]
     old = t.matches
-    facts = ok.join(seats, "match_id", "left").join(old.select(F.col("id").alias("match_id"), F.col("created_at").alias("_created")), "match_id", "left")
+    facts = ok.join(old.select(F.col("id").alias("match_id"), F.col("created_at").alias("_created")), "match_id", "left")
     facts = facts.select(
         F.col("match_id").alias("id"), F.coalesce(F.when(value("played_at") != "", value("played_at")), F.lit(now)).alias("played_at"), *(value(c).alias(c) for c in ("map_id", "mode", "result")),
         F.coalesce(F.nullif(value("team_size"), F.lit(0)), F.nullif(F.col("_seats"), F.lit(0))).cast("int").alias("team_size"), value("duration_seconds").cast("int").alias("duration_seconds"),
@@ -151,13 +173,7 @@ def commit(t: Store, now: str, ids: Sequence[int] | None = None, only: Sequence[
 
     # provenance of what a template read, the match's own fields and its rows'; of the values that a path replaced the last counts
     if wants("field_provenance"):
-        lost = docs.superseded.groupBy("draft_id", "path").agg(F.max_by("value", "place").alias("superseded_value"))
-        told = lambda table, row, path, names: F.array_compact(F.array(*(F.when(~blank(F.col(c), kind) & (F.col(c)["source"] == "template"), F.struct(F.lit(table).alias("table_name"), row.alias("row_id"), F.lit(c).alias("column_name"), F.concat(path, F.lit(c)).alias("path"), F.col(c)["confidence"].alias("confidence"))) for c, kind in names.items())))
-        seat = F.concat(F.lit("rows["), "team", F.lit(":"), F.col("row_index").cast("string"), F.lit("]."))
-        traced = ok.select("draft_id", F.explode(told("matches", F.col("match_id"), F.lit("meta."), D.META)).alias("x"))
-        traced = traced.union(mine.select("draft_id", F.explode(told("match_players", F.col("id"), seat, D.CELLS)).alias("x"))).select("draft_id", "x.*")
-        traced = materialize(traced.join(lost, ["draft_id", "path"], "left"), "traced")
-        traced = numbered_within(traced, "draft_id", "path", t.field_provenance).withColumn("source", F.lit("template"))
+        traced = provenance(docs, rows, ok, t.match_players).join(last(t.field_provenance, "_last")).withColumn("id", F.col("_last") + F.col("_number"))
         gone = edited.select(F.lit("matches").alias("table_name"), F.col("match_id").alias("row_id")).union(t.match_players.join(edited, "match_id", "left_semi").select(F.lit("match_players"), "id"))
         out["field_provenance"] = t.field_provenance.join(gone, ["table_name", "row_id"], "left_anti").select(cols("field_provenance")).unionByName(traced.select(cols("field_provenance")))
 
@@ -191,8 +207,10 @@ def resolved(rows: DataFrame, ok: DataFrame, t: Store, columns: Iterable[str]) -
     Ids and names are found on narrow rows; what is kept is dealt and written once.
     """
     name = F.when(~blank(F.col("player_name")) & F.col("player_id").isNull(), F.regexp_replace(F.col("player_name")["value"], r"(?U)^\s+|\s+$", ""))
-    keys = rows.select("draft_id", "place", name.alias("_name")).join(ok.select("draft_id", "match_id"), "draft_id")
-    keys = materialize(numbered_within(keys, "draft_id", "place", t.match_players), "committed-rows")
+    last = t.match_players.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_last"))  # one row
+    keys = rows.select("draft_id", "place", name.alias("_name")).join(ok.select("draft_id", "match_id", "_rows_before"), "draft_id").join(F.broadcast(last))
+    number = F.row_number().over(W.partitionBy("draft_id").orderBy("place"))
+    keys = materialize(keys.select("draft_id", "place", "match_id", "_name", (F.col("_last") + F.col("_rows_before") + number).alias("id")), "committed-rows")
     known = t.players.groupBy(F.col("display_name").alias("_name")).agg(F.min("id").alias("_known"))
     named = materialize(lookup(keys.filter("_name IS NOT NULL").select("id", "draft_id", "place", "_name"), known, ["_name"], "left", stored=True), "named-rows")
     new = named.filter("_known IS NULL").groupBy("_name").agg(F.min("id").alias("_first"))
@@ -202,6 +220,30 @@ def resolved(rows: DataFrame, ok: DataFrame, t: Store, columns: Iterable[str]) -
     return materialize(mine.withColumn("player_id", F.coalesce("player_id", "_who")).drop("_who"), "resolved-rows"), new
 
 
+def provenance(docs: D.Documents, rows: DataFrame, ok: DataFrame, held: DataFrame) -> DataFrame:
+    """(_number, table_name, row_id, column_name, confidence, source, superseded_value): what a template read in the drafts ``ok``, numbered by draft and path.
+
+    ``held`` are the match's rows so far, above whose ids those of ``rows`` are.  A draft's cells are put together in one line, as its document was, so rows
+    and replaced values are dealt once, by draft; of the values that a path replaced the last counts.
+    """
+    last = F.broadcast(held.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_last")))  # one row
+    seats = rows.select("draft_id", F.struct("place", "team", "row_index", "row_told", "row_sure").alias("_row")).groupBy("draft_id").agg(F.array_sort(F.collect_list("_row")).alias("_roster"))
+    lost = docs.superseded.filter("path IS NOT NULL").groupBy("draft_id", "path").agg(F.max_by("value", "place").alias("value"))
+    lost = lost.groupBy("draft_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("_lost"))
+    whole = ok.select("draft_id", "match_id", "told", "sure", "_rows_before", "_cells_before").join(seats, "draft_id", "left").join(lost, "draft_id", "left").join(last)
+
+    def cells(table: str, kinds: dict[str, str], bits: Column, sure: Column, row: Column, path: Column) -> Column:
+        one = lambda c, k: F.when(F.getbit(bits, k) == 1, F.struct(F.concat(path, c).alias("path"), F.lit(table).alias("table_name"), row.alias("row_id"), c.alias("column_name"), F.get(sure, k).alias("confidence")))
+        return F.when(bits != 0, F.array_compact(F.transform(F.array(*map(F.lit, kinds)), one))).otherwise(F.array())
+
+    own = cells("matches", D.META, F.col("told"), F.col("sure"), F.col("match_id"), F.lit("meta."))
+    seat = lambda r: F.concat(F.lit("rows["), r["team"], F.lit(":"), r["row_index"].cast("string"), F.lit("]."))
+    of_rows = F.transform("_roster", lambda r, i: cells("match_players", D.CELLS, r["row_told"], r["row_sure"], F.col("_last") + F.col("_rows_before") + i + 1, seat(r)))
+    cells_of = F.array_sort(F.concat(own, F.coalesce(F.flatten(of_rows), F.array())))
+    out = whole.select("_cells_before", "_lost", F.posexplode(cells_of).alias("_at", "x"))
+    return out.select((F.col("_cells_before") + F.col("_at") + 1).alias("_number"), *(f"x.{c}" for c in ("table_name", "row_id", "column_name", "confidence")), F.lit("template").alias("source"), F.col("_lost")[F.col("x.path")].alias("superseded_value"))
+
+
 def learned(held: DataFrame, new: DataFrame, owner: str, now: str) -> DataFrame:
     """``held`` with the counts of ``new`` (owner, phash, _more, ...) added, and a row for what it lacks."""
     both = held.join(new.select(owner, "phash", "_more"), [owner, "phash"], "left").withColumn("times_matched", F.col("times_matched") + F.coalesce("_more", F.lit(0))).drop("_more")

@@ -89,19 +89,23 @@ def global_rank(df: DataFrame, keys: list[str], weight: str, out: str) -> DataFr
     summed, and only one number per partition (bounded by the partition count) is
     carried across, so no task sees more than its own range.
     """
+    return global_ranks(df, keys, {weight: out})
+
+
+def global_ranks(df: DataFrame, keys: list[str], outs: dict[str, str]) -> DataFrame:
+    """``global_rank`` of several weights (``outs``: weight to column) at once."""
     n = partitions_for(df)
     ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
     ranged = materialize(ranged, "ranged")
-    offsets = ranged.groupBy("_pid").agg(F.sum(weight).alias("_w"))
-    offsets = offsets.withColumn("_off", F.coalesce(F.sum("_w").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    within = F.sum(weight).over(W.partitionBy("_pid").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1))
-    ranked = ranged.withColumn("_in", F.coalesce(within, F.lit(0)))
+    # the sums of all rows before, by order within a partition and by number of the partitions
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = {weight: f"_sum{i}" for i, weight in enumerate(outs)}
+    offsets = ranged.groupBy("_pid").agg(*(F.sum(weight).alias(c) for weight, c in sums.items()))
+    offsets = offsets.select("_pid", *(before(c, W.orderBy("_pid")).alias(c) for c in sums.values()))
+    ranked = ranged.select("*", *(before(weight, W.partitionBy("_pid").orderBy(*keys)).alias(f"_in{c}") for weight, c in sums.items()))
     # one row per partition: the bound of this broadcast is the partition count
-    return (
-        ranked.join(F.broadcast(offsets.drop("_w")), "_pid")
-        .withColumn(out, (F.col("_off") + F.col("_in")).cast("long"))
-        .drop("_pid", "_off", "_in")
-    )
+    ranked = ranked.join(F.broadcast(offsets), "_pid")
+    return ranked.select(*df.columns, *((F.col(c) + F.col(f"_in{c}")).cast("long").alias(outs[weight]) for weight, c in sums.items()))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -6,7 +6,7 @@ A payload has ``meta`` (match fields), ``rows`` (the scoreboard), ``bans``, ``fi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
@@ -27,18 +27,21 @@ LISTS = {
 }
 
 
-def cell_type(value: str) -> str:
-    return f"struct<value: {value}, source: string, origin: string, confidence: double>"
+def cell_type(value: str, text: Sequence[str] = ("source", "origin")) -> str:
+    return struct_of({"value": value} | {k: "string" for k in ("source", "origin") if k in text} | {"confidence": "double"})
 
 
 def struct_of(names: dict[str, str]) -> str:
     return "struct<" + ", ".join(f"{k}: {v}" for k, v in names.items()) + ">"
 
 
-def payload_type(typed: bool = False) -> str:
-    """The payload's type as it is read: cells' values are text, as anything may stand there; if ``typed``, of the fields' types."""
-    cells = lambda names: {k: cell_type(kind if typed else "string") for k, kind in names.items()}
-    row = {"team": "string", "row_index": "bigint", "is_me": "boolean"} | PASSED | cells(CELLS)
+def payload_type(typed: bool = False, parts: Sequence[str] = PARTS, passed: Sequence[str] = tuple(PASSED)) -> str:
+    """The payload's type as it is read: cells' values are text, as anything may stand there; if ``typed``, of the fields' types.
+
+    Text that is not in ``parts`` or ``passed`` is passed over: any value is text, so it can't make a payload unfit.  What may is always read.
+    """
+    cells = lambda names: {k: cell_type(kind if typed else "string", parts) for k, kind in names.items()}
+    row = {"team": "string", "row_index": "bigint", "is_me": "boolean"} | passed_read(passed) | cells(CELLS)
     parts = {"editing_match_id": "bigint", "meta": struct_of(cells(META)), "rows": f"array<{struct_of(row)}>"} | {k: f"array<{struct_of(v)}>" for k, v in LISTS.items()}
     return struct_of(parts | {"_malformed": "string"})
 
@@ -56,8 +59,12 @@ class Documents:
     rejects: DataFrame  #: reason, payload: drafts that are in no other table
 
 
-def cells_typed(names: dict[str, str], of: Column) -> list[Column]:
-    return [F.when(of[k].isNotNull(), F.struct(of[k]["value"].try_cast(kind).alias("value"), *(of[k][c].alias(c) for c in ("source", "origin", "confidence")))).alias(k) for k, kind in names.items()]
+def passed_read(passed: Sequence[str]) -> dict[str, str]:
+    return {k: kind for k, kind in PASSED.items() if k in passed or kind != "string"}
+
+
+def cells_typed(names: dict[str, str], of: Column, parts: Sequence[str]) -> list[Column]:
+    return [F.when(of[k].isNotNull(), F.struct(of[k]["value"].try_cast(kind).alias("value"), *(of[k][c].alias(c) for c in PARTS[1:] if c in parts or c == "confidence"))).alias(k) for k, kind in names.items()]
 
 
 def unreadable(names: dict[str, str], of: Column) -> Column:
@@ -66,25 +73,33 @@ def unreadable(names: dict[str, str], of: Column) -> Column:
     return F.coalesce(*bad)
 
 
-def parse(drafts: DataFrame, keep: bool = False, parts: Sequence[str] = PARTS, passed: Sequence[str] = tuple(PASSED)) -> Documents:
+Derived = Mapping[str, Callable[[Column], Column]]  # columns by name, made of a struct of cells
+
+
+def parse(
+    drafts: DataFrame, keep: bool = False, parts: Sequence[str] = PARTS, passed: Sequence[str] = tuple(PASSED), cells: Sequence[str] = tuple(CELLS),
+    of_meta: Derived | None = None, of_row: Derived | None = None, read: Sequence[str] | None = None,
+) -> Documents:
     """Takes the payloads of ``drafts`` (id, payload) apart.
 
     A draft whose payload is no JSON object, lacks ``meta`` or ``rows``, has two rows of one seat or a value of the wrong type is a reject with its reason.
     Missing fields are null, missing lists empty; keys that the format doesn't have are not kept.  A row without ``is_me`` isn't the operator's.
     A payload is read with the fields' types; only one that doesn't fit them, as numbers given as text do, is read again as text and judged value by value.
     What comes of it is written (``materialize``, to which ``keep`` goes), and all tables are read from there; of what was read, cells keep
-    ``parts`` and rows ``passed``.
+    ``parts`` and rows ``passed`` and ``cells``.  ``of_meta`` and ``of_row`` are columns more of those tables, which may be made of
+    all cells with the parts ``read`` (by default ``parts``), a value and its confidence among them, whether they are kept or not.
     """
+    of_meta, of_row, read_parts = of_meta or {}, of_row or {}, parts if read is None else read
     how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}
     fits = lambda c: F.col(c).isNotNull() & F.col(f"{c}._malformed").isNull()
-    read = drafts.select(F.col("id").alias("draft_id"), "payload").withColumn("d", F.from_json("payload", payload_type(typed=True), how))
-    read = read.withColumn("s", F.when(~fits("d"), F.from_json("payload", payload_type(), how)))
+    read = drafts.select(F.col("id").alias("draft_id"), "payload").withColumn("d", F.from_json("payload", payload_type(True, read_parts, passed), how))
+    read = read.withColumn("s", F.when(~fits("d"), F.from_json("payload", payload_type(False, read_parts, passed), how)))
     meta, rows = F.col("s.meta"), F.col("s.rows")
     wrong = F.coalesce(unreadable(META, meta), F.get(F.filter(F.transform(rows, lambda r: unreadable(CELLS, r)), lambda x: x.isNotNull()), F.lit(0)))
-    as_is = ["team", "row_index", "is_me", *PASSED]
+    as_is = ["team", "row_index", "is_me", *passed_read(passed)]
     typed = F.struct(
-        F.col("s.editing_match_id").alias("editing_match_id"), F.when(meta.isNotNull(), F.struct(*cells_typed(META, meta))).alias("meta"),
-        F.transform(rows, lambda r: F.when(r.isNotNull(), F.struct(*(r[c].alias(c) for c in as_is), *cells_typed(CELLS, r)))).alias("rows"), *(F.col(f"s.{k}").alias(k) for k in LISTS), F.col("s._malformed").alias("_malformed"),
+        F.col("s.editing_match_id").alias("editing_match_id"), F.when(meta.isNotNull(), F.struct(*cells_typed(META, meta, read_parts))).alias("meta"),
+        F.transform(rows, lambda r: F.when(r.isNotNull(), F.struct(*(r[c].alias(c) for c in as_is), *cells_typed(CELLS, r, read_parts)))).alias("rows"), *(F.col(f"s.{k}").alias(k) for k in LISTS), F.col("s._malformed").alias("_malformed"),
     )
     read = read.select("draft_id", "payload", F.when(F.col("s").isNotNull(), wrong).alias("wrong"), F.when(fits("d"), F.col("d")).when(fits("s"), typed).alias("d"))
     seats = F.transform("d.rows", lambda r: F.concat_ws(":", r["team"], r["row_index"].cast("string")))
@@ -100,17 +115,17 @@ def parse(drafts: DataFrame, keep: bool = False, parts: Sequence[str] = PARTS, p
     # one line for each row of the scoreboard, the first with what the document has once: columns of their own, of which readers take those that they need
     lines = judged.select("*", F.posexplode_outer("d.rows").alias("place", "r"))
     cell = lambda of, k: F.col(f"{of}.{k}") if list(parts) == PARTS else F.when(F.col(f"{of}.{k}").isNotNull(), F.struct(*(F.col(f"{of}.{k}.{x}").alias(x) for x in parts)))
-    once = {"editing_match_id": F.col("d.editing_match_id")} | {k: cell("d.meta", k) for k in META} | {k: F.col(f"d.{k}") for k in LISTS}
+    once = {"editing_match_id": F.col("d.editing_match_id")} | {k: cell("d.meta", k) for k in META} | {k: F.col(f"d.{k}") for k in LISTS} | {k: make(F.col("d.meta")) for k, make in of_meta.items()}
     first = F.coalesce(F.col("place"), F.lit(0)) == 0
     lines = lines.select(
         "draft_id", "reason", "payload", *(F.when(first, c).alias(k) for k, c in once.items()),
-        "place", "r.team", "r.row_index", F.coalesce("r.is_me", F.lit(False)).alias("is_me"), *(f"r.{c}" for c in passed), *(cell("r", c).alias(c) for c in CELLS),
+        "place", "r.team", "r.row_index", F.coalesce("r.is_me", F.lit(False)).alias("is_me"), *(f"r.{c}" for c in passed), *(cell("r", c).alias(c) for c in cells), *(make(F.col("r")).alias(k) for k, make in of_row.items()),
     )
     lines = materialize(lines, "parsed", keep)
     good = lines.filter((F.col("reason").isNull()) & first)
-    rows = lines.filter("place IS NOT NULL").select("draft_id", "place", "team", "row_index", "is_me", *passed, *CELLS)
+    rows = lines.filter("place IS NOT NULL").select("draft_id", "place", "team", "row_index", "is_me", *passed, *cells, *of_row)
     lists = {k: good.select("draft_id", F.posexplode(k).alias("place", "x")).select("draft_id", "place", "x.*") for k in LISTS}
-    return Documents(meta=good.select("draft_id", "editing_match_id", *META), rows=rows, rejects=lines.filter("reason IS NOT NULL").select("draft_id", "reason", "payload"), **lists)
+    return Documents(meta=good.select("draft_id", "editing_match_id", *META, *of_meta), rows=rows, rejects=lines.filter("reason IS NOT NULL").select("draft_id", "reason", "payload"), **lists)
 
 
 def build(docs: Documents) -> DataFrame:

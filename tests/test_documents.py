@@ -202,3 +202,60 @@ def test_documents_are_read_by_type_and_written_as_far_as_asked_for(spark):
 def test_documents_are_built_and_read_by_as_many_tasks_as_there_are_partitions(spark):
     docs = D.parse(drafts(spark, {i: payload("loss") for i in range(40)}))
     assert D.build(docs).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """The tables that a commit writes on its way, in order."""
+    from rivalscope import shared
+    from rivalscope.operators import publishing
+
+    out, whole = [], shared.materialize
+
+    def note(df, name, keep=False):
+        out.append((name, df))
+        return whole(df, name, keep)
+
+    for module in (shared, D, publishing):
+        monkeypatch.setattr(module, "materialize", note)
+    return out
+
+
+def test_provenance_needs_no_players_and_is_numbered_by_draft_and_path(spark, store, written):
+    with scratch(spark):
+        got = commit(store, "N", only=["field_provenance"]).tables["field_provenance"].collect()
+        assert [name for name, _ in written] == ["parsed", "rows-of-drafts", "refused", "ranged", "committed-drafts"]
+        new = sorted((x for x in got if x.id > 4), key=lambda x: x.id)
+        rows = {(x.team, x.row_index): x.id for x in commit(store, "N").tables["match_players"].filter("match_id = 12").collect()}
+    own = rows["ally", 0]
+    assert [(x.id, x.table_name, x.row_id, x.column_name, x.confidence, x.superseded_value) for x in new] == [
+        (5, "matches", 12, "map_id", 0.8, "3"), (6, "match_players", own, "damage", 0.8, "8"), (7, "match_players", own, "hero_id", 0.8, None), (8, "match_players", own, "player_name", 0.8, None)]
+
+
+def test_a_replaced_value_without_a_path_or_value_is_no_fault(spark, store):
+    lost = [{"path": None, "value": "1"}, {"path": "meta.mode", "value": None}, {"path": "meta.map_id", "value": "5"}, {"path": "meta.map_id", "value": "6"}]
+    odd = {30: payload("win", [row("ally", 0, True, hero_id=cell(1, "template", None, None))], meta={"map_id": read(1), "mode": read("x")}, superseded=lost), 31: payload("loss", meta={"notes": read(" ")}), 32: payload("loss")}
+    store.publish({"drafts": drafts(spark, odd)})
+    with scratch(spark):
+        got = [x for x in commit(store, "N", only=["field_provenance"]).tables["field_provenance"].collect() if x.id > 4]
+    assert sorted((x.id, x.column_name, x.confidence, x.superseded_value) for x in got) == [(5, "map_id", 0.8, "6"), (6, "mode", 0.8, None), (7, "hero_id", None, None)]
+
+
+def test_a_whole_commit_writes_only_values_and_one_table_of_numbers(spark, store, written):
+    with scratch(spark):
+        commit(store, "N")
+        names = [name for name, _ in written]
+        parsed = written[0][1]
+    assert names[:6] == ["parsed", "rows-of-drafts", "refused", "ranged", "committed-drafts", "committed-rows"] and "traced" not in names
+    assert parsed.schema["damage"].dataType.names == parsed.schema["mode"].dataType.names == ["value"] and {"filled", "row_told", "told"} <= set(parsed.columns)
+
+
+def test_text_that_nobody_asks_for_is_passed_over_but_judged_alike(spark):
+    base = row("ally", 0, damage=cell(3, 7, {"a": 1}, 0.5), portrait_crop=9)
+    docs = {1: payload(rows=[base]), 2: payload(rows=[base | {"nameplate_confidence": "x"}]), 3: payload(rows=[base | {"damage": cell(3, "a", "b", "sure")}]), 4: json.dumps(payload(rows=[base]))[:-30]}
+    whole = D.parse(drafts(spark, docs))
+    few = D.parse(drafts(spark, docs), parts=["value"], passed=["player_id"], cells=["damage"], of_row={"twice": lambda r: r["damage"]["value"] * 2})
+    judged = lambda d: {(x.draft_id, x.reason) for x in d.rejects.collect()}
+    assert judged(whole) == judged(few) == {(k, "not a JSON object of this shape") for k in (2, 3, 4)}
+    assert few.rows.columns == ["draft_id", "place", "team", "row_index", "is_me", "player_id", "damage", "twice"] and few.rows.first().twice == 6
+    assert "portrait_crop" not in D.payload_type(True, ["value"], []) and "nameplate_confidence" in D.payload_type(True, ["value"], [])
